@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from . import simhash
+from . import exact_dedup, quality, simhash, token_count
 
 
 def queries() -> dict:
-    return {"op3_simhash_near_dedup": simhash.query}
+    return {
+        "op3_simhash_near_dedup": simhash.query,
+        "op7_quality_rules": quality.query,
+        "op9_token_counts": token_count.query,
+        "op10_exact_dedup": exact_dedup.query,
+    }
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {"op10_exact_dedup": exact_dedup.SQL}
