@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, simhash, token_count
+from . import exact_dedup, quality, simhash, token_count, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_simhash_near_dedup": simhash.query,
         "op7_quality_rules": quality.query,
+        "op8_toxicity": toxicity.query,
         "op9_token_counts": token_count.query,
         "op10_exact_dedup": exact_dedup.query,
     }
