@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality, simhash, token_count, toxicity
+from . import exact_dedup, packing, quality, simhash, token_count, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_simhash_near_dedup": simhash.query,
+        "op4_packing": packing.query,
         "op7_quality_rules": quality.query,
         "op8_toxicity": toxicity.query,
         "op9_token_counts": token_count.query,
