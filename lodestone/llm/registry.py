@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, simhash, token_count, toxicity
+from . import exact_dedup, mixing, packing, quality, sharding, simhash, token_count, toxicity
 
 
 def queries() -> dict:
     return {
         "op3_simhash_near_dedup": simhash.query,
         "op4_packing": packing.query,
+        "op5_resharding": sharding.query,
         "op6_mixing": mixing.query,
         "op7_quality_rules": quality.query,
         "op8_toxicity": toxicity.query,
