@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, packing, quality, sharding, simhash, token_count, toxicity, warc
+from . import chat, exact_dedup, mixing, packing, quality, sharding, simhash, token_count, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op1_warc": warc.query,
+        "op2_chat_formatting": chat.query,
         "op3_simhash_near_dedup": simhash.query,
         "op4_packing": packing.query,
         "op5_resharding": sharding.query,
@@ -20,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc": warc.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc": warc.SQL, "op2_chat_formatting": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
