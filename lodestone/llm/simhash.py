@@ -135,9 +135,13 @@ def near_classes(docs: DataFrame, words: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
-    """The documents of docs that are the smallest doc_id of their class, all columns kept; repeated rows count once."""
-    kept = near_classes(docs, words).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi").dropDuplicates(["doc_id"])
+    """The documents of docs that are the smallest doc_id of their class, all columns kept.
+
+    doc_id names a document: rows that share one stay or go together, so exact copies are
+    to be removed before.
+    """
+    kept = near_classes(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
