@@ -1,0 +1,450 @@
+"""Training-data operators against brute force, round trips and edge cases."""
+
+import gzip
+import hashlib
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+
+pytest.importorskip("lodestone.llm")
+
+from lodestone.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, token_count, toxicity, warc  # noqa: E402
+
+WORDS = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, run string, key string, digest string"
+
+
+def docs_of(spark, texts, sources=None):
+    """Documents with extra columns whose names clash with the operators' own."""
+    rows = [(i, t, "en", (sources or ["s0", "s1", None])[i % len(sources or [0, 1, 2])], len(t or ""), "r", "k", "d") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+ODD = [None, "", " \n\t", "a", "a b", "a b c d", "a b c d", "A b\tC d", "x " * 3000, "é à ü " * 30, "<|endoftext|> hi", "\x1c\x85\xa0 word", "漢字 かな 🙂", "</s>[INST] x", "abcd"]
+
+
+# ---- WARC ----
+def warc_expected(rows):
+    first = {}
+    for p, h in rows:
+        b = (h or "").encode()
+        if p is not None and len(b) >= 100:
+            first[b] = min(first.get(b, p), p)
+    out = []
+    for p, h in rows:
+        b = (h or "").encode()
+        t = first.get(b) if len(b) >= 100 else None
+        revisit = t is not None and t != p
+        out.append((p, len(b), hashlib.sha256(b).hexdigest(), "revisit" if revisit else "response", t if revisit else None))
+    return sorted(out, key=str)
+
+
+def test_warc_round_trip(spark):
+    big, other = "x" * 100, "WARC/1.1\r\nContent-Length: 5\r\n\r\n" + "é\r\n\r\n" * 40
+    rows = [(5, big), (2, big), (9, big), (2, big), (1, "small"), (3, "small"), (4, None), (6, ""), (7, other), (8, other), (None, big), (None, "z" * 200), (10, "y" * 99), (11, "y" * 99)]
+    pages = spark.createDataFrame([(p, "http://a/ b\r\nX: y" if p else None, h, "c") for p, h in rows], "page_id long, url string, html string, digest string").repartition(3)
+    got = sorted((tuple(r) for r in warc.round_trip(pages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()), key=str)
+    assert got == warc_expected(rows)
+    assert warc.round_trip(pages.where("false")).count() == 0
+
+
+def test_warc_archives_are_plain_gzip(spark, tmp_path):
+    pages = spark.createDataFrame([(i, "http://a", f"<p>{i}</p>" * 50) for i in range(20)], "page_id long, url string, html string")
+    warc.write_monolithic(pages.repartition(2), f"{tmp_path}/raw")
+    index = warc.normalise(spark, f"file://{tmp_path}/raw", f"file://{tmp_path}/out").collect()
+    raws = sorted((tmp_path / "raw").glob("*.gz"))
+    outs = {int(re.search(r"part-(\d+)", p.name)[1]): p.read_bytes() for p in (tmp_path / "out").glob("part-*")}
+    assert b"".join(sorted(gzip.decompress(p.read_bytes()) for p in raws)) == b"".join(sorted(gzip.decompress(b) for b in outs.values()))
+    for e in index:
+        record = gzip.decompress(outs[e["archive"]][e["offset"] : e["offset"] + e["length"]])
+        assert record.startswith(b"WARC/1.1\r\nWARC-Type: response") and e["record_id"].encode() in record
+    assert len(index) == 20
+
+
+def test_warc_stream_errors():
+    record = b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    assert list(warc.parse_stream([record[:7], record[7:], record])) == [(b"WARC/1.1\r\nContent-Length: 3", b"abc")] * 2
+    with pytest.raises(ValueError):
+        list(warc.parse_stream([record[:30]]))
+    with pytest.raises(ValueError):
+        list(warc.inflate(gzip.compress(record)[:-3]))
+
+
+# ---- chat ----
+def test_chat_round_trip_of_random_turns():
+    rnd = random.Random(5)
+    bits = ["[", "<", "/", "INST]", "[INST]", "[/INST]", "</s>", "<s>", chat.MARK, "<<SYS>>", "<</SYS>>", "<|role:", "<|end|>", "|>", " ", "a", "\n", "%7C"]
+    for _ in range(4000):
+        turns = [(rnd.choice(["user", "assistant", "system", "to|>ol", "x", "", chat.MARK + "<s>"]), "".join(rnd.choice(bits) for _ in range(rnd.randint(0, 8)))) for _ in range(3)]
+        text = "".join(chat.render(*t)[0] for t in turns)
+        assert [t[:2] for t in chat.parse(text)] == turns
+    for broken in ("x", "[INST] a", "<s>[INST] b</s>", "<|role:x"):
+        with pytest.raises(chat.ParseError):
+            list(chat.parse(broken))
+
+
+def test_chat_digests(spark):
+    rows = [(1, 2, "assistant", "b</s>"), (1, 1, "user", "a"), (2, 0, None, None), (2, 0, "assistant", ""), (None, 1, "user", "n"), (1, 2, "assistant", "b</s>"), (3, None, "system", chat.PROBE * 500)]
+    df = spark.createDataFrame([(*r, 1) for r in rows], "conv_id long, turn long, role string, text string, place int")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.format_turns(df)).collect()}
+    groups = defaultdict(list)
+    for c, t, role, text in rows:
+        groups[c].append((t is not None, t or 0, role or "", text or ""))
+    for c, turns in groups.items():
+        turns.sort()
+        loss = "".join(x[3] for x in turns if x[2] == "assistant")
+        r = got[c]
+        assert r["n_turns"] == len(turns) and r["turns_sha256"] == hashlib.sha256("".join(f"{x[2]}\n{x[3]}\n" for x in turns).encode()).hexdigest()
+        assert (r["loss_chars"], r["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    texts = {r["conv_id"]: r["text"] for r in chat.conversation_texts(chat.format_turns(df)).collect()}
+    assert all(got[c]["formatted_chars"] == len(t) for c, t in texts.items())
+    assert chat.read_back(chat.format_turns(df.where("false"))).count() == 0
+
+
+# ---- SimHash ----
+def brute_fingerprint(text):
+    lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
+    w = WORDS.findall(lower)
+    if not w:
+        return 0
+    s = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in s]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+def brute_components(prints):
+    ids, parent = list(prints), {}
+    parent = {i: i for i in ids}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in ids:
+        for b in ids:
+            if a < b and (prints[a] ^ prints[b]).bit_count() <= 2:
+                x, y = sorted((find(a), find(b)))
+                parent[y] = x
+    return {i: find(i) for i in ids}
+
+
+def test_simhash_fingerprints(monkeypatch):
+    monkeypatch.setattr(simhash, "STEP", 7)
+    for t in ODD:
+        assert simhash.fingerprint(None if t is None else t.encode()) % (1 << 64) == brute_fingerprint(t)
+
+
+@pytest.mark.parametrize("limit", [64, 2])
+def test_simhash_components(spark, monkeypatch, limit):
+    monkeypatch.setattr(simhash, "PAIR_LIMIT", limit)
+    rnd = random.Random(limit)
+    base = [rnd.getrandbits(64) for _ in range(4)] + [0]
+    prints = {}
+    for i in range(160):
+        x = rnd.choice(base)
+        for _ in range(rnd.randint(0, 3)):
+            x ^= 1 << rnd.randrange(64)
+        prints[i] = x
+    signed = [(i, x - (1 << 64) if x >> 63 else x) for i, x in prints.items()]
+    df = spark.createDataFrame(signed, "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: docs)
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_classes(df).collect()}
+    assert got == brute_components(prints)
+
+
+def test_simhash_query_columns_and_edges(spark):
+    docs = docs_of(spark, ODD)
+    got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_classes(docs).collect()}
+    prints = {i: brute_fingerprint(t) for i, t in enumerate(ODD)}
+    assert got == {i: (prints[i], c) for i, c in brute_components(prints).items()}
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, c in brute_components(prints).items() if i == c}
+    assert simhash.near_classes(docs.where("false")).count() == 0
+
+
+# ---- packing ----
+def test_knapsack_and_linear_program():
+    sizes = np.array([2, 3, 5])
+    value, counts = packing.knapsack(np.array([0.2, 0.34, 0.5]), sizes, 10)
+    assert value == pytest.approx(1.08) and (counts * sizes).sum() <= 10
+    demand = {6: 40, 4: 40, 3: 7, 10: 5}
+    patterns = packing.column_generation(demand, 10)
+    covered = Counter()
+    for p, n in patterns:
+        assert sum(c * k for c, k in p.items()) <= 10
+        for c, k in p.items():
+            covered[c] += k * n
+    assert {c: pytest.approx(n) for c, n in demand.items()} == dict(covered)
+    whole = packing.round_patterns(patterns, demand, 10)
+    got = Counter()
+    for p, n in whole:
+        for c, k in p.items():
+            got[c] += k * n
+    assert dict(got) == demand and sum(n for _, n in whole) <= 49
+
+
+def test_packing_of_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(packing.MODEL)
+    texts = ODD + ["lorem ipsum dolor " * n for n in range(1, 60, 3)] + ["word " * 5000]
+    docs = docs_of(spark, texts)
+    docs = docs.unionByName(docs.where("doc_id in (0, 5)"))  # repeated rows
+    rows = packing.pack_documents(docs, path).collect()
+    tok = Tokenizer.from_file(path)
+    by, sequences = defaultdict(list), defaultdict(list)
+    for r in rows:
+        by[r["doc_id"]].append(r)
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for i, t in enumerate(texts):
+        ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 1], dtype="<u4")
+        want = Counter((s, len(ids[s : s + 2048]), zlib.crc32(ids[s : s + 2048].tobytes()), len(ids)) for s in range(0, len(ids), 2048))
+        times = 2 if i in (0, 5) else 1
+        assert Counter((r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in by[i]) == Counter({k: v * times for k, v in want.items()})
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    assert packing.pack_documents(docs.where("false"), path).count() == 0
+
+
+def test_word_ids_equal_the_tokenizer():
+    import public_tokenizers
+
+    ids = packing.WordIds(public_tokenizers.path(packing.MODEL))
+    count = token_count.Counter(public_tokenizers.path(token_count.MODEL))
+    rnd = random.Random(3)
+    chars = list("abcXYZ'sStTrRvVlLdD019!?.,&|<>#éÉñßäÿÇ×÷µªŸİıſﬁ́  　\x1c\x85\x00\x7f漢字🙂한하 \n\t\r\x0b  ")
+    for _ in range(4000):
+        s = "".join(rnd.choice(chars) for _ in range(rnd.randint(0, 14))) + ("<|endoftext|>" if rnd.random() < 0.05 else "")
+        assert np.array(ids.tokenizer.encode(s, add_special_tokens=False).ids, dtype="<u4").tobytes() == ids.ids(s.encode())
+        assert count.whole(s) == count.count(s)
+
+
+# ---- sharding ----
+def test_min_cost_flow():
+    flow = sharding.min_cost_flow([10, 0, 5], [5, 5, 5], lambda i, j: int(i != j))
+    assert sum(flow.values()) == 15 and flow[0, 0] == 5 and flow[2, 2] == 5 and flow[0, 1] == 5
+    for j in range(3):
+        assert sum(f for (_, b), f in flow.items() if b == j) <= 5
+
+
+def test_resharding(spark):
+    docs = docs_of(spark, ODD * 40)
+    rows = sharding.reshard(docs, shards=4, old_shards=3, blocks=256).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in rows) == Counter((i, t) for i, t in enumerate(ODD * 40))
+    sizes, slots = Counter(), defaultdict(list)
+    for r in rows:
+        sizes[r["shard"]] += len((r["text"] or "").encode()) + 8
+        slots[r["shard"]].append(r["slot"])
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and len(slots) == 4
+    assert max(sizes.values()) - min(sizes.values()) <= 2 * 6008
+    plan = sharding.plan(docs, 3, 3, 256)
+    assert plan.moved <= 0.2 * sum(sizes.values())
+    assert sharding.reshard(docs.where("false")).count() == 0
+
+
+# ---- mixing ----
+def test_targets():
+    t = mixing.weighted_targets({"a": 100, "b": 10, None: 40, "c": 0})
+    assert t["b"] == 30 and t["c"] == 0 and t["a"] + t[None] == pytest.approx(120) and t[None] == pytest.approx(60)
+    assert sum(t.values()) == pytest.approx(150)
+    assert mixing.weighted_targets({}) == {}
+
+
+def test_mixing(spark):
+    rnd = random.Random(2)
+    texts = [" ".join("w" for _ in range(rnd.randint(0, 60))) for _ in range(900)] + [None, ""]
+    docs = docs_of(spark, texts, ["s0", "s0", "s0", "s1", None, "s2"])
+    rows = mixing.mix(docs).collect()
+    assert sorted((r["doc_id"], r["size"]) for r in rows) == [(i, len(WORDS.findall(t or ""))) for i, t in enumerate(texts)]
+    taken, target = Counter(), {}
+    sources = {r["doc_id"]: r["source"] for r in docs.collect()}
+    for r in rows:
+        taken[sources[r["doc_id"]]] += r["taken"]
+        target[sources[r["doc_id"]]] = r["target"]
+        assert 0 <= r["taken"] <= 3 * r["size"]
+    for s in target:
+        assert abs(taken[s] - target[s]) <= max(0.01 * target[s], 5)
+    again = {r["doc_id"]: r["taken"] for r in mixing.mix(docs.repartition(7)).collect()}
+    assert again == {r["doc_id"]: r["taken"] for r in rows}
+    copies = {r["doc_id"]: r["copies"] for r in rows}
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns
+    assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({d: c for d, c in copies.items() if c})
+    assert mixing.mix(docs.where("false")).count() == 0 and mixing.mixed_documents(docs.where("false")).count() == 0
+
+
+# ---- quality ----
+def brute_base(text):
+    text = text or ""
+    w = WORDS.findall(text)
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if WORDS.search(line):
+            dup += line in seen
+            seen.add(line)
+    windows = Counter(zip(w, w[1:], w[2:], strict=False))
+    inside = {j for i in range(len(w) - 2) if windows[tuple(w[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), dup, len(inside)
+
+
+def test_quality_counts(spark):
+    texts = [*ODD, "a b c\na b c\n\n a b c", "x y z x y z q", "p p p p", "u\r\nu\r\nu"]
+    field = quality.train([])
+    rows = quality.assess(docs_of(spark, texts), field).orderBy("doc_id").collect()
+    for r, t in zip(rows, texts, strict=True):
+        want = brute_base(t)
+        assert tuple(r[c] for c in quality.COLUMNS) == want
+        assert r["base_failed"] == (want[0] < 50 or 100 * want[4] > 50 * want[0])
+        assert not (r["base_failed"] and r["kept"])
+    assert quality.assess(docs_of(spark, texts).where("false"), field).count() == 0
+
+
+def test_viterbi_equals_enumeration():
+    from itertools import product
+
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        field = quality.Field(rng.normal(size=quality.FEATURES), rng.normal(size=(2, 2)))
+        x = rng.normal(size=(6, quality.FEATURES))
+
+        def score(y, field=field, x=x):
+            return sum(float(x[i] @ field.emit) * y[i] for i in range(6)) + sum(field.move[a, b] for a, b in zip(y, y[1:]))
+
+        assert score(field.decode(x)) == pytest.approx(max(map(score, product((0, 1), repeat=6))))
+
+
+def test_quality_learns(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    field = quality.fit(docs, labels)
+    got = {r["doc_id"]: r for r in quality.assess(docs, field).collect()}
+    known = [(got[r["doc_id"]], r["quality"]) for r in labels.collect()]
+    judged = [(r["kept"], q) for r, q in known if not r["base_failed"]]
+    assert sum(k == bool(q) for k, q in judged) >= 0.95 * len(judged)
+    kept = quality.keep_good(docs, field)
+    assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d, r in got.items() if r["kept"]}
+
+
+# ---- toxicity ----
+def edit_rows(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row
+
+
+def test_automaton_equals_edit_distance():
+    rnd = random.Random(1)
+    for _ in range(3000):
+        stems = {"".join(rnd.choice("abc") for _ in range(rnd.randint(4, 7))) for _ in range(3)}
+        stems = {s: (2.0, 1.0) for s in stems if not any(o != s and (o.startswith(s) or s.startswith(o)) for o in stems)}
+        word = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9)))
+        found = toxicity.Lexicon(stems).find(word)
+        best = min((e for s in stems if (e := min(edit_rows(s, word))) == 0 or len(s) >= toxicity.FUZZY_MIN), default=9)
+        assert (found[1] if found else None) == (best if best <= 1 else None)
+        assert not found or min(edit_rows(found[0], word)) == found[1]
+
+
+def test_toxicity_context():
+    model = toxicity.Model(toxicity.Lexicon({"idiot": (6.0, 3.0)}), 0.0, np.array([-3.0, 6.0, 6.0, 0.0, 2.0]), 0.0)
+    m = toxicity.Matcher(model.lexicon)
+
+    def score(t):
+        w = toxicity.words_of(t)
+        return model.score(w, m.hits(w))
+
+    assert score("you are an idiot idiot") > score("you are an idioot idioot") > score("you are fine")
+    assert score('he said "idiot idiot" to me') < score("he is an idiot idiot to me")
+    assert 0 <= score("") <= 1 and score("") == score(None)
+
+
+def test_toxicity_held_out(spark):
+    import os
+
+    sf = "/root/testdata/sf0.01"
+    if not os.path.isdir(sf):
+        pytest.skip("fixture tables are not here")
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = {r["doc_id"]: r for r in toxicity.scores(docs, toxicity.fit(docs, labels)).collect()}
+    assert all(r["held_out"] == (zlib.crc32(str(d).encode()) % 5 == 0) and 0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.5) for d, r in got.items())
+    held = [(got[r["doc_id"]]["predicted"], r["toxic"]) for r in labels.collect() if got[r["doc_id"]]["held_out"]]
+    assert sum(p == t for p, t in held) >= 0.9 * len(held)
+    odd = toxicity.scores(docs_of(spark, ODD), toxicity.learn([], 0.1))
+    assert odd.count() == len(ODD) and odd.where("score is null").count() == 0
+    assert toxicity.scores(docs.where("false"), toxicity.learn([], 0.1)).count() == 0
+
+
+# ---- token counts ----
+def test_token_counts(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path(token_count.MODEL)
+    tok = Tokenizer.from_file(path)
+    rows = token_count.token_counts(docs_of(spark, ODD), path).orderBy("doc_id").collect()
+    for r, t in zip(rows, ODD, strict=True):
+        n = len(tok.encode(t or "", add_special_tokens=False).ids)
+        assert (r["n_bytes"], r["n_tokens"], r["over_limit"]) == (len((t or "").encode()), n, n > 1024)
+    counter = token_count.counter(path)
+    assert len(counter.proven) > 40_000
+    assert token_count.token_counts(docs_of(spark, ODD).where("false"), path).count() == 0
+
+
+# ---- exact dedup ----
+def brute_exact(rows, digest=None):
+    groups = defaultdict(list)
+    for d, t in rows:
+        groups[re.sub(r"[\x20\x09-\x0D]", "", t or "")].append((-len(t or ""), d is None, d))
+    out = Counter()
+    for body, members in groups.items():
+        keep = min(members, key=lambda m: (m[0], m[1], m[2] if m[2] is not None else 0))
+        for _, _, d in members:
+            out[d, keep[2], len(members), hashlib.sha256(body.encode()).hexdigest()] += 1
+    return out
+
+
+@pytest.mark.parametrize("rows_a_run", [100_000, 3])
+def test_exact_dedup(spark, monkeypatch, rows_a_run):
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", rows_a_run)
+    rows = list(enumerate([*ODD, *ODD, "a  b", "ab", "a b"])) + [(3, "a"), (None, "a b"), (None, "only")]
+    df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, run string").repartition(3)
+    got = exact_dedup.exact_classes(df).select("doc_id", "keep_id", "group_size", F.lower(F.hex("digest")), "kept").collect()
+    assert Counter(tuple(r)[:4] for r in got) == brute_exact(rows)
+    kept = Counter(r["keep_id"] for r in got if r["kept"])
+    assert len([r for r in got if r["kept"]]) == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows}) and all(n == 1 or k is None for k, n in kept.items())
+    first = exact_dedup.keep_first(df)
+    assert first.columns == df.columns and first.count() == len({re.sub(r"[\x20\x09-\x0D]", "", t or "") for _, t in rows})
+    assert exact_dedup.exact_classes(df.where("false")).count() == 0
+
+
+def test_exact_dedup_survives_digest_collisions(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 4)
+
+    def weak(body):
+        return hashlib.sha256(body).digest()[:1]
+
+    texts = [f"t{i % 300}" for i in range(900)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in exact_dedup.exact_classes(df, weak).collect()}
+    assert got == {i: (i % 300, 3) for i in range(900)}
+
+
+def test_run_filter():
+    digests = [hashlib.sha256(bytes([i])).digest() for i in range(200)]
+    bloom = exact_dedup.run_filter(digests[:100])
+    assert all(exact_dedup.may_contain(bloom, d) for d in digests[:100])
+    assert sum(exact_dedup.may_contain(bloom, d) for d in digests[100:]) < 20
