@@ -48,7 +48,8 @@ ROUNDS = 3000
 SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
 #: Bytes of words and ids that a worker remembers.
-MEMO_BYTES = 192 << 20
+MEMO_BYTES = 128 << 20
+LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
 class WordIds:
@@ -93,22 +94,30 @@ class WordIds:
 
     def ids(self, text: bytes | None) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
-        words = (text or b"").split()
+        data = text or b""
+        if b"<|" not in data and b"\xcc" not in data and b"\xcd" not in data:
+            # lower case comes anyway; before it, only a special token or a combining mark (CC.., CD.. in UTF-8) could tell
+            data = data.translate(LOWER)
+        words = data.split()
         memo = self.memo
-        try:
-            return b"".join(map(memo.__getitem__, words))
-        except KeyError:
+        found = list(map(memo.get, words))
+        if None in found:
             if self.held > MEMO_BYTES // 2:
                 memo.clear()
                 self.held = 0
             if self.held_parts > MEMO_BYTES // 2:
                 self.parts.clear()
                 self.held_parts = 0
-            for w in words:
-                if w not in memo:
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                w = words[at]
+                value = memo.get(w)
+                if value is None:
                     memo[w] = value = self.word(w)
                     self.held += len(w) + len(value) + 170
-            return b"".join(map(memo.__getitem__, words))
+                found[at] = value
+        return b"".join(found)
 
 
 def little(ids: list[int]) -> bytes:
