@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 MODEL = "byte_bpe_50k.json"
 LIMIT = 1024
 #: Entries of the memo for pre-tokens that need merges; a full memo starts anew.
-MEMO = 200_000
+MEMO = 500_000
 #: The pre-token pattern of byte-level BPE files with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class is old and stable: ASCII without the separators 1C-1F, Latin, Greek, Cyrillic letters and common punctuation.
@@ -68,25 +68,35 @@ class Counter:
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
         self.memo = dict.fromkeys(self.proven, 1)
+        self.merge = self.tokenizer.model.tokenize
+        self.alphabet = {b: c for c, b in byte_alphabet().items()}
 
     def whole(self, text: str) -> int:
         return len(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def part(self, token: str) -> int:
+        """Tokens of a pre-token that is no proven string: the file's merges on its bytes."""
+        return len(self.merge(token.encode().decode("latin-1").translate(self.alphabet)))
+
     def count(self, text: str | None) -> int:
         if not text:
             return 0
         if (self.special and self.special.search(text)) or (not text.isascii() or not text.isprintable()) and UNSURE.search(text):
             return self.whole(text)
         parts = self.find(text)
-        try:
-            return sum(map(self.memo.__getitem__, parts))
-        except KeyError:
-            rest = list({p for p in parts if p not in self.memo})
-            if len(self.memo) + len(rest) > len(self.proven) + MEMO:
-                self.memo = dict.fromkeys(self.proven, 1)
-                rest = list({p for p in parts if p not in self.proven})
-            self.memo.update(zip(rest, (len(e.ids) for e in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)), strict=True))
-            return sum(map(self.memo.__getitem__, parts))
+        memo = self.memo
+        found = list(map(memo.get, parts))
+        if None in found:
+            if len(memo) > len(self.proven) + MEMO:
+                self.memo = memo = dict.fromkeys(self.proven, 1)
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                n = memo.get(parts[at])
+                if n is None:
+                    memo[parts[at]] = n = self.part(parts[at])
+                found[at] = n
+        return sum(found)
 
 
 @lru_cache(maxsize=2)
