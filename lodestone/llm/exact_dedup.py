@@ -209,12 +209,16 @@ def exact_classes(docs: DataFrame, digest=_digest) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """The kept documents of docs with all columns; a doc_id repeated with an equal text counts once."""
-    kept = exact_classes(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("digest").alias("kept_digest"))
+    """The kept documents of docs with all columns; a doc_id repeated with an equal text counts once.
+
+    Texts move once: kept rows and documents meet on one key of doc_id and digest, and
+    rows that share it are merged where they meet.
+    """
+    key = lambda doc_id, digest: F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("/"), F.hex(digest))
+    kept = exact_classes(docs).where("kept").select(key(F.col("doc_id"), F.col("digest")).alias("__key")).distinct()
     body = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE.decode(), "")
-    keyed = docs.withColumn("__digest", F.unhex(F.sha2(body, 256)))
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("__digest") == F.col("kept_digest"))
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__digest"]).drop("__digest")
+    keyed = docs.withColumn("__key", key(F.col("doc_id").cast("long"), F.unhex(F.sha2(body, 256))))
+    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
