@@ -1,44 +1,30 @@
 """SimHash near-duplicate classes by pigeonhole blocks.
 
-Each text becomes a 64-bit SimHash over word shingles. Two fingerprints link if
-they differ in at most two bits. The 64 bits are cut into five blocks; two
-differing bits touch at most two blocks, so a linked pair agrees on at least
-three whole blocks: one of the ten block triples is a common join key.
-Fingerprints are joined on those keys and every candidate pair is verified by
-its Hamming distance.
-
-A key that many distinct fingerprints share (a large family of near copies) is
-never expanded into pairs. There each fingerprint names its neighbours at
-distance one on the bits outside the key ("midpoints"). Two fingerprints at
-distance two or less share a midpoint, and all that share one are pairwise
-within two bits, so linking each to the smallest of its midpoint keeps every
-connection with rows linear in the bucket; a midpoint has at most 65 members.
-
-Links become classes by alternating large-star and small-star contraction;
-every round is written to the shared folder.
+Each text becomes a 64-bit SimHash over word shingles. Fingerprints link if they
+differ in at most max_bits bits; the pairs are found by blocks, verified by Hamming
+distance in buckets, and leave as a spanning forest (hamming.py), so a large family
+of near copies never becomes all its pairs. Links become classes by alternating
+large-star and small-star contraction; every round is written to the shared folder.
 """
 
 from __future__ import annotations
 
-from itertools import combinations, repeat
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import drop_path, materialise, new_path
+from .hamming import links_within
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
-#: Bit ranges of the five blocks, lowest bit first, and how many blocks a close pair always shares.
-BLOCKS = ((0, 13), (13, 26), (26, 39), (39, 52), (52, 64))
-SHARED = 3
 MAX_BITS = 2
-#: Buckets with more distinct fingerprints than this are linked through midpoints instead of pairs.
-PAIR_LIMIT = 64
+#: Parameters of near copies in a pipeline: five words, and the bits that texts with a similarity of 0.8 differ in (64 * acos(0.89) / pi = 9.7).
+PIPELINE_WORDS, PIPELINE_BITS = 5, 9
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 STEP = 1 << 16
 
@@ -70,33 +56,6 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
-def _masks() -> list[tuple[int, int]]:
-    """(key mask, free mask) for each choice of SHARED blocks, as signed 64-bit integers."""
-    signed = lambda m: m - (1 << 64) if m >> 63 else m
-    found = []
-    for chosen in combinations(BLOCKS, SHARED):
-        key = sum(1 << bit for lo, hi in chosen for bit in range(lo, hi))
-        found.append((signed(key), signed(~key & ((1 << 64) - 1))))
-    return found
-
-
-def links(prints: DataFrame) -> DataFrame:
-    """Distinct pairs (a < b) that connect all fingerprints within MAX_BITS of each other."""
-    nodes = prints.select("fp").distinct()
-    masks = _masks()
-    keys = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(k)) for k, _ in masks))).alias("k", "block"))
-    sizes = keys.groupBy("k", "block").agg(F.count("*").alias("n")).where("n > 1")
-    full = keys.join(sizes, ["k", "block"])
-    cold = full.where(F.col("n") <= PAIR_LIMIT).select("k", "block", "fp")
-    pairs = cold.alias("l").join(cold.alias("r"), (F.col("l.k") == F.col("r.k")) & (F.col("l.block") == F.col("r.block")) & (F.col("l.fp") < F.col("r.fp"))).select(F.col("l.fp").alias("a"), F.col("r.fp").alias("b"))
-    free = F.element_at(F.array(*(F.lit(f) for _, f in masks)), F.col("k") + 1)
-    flips = F.filter(F.array(*(F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64))), lambda bit: bit.bitwiseAND(F.col("free")) != 0)
-    middles = full.where(F.col("n") > PAIR_LIMIT).select("k", "block", "fp", free.alias("free")).select("k", "block", "fp", F.explode(F.concat(F.array(F.lit(0).cast("long")), flips)).alias("flip"))
-    middles = middles.select("k", "block", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("middle"))
-    stars = middles.withColumn("a", F.min("fp").over(Window.partitionBy("k", "block", "middle"))).where("a < fp").select("a", F.col("fp").alias("b"))
-    return pairs.unionByName(stars).where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS).distinct()
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Stars (node, root), root < node, of the connected components of edges (a < b)."""
     spark = edges.sparkSession
@@ -118,7 +77,7 @@ def components(edges: DataFrame) -> DataFrame:
         path, current = following, step
 
 
-def near_classes(docs: DataFrame, words: int = 3) -> DataFrame:
+def near_classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
     """One row per document: doc_id, fp, component_id, the smallest doc_id reachable over links.
 
     Null and blank texts have fingerprint 0 and link like any other; repeated rows stay;
@@ -126,7 +85,7 @@ def near_classes(docs: DataFrame, words: int = 3) -> DataFrame:
     gives no rows; other columns of docs are ignored.
     """
     prints = materialise(fingerprints(docs, words), "prints")
-    stars = components(links(prints))
+    stars = components(links_within(prints, max_bits))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     rooted = first.join(stars, first.fp == stars.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -134,13 +93,13 @@ def near_classes(docs: DataFrame, words: int = 3) -> DataFrame:
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = 3) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = PIPELINE_WORDS, max_bits: int = PIPELINE_BITS) -> DataFrame:
     """The documents of docs that are the smallest doc_id of their class, all columns kept.
 
     doc_id names a document: rows that share one stay or go together, so exact copies are
     to be removed before.
     """
-    kept = near_classes(docs, words).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_classes(docs, words, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
