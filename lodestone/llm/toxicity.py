@@ -12,7 +12,8 @@ Hits are then read in context: a hit inside quotation marks or after a
 reporting word within the window counts as quotation and keeps only a share of
 its weight, a hit with other hits in its window counts in full. A document's
 features are its rate-corrected sum, its densest window, its quoted sum and its
-density; a logistic model fitted on the same sample turns them into a score.
+density; a logistic model fitted on the same sample turns them into a score. Of the
+sample, only distinct words, then hits, travel to the driver.
 Labels, language, source and doc_id never enter a score.
 """
 
@@ -140,6 +141,10 @@ class Matcher:
             found = [memo[w] for w in words]
         return [(i, *f) for i, f in enumerate(found) if f]
 
+    def marks(self, words: list[str]) -> list[tuple[int, str, int, bool]]:
+        """hits() with whether each is quoted."""
+        return [(at, stem, edits, quoted(words, at)) for at, stem, edits in self.hits(words)]
+
 
 def quoted(words: list[str], at: int) -> bool:
     """Whether quotation marks enclose the word within the window, or a reporting word stands before it."""
@@ -157,39 +162,44 @@ class Model:
     def __init__(self, lexicon: Lexicon, drift: float, beta: np.ndarray, shift: float):
         self.lexicon, self.drift, self.beta, self.shift = lexicon, drift, beta, shift
 
-    def features(self, words: list[str], hits: list[tuple[int, str, int]]) -> list[float]:
+    def features(self, n_words: int, marks: list[tuple[int, str, int, bool]]) -> list[float]:
         weights = self.lexicon.weights
         plain = told = dense = 0.0
-        marks = []
-        for at, stem, edits in hits:
+        weighed = []
+        for at, stem, edits, is_quoted in marks:
             w = weights[stem][edits]
-            if quoted(words, at):
+            if is_quoted:
                 told += w
                 w *= QUOTED_SHARE
             plain += w
-            marks.append((at, w))
+            weighed.append((at, w))
         start, inside = 0, 0.0
-        for at, w in marks:
+        for at, w in weighed:
             inside += w
-            while marks[start][0] < at - 2 * WINDOW:
-                inside -= marks[start][1]
+            while weighed[start][0] < at - 2 * WINDOW:
+                inside -= weighed[start][1]
                 start += 1
             dense = max(dense, inside)
-        n = max(1, len(words))
+        n = max(1, n_words)
         total = plain - self.drift * n
         return [1.0, max(-1.0, min(1.0, total / LEVELS)), min(1.0, dense / LEVELS), min(1.0, told / LEVELS), min(1.0, max(0.0, plain) * 10 / n)]
 
-    def score(self, words: list[str], hits: list[tuple[int, str, int]]) -> float:
-        z = float(np.dot(self.features(words, hits), self.beta)) + self.shift
+    def score(self, n_words: int, marks: list[tuple[int, str, int, bool]]) -> float:
+        z = float(np.dot(self.features(n_words, marks), self.beta)) + self.shift
         return 1.0 / (1.0 + exp(-max(-30.0, min(30.0, z))))
 
 
+def bare_words(text: str | None) -> list[str]:
+    """The distinct words of a text without punctuation at their edges."""
+    return sorted({w.strip(EDGES) for w in set(words_of(text))} - {""})
+
+
 def learn_stems(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, tuple[float, float]]:
-    """Stems over-represented in toxic documents with their exact weight; misspellings get theirs in learn()."""
+    """Stems over-represented in toxic documents, each given by its bare words; weights follow in weigh()."""
 
     def stems(doc: list[str]) -> set[str]:
         out = set()
-        for w in {x.strip(EDGES) for x in doc}:
+        for w in doc:
             out.update(w[:k] for k in range(STEM_MIN, min(len(w), STEM_MAX) + 1))
         return out
 
@@ -216,20 +226,18 @@ def learn_stems(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, tup
     return dict.fromkeys(chosen, (1.0, 0.5))
 
 
-def learn(rows: list[tuple[int, str | None]], prior: float) -> Model:
-    """Fits lexicon, weights and logistic model to (label, text); prior: share of toxic among all labelled rows."""
-    texts = {y: [words_of(t) for label, t in rows if label == y] for y in (0, 1)}
-    lexicon = Lexicon(learn_stems(texts[1], texts[0]))
-    if not lexicon.weights:
+Marked = tuple[int, int, list[tuple[int, str, int, bool]]]
+
+
+def weigh(lexicon: Lexicon, rows: list[Marked], prior: float) -> Model:
+    """Weights of the stems and the logistic model from (label, words, marks); prior: share of toxic among all labelled rows."""
+    if not lexicon.weights or not rows:
         return Model(Lexicon({}), 0.0, np.zeros(5), log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
-    found, matcher = {}, Matcher(lexicon)
-    counts, n = Counter(), {}
-    for y in (0, 1):
-        found[y] = [matcher.hits(w) for w in texts[y]]
-        n[y] = max(1, sum(map(len, texts[y])))
-        for hits in found[y]:
-            for (stem, edits), k in Counter((s, e) for _, s, e in hits).items():
-                counts[y, stem, edits] += min(k, 5)
+    counts = Counter()
+    n = {y: max(1, sum(w for label, w, _ in rows if label == y)) for y in (0, 1)}
+    for y, _, marks in rows:
+        for (stem, edits), k in Counter((s, e) for _, s, e, _ in marks).items():
+            counts[y, stem, edits] += min(k, 5)
     weights, drift = {}, 0.0
     for s in lexicon.weights:
         exact = log((counts[1, s, 0] + 0.5) / n[1]) - log((counts[0, s, 0] + 0.5) / n[0])
@@ -239,18 +247,25 @@ def learn(rows: list[tuple[int, str | None]], prior: float) -> Model:
         for e in (0, 1):
             if weights[s][e]:
                 drift += max(0.0, counts[1, s, e] / n[1] - counts[0, s, e] / n[0]) * 0.1
-    lexicon = Lexicon(weights)
-    model = Model(lexicon, drift, np.zeros(5), 0.0)
-    x = np.array([model.features(w, h) for y in (0, 1) for w, h in zip(texts[y], found[y], strict=True)])
-    y = np.array([label for label in (0, 1) for _ in texts[label]], dtype=float)
+    model = Model(Lexicon(weights), drift, np.zeros(5), 0.0)
+    x = np.array([model.features(w, marks) for _, w, marks in rows])
+    y = np.array([label for label, _, _ in rows], dtype=float)
     beta = np.zeros(x.shape[1])
     for _ in range(40):  # Newton steps of ridge logistic regression
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
         hessian = x.T @ (x * (p * (1 - p))[:, None]) + 0.02 * np.eye(len(beta))
         beta += np.clip(np.linalg.solve(hessian, x.T @ (y - p) - 0.02 * beta), -4, 4)
-    sampled = len(texts[1]) / max(1, len(texts[0]))
+    sampled = y.sum() / max(1, len(y) - y.sum())
     wanted = max(prior, 1e-3) / max(1 - prior, 1e-3)
-    return Model(lexicon, drift, beta, log(wanted / max(sampled, 1e-3)))
+    return Model(model.lexicon, drift, beta, log(wanted / max(sampled, 1e-3)))
+
+
+def learn(rows: list[tuple[int, str | None]], prior: float) -> Model:
+    """Both steps of fit() over (label, text) at hand."""
+    bare = {y: [bare_words(t) for label, t in rows if label == y] for y in (0, 1)}
+    lexicon = Lexicon(learn_stems(bare[1], bare[0]))
+    matcher = Matcher(lexicon)
+    return weigh(lexicon, [(y, len(words_of(t)), matcher.marks(words_of(t))) for y, t in rows], prior)
 
 
 def held_out(doc_id) -> F.Column:
@@ -266,9 +281,26 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("label = 1").orderBy(*order).limit(toxic).unionByName(known.where("label = 0").orderBy(*order).limit(clean))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    rows = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text").collect()  # at most toxic + clean documents
-    rows = sorted((r["doc_id"], r["label"], r["text"] or "") for r in rows)
-    return learn([(y, t) for _, y, t in rows], totals.get(1, 0) / max(1, sum(totals.values())))
+    sample = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most toxic + clean documents
+
+    def bare(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bare_words(t) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "words"])
+
+    found = sorted((r["doc_id"], r["label"], r["words"]) for r in sample.mapInArrow(bare, "doc_id long, label int, words array<string>").collect())
+    lexicon = Lexicon(learn_stems([w for _, y, w in found if y], [w for _, y, w in found if not y]))
+    mark = pa.struct([("at", pa.int64()), ("stem", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())])
+
+    def marked(batches):
+        matcher = Matcher(lexicon)
+        for b in batches:
+            words = [words_of(t) for t in b.column(2).to_pylist()]
+            marks = [[dict(zip(("at", "stem", "edits", "quoted"), m, strict=True)) for m in matcher.marks(w)] for w in words]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array(marks, pa.list_(mark))], ["doc_id", "label", "n", "marks"])
+
+    rows = sample.mapInArrow(marked, "doc_id long, label int, n long, marks array<struct<at:long,stem:string,edits:int,quoted:boolean>>").collect()
+    rows = sorted((r["doc_id"], r["label"], r["n"], [tuple(m) for m in r["marks"]]) for r in rows)
+    return weigh(lexicon, [(y, n, marks) for _, y, n, marks in rows], totals.get(1, 0) / max(1, sum(totals.values())))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -278,17 +310,16 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
     doc_id stays null and counts as the empty string in held_out; an empty table gives no
     rows; other columns are ignored.
     """
-    lexicon_model = model
 
     def run(batches):
-        matcher = Matcher(lexicon_model.lexicon)
+        matcher = Matcher(model.lexicon)
         for b in batches:
             s, k = [], []
             for t in b.column(1).to_pylist():
                 words = words_of(t)
-                hits = matcher.hits(words)
-                s.append(lexicon_model.score(words, hits))
-                k.append(len(hits))
+                marks = matcher.marks(words)
+                s.append(model.score(len(words), marks))
+                k.append(len(marks))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(s, pa.float64()), pa.array(k, pa.int64())], ["doc_id", "score", "n_hits"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
