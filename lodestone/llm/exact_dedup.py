@@ -141,6 +141,36 @@ def flush_runs(docs: DataFrame, digest=_digest) -> DataFrame:
     return materialise(rows.mapInArrow(run, RUN_SCHEMA), "runs")
 
 
+def probe(runs: DataFrame, texts: list[str | None], digest=_digest) -> DataFrame:
+    """Entries of the index that equal one of the texts: the point lookup for a batch of new documents.
+
+    The batch is a parameter of bounded size. Each run's filter stands in its first row, and
+    a run whose filter rules out the whole batch is passed over; in the others a hit is
+    verified by its bytes. Returns run, digest, doc_id, n_chars.
+    """
+    bodies = {}
+    for t in texts:
+        body = normalise(t.encode() if t is not None else None)
+        bodies.setdefault(digest(body), set()).add(body)
+    asked = runs.sparkSession.sparkContext.broadcast(bodies)
+
+    def run(batches):
+        current, wanted = None, {}
+        for b in batches:
+            out = []
+            for run_id, d, doc_id, n, body, bloom in zip(*(b.column(i).to_pylist() for i in range(6)), strict=True):
+                if run_id != current:  # a split that begins inside a run has no filter and reads on
+                    current = run_id
+                    wanted = asked.value if bloom is None else {k: v for k, v in asked.value.items() if may_contain(bloom, k)}
+                if d in wanted and body in wanted[d]:
+                    out.append((run_id, d, doc_id, n))
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.string(), pa.binary(), pa.int64(), pa.int64()), strict=True)], ["run", "digest", "doc_id", "n_chars"])
+
+    entries = runs.where("entry").select("run", "digest", "doc_id", "n_chars", "body", "filter")
+    return entries.mapInArrow(run, "run string, digest binary, doc_id long, n_chars long")
+
+
 def hit_filter(hits: DataFrame) -> bytes:
     """A filter of fixed size over the digests of hits: each task makes its own, they are OR-ed in slices."""
     width = FILTER_BITS // 64

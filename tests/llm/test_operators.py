@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("lodestone.llm")
 
-from lodestone.llm import chat, exact_dedup, mixing, packing, quality, sharding, simhash, token_count, toxicity, warc  # noqa: E402
+from lodestone.llm import chat, exact_dedup, hamming, mixing, packing, quality, sharding, simhash, token_count, toxicity, warc  # noqa: E402
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, run string, key string, digest string"
@@ -143,7 +143,7 @@ def test_simhash_fingerprints(monkeypatch):
 
 @pytest.mark.parametrize("limit", [64, 2])
 def test_simhash_components(spark, monkeypatch, limit):
-    monkeypatch.setattr(simhash, "PAIR_LIMIT", limit)
+    monkeypatch.setattr(hamming, "SMALL", limit)
     rnd = random.Random(limit)
     base = [rnd.getrandbits(64) for _ in range(4)] + [0]
     prints = {}
@@ -164,7 +164,7 @@ def test_simhash_query_columns_and_edges(spark):
     got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_classes(docs).collect()}
     prints = {i: brute_fingerprint(t) for i, t in enumerate(ODD)}
     assert got == {i: (prints[i], c) for i, c in brute_components(prints).items()}
-    kept = simhash.keep_one(docs)
+    kept = simhash.keep_one(docs, 3, 2)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, c in brute_components(prints).items() if i == c}
     assert simhash.near_classes(docs.where("false")).count() == 0
 
@@ -365,7 +365,7 @@ def test_toxicity_context():
 
     def score(t):
         w = toxicity.words_of(t)
-        return model.score(w, m.hits(w))
+        return model.score(len(w), m.marks(w))
 
     assert score("you are an idiot idiot") > score("you are an idioot idioot") > score("you are fine")
     assert score('he said "idiot idiot" to me') < score("he is an idiot idiot to me")
@@ -448,3 +448,54 @@ def test_run_filter():
     bloom = exact_dedup.run_filter(digests[:100])
     assert all(exact_dedup.may_contain(bloom, d) for d in digests[:100])
     assert sum(exact_dedup.may_contain(bloom, d) for d in digests[100:]) < 20
+
+
+# ---- Hamming links ----
+def test_plan_keeps_close_pairs_together():
+    for bits in (0, 2, 6, 9):
+        for n in (10, 10**6, 10**9):
+            blocks, shared = hamming.plan(n, bits)
+            assert blocks - shared == bits
+        masks = [m % (1 << 64) for m in hamming.masks(*hamming.plan(10**6, bits))]
+        rnd = random.Random(bits)
+        for _ in range(200):
+            flips = sum(1 << b for b in rnd.sample(range(64), bits))
+            assert any(not m & flips for m in masks)
+
+
+@pytest.mark.parametrize("bits, tile, small", [(2, 2048, 48), (6, 16, 4), (9, 2048, 4)])
+def test_links_within(spark, monkeypatch, bits, tile, small):
+    monkeypatch.setattr(hamming, "TILE", tile)
+    monkeypatch.setattr(hamming, "SMALL", small)
+    rnd = random.Random(bits)
+    base = [rnd.getrandbits(64) for _ in range(4)] + [0]
+    found = set()
+    for _ in range(220):
+        x = rnd.choice(base)
+        for _ in range(rnd.randint(0, 12)):
+            x ^= 1 << rnd.randrange(64)
+        found.add(x - (1 << 64) if x >> 63 else x)
+    got = [tuple(r) for r in hamming.links_within(spark.createDataFrame([(x,) for x in found], "fp long"), bits).collect()]
+    assert all(a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= bits for a, b in got)
+    parent = {x: x for x in found}
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in got:
+        u, v = sorted((find(a), find(b)))
+        parent[v] = u
+    for a in found:
+        for b in found:
+            if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= bits:
+                assert find(a) == find(b)
+
+
+def test_probe_skips_runs_and_verifies(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 4)
+    df = spark.createDataFrame([(i, f"text {i}") for i in range(30)], "doc_id long, text string").repartition(2)
+    runs = exact_dedup.flush_runs(df)
+    got = exact_dedup.probe(runs, ["te xt7", "text 29", "absent", None]).collect()
+    assert sorted(r["doc_id"] for r in got) == [7, 29]
