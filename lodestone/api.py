@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .functions import classify as K
 from .functions import embedding as E
 from .functions import paths as P
 from .functions import text as X
@@ -126,11 +127,25 @@ class Repository:
         """Statistics of similar commits (commit, message, ts, files, lines); no row without similar ones."""
         stop = set(X.HISTORY_STOP_WORDS)
         words = [w for w in description.lower().split() if len(w) > 3 and w not in stop][:4]
-        from .functions import classify as K
-
         kind = self.spark.range(1).select(K.task_type(F.lit(description))).first()[0]
         return T.statistics(T.remove_outliers(T.type_filter(T.similar(commits, words, most), kind)))
 
+    def intelligence(self, description: str, commits: DataFrame | None = None) -> DataFrame:
+        """One row: complexity band, pattern and the overall recommendation, from similar commits and similar code."""
+        hits = S.top_k(self.table("chunks"), [(0, E.embed_text(description))], S.PATTERN_LIMIT)
+        near = self.table("chunks").select("vec_id", "file_path", "document").join(F.broadcast(hits), "vec_id")
+        pattern = S.dominant_pattern(near, description).select("pattern_type", F.col("count").alias("occurrences"), "locations", F.col("recommendation").alias("pattern_recommendation"))
+        names = ["median_files", "median_lines", "min_files", "min_lines", "max_files", "max_lines"]
+        one = self.spark.range(1).select(F.lit(1).alias("__one"))
+        if commits is None:
+            past = one.select(*(F.lit(None).cast("double").alias(n) for n in names))
+        else:
+            past = one.join(self.history(commits, description).select(*names), F.lit(True), "left").select(*names)
+        both = past.crossJoin(pattern).withColumn("complexity_estimate", K.complexity(F.col("median_files"), F.col("median_lines")))  # one row each
+        c = F.col
+        text = K.overall_recommendation(c("median_files"), c("median_lines"), (c("min_files"), c("min_lines")), (c("max_files"), c("max_lines")), c("pattern_type"), c("occurrences"), c("complexity_estimate"))
+        return both.withColumn("recommendation", text)
+
     # -- structure --
     def graph(self) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges from compose, pyproject and proto files."""

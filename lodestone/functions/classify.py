@@ -98,3 +98,20 @@ def pattern_recommendation(kind: Column, count: Column, first: Column) -> Column
         .when(count == 1, "Single occurrence found. Inline solution likely sufficient.")
         .otherwise("No established pattern. Start with inline solution, refactor if needed.")
     )
+
+
+def overall_recommendation(files: Column, lines: Column, least: tuple[Column, Column], most: tuple[Column, Column], kind: Column, occurrences: Column, band: Column) -> Column:
+    """History, pattern and complexity sentences joined by "; "; parts without data are left out, null without any."""
+    long = lambda c: c.cast("long").cast("string")
+    history = F.concat(
+        F.lit("Historical: Median "), F.round(files, 1).cast("double").cast("string"), F.lit(" files, "), F.round(lines, 0).cast("double").cast("string"), F.lit(" lines (range: "),
+        long(least[0]), F.lit("-"), long(most[0]), F.lit(" files, "), long(least[1]), F.lit("-"), long(most[1]), F.lit(" lines)"),
+    )
+    n = occurrences.cast("string")
+    pattern = (
+        F.when((kind == "library") & (occurrences >= 3), F.concat(F.lit("Pattern: "), n, F.lit(" library implementations exist - consider using existing code")))
+        .when((kind == "none") | (occurrences == 0), "Pattern: No similar code found - start with inline solution")
+        .when(kind.isNotNull(), F.concat(F.lit("Pattern: "), n, F.lit(" "), kind, F.lit(" implementations exist")))
+    )
+    advice = F.when(band == "LOW", "inline solution recommended").when(band == "MEDIUM", "consider modular approach").when(band == "HIGH", "plan carefully, test thoroughly")
+    return F.nullif(F.concat_ws("; ", history, pattern, F.concat(F.lit("Complexity: "), band, F.lit(" - "), advice)), F.lit(""))

@@ -104,16 +104,20 @@ def truncate(text: Column, most: int, suffix: str = "") -> Column:
     return F.when(F.length(text) > most, F.concat(F.substring(text, 1, most), F.lit(suffix))).otherwise(text)
 
 
-def document_text(path: Column, content: Column, language_: Column, service: Column, symbol: Column, symbol_type: Column, parent: Column) -> Column:
-    """The text of a chunk as it is embedded: header lines, a blank line, the content."""
+def document_text(path: Column, content: Column, language_: Column, service: Column, symbol: Column, symbol_type: Column, parent: Column, definitions: bool = False) -> Column:
+    """The text of a chunk as it is embedded: header lines, a blank line, the content.
+
+    definitions=True is the variant of definition chunks: the label has a capital and there is no language line.
+    """
     label = F.coalesce(F.nullif(symbol_type, F.lit("")), F.lit("symbol"))
+    label = F.concat(F.upper(F.substring(label, 1, 1)), F.lower(F.substring(label, 2, 1000))) if definitions else label
     full = F.when(F.coalesce(parent, F.lit("")) != "", F.concat(parent, F.lit("."), symbol)).otherwise(symbol)
     return F.concat_ws(
         "\n",
         F.when(F.coalesce(service, F.lit("")) != "", F.concat(F.lit("Service: "), service)),
         F.concat(F.lit("File: "), path),
         F.when(F.coalesce(symbol, F.lit("")) != "", F.concat(label, F.lit(": "), full)),
-        F.concat(F.lit("Language: "), language_),
+        *([] if definitions else [F.concat(F.lit("Language: "), language_)]),
         F.lit(""),
         content,
     )

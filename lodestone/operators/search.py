@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import classify as K
+from ..functions import paths as P
 from ..functions import text as X
 
 #: Default numbers of hits.
@@ -97,3 +99,21 @@ def search_hits(hits: DataFrame, chunks: DataFrame, key: str = "vec_id") -> Data
     extra = [c for c in ("file_path", "symbol_name", "symbol_type", "service", "language", "line_start", "line_end") if c in chunks.columns]
     tail = [X.snippet(F.col("document"), 5).alias("snippet")] if "document" in chunks.columns else []
     return joined.select("query_id", "rank", key, *extra, F.round("score", 4).alias("score"), *tail)
+
+
+def dominant_pattern(hits: DataFrame, description: str, most: int = 5) -> DataFrame:
+    """One row: pattern_type, count, locations (first seen first), recommendation of the hits whose document holds a keyword.
+
+    hits: rank, file_path, document; at most PATTERN_LIMIT rows. The type with most hits
+    wins, ties go to the type seen first; without any hit the type is none.
+    """
+    stop = set(X.PATTERN_STOP_WORDS)
+    words = [w for w in description.lower().split() if len(w) > 3 and w not in stop][:3]
+    fitting = hits.where(X.contains_any(F.col("document"), F.array(*(F.lit(w) for w in words)))) if words else hits.where("false")
+    typed = fitting.withColumn("pattern_type", P.location_class(F.col("file_path")))
+    by = typed.groupBy("pattern_type").agg(F.count("*").alias("count"), F.min("rank").alias("__first"), F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("rank", "file_path"))), lambda x: x["file_path"])).alias("locations"))
+    best = by.orderBy(F.desc("count"), "__first").limit(1).drop("__first")
+    one = hits.sparkSession.range(1).select(F.lit("none").alias("__none"))
+    found = one.join(best, F.lit(True), "left")  # one row
+    text = F.when(F.col("pattern_type").isNull(), "No similar patterns found. Start with inline solution.").otherwise(K.pattern_recommendation(F.col("pattern_type"), F.col("count"), F.try_element_at("locations", F.lit(1))))
+    return found.select(F.coalesce("pattern_type", "__none").alias("pattern_type"), F.coalesce("count", F.lit(0)).alias("count"), F.slice(F.coalesce("locations", F.array().cast("array<string>")), 1, most).alias("locations"), text.alias("recommendation"))

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from lodestone.api import Repository
 from lodestone.plans.ingest import TREE
 from lodestone.sources import sinks
@@ -40,3 +42,7 @@ def test_repository(spark, tmp_path):
     assert status["total_files"] == len(TREE) - 1 and status["last_run"]["id"] == 4
     changed = spark.createDataFrame([("libs/web/index.ts",), ("compose.yml",)], "file_path string")
     assert {tuple(r) for r in repo.refresh(changed).collect()} == {("libs/web/index.ts", "delete"), ("compose.yml", "reindex")}
+    commits = spark.createDataFrame([(i, "fix renamed function", i + 1, 10 * i) for i in range(5)], "commit int, message string, files int, lines int").withColumn("ts", F.current_timestamp())
+    row = repo.intelligence("fix the renamed function", commits).first()
+    assert row["complexity_estimate"] == "LOW" and row["recommendation"].startswith("Historical: Median 3.0 files, 20.0 lines (range: 1-5 files, 0-40 lines); Pattern: ") and row["recommendation"].endswith("Complexity: LOW - inline solution recommended")
+    assert repo.intelligence("zzz qqqq").first()["complexity_estimate"] == "UNKNOWN"

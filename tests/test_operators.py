@@ -150,3 +150,46 @@ def test_streaming_upsert(spark, tmp_path):
     refresh.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
     last = spark.read.parquet(f"{tmp_path}/out/v=1")
     assert {r["file_path"]: r["content_hash"] for r in last.collect()} == {"a": "2", "b": "1"}
+
+
+def test_sqlite_sessions(spark, tmp_path):
+    import sqlite3
+
+    from lodestone.sources import sqlite as Q
+
+    con = sqlite3.connect(tmp_path / "s.db")
+    con.execute("CREATE TABLE session (id TEXT, title TEXT, directory TEXT, time_created INT, time_updated INT, time_compacting INT)")
+    con.execute("CREATE TABLE message (id TEXT, session_id TEXT, data TEXT)")
+    con.execute("INSERT INTO session VALUES ('ses_a', 't', 'd', 0, 90000, NULL)")
+    con.executemany("INSERT INTO message VALUES (?, 'ses_a', ?)", [(str(i), "x" * 8) for i in range(3)])
+    con.commit()
+    con.close()
+    s, m, p = Q.sessions(spark, str(tmp_path / "s.db"))
+    assert tuple(N.timing(s).select("id", "duration_min", "compacted").first()) == ("ses_a", 1.5, False)
+    row = N.activity(s, m, p).first()
+    assert (row["messages"], row["parts"], row["message_tokens"], row["part_tokens"]) == (3, 0, 6, None)
+
+
+def test_layouts_and_patterns(spark):
+    from lodestone.operators import evaluation as E
+
+    rows = [("a", (0.5,), None), ("a", None, ((1.0,),)), ("b", None, None)]
+    df = spark.createDataFrame(rows, "scenario string, retrieval_metrics struct<mrr:double>, metrics struct<retrieval:struct<mrr:double>>")
+    assert {r["scenario"]: r["mrr"] for r in E.layout_means(df, ["scenario"], ["mrr"]).collect()} == {"a": 0.75, "b": None}
+    hits = spark.createDataFrame([(1, "lib/a.py", "retry logic"), (2, "x/b.py", "retry"), (3, "lib/c.py", "Retry"), (4, "lib/a.py", "retry"), (5, "y.py", "other")], "rank int, file_path string, document string")
+    r = S.dominant_pattern(hits, "add retry handling").first()
+    assert (r["pattern_type"], r["count"], r["locations"]) == ("library", 3, ["lib/a.py", "lib/c.py"]) and r["recommendation"].endswith("lib/a.py")
+    assert S.dominant_pattern(hits, "nothing here").first()["pattern_type"] == "none"
+
+
+def test_config(tmp_path):
+    from lodestone import config as C
+
+    (tmp_path / "t/.git").mkdir(parents=True)
+    (tmp_path / "t/.git/HEAD").write_text("ref: refs/heads/main\n")
+    (tmp_path / "t/.git/config").write_text('[remote "origin"]\n\turl = https://x/y.git\n')
+    made = C.init(str(tmp_path / "t"), "my repo", tmp_path)
+    assert (made.branch, made.remote_url) == ("main", "https://x/y.git") and C.listed(tmp_path) == [made]
+    assert C.resolve("my-repo", tmp_path) == C.resolve(made.path, tmp_path) == C.resolve(None, tmp_path, made.path) == made
+    assert C.resolve("other", tmp_path) is None and C.resolve(None, tmp_path / "none") is None
+    assert C.slug("") == "unnamed"
