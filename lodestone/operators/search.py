@@ -31,21 +31,34 @@ def cosine(vectors: DataFrame, queries: list[tuple[int, list[float]]], keep: int
     def run(batches):
         for b in batches:
             keys = b.column(0).to_numpy(zero_copy_only=False)
-            rows = b.column(1).to_pylist()
-            m = np.array([r if r is not None and len(r) == matrix.shape[1] else [0.0] * matrix.shape[1] for r in rows], dtype=np.float64).reshape(-1, matrix.shape[1])
+            m = _matrix(b.column(1), matrix.shape[1])
             length = np.outer(norms, np.linalg.norm(m, axis=1))
             scores = np.divide(matrix @ m.T, length, out=np.zeros((len(ids), len(m))), where=length > 0)
             out_q, out_k, out_s = [], [], []
             for i, q in enumerate(ids):
-                order = [j for j in np.lexsort((keys, -scores[i])) if keys[j] != q][:keep] if len(keys) else []
+                allowed = np.flatnonzero(keys != q)
+                own = scores[i][allowed]
+                if len(own) > keep:  # all that reach the keep-th best score, so that ties are settled by key
+                    fitting = own >= np.partition(own, len(own) - keep)[len(own) - keep]
+                    allowed, own = allowed[fitting], own[fitting]
+                order = np.lexsort((keys[allowed], -own))[:keep]
                 out_q += [q] * len(order)
-                out_k += [keys[j] for j in order]
-                out_s += [scores[i][j] for j in order]
+                out_k += keys[allowed][order].tolist()
+                out_s += own[order].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_k, pa.int64()), pa.array(out_s, pa.float64())], ["query_id", key, "score"])
 
     return vectors.select(F.col(key).cast("long"), vector).mapInArrow(run, f"query_id long, {key} long, score double")
 
 
+def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
+    """Rows of doubles; null vectors and those of another length are zero."""
+    if not vectors.null_count:
+        flat = vectors.flatten()
+        if len(flat) == len(vectors) * size and not flat.null_count and (np.diff(vectors.offsets.to_numpy()) == size).all():
+            return flat.to_numpy().astype(np.float64).reshape(-1, size)
+    return np.array([r if r is not None and len(r) == size and None not in r else [0.0] * size for r in vectors.to_pylist()], dtype=np.float64).reshape(-1, size)
+
+
 def top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = SEARCH_LIMIT, where: Column | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, vec_id, rank, score (unrounded) of the k nearest; `where` holds before the cut."""
     rows = vectors.where(where) if where is not None else vectors
