@@ -20,20 +20,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 TILE = 2048
-#: Wanted mean size of a bucket; the number of blocks grows until it is met.
-BUCKET = 1024
 #: Groups up to this size are compared together along diagonals.
 SMALL = 48
 
 
-def plan(n: int, max_bits: int) -> tuple[int, int]:
-    """(blocks, shared) for n fingerprints: the fewest shared blocks that keep the mean bucket at BUCKET."""
-    shared = 1
-    while shared < 8 and max_bits + shared < 32 and n / 2 ** (64 * shared / (max_bits + shared)) > BUCKET:
-        shared += 1
-    return max_bits + shared, shared
-
-
 def masks(blocks: int, shared: int) -> list[int]:
     """Bit masks of the keys as signed 64-bit integers."""
     cuts = [64 * i // blocks for i in range(blocks + 1)]
@@ -102,10 +92,15 @@ def large_links(fp: np.ndarray, tile: np.ndarray, max_bits: int) -> tuple[np.nda
     return a[chosen], b[chosen]
 
 
-def links_within(prints: DataFrame, max_bits: int) -> DataFrame:
-    """Distinct pairs (a < b) of fingerprints (column fp) that connect all those within max_bits of each other."""
+def links_within(prints: DataFrame, max_bits: int, shared: int) -> DataFrame:
+    """Distinct pairs (a < b) of fingerprints (column fp) that connect all those within max_bits of each other.
+
+    shared blocks of max_bits + shared make a key. More of them mean more keys a
+    fingerprint, but smaller buckets: with 64 * shared / (max_bits + shared) bits a key, n
+    fingerprints meet in buckets of about n / 2**bits. The links are the same for any value.
+    """
     nodes = prints.select("fp").distinct()
-    blocks, shared = plan(nodes.count(), max_bits)
+    blocks = max_bits + shared
     keys = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks, shared)))).alias("k", "block"))
     sizes = keys.groupBy("k", "block").agg(F.count("*").alias("n"))
     crowded = sizes.where(F.col("n") > TILE).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).drop("n")

@@ -22,9 +22,11 @@ from .hamming import links_within
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
-MAX_BITS = 2
+#: Differing bits of linked fingerprints, and how many blocks make a key: three of five, 38 bits.
+MAX_BITS, SHARED = 2, 3
 #: Parameters of near copies in a pipeline: five words, and the bits that texts with a similarity of 0.8 differ in (64 * acos(0.89) / pi = 9.7).
-PIPELINE_WORDS, PIPELINE_BITS = 5, 9
+#: Two of eleven blocks make a key: 55 keys of 11 bits; a corpus of billions takes three or four.
+PIPELINE_WORDS, PIPELINE_BITS, PIPELINE_SHARED = 5, 9, 2
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 STEP = 1 << 16
 
@@ -77,7 +79,7 @@ def components(edges: DataFrame) -> DataFrame:
         path, current = following, step
 
 
-def near_classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS) -> DataFrame:
+def near_classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, shared: int = SHARED) -> DataFrame:
     """One row per document: doc_id, fp, component_id, the smallest doc_id reachable over links.
 
     Null and blank texts have fingerprint 0 and link like any other; repeated rows stay;
@@ -85,7 +87,7 @@ def near_classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS) -> D
     gives no rows; other columns of docs are ignored.
     """
     prints = materialise(fingerprints(docs, words), "prints")
-    stars = components(links_within(prints, max_bits))
+    stars = components(links_within(prints, max_bits, shared))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     rooted = first.join(stars, first.fp == stars.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
@@ -93,13 +95,13 @@ def near_classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS) -> D
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, words: int = PIPELINE_WORDS, max_bits: int = PIPELINE_BITS) -> DataFrame:
+def keep_one(docs: DataFrame, words: int = PIPELINE_WORDS, max_bits: int = PIPELINE_BITS, shared: int = PIPELINE_SHARED) -> DataFrame:
     """The documents of docs that are the smallest doc_id of their class, all columns kept.
 
     doc_id names a document: rows that share one stay or go together, so exact copies are
     to be removed before.
     """
-    kept = near_classes(docs, words, max_bits).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    kept = near_classes(docs, words, max_bits, shared).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
     return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 

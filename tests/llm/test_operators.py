@@ -164,7 +164,7 @@ def test_simhash_query_columns_and_edges(spark):
     got = {r["doc_id"]: (r["fp"] % (1 << 64), r["component_id"]) for r in simhash.near_classes(docs).collect()}
     prints = {i: brute_fingerprint(t) for i, t in enumerate(ODD)}
     assert got == {i: (prints[i], c) for i, c in brute_components(prints).items()}
-    kept = simhash.keep_one(docs, 3, 2)
+    kept = simhash.keep_one(docs, 3, 2, 3)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {i for i, c in brute_components(prints).items() if i == c}
     assert simhash.near_classes(docs.where("false")).count() == 0
 
@@ -451,20 +451,17 @@ def test_run_filter():
 
 
 # ---- Hamming links ----
-def test_plan_keeps_close_pairs_together():
-    for bits in (0, 2, 6, 9):
-        for n in (10, 10**6, 10**9):
-            blocks, shared = hamming.plan(n, bits)
-            assert blocks - shared == bits
-        masks = [m % (1 << 64) for m in hamming.masks(*hamming.plan(10**6, bits))]
+def test_close_pairs_share_a_key():
+    for bits, shared in ((0, 1), (2, 3), (6, 2), (9, 2), (9, 3)):
+        masks = [m % (1 << 64) for m in hamming.masks(bits + shared, shared)]
         rnd = random.Random(bits)
         for _ in range(200):
             flips = sum(1 << b for b in rnd.sample(range(64), bits))
             assert any(not m & flips for m in masks)
 
 
-@pytest.mark.parametrize("bits, tile, small", [(2, 2048, 48), (6, 16, 4), (9, 2048, 4)])
-def test_links_within(spark, monkeypatch, bits, tile, small):
+@pytest.mark.parametrize("bits, shared, tile, small", [(2, 3, 2048, 48), (6, 1, 16, 4), (9, 2, 2048, 4)])
+def test_links_within(spark, monkeypatch, bits, shared, tile, small):
     monkeypatch.setattr(hamming, "TILE", tile)
     monkeypatch.setattr(hamming, "SMALL", small)
     rnd = random.Random(bits)
@@ -475,7 +472,7 @@ def test_links_within(spark, monkeypatch, bits, tile, small):
         for _ in range(rnd.randint(0, 12)):
             x ^= 1 << rnd.randrange(64)
         found.add(x - (1 << 64) if x >> 63 else x)
-    got = [tuple(r) for r in hamming.links_within(spark.createDataFrame([(x,) for x in found], "fp long"), bits).collect()]
+    got = [tuple(r) for r in hamming.links_within(spark.createDataFrame([(x,) for x in found], "fp long"), bits, shared).collect()]
     assert all(a < b and ((a ^ b) & ((1 << 64) - 1)).bit_count() <= bits for a, b in got)
     parent = {x: x for x in found}
 
