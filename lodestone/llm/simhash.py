@@ -89,8 +89,9 @@ def near_classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, shar
     prints = materialise(fingerprints(docs, words), "prints")
     stars = components(links_within(prints, max_bits, shared))
     first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    rooted = first.join(stars, first.fp == stars.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
+    # Written tables on both sides of each join: a root or a fingerprint that many rows share is a skewed key the adaptive plan splits.
+    rooted = materialise(first.join(stars, first.fp == stars.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    roots = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
     classes = materialise(rooted.join(roots, "root").select("fp", "component_id"), "classes")
     return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
 
