@@ -41,7 +41,7 @@ LENGTH = 2048
 END_ID = 1
 WIDTH = 8
 #: Pieces of a class that are ranked together.
-BUCKET_ROWS = 1000
+BUCKET_ROWS = 300
 #: Most simplex steps; the basis is feasible after each, so stopping early only costs padding.
 ROUNDS = 3000
 #: Words of printable ASCII and Latin-1 letters, and, after lower-casing, their pre-tokens (the file's pattern on these characters).
