@@ -29,8 +29,22 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
 
 
+#: Folders this driver has made in the shared store.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    _made.append(path)
+    return path
+
+
+def release(spark: SparkSession) -> int:
+    """Deletes the intermediate tables made so far, once the results that read them are written; returns how many."""
+    n = len(_made)
+    while _made:
+        drop_path(spark, _made.pop())
+    return n
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

@@ -496,3 +496,14 @@ def test_probe_skips_runs_and_verifies(spark, monkeypatch):
     runs = exact_dedup.flush_runs(df)
     got = exact_dedup.probe(runs, ["te xt7", "text 29", "absent", None]).collect()
     assert sorted(r["doc_id"] for r in got) == [7, 29]
+
+
+def test_release_deletes_intermediate_tables(spark):
+    from pathlib import Path
+
+    from lodestone.llm import common
+
+    table = common.materialise(spark.range(3).toDF("id"), "kept")
+    folder = Path(next(p for p in common._made if "/kept-" in p).removeprefix("file://"))
+    assert table.count() == 3 and folder.exists()
+    assert common.release(spark) >= 1 and not folder.exists() and not common._made
