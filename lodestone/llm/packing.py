@@ -164,17 +164,23 @@ def cut(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def knapsack(values: np.ndarray, weights: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
+def rests(weights: np.ndarray, capacity: int) -> list[np.ndarray]:
+    """For each capacity what is left of it after each item that fits; weights ascend."""
+    return [c - weights[: int(np.searchsorted(weights, c, side="right"))] for c in range(capacity + 1)]
+
+
+def knapsack(values: np.ndarray, weights: np.ndarray, capacity: int, left: list[np.ndarray] | None = None) -> tuple[float, np.ndarray]:
     """The best multiset of items within the capacity: its value and how often each item occurs."""
-    best, pick = np.zeros(capacity + 1), np.full(capacity + 1, -1)
+    left = left or rests(weights, capacity)
+    best, pick = np.zeros(capacity + 1), [-1] * (capacity + 1)
     for c in range(1, capacity + 1):
-        best[c] = best[c - 1]
-        k = int(np.searchsorted(weights, c, side="right"))
-        if k:
-            gains = best[c - weights[:k]] + values[:k]
-            i = int(gains.argmax())
-            if gains[i] > best[c] + 1e-12:
-                best[c], pick[c] = gains[i], i
+        top = best[c - 1]
+        if len(left[c]):
+            gains = best[left[c]] + values[: len(left[c])]
+            i = gains.argmax()
+            if gains[i] > top + 1e-12:
+                top, pick[c] = gains[i], int(i)
+        best[c] = top
     counts, c = np.zeros(len(values), dtype=int), capacity
     while c > 0:
         if pick[c] < 0:
@@ -197,10 +203,10 @@ def column_generation(demand: dict[int, int], capacity: int, rounds: int = ROUND
     need = np.array([demand[int(c)] for c in sizes], dtype=float)
     columns = np.diag((capacity // sizes).astype(float))
     inverse = np.diag(1.0 / np.diag(columns))
-    used = inverse @ need
+    used, left = inverse @ need, rests(sizes, capacity)
     for _ in range(rounds):
         duals = inverse.sum(axis=0)
-        value, counts = knapsack(duals, sizes, capacity)
+        value, counts = knapsack(duals, sizes, capacity, left)
         if value <= 1 + 1e-7:
             break
         column = counts.astype(float)
