@@ -24,9 +24,6 @@ LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 SEED = 42
 #: Differing bits of linked fingerprints, and how many blocks make a key: three of five, 38 bits.
 MAX_BITS, SHARED = 2, 3
-#: Parameters of near copies in a pipeline: five words, and the bits that texts with a similarity of 0.8 differ in (64 * acos(0.89) / pi = 9.7).
-#: Two of eleven blocks make a key: 55 keys of 11 bits; a corpus of billions takes three or four.
-PIPELINE_WORDS, PIPELINE_BITS, PIPELINE_SHARED = 5, 9, 2
 #: Shingles hashed at a time, so that a very long text needs bounded memory.
 STEP = 1 << 16
 
@@ -87,23 +84,32 @@ def near_classes(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, shar
     gives no rows; other columns of docs are ignored.
     """
     prints = materialise(fingerprints(docs, words), "prints")
-    stars = components(links_within(prints, max_bits, shared))
-    first = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
+    return classes_of(prints, components(links_within(prints, max_bits, shared)), "fp")
+
+
+def classes_of(prints: DataFrame, stars: DataFrame, node: str) -> DataFrame:
+    """doc_id, node, component_id per row of prints (doc_id, node), the smallest doc_id of the star."""
+    first = prints.groupBy(F.col(node).alias("at")).agg(F.min("doc_id").alias("first"))
     # Written tables on both sides of each join: a root or a fingerprint that many rows share is a skewed key the adaptive plan splits.
-    rooted = materialise(first.join(stars, first.fp == stars.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")), "rooted")
+    rooted = materialise(first.join(stars, first["at"] == stars["node"], "left").select("at", "first", F.coalesce("root", "at").alias("root")), "rooted")
     roots = materialise(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
-    classes = materialise(rooted.join(roots, "root").select("fp", "component_id"), "classes")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    classes = materialise(rooted.join(roots, "root").select(F.col("at").alias(node), "component_id"), "classes")
+    return prints.join(classes, node).select("doc_id", node, "component_id")
+
+
+def kept_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is the smallest of its class."""
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
+    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
 
 
-def keep_one(docs: DataFrame, words: int = PIPELINE_WORDS, max_bits: int = PIPELINE_BITS, shared: int = PIPELINE_SHARED) -> DataFrame:
-    """The documents of docs that are the smallest doc_id of their class, all columns kept.
+def keep_one(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, shared: int = SHARED) -> DataFrame:
+    """The documents of docs that are the smallest doc_id of their fingerprint class, all columns kept.
 
-    doc_id names a document: rows that share one stay or go together, so exact copies are
-    to be removed before.
+    Links are fingerprints only; near_copies.keep_one verifies similarity. doc_id names a
+    document: rows that share one stay or go together, so exact copies are to be removed before.
     """
-    kept = near_classes(docs, words, max_bits, shared).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    return kept_of(docs, near_classes(docs, words, max_bits, shared))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
