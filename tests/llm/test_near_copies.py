@@ -10,6 +10,63 @@ pytest.importorskip("lodestone.llm")
 from lodestone.llm import near_copies, simhash  # noqa: E402
 
 
+def edited(words, at):
+    return [f"{w}x{i}" if i in at else w for i, w in enumerate(words)]
+
+
+def family_texts():
+    """120 words each: copies with one, two and three words changed (similarity 0.92, 0.84, 0.77), a chain, a large family, odd texts."""
+    r = random.Random(3)
+    out = ["", "  ", "one", "ONE", "one two", "a b c d e", "A  b c D e"]
+    for i in range(30):
+        base = [f"w{r.randrange(400)}" for _ in range(120)]
+        out.append(" ".join(base))
+        out += [" ".join(edited(base, set(range(10 + k, 110, 100 // k)[:k]))) for k in (1 + i % 3, 2, 3)]
+    base = [f"c{i}" for i in range(120)]
+    for i in range(6):  # each 0.84 or more to the next, far from the first
+        out.append(" ".join(base := edited(base, {15 * i + 10, 15 * i + 17})))
+    hub = [f"h{i}" for i in range(120)]
+    out += [" ".join(edited(hub, {5 + 2 * i % 100, 60 + i})) for i in range(40)] + [" ".join(hub)]
+    r.shuffle(out)
+    return out
+
+
+def brute(texts):
+    def grams(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+
+    sets, root = [grams(t) for t in texts], list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    return dict(enumerate(root))
+
+
+def frame(spark, texts):
+    return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
+
+
+@pytest.mark.parametrize("tile", [2048, 8])
+def test_classes_are_exact(spark, monkeypatch, tile):
+    """No pair at 0.8 is missed and no document goes for a link below it."""
+    monkeypatch.setattr(near_copies, "TILE", tile)
+    texts = family_texts()
+    got = {r["doc_id"]: r["component_id"] for r in near_copies.near_classes(frame(spark, texts)).collect()}
+    assert got == brute(texts)
+
+
+def test_stage_keeps_one_of_each_class(spark, sf):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    texts = family_texts()
+    docs, classes = frame(spark, texts), brute(texts)
+    kept = pipeline.near(spark, docs, sf)
+    assert kept.columns == docs.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == [i for i, c in classes.items() if i == c]
+
+
 def test_candidates_hold_pairs_beyond_the_fingerprint_radius():
     """Pairs just above 0.8: many fingerprints are more than 9 bits apart, all are candidates."""
     r = random.Random(5)
@@ -23,3 +80,10 @@ def test_candidates_hold_pairs_beyond_the_fingerprint_radius():
         assert set(near_copies.band_keys(one)) & set(near_copies.band_keys(two))
         assert (one.astype(np.uint8) == two.astype(np.uint8)).sum() >= near_copies.LEAST
     assert far > 5
+
+
+def test_no_rows_and_nulls(spark):
+    docs = frame(spark, ["a b c d e f", "q r s t u v"])
+    assert near_copies.keep_one(docs.where("false")).count() == 0
+    nulls = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e f"), (3, "a b c d e f"), (None, "x")], "doc_id long, text string")
+    assert sorted(((r["doc_id"], r["text"]) for r in near_copies.keep_one(nulls).collect()), key=str) == sorted([(1, None), (None, "a b c d e f"), (3, "a b c d e f"), (None, "x")], key=str)
