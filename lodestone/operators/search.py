@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,6 +68,39 @@ def top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = S
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def top_k_blocks(vectors: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT, vector: str = "embedding", key: str = "vec_id", block: int = 2048) -> DataFrame:
+    """top_k for any number of queries, rows of a table: each block of queries meets each block of vectors in its own group, nothing goes to the driver."""
+    n, m = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    own = lambda size: F.pmod(F.xxhash64(key), F.lit(size)).cast("int")
+    cols = [F.col(key).cast("long").alias(key), F.col(vector).alias(vector)]
+    asking = queries.select(*cols, F.lit(True).alias("asks"), own(n).alias("i"), F.explode(F.sequence(F.lit(0), F.lit(m - 1))).alias("j"))
+    base = vectors.select(*cols, F.lit(False).alias("asks"), own(m).alias("j"), F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("i"))
+
+    def run(table: pa.Table) -> pa.Table:
+        asks = table.column("asks").combine_chunks()
+        q, v = table.filter(asks), table.filter(pa.compute.invert(asks))
+        out_q, out_k, out_s = [], [], []
+        rows = [r or [] for r in q.column(vector).to_pylist()]
+        size = max(map(len, rows), default=0)
+        if q.num_rows and v.num_rows:
+            a, b = (_matrix(t.column(vector).combine_chunks(), size) for t in (q, v))
+            keys = v.column(key).to_numpy()
+            lengths, own_length = np.linalg.norm(b, axis=1), np.linalg.norm(a, axis=1)
+            for i, one in enumerate(q.column(key).to_pylist()):
+                length = own_length[i] * lengths
+                scores = np.divide(b @ a[i], length, out=np.zeros(len(b)), where=length > 0)
+                allowed = np.flatnonzero(keys != one)
+                order = allowed[np.lexsort((keys[allowed], -scores[allowed]))[:k]]
+                out_q += [one] * len(order)
+                out_k += keys[order].tolist()
+                out_s += scores[order].tolist()
+        return pa.table({"query_id": pa.array(out_q, pa.int64()), key: pa.array(out_k, pa.int64()), "score": pa.array(out_s, pa.float64())})
+
+    found = asking.unionByName(base).groupBy("i", "j").applyInArrow(run, f"query_id long, {key} long, score double")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), key)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
 def query_vectors(vectors: DataFrame, where: Column, vector: str = "embedding", key: str = "vec_id") -> list[tuple[int, list[float]]]:
     """The stated query set, read to the driver; a parameter of the search."""
     return [(r[0], list(r[1])) for r in vectors.where(where).select(key, vector).orderBy(key).collect()]

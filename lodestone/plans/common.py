@@ -19,6 +19,16 @@ def vector_hits(spark: SparkSession, sf_dir: str, where: str, k: int) -> DataFra
     return e.select("vec_id", "label").join(F.broadcast(hits), "vec_id")
 
 
+#: The whole query set: every id divisible by 20, which grows with the table.
+FEW, WHOLE = "vec_id < 20", "vec_id % 20 = 0"
+
+
+def whole_hits(spark: SparkSession, sf_dir: str, where: str, k: int) -> DataFrame:
+    """vector_hits of any number of queries."""
+    e = table(spark, sf_dir, "embeddings")
+    return S.top_k_blocks(e, e.where(where), k).join(e.select("vec_id", "label"), "vec_id")
+
+
 #: DuckDB: hits of the queries that satisfy {where}, at most {k} each.
 HITS_SQL = """
 qv AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS v FROM embeddings WHERE {where}),

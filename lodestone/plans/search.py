@@ -9,7 +9,7 @@ from ..functions import paths as P
 from ..functions import text as X
 from ..operators import scope as C
 from ..operators import search as S
-from .common import HITS_SQL, PATHS_SQL, page_paths, table, vector_hits
+from .common import FEW, HITS_SQL, PATHS_SQL, WHOLE, page_paths, table, vector_hits, whole_hits
 
 ALL_WORDS = "the And THAT"
 DESCRIPTION = "Update that export from ation"
@@ -47,6 +47,24 @@ def duplication_summary(spark, sf):
     return S.duplication_summary(e, S.query_vectors(e, F.col("vec_id") < 20), 0.35)
 
 
+def batch_whole(spark, sf):
+    return whole_hits(spark, sf, WHOLE, 10).select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
+
+
+def near_duplicates_whole(spark, sf):
+    """Near duplicates of every vector."""
+    hits = whole_hits(spark, sf, "true", 10)
+    return hits.where("score >= 0.3 AND rank <= 3").select("query_id", "vec_id", F.round("score", 2).alias("similarity"))
+
+
+def duplication_summary_whole(spark, sf):
+    asked = table(spark, sf, "embeddings").where(WHOLE).select(F.col("vec_id").alias("query_id"))
+    found = whole_hits(spark, sf, WHOLE, 10).where("score >= 0.35 AND rank <= 3").groupBy("query_id").agg(F.count("*").alias("n"))
+    some = F.coalesce("n", F.lit(0)) > 0
+    text = F.when(some, "Very similar code exists. Consider refactoring to avoid duplication.").otherwise("No duplication detected.")
+    return asked.join(found, "query_id", "left").select("query_id", some.alias("has_duplication"), text.alias("recommendation"))
+
+
 def keyword_all(spark, sf):
     return S.text_search(table(spark, sf, "documents"), ALL_WORDS).select("doc_id", "source")
 
@@ -55,8 +73,8 @@ def keyword_any(spark, sf):
     return S.keyword_search(table(spark, sf, "documents"), DESCRIPTION).select("doc_id", "source")
 
 
-def label_hits(spark, sf, where="vec_id = 0", k=20):
-    hits = vector_hits(spark, sf, where, k)
+def label_hits(spark, sf, where="vec_id = 0", k=20, found=vector_hits):
+    hits = found(spark, sf, where, k)
     order = F.col("query_id") * 1000 + F.col("rank")
     return hits.select(order.alias("rank"), F.concat(F.lit("label"), F.col("label").cast("string")).alias("service"), F.concat(F.lit("vec/"), F.col("vec_id").cast("string")).alias("file_path"), "score")
 
@@ -70,6 +88,11 @@ def key_files(spark, sf):
     return C.key_files(hits).select("file_path", "rank", "service", F.round("score", 4).alias("relevance_score"))
 
 
+def key_files_whole(spark, sf):
+    hits = label_hits(spark, sf, WHOLE, 10, whole_hits)
+    return C.key_files(hits).select("file_path", "rank", "service", F.round("score", 4).alias("relevance_score"))
+
+
 def dominant_pattern(spark, sf):
     rows = page_paths(spark, sf).where(X.contains_any(F.col("html"), F.array(F.lit("that"), F.lit("nation"))))
     by = rows.withColumn("pattern_type", P.location_class(F.col("path"))).groupBy("pattern_type").agg(
@@ -124,3 +147,6 @@ SELECT pattern_type, n, location, locations,
 FROM b""",
     ),
 }
+#: The same questions for the whole query set, near duplicates for every vector.
+_whole = {"vector_topk_batch": (batch_whole, WHOLE), "near_duplicates": (near_duplicates_whole, "true"), "duplication_summary": (duplication_summary_whole, WHOLE), "key_files": (key_files_whole, WHOLE)}
+QUERIES |= {f"{name}_whole": (fn, QUERIES[name][1].replace(FEW, where)) for name, (fn, where) in _whole.items()}
