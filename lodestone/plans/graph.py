@@ -24,6 +24,17 @@ def edge_merge(spark, sf):
     return G.merge_edges(compose.unionByName(toml).unionByName(proto)).select("source", "target", "edge_type")
 
 
+def edge_merge_whole(spark, sf):
+    """All edges of the graph, each from compose and from the source of its kind; the last one names the type."""
+    e = entity_edges(spark, sf)
+    compose = e.select("source", "target", F.lit("depends_on").alias("edge_type"), F.lit(1).alias("seq"))
+    kinds = [("supplier", "library_dependency"), ("nation", "grpc"), ("customer", "http"), ("part", "package")]
+    typed = [e.where(F.col("source").startswith(f"{kind}:")).select("source", "target", F.lit(name).alias("edge_type"), F.lit(i).alias("seq")) for i, (kind, name) in enumerate(kinds, 2)]
+    for one in typed:
+        compose = compose.unionByName(one)
+    return G.merge_edges(compose).select("source", "target", "edge_type")
+
+
 def implicit_nodes(spark, sf):
     nodes = entity_nodes(spark, sf).where("NOT name LIKE 'region:%' AND NOT name LIKE 'supplier:%1'")
     return G.implicit_nodes(nodes, entity_edges(spark, sf))
@@ -146,6 +157,10 @@ QUERIES = {
         edge_merge,
         f"WITH {EDGES_SQL} SELECT source, target, CASE WHEN source LIKE 'nation:%' THEN 'grpc' ELSE 'library_dependency' END AS edge_type FROM edges WHERE source LIKE 'supplier:%' OR source LIKE 'nation:%' GROUP BY 1, 2",
     ),
+    "edge_merge_whole": (
+        edge_merge_whole,
+        f"WITH {EDGES_SQL} SELECT source, target, CASE split_part(source, ':', 1) WHEN 'nation' THEN 'grpc' WHEN 'supplier' THEN 'library_dependency' WHEN 'customer' THEN 'http' ELSE 'package' END AS edge_type FROM edges GROUP BY 1, 2",
+    ),
     "implicit_nodes": (
         implicit_nodes,
         f"WITH {EDGES_SQL} SELECT DISTINCT name FROM (SELECT source AS name FROM edges UNION SELECT target FROM edges) WHERE name NOT IN (SELECT name FROM nodes WHERE NOT name LIKE 'region:%' AND NOT name LIKE 'supplier:%1')",

@@ -16,3 +16,12 @@ def test_blocks_change_nothing(spark, sf):
     e = spark.read.parquet(f"{sf}/embeddings.parquet")
     rows = lambda df: sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 9)) for r in df.collect())
     assert rows(S.top_k_blocks(e, e.where("vec_id < 90"), 5, block=40)) == rows(S.top_k(e, S.query_vectors(e, e.vec_id < 90), 5))
+
+
+def test_every_edge_is_merged(spark, sf):
+    from lodestone.plans.common import entity_edges
+
+    pairs = lambda df: {(r["source"], r["target"]) for r in df.collect()}
+    merged = registry.queries()["edge_merge_whole"](spark, sf)
+    assert pairs(merged) == pairs(entity_edges(spark, sf))
+    assert {r["source"].split(":")[0] for r in merged.collect()} == {"customer", "supplier", "nation", "part"}
