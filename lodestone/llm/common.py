@@ -8,6 +8,8 @@ import tempfile
 import uuid
 from functools import lru_cache
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: The ASCII white space that separates words in every operator: [\x20\x09-\x0D].
@@ -43,12 +45,14 @@ def release(spark: SparkSession) -> int:
     """Deletes the intermediate tables made so far, once the results that read them are written; returns how many."""
     n = len(_made)
     while _made:
-        drop_path(spark, _made.pop())
+        drop_path(spark, _made[-1])
     return n
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
     """Deletes a folder of the shared store through Hadoop's file system API."""
+    if path in _made:
+        _made.remove(path)
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -60,5 +64,54 @@ def materialise(df: DataFrame, label: str, path: str | None = None) -> DataFrame
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables of a step, in the shared folder until clear()."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def keep(self, df: DataFrame, label: str) -> DataFrame:
+        self.paths.append(new_path(self.spark, label))
+        return materialise(df, label, self.paths[-1])
+
+    def clear(self) -> None:
+        while self.paths:
+            drop_path(self.spark, self.paths.pop())
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df does not have, whatever the case, beginning with name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def whole_groups(batches, keys: int):
+    """Tables cut between groups: rows in order of the first `keys` columns, no group in two tables."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:  # a batch is closed up to the start of its last group, which the next one may continue
+        if not b.num_rows:
+            continue
+        table = pa.Table.from_batches([*kept, b])
+        cols = [table.column(c).to_numpy() for c in range(keys)]
+        other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in cols]))
+        cut = int(other[-1]) + 1 if len(other) else 0
+        if cut:
+            yield table.slice(0, cut)
+        kept = table.slice(cut).to_batches()
+    if kept:
+        yield pa.Table.from_batches(kept)
+
+
+def group_slices(table: pa.Table, keys: int) -> list[tuple[int, int]]:
+    """Start and end of each group of the first `keys` columns."""
+    cols = [table.column(c).to_numpy() for c in range(keys)]
+    new = np.ones(table.num_rows, dtype=bool)
+    new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in cols])
+    starts = np.append(np.flatnonzero(new), table.num_rows).tolist()
+    return list(zip(starts[:-1], starts[1:], strict=True))
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, materialise, new_path
+from .common import drop_path, fresh, materialise, new_path
 from .hamming import links_within
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -55,6 +55,19 @@ def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
+#: Parts a node's edges are dealt to, so that a node with a third of all edges is no single task's work.
+PARTS = 64
+
+
+def with_least(edges: DataFrame, key: str, value: str) -> DataFrame:
+    """edges with m, the least value of the row's key; a key's rows meet it in PARTS parts."""
+    part = F.pmod(F.xxhash64(value), F.lit(PARTS)).cast("int")
+    parts = edges.groupBy(key, part.alias("part")).agg(F.min(value).alias("m"))
+    least = parts.groupBy(key).agg(F.min("m").alias("m"))  # at most PARTS rows a key
+    known = parts.select(key, "part").join(least, key)
+    return edges.withColumn("part", part).join(known, [key, "part"]).drop("part")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Stars (node, root), root < node, of the connected components of edges (a < b)."""
     spark = edges.sparkSession
@@ -62,14 +75,14 @@ def components(edges: DataFrame) -> DataFrame:
     current = materialise(edges.select(F.col("b").alias("hi"), F.col("a").alias("lo")), "star", path)
     while True:
         several = current.groupBy("hi").count().where("count > 1").limit(1)
-        chained = current.alias("x").join(current.alias("y"), F.col("x.lo") == F.col("y.hi"), "left_semi").limit(1)
-        if several.select("hi").unionByName(chained.select("hi")).isEmpty():
+        roots = current.groupBy("lo").count().select(F.col("lo").alias("x_lo"))
+        chained = roots.join(current.select("hi").distinct(), F.col("x_lo") == F.col("hi"), "left_semi").limit(1)
+        if several.select("hi").unionByName(chained.select(F.col("x_lo").alias("hi"))).isEmpty():
             return current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).distinct()
-        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
-        moved = large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        large = with_least(both, "u", "v").where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
+        small = with_least(large, "hi", "lo")
+        moved = small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         following = new_path(spark, "star")
         step = materialise(moved.unionByName(small.select("hi", F.col("m").alias("lo"))).distinct(), "star", following)
         drop_path(spark, path)
@@ -99,8 +112,9 @@ def classes_of(prints: DataFrame, stars: DataFrame, node: str) -> DataFrame:
 
 def kept_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its class."""
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__kept")), "left_semi")
+    name = fresh(docs, "kept_id")
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[name]), "left_semi")
 
 
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, shared: int = SHARED) -> DataFrame:

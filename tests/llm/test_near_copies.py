@@ -49,10 +49,12 @@ def frame(spark, texts):
     return spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], "doc_id long, text string, lang string, source string, n_chars long")
 
 
-@pytest.mark.parametrize("tile", [2048, 8])
-def test_classes_are_exact(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, shingles", [(2048, 1 << 20), (8, 1 << 20), (2048, 700)])
+def test_classes_are_exact(spark, monkeypatch, tile, shingles):
     """No pair at 0.8 is missed and no document goes for a link below it."""
     monkeypatch.setattr(near_copies, "TILE", tile)
+    monkeypatch.setattr(near_copies, "TILE_SHINGLES", shingles)
+    monkeypatch.setattr(near_copies, "CHUNK", 2 if tile == 8 else 64)
     texts = family_texts()
     got = {r["doc_id"]: r["component_id"] for r in near_copies.near_classes(frame(spark, texts)).collect()}
     assert got == brute(texts)
