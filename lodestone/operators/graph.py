@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..shared import kept, new_path
+
 
 def merge_edges(edges: DataFrame, order: str = "seq") -> DataFrame:
     """A simple digraph: repeated (source, target) collapse, the attributes of the last win."""
@@ -34,26 +38,36 @@ def all_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.unionByName(implicit_nodes(nodes, edges), allowMissingColumns=True)
 
 
-def bfs(edges: DataFrame, starts: DataFrame, depth: int = 3, reverse: bool = False, inclusive_depth: bool = True) -> DataFrame:
-    """start, name, depth (first hop) of the nodes reached from each row of starts (name).
+def search(edges: DataFrame, starts: DataFrame, depth: int = 3, directions: tuple[str, ...] = ("upstream", "downstream"), inclusive_depth: bool = True) -> DataFrame:
+    """direction, start, name, depth (first hop) of the nodes reached from each row of starts (name), upstream along the edges, downstream against them.
 
     A node is expanded while its hop is at most `depth`, so results reach depth + 1 hops;
     inclusive_depth=False stops at depth. The start is not marked as visited, so in a
-    cycle it appears in its own result. Each hop is one join with the edges, reduced to
-    new (start, name) pairs, so paths never multiply.
+    cycle it appears in its own result. The distinct edges are written once for all hops,
+    starts and directions; a hop is one join of the last frontier with them, reduced to
+    new (direction, start, name) rows, which are written as the next frontier.
     """
-    a, b = ("target", "source") if reverse else ("source", "target")
-    steps = edges.select(F.col(a).alias("__from"), F.col(b).alias("name")).distinct()
-    front = starts.select(F.col("name").alias("start"), "name").distinct()
-    seen = None
+    spark = edges.sparkSession
+    pairs = kept(edges.select("source", "target").distinct(), "edges")
+    step = lambda way, a, b: pairs.select(F.lit(way).alias("direction"), F.col(a).alias("__at"), F.col(b).alias("name"))
+    steps = {"upstream": step("upstream", "source", "target"), "downstream": step("downstream", "target", "source")}
+    moves = reduce(DataFrame.unionByName, [steps[d] for d in directions])
+    schema = "direction string, start string, name string, depth int"
+    front = starts.select(F.explode(F.array(*map(F.lit, directions))).alias("direction"), F.col("name").alias("start"), "name").distinct()
+    written: list[str] = []
     for hop in range(1, depth + 1 + int(inclusive_depth)):
-        reached = front.withColumnRenamed("name", "__at").join(steps, F.col("__at") == F.col("__from")).select("start", "name").distinct()
-        if seen is not None:
-            reached = reached.join(seen.select("start", "name"), ["start", "name"], "left_anti")
-        found = reached.withColumn("depth", F.lit(hop))
-        seen = found if seen is None else seen.unionByName(found)
-        front = reached
-    return seen
+        reached = front.select("direction", "start", F.col("name").alias("__at")).join(moves, ["direction", "__at"]).select("direction", "start", "name").distinct()
+        if written:
+            reached = reached.join(spark.read.schema(schema).parquet(*written), ["direction", "start", "name"], "left_anti")
+        path = new_path(spark, f"hop-{hop}")
+        front = kept(reached.withColumn("depth", F.lit(hop)), "hop", path)
+        written.append(path)
+    return spark.read.schema(schema).parquet(*written) if written else spark.createDataFrame([], schema)
+
+
+def bfs(edges: DataFrame, starts: DataFrame, depth: int = 3, reverse: bool = False, inclusive_depth: bool = True) -> DataFrame:
+    """start, name, depth of search() in one direction."""
+    return search(edges, starts, depth, ("downstream" if reverse else "upstream",), inclusive_depth).drop("direction")
 
 
 def upstream(edges: DataFrame, starts: DataFrame, depth: int = 3) -> DataFrame:

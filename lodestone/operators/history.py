@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..functions import text as X
+from ..shared import kept
 
 
 def latest(commits: DataFrame, most: int = 50) -> DataFrame:
@@ -30,42 +31,43 @@ def type_filter(commits: DataFrame, target: str) -> DataFrame:
     return marked.crossJoin(F.broadcast(enough)).where("__fits OR NOT __enough").drop("__fits", "__enough")
 
 
-def upper_median_of(rows: DataFrame, value: str, by: list[str] | None = None) -> DataFrame:
-    """by..., median: the upper median by counting values, so no group is gathered in one array.
+def upper_median(value: str) -> Column:
+    """Aggregate: the value at position n // 2 in ascending order, as a double; nulls do not count.
 
-    Values are counted first (partial aggregation); the running count over the distinct
-    values finds the first one past n // 2.
+    The first value of the descending order that covers half the rows. The aggregate counts
+    by distinct value, on the map side first, so its state grows with the distinct values
+    and no group is gathered in an array.
     """
-    from pyspark.sql.window import Window
+    return F.expr(f"-(percentile_disc(0.5) WITHIN GROUP (ORDER BY -`{value}`))")
 
-    by = by or []
-    counted = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    run = counted.withColumn("__run", F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__all", F.sum("__n").over(w))
-    return run.where(F.col("__run") > F.floor(F.col("__all") / 2)).groupBy(*by).agg(F.min(value).alias("median"))
+
+def upper_median_of(rows: DataFrame, values: list[str], by: list[str] | None = None) -> DataFrame:
+    """by..., median_<value> of each value, in one pass over the rows."""
+    types = {f.name: f.dataType for f in rows.schema.fields}
+    return rows.groupBy(*(by or [])).agg(*(upper_median(v).cast(types[v]).alias(f"median_{v}") for v in values))
 
 
 def remove_outliers(commits: DataFrame, factor: int = 3) -> DataFrame:
     """Drops commits over factor times the upper median in both files and lines; keeps all if under three or under half survive.
 
-    commits: files, lines.
+    commits: files, lines. The table is written once for its three passes: medians, verdict, filter.
     """
-    files = upper_median_of(commits, "files").withColumnRenamed("median", "__files")
-    lines = upper_median_of(commits, "lines").withColumnRenamed("median", "__lines")
-    marked = commits.crossJoin(F.broadcast(files)).crossJoin(F.broadcast(lines)).withColumn("__out", (F.col("files") > factor * F.col("__files")) & (F.col("lines") > factor * F.col("__lines")))
+    commits = kept(commits, "commits")
+    medians = upper_median_of(commits, ["files", "lines"])  # one row
+    out = (F.col("files") > factor * F.col("median_files")) & (F.col("lines") > factor * F.col("median_lines"))
+    marked = commits.crossJoin(F.broadcast(medians)).withColumn("__out", F.coalesce(out, F.lit(False)))
     verdict = marked.agg(((F.count("*") < 3) | (F.count_if(~F.col("__out")) < 0.5 * F.count("*"))).alias("__all"))  # one row
     return marked.crossJoin(F.broadcast(verdict)).where("NOT __out OR __all").select(*commits.columns)
 
 
 def statistics(commits: DataFrame) -> DataFrame:
-    """One row: n, means, upper medians, independent least and most files and lines."""
-    base = commits.agg(
-        F.count("*").alias("n"), F.avg("files").alias("avg_files"), F.avg("lines").alias("avg_lines"), F.min("files").alias("min_files"), F.min("lines").alias("min_lines"),
+    """One row: n, means, upper medians, independent least and most files and lines; no row without commits."""
+    types = dict(commits.dtypes)
+    medians = [upper_median(v).cast(types[v]).alias(f"median_{v}") for v in ("files", "lines")]
+    return commits.agg(
+        F.count("*").alias("n"), F.avg("files").alias("avg_files"), F.avg("lines").alias("avg_lines"), *medians, F.min("files").alias("min_files"), F.min("lines").alias("min_lines"),
         F.max("files").alias("max_files"), F.max("lines").alias("max_lines"),
-    )
-    files = upper_median_of(commits, "files").withColumnRenamed("median", "median_files")
-    lines = upper_median_of(commits, "lines").withColumnRenamed("median", "median_lines")
-    return base.crossJoin(files).crossJoin(lines).where("n > 0")
+    ).where("n > 0")
 
 
 def common_files(changes: DataFrame, commits: DataFrame, share: float = 0.3) -> DataFrame:

@@ -33,23 +33,37 @@ def key_files(hits: DataFrame) -> DataFrame:
     return hits.where("file_path <> ''").withColumn("__rn", F.row_number().over(first)).where("__rn = 1").drop("__rn")
 
 
-def dependency_counts(services: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2) -> DataFrame:
+def known_services(services: DataFrame, nodes: DataFrame) -> DataFrame:
+    """name of the services that are nodes of the graph."""
+    return services.select(F.col("service").alias("name")).join(nodes.select("name"), "name", "left_semi")
+
+
+def reach(services: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2) -> DataFrame:
+    """One search from all known services in both directions, which the dependency counts and the risks share."""
+    return G.search(edges, known_services(services, nodes), depth)
+
+
+def dependency_counts(services: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, reached: DataFrame | None = None) -> DataFrame:
     """direction, name, services: how many affected services have the node up- or downstream; unknown services are skipped."""
-    known = services.select(F.col("service").alias("name")).join(nodes.select("name"), "name", "left_semi")
-    up = G.upstream(edges, known, depth).withColumn("direction", F.lit("upstream"))
-    down = G.downstream(edges, known, depth).withColumn("direction", F.lit("downstream"))
-    return up.unionByName(down).groupBy("direction", "name").agg(F.countDistinct("start").alias("services"))
+    reached = reach(services, edges, nodes, depth) if reached is None else reached
+    return reached.groupBy("direction", "name").agg(F.count("*").alias("services"))  # a start reaches a name once
+
 
+def risks(services: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2, reached: DataFrame | None = None) -> DataFrame:
+    """risk, one row a finding: dependents over 10 or 3, shared libraries with more than 5; one LOW row if there is none.
 
-def risks(services: DataFrame, edges: DataFrame, nodes: DataFrame, depth: int = 2) -> DataFrame:
-    """risk, one row a finding: dependents over 10 or 3, shared libraries with more than 5; one LOW row if there is none."""
+    A library's own search is as deep as depth 1 reaches (two hops), whatever `depth` is.
+    """
     spark = services.sparkSession
-    known = services.select(F.col("service").alias("name")).join(nodes.select("name"), "name", "left_semi")
-    wide = G.dependents(edges, known, depth).select(K.risk(F.col("name"), F.col("dependents")).alias("risk")).where("risk IS NOT NULL")
-    libraries = known.join(nodes.where("node_type = 'library'").select("name"), "name", "left_semi")
-    shared = G.dependents(edges, libraries, 1).where("dependents > 5")
-    text = F.concat(F.lit("SHARED LIBRARY: "), F.col("name"), F.lit(" is used by "), F.col("dependents").cast("string"), F.lit(" modules. Schema/API changes need careful coordination."))
-    found = wide.unionByName(shared.select(text.alias("risk")))
+    if reached is None:
+        reached = G.search(edges, known_services(services, nodes), max(depth, 1), ("downstream",))
+    near, far = F.count_if(F.col("depth") <= 2).alias("near"), F.count_if(F.col("depth") <= depth + 1).alias("far")
+    per = reached.where("direction = 'downstream'").groupBy(F.col("start").alias("name")).agg(near, far)
+    kinds = nodes.groupBy("name").agg(F.max(F.col("node_type") == "library").alias("library"))
+    counted = per.join(kinds, "name")
+    text = F.concat(F.lit("SHARED LIBRARY: "), F.col("name"), F.lit(" is used by "), F.col("near").cast("string"), F.lit(" modules. Schema/API changes need careful coordination."))
+    both = F.array(K.risk(F.col("name"), F.col("far")), F.when(F.col("library") & (F.col("near") > 5), text))
+    found = counted.select(F.explode(both).alias("risk")).where("risk IS NOT NULL")
     one = spark.range(1).select(F.lit(K.LOW_RISK).alias("__low"))
     return one.join(found, F.lit(True), "left").select(F.coalesce("risk", "__low").alias("risk"))  # left side has one row
 
@@ -80,13 +94,14 @@ def scope(description: str, hits: DataFrame, nodes: DataFrame, edges: DataFrame,
     """One row: summary, services, key files, dependencies, risks and reading order as arrays; hits: rank, service, file_path, score."""
     services = service_hits(hits)
     files = key_files(hits)
-    deps = dependency_counts(services, edges, nodes, depth)
+    reached = reach(services, edges, nodes, max(depth, 1))
+    deps = dependency_counts(services, edges, nodes, depth, reached.where(F.col("depth") <= depth + 1))
     one = hits.sparkSession.range(1).select(F.substring(F.lit(description), 1, 200).alias("description_summary"))
     parts = [
         services.agg(F.array_sort(F.collect_list(F.struct((-F.col("hit_count")).alias("order"), "first_rank", "service", "hit_count", "files"))).alias("affected_services")),
         files.agg(F.array_sort(F.collect_list(F.struct("rank", "file_path", "service", "score"))).alias("key_files")),
         deps.agg(F.array_sort(F.collect_list(F.struct("direction", (-F.col("services")).alias("order"), "name"))).alias("dependencies")),
-        risks(services, edges, nodes, depth).agg(F.array_sort(F.collect_list("risk")).alias("risk_assessment")),
+        risks(services, edges, nodes, depth, reached).agg(F.array_sort(F.collect_list("risk")).alias("risk_assessment")),
         reading_order(services, files.withColumn("service", F.coalesce("service", F.lit(""))), nodes).agg(F.array_sort(F.collect_list(F.struct("position", "entry"))).alias("suggested_reading_order")),
     ]
     for p in parts:  # one-row frames

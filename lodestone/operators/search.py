@@ -60,6 +60,23 @@ def _matrix(vectors: pa.Array, size: int) -> np.ndarray:
     return np.array([r if r is not None and len(r) == size and None not in r else [0.0] * size for r in vectors.to_pylist()], dtype=np.float64).reshape(-1, size)
 
 
+def nearest(vectors: DataFrame, query: tuple[int, list[float]], k: int = SEARCH_LIMIT, where: Column | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
+    """The k nearest rows of vectors to one query, all columns, with query_id, rank and score; `where` holds before the cut.
+
+    One pass of built-in functions, at most k rows leave a task; the same values as cosine().
+    """
+    own, values = query
+    rows = vectors.where(where) if where is not None else vectors
+    asked = F.array(*(F.lit(float(v)) for v in values)) if values else F.array().cast("array<double>")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x)
+    v = F.transform(F.col(vector), lambda x: x.cast("double"))
+    length = F.sqrt(total(F.transform(v, lambda x: x * x))) * F.lit(float(np.linalg.norm(np.array(values, dtype=np.float64))))
+    dot = total(F.zip_with(v, asked, lambda x, y: x * y))
+    score = F.when((F.size(vector) == len(values)) & (length > 0), F.coalesce(dot / length, F.lit(0.0))).otherwise(F.lit(0.0))
+    best = rows.where(F.col(key) != own).withColumn("score", score).orderBy(F.desc("score"), key).limit(k)
+    return best.select(F.lit(own).cast("long").alias("query_id"), "*", F.row_number().over(Window.orderBy(F.desc("score"), key)).alias("rank"))  # k rows
+
+
 def top_k(vectors: DataFrame, queries: list[tuple[int, list[float]]], k: int = SEARCH_LIMIT, where: Column | None = None, vector: str = "embedding", key: str = "vec_id") -> DataFrame:
     """query_id, vec_id, rank, score (unrounded) of the k nearest; `where` holds before the cut."""
     rows = vectors.where(where) if where is not None else vectors
@@ -116,9 +133,13 @@ def duplication_summary(vectors: DataFrame, queries: list[tuple[int, list[float]
     """One row a query: whether something similar exists, and the advice."""
     spark = vectors.sparkSession
     asked = spark.createDataFrame([(q,) for q, _ in queries], "query_id long")
-    found = duplication(vectors, queries, threshold).groupBy("query_id").agg(F.count("*").alias("similar"))
+    return duplication_verdict(asked, duplication(vectors, queries, threshold))
+
+
+def duplication_verdict(asked: DataFrame, found: DataFrame) -> DataFrame:
+    """One row of asked (query_id): whether found (query_id) has similar rows, and the advice."""
     n = F.coalesce("similar", F.lit(0))
-    return asked.join(F.broadcast(found), "query_id", "left").select(
+    return asked.join(found.groupBy("query_id").agg(F.count("*").alias("similar")), "query_id", "left").select(
         "query_id", (n > 0).alias("has_duplication"), F.when(n > 0, "Very similar code exists. Consider refactoring to avoid duplication.").otherwise("No duplication detected.").alias("recommendation")
     )
 
@@ -140,9 +161,9 @@ def keyword_search(docs: DataFrame, description: str, column: str = "text") -> D
 def search_hits(hits: DataFrame, chunks: DataFrame, key: str = "vec_id") -> DataFrame:
     """Hits joined with their chunks' columns, score rounded to four digits, five-line snippet of the document.
 
-    hits hold at most k rows a query, so they are the broadcast side.
+    Which side is sent round is the optimiser's choice by size.
     """
-    joined = chunks.join(F.broadcast(hits), key)
+    joined = chunks.join(hits.select("query_id", "rank", "score", key), key)
     extra = [c for c in ("file_path", "symbol_name", "symbol_type", "service", "language", "line_start", "line_end") if c in chunks.columns]
     tail = [X.snippet(F.col("document"), 5).alias("snippet")] if "document" in chunks.columns else []
     return joined.select("query_id", "rank", key, *extra, F.round("score", 4).alias("score"), *tail)

@@ -13,18 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def vector_hits(spark: SparkSession, sf_dir: str, where: str, k: int) -> DataFrame:
-    """query_id, vec_id, rank, score, label of the stated queries' nearest vectors; a few hundred rows."""
+    """query_id, vec_id, rank, score, label of the vectors nearest to the one that `where` names."""
     e = table(spark, sf_dir, "embeddings")
-    hits = S.top_k(e, S.query_vectors(e, F.expr(where)), k)
-    return e.select("vec_id", "label").join(F.broadcast(hits), "vec_id")
+    return S.nearest(e, S.query_vectors(e, F.expr(where))[0], k)
 
 
-#: The whole query set: every id divisible by 20, which grows with the table.
-FEW, WHOLE = "vec_id < 20", "vec_id % 20 = 0"
+#: The query set: every id divisible by 20, which grows with the table.
+WHOLE = "vec_id % 20 = 0"
 
 
 def whole_hits(spark: SparkSession, sf_dir: str, where: str, k: int) -> DataFrame:
-    """vector_hits of any number of queries."""
+    """query_id, vec_id, rank, score, label of the nearest vectors of each query, any number of them."""
     e = table(spark, sf_dir, "embeddings")
     return S.top_k_blocks(e, e.where(where), k).join(e.select("vec_id", "label"), "vec_id")
 

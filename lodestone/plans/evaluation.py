@@ -5,35 +5,35 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import evaluation as E
-from .common import FEW, HITS_SQL, PATHS_SQL, WHOLE, page_paths, table, vector_hits, whole_hits
+from .common import HITS_SQL, PATHS_SQL, WHOLE, page_paths, table, whole_hits
 
 
-def _results(spark, sf, where=FEW, found=vector_hits):
+def _results(spark, sf):
     """One row a query: its hits in order, the vectors of its own label as relevant, and gains for those near in label."""
-    hits = found(spark, sf, where, 10)
+    hits = whole_hits(spark, sf, WHOLE, 10)
     e = table(spark, sf, "embeddings").select("vec_id", "label")
     lists = hits.groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "vec_id"))), lambda x: x["vec_id"]).alias("retrieved"), F.transform(F.array_sort(F.collect_list(F.struct("rank", "score"))), lambda x: x["score"]).alias("scores")
     )
-    asked = e.where(where).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
-    judged = hits.select("query_id", "vec_id", "label").join(F.broadcast(asked) if where == FEW else asked, "query_id")
+    asked = e.where(WHOLE).select(F.col("vec_id").alias("query_id"), F.col("label").alias("own"))
+    judged = hits.select("query_id", "vec_id", "label").join(asked, "query_id")
     relevant = judged.groupBy("query_id").agg(F.array_sort(F.collect_list(F.when(F.col("own") == F.col("label"), F.col("vec_id")))).alias("relevant"), F.map_from_entries(F.collect_list(F.struct("vec_id", (F.lit(1.0) / (1 + F.abs(F.col("own") - F.col("label")))).alias("g")))).alias("gains"))
     return lists.join(relevant, "query_id")
 
 
-def retrieval(spark, sf, *asked):
-    m = E.retrieval_metrics(_results(spark, sf, *asked))
+def retrieval(spark, sf):
+    m = E.retrieval_metrics(_results(spark, sf))
     cols = ["precision_at_1", "precision_at_3", "precision_at_5", "recall_at_3", "recall_at_5", "mrr", "avg_score"]
     return m.select("query_id", *(F.round(c, 4).alias(c) for c in cols))
 
 
-def ndcg(spark, sf, *asked):
-    m = E.retrieval_metrics(_results(spark, sf, *asked))
+def ndcg(spark, sf):
+    m = E.retrieval_metrics(_results(spark, sf))
     return m.select("query_id", *(F.round(c, 4).alias(c) for c in ("ndcg_at_3", "ndcg_at_5")))
 
 
-def scope_prf1(spark, sf, where=FEW, found=vector_hits):
-    hits = found(spark, sf, where, 10)
+def scope_prf1(spark, sf):
+    hits = whole_hits(spark, sf, WHOLE, 10)
     sets = hits.groupBy("query_id").agg(F.collect_set(F.when(F.col("rank") <= 5, F.col("label"))).alias("predicted_services"), F.collect_set(F.when(F.col("rank") % 2 == 0, F.col("label"))).alias("true_services"))
     m = E.scope_metrics(sets, ("services",))
     return m.select("query_id", *(F.round(f"services_{c}", 4).alias(f"services_{c}") for c in ("precision", "recall", "f1")))
@@ -123,7 +123,7 @@ def tool_calls(spark, sf):
     return E.tool_calls(c, ["conv_id"])
 
 
-_h = HITS_SQL.format(where="vec_id < 20", k=10)
+_h = HITS_SQL.format(where=WHOLE, k=10)
 _j = f"""{_h}, j AS (SELECT h.query_id, rank, h.vec_id, h.score, h.label = e.label AS rel, 1.0::DOUBLE / (1 + abs(e.label - h.label)) AS g FROM hits h JOIN embeddings e ON e.vec_id = h.query_id)"""
 _p = lambda k: f"round(count(*) FILTER (WHERE rel AND rank <= {k}) / {k}.0::DOUBLE, 4) AS precision_at_{k}"
 _r = lambda k: f"round(CASE WHEN count(*) FILTER (WHERE rel) = 0 THEN 0.0 ELSE count(*) FILTER (WHERE rel AND rank <= {k}) / count(*) FILTER (WHERE rel)::DOUBLE END, 4) AS recall_at_{k}"
@@ -187,5 +187,3 @@ SELECT round(CASE WHEN o > 0 THEN (o - w) / o * 100 ELSE 0 END, 4) AS token_savi
     ),
     "tool_calls": (tool_calls, "SELECT conv_id, count(*) FILTER (WHERE turn % 2 = 0) AS tool_calls FROM conversations GROUP BY 1"),
 }
-#: The same metrics over the whole query set.
-QUERIES |= {f"{name}_whole": (lambda spark, sf, fn=fn: fn(spark, sf, WHOLE, whole_hits), QUERIES[name][1].replace(FEW, WHOLE)) for name, fn in (("retrieval_metrics", retrieval), ("ndcg", ndcg), ("scope_prf1", scope_prf1))}

@@ -16,15 +16,6 @@ def _starts(spark, names):
 
 
 def edge_merge(spark, sf):
-    """Three overlapping edge sources; the last one names the type."""
-    e = entity_edges(spark, sf).where("source LIKE 'supplier:%' OR source LIKE 'nation:%'")
-    compose = e.select("source", "target", F.lit("depends_on").alias("edge_type"), F.lit(1).alias("seq"))
-    toml = e.where("source LIKE 'supplier:%'").select("source", "target", F.lit("library_dependency").alias("edge_type"), F.lit(2).alias("seq"))
-    proto = e.where("source LIKE 'nation:%'").select("source", "target", F.lit("grpc").alias("edge_type"), F.lit(3).alias("seq"))
-    return G.merge_edges(compose.unionByName(toml).unionByName(proto)).select("source", "target", "edge_type")
-
-
-def edge_merge_whole(spark, sf):
     """All edges of the graph, each from compose and from the source of its kind; the last one names the type."""
     e = entity_edges(spark, sf)
     compose = e.select("source", "target", F.lit("depends_on").alias("edge_type"), F.lit(1).alias("seq"))
@@ -117,8 +108,9 @@ def scope_flagship(spark, sf):
     hits = label_hits(spark, sf).withColumn("service", F.concat(F.lit("nation:"), F.regexp_extract("service", r"(\d+)", 1)))
     nodes, edges = entity_nodes(spark, sf), entity_edges(spark, sf)
     services = C.service_hits(hits)
-    found = C.risks(services, edges, nodes, 2)
-    counts = C.dependency_counts(services, edges, nodes, 2).groupBy("direction").agg(F.count("*").alias("n"))
+    reached = C.reach(services, edges, nodes, 2)
+    found = C.risks(services, edges, nodes, 2, reached)
+    counts = C.dependency_counts(services, edges, nodes, 2, reached).groupBy("direction").agg(F.count("*").alias("n"))
     up = counts.agg(F.coalesce(F.max(F.when(F.col("direction") == "upstream", F.col("n"))), F.lit(0)).alias("upstream"), F.coalesce(F.max(F.when(F.col("direction") == "downstream", F.col("n"))), F.lit(0)).alias("downstream"))
     total = services.agg(F.count("*").alias("services"), F.sum("hit_count").alias("hits"))
     return found.crossJoin(up).crossJoin(total)  # two one-row frames
@@ -139,26 +131,25 @@ _walks = lambda starts, hops: (
 _context = lambda starts: f"WITH RECURSIVE {EDGES_SQL}, {', '.join(_walks(starts, 3))}"
 
 
-def _risk_sql(names: list[str]) -> str:
-    starts = _lits(names)
-    return f"""{_context(starts)},
-lib AS (SELECT start, name, min(depth) AS depth FROM down GROUP BY start, name),
-wide AS (SELECT start, count(*) AS n FROM lib GROUP BY start),
+_RISKS = """wide AS (SELECT start, count(*) AS n FROM lib GROUP BY start),
 shared AS (SELECT start, count(*) AS n FROM lib WHERE depth <= 2 AND start IN (SELECT name FROM nodes WHERE node_type = 'library') GROUP BY start),
 r AS (
   SELECT CASE WHEN n > 10 THEN 'HIGH RISK: ' || start || ' has ' || n || ' dependents. Changes here have wide blast radius.' ELSE 'MODERATE RISK: ' || start || ' has ' || n || ' dependents.' END AS risk FROM wide WHERE n > 3
-  UNION ALL SELECT 'SHARED LIBRARY: ' || start || ' is used by ' || n || ' modules. Schema/API changes need careful coordination.' FROM shared WHERE n > 5)
-SELECT risk FROM r UNION ALL SELECT 'LOW RISK: Changes appear localized to specific services.' WHERE NOT EXISTS (SELECT 1 FROM r)"""
+  UNION ALL SELECT 'SHARED LIBRARY: ' || start || ' is used by ' || n || ' modules. Schema/API changes need careful coordination.' FROM shared WHERE n > 5),
+found AS (SELECT risk FROM r UNION ALL SELECT 'LOW RISK: Changes appear localized to specific services.' WHERE NOT EXISTS (SELECT 1 FROM r))"""
+
+
+def _risk_sql(names: list[str]) -> str:
+    return f"""{_context(_lits(names))},
+lib AS (SELECT start, name, min(depth) AS depth FROM down GROUP BY start, name),
+{_RISKS}
+SELECT risk FROM found"""
 
 
 _distinct = "SELECT start, name, min(depth) AS depth FROM walk GROUP BY start, name"
 QUERIES = {
     "edge_merge": (
         edge_merge,
-        f"WITH {EDGES_SQL} SELECT source, target, CASE WHEN source LIKE 'nation:%' THEN 'grpc' ELSE 'library_dependency' END AS edge_type FROM edges WHERE source LIKE 'supplier:%' OR source LIKE 'nation:%' GROUP BY 1, 2",
-    ),
-    "edge_merge_whole": (
-        edge_merge_whole,
         f"WITH {EDGES_SQL} SELECT source, target, CASE split_part(source, ':', 1) WHEN 'nation' THEN 'grpc' WHEN 'supplier' THEN 'library_dependency' WHEN 'customer' THEN 'http' ELSE 'package' END AS edge_type FROM edges GROUP BY 1, 2",
     ),
     "implicit_nodes": (
@@ -216,5 +207,11 @@ FROM c FULL JOIN t USING (name)""",
         f"""WITH {PATHS_SQL}, n AS (SELECT * FROM (VALUES ('common', 1), ('libs', 2), ('example', 3), ('serv', 4)) v(name, seq))
 SELECT page_id, arg_min(name, seq) AS name FROM paths JOIN n ON contains(path, name) GROUP BY page_id""",
     ),
-    "scope_flagship": (scope_flagship, None),
+    "scope_flagship": (
+        scope_flagship,
+        f"""WITH RECURSIVE {HITS_SQL.format(where='vec_id = 0', k=20)}, svc AS (SELECT 'nation:' || label AS start, count(*) AS n FROM hits GROUP BY 1), {EDGES_SQL}, {', '.join(_walks('SELECT start FROM svc', 3))},
+u AS (SELECT DISTINCT start, name FROM up), lib AS (SELECT start, name, min(depth) AS depth FROM down GROUP BY start, name),
+{_RISKS}
+SELECT risk, (SELECT count(DISTINCT name) FROM u) AS upstream, (SELECT count(DISTINCT name) FROM lib) AS downstream, (SELECT count(*) FROM svc) AS services, (SELECT CAST(sum(n) AS BIGINT) FROM svc) AS hits FROM found""",
+    ),
 }

@@ -41,9 +41,8 @@ def recent(spark, sf):
 
 def complexity(spark, sf):
     c = commits(spark, sf).join(table(spark, sf, "orders").select(F.col("o_orderkey").alias("commit"), "o_custkey"), "commit")
-    files = H.upper_median_of(c, "files", ["o_custkey"]).withColumnRenamed("median", "median_files")
-    lines = H.upper_median_of(c, "lines", ["o_custkey"]).withColumnRenamed("median", "median_lines")
-    both = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey")).join(files.join(lines, "o_custkey"), "o_custkey", "left")
+    medians = H.upper_median_of(c, ["files", "lines"], ["o_custkey"])
+    both = table(spark, sf, "customer").select(F.col("c_custkey").alias("o_custkey")).join(medians, "o_custkey", "left")
     return both.select("o_custkey", "median_files", "median_lines", K.complexity(F.col("median_files"), F.col("median_lines")).alias("complexity"))
 
 

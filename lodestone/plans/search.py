@@ -9,7 +9,7 @@ from ..functions import paths as P
 from ..functions import text as X
 from ..operators import scope as C
 from ..operators import search as S
-from .common import FEW, HITS_SQL, PATHS_SQL, WHOLE, page_paths, table, vector_hits, whole_hits
+from .common import HITS_SQL, PATHS_SQL, WHOLE, page_paths, table, vector_hits, whole_hits
 
 ALL_WORDS = "the And THAT"
 DESCRIPTION = "Update that export from ation"
@@ -18,8 +18,8 @@ DESCRIPTION = "Update that export from ation"
 def _one(where: str | None):
     def run(spark, sf):
         e = table(spark, sf, "embeddings")
-        hits = S.top_k(e, S.query_vectors(e, F.col("vec_id") == 0), 10, F.expr(where) if where else None)
-        return e.select("vec_id", "label").join(F.broadcast(hits), "vec_id").select("rank", "vec_id", "label", F.round("score", 4).alias("score"))
+        hits = S.nearest(e, S.query_vectors(e, F.col("vec_id") == 0)[0], 10, F.expr(where) if where else None)
+        return hits.select("rank", "vec_id", "label", F.round("score", 4).alias("score"))
 
     return run
 
@@ -34,35 +34,26 @@ FROM s ORDER BY sc DESC, vec_id LIMIT 10"""
 
 
 def batch(spark, sf):
-    return vector_hits(spark, sf, "vec_id < 20", 10).select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
-
-
-def near_duplicates(spark, sf):
-    e = table(spark, sf, "embeddings")
-    return S.duplication(e, S.query_vectors(e, F.col("vec_id") < 20), 0.3)
+    return whole_hits(spark, sf, WHOLE, 10).select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
 
 
-def duplication_summary(spark, sf):
-    e = table(spark, sf, "embeddings")
-    return S.duplication_summary(e, S.query_vectors(e, F.col("vec_id") < 20), 0.35)
+def _similar(hits, threshold):
+    """Of the ten nearest the first three that reach the threshold."""
+    return hits.where((F.col("score") >= threshold) & (F.col("rank") <= 3))
 
 
-def batch_whole(spark, sf):
-    return whole_hits(spark, sf, WHOLE, 10).select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
+def near_duplicates(spark, sf):
+    return _similar(whole_hits(spark, sf, WHOLE, 10), 0.3).select("query_id", "vec_id", F.round("score", 2).alias("similarity"))
 
 
 def near_duplicates_whole(spark, sf):
     """Near duplicates of every vector."""
-    hits = whole_hits(spark, sf, "true", 10)
-    return hits.where("score >= 0.3 AND rank <= 3").select("query_id", "vec_id", F.round("score", 2).alias("similarity"))
+    return _similar(whole_hits(spark, sf, "true", 10), 0.3).select("query_id", "vec_id", F.round("score", 2).alias("similarity"))
 
 
-def duplication_summary_whole(spark, sf):
+def duplication_summary(spark, sf):
     asked = table(spark, sf, "embeddings").where(WHOLE).select(F.col("vec_id").alias("query_id"))
-    found = whole_hits(spark, sf, WHOLE, 10).where("score >= 0.35 AND rank <= 3").groupBy("query_id").agg(F.count("*").alias("n"))
-    some = F.coalesce("n", F.lit(0)) > 0
-    text = F.when(some, "Very similar code exists. Consider refactoring to avoid duplication.").otherwise("No duplication detected.")
-    return asked.join(found, "query_id", "left").select("query_id", some.alias("has_duplication"), text.alias("recommendation"))
+    return S.duplication_verdict(asked, _similar(whole_hits(spark, sf, WHOLE, 10), 0.35))
 
 
 def keyword_all(spark, sf):
@@ -84,11 +75,6 @@ def service_hits(spark, sf):
 
 
 def key_files(spark, sf):
-    hits = label_hits(spark, sf, "vec_id < 20", 10)
-    return C.key_files(hits).select("file_path", "rank", "service", F.round("score", 4).alias("relevance_score"))
-
-
-def key_files_whole(spark, sf):
     hits = label_hits(spark, sf, WHOLE, 10, whole_hits)
     return C.key_files(hits).select("file_path", "rank", "service", F.round("score", 4).alias("relevance_score"))
 
@@ -112,11 +98,11 @@ QUERIES = {
     "vector_topk": (_one(None), _one_sql("true")),
     "vector_topk_filtered": (_one("label = 3"), _one_sql("label = 3")),
     "vector_topk_and": (_one("label = 3 AND vec_id % 2 = 0"), _one_sql("label = 3 AND vec_id % 2 = 0")),
-    "vector_topk_batch": (batch, f"WITH {HITS_SQL.format(where='vec_id < 20', k=10)} SELECT query_id, rank, vec_id, round(score, 4) AS score FROM hits"),
-    "near_duplicates": (near_duplicates, f"WITH {HITS_SQL.format(where='vec_id < 20', k=10)} SELECT query_id, vec_id, round(score, 2) AS similarity FROM hits WHERE score >= 0.3 AND rank <= 3"),
+    "vector_topk_batch": (batch, f"WITH {HITS_SQL.format(where=WHOLE, k=10)} SELECT query_id, rank, vec_id, round(score, 4) AS score FROM hits"),
+    "near_duplicates": (near_duplicates, f"WITH {HITS_SQL.format(where=WHOLE, k=10)} SELECT query_id, vec_id, round(score, 2) AS similarity FROM hits WHERE score >= 0.3 AND rank <= 3"),
     "duplication_summary": (
         duplication_summary,
-        f"""WITH {HITS_SQL.format(where='vec_id < 20', k=10)}
+        f"""WITH {HITS_SQL.format(where=WHOLE, k=10)}
 SELECT query_id, count(vec_id) > 0 AS has_duplication, CASE WHEN count(vec_id) > 0 THEN 'Very similar code exists. Consider refactoring to avoid duplication.' ELSE 'No duplication detected.' END AS recommendation
 FROM qv LEFT JOIN (SELECT query_id, vec_id FROM hits WHERE score >= 0.35 AND rank <= 3) USING (query_id) GROUP BY query_id""",
     ),
@@ -130,7 +116,7 @@ SELECT service, count(*) AS hit_count, min(rank) AS first_rank, (SELECT string_a
     ),
     "key_files": (
         key_files,
-        f"""WITH {HITS_SQL.format(where='vec_id < 20', k=10)}, {LABEL_HITS}
+        f"""WITH {HITS_SQL.format(where=WHOLE, k=10)}, {LABEL_HITS}
 SELECT file_path, rank, service, round(score, 4) AS relevance_score FROM (SELECT *, row_number() OVER (PARTITION BY file_path ORDER BY rank) AS rn FROM lh) WHERE rn = 1""",
     ),
     "dominant_pattern": (
@@ -147,6 +133,4 @@ SELECT pattern_type, n, location, locations,
 FROM b""",
     ),
 }
-#: The same questions for the whole query set, near duplicates for every vector.
-_whole = {"vector_topk_batch": (batch_whole, WHOLE), "near_duplicates": (near_duplicates_whole, "true"), "duplication_summary": (duplication_summary_whole, WHOLE), "key_files": (key_files_whole, WHOLE)}
-QUERIES |= {f"{name}_whole": (fn, QUERIES[name][1].replace(FEW, where)) for name, (fn, where) in _whole.items()}
+QUERIES["near_duplicates_whole"] = (near_duplicates_whole, QUERIES["near_duplicates"][1].replace(WHOLE, "true"))

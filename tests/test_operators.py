@@ -67,7 +67,9 @@ def test_windows(spark, n, ends):
 
 def test_history_rules(spark):
     c = spark.createDataFrame([(1, 1, 10), (2, 2, 20), (3, 3, 30), (4, 4, 40), (5, 100, 5000)], "commit int, files int, lines int")
-    assert T.upper_median_of(c.where("commit < 5"), "files").first()[0] == 3
+    assert T.upper_median_of(c.where("commit < 5"), ["files"]).first()[0] == 3
+    odd = spark.createDataFrame([(x,) for x in (None, 7, 1, 1, 9)], "files int")
+    assert T.upper_median_of(odd, ["files"]).first()[0] == 7 and T.upper_median_of(odd.where("false"), ["files"]).first()[0] is None
     assert {r["commit"] for r in T.remove_outliers(c).collect()} == {1, 2, 3, 4}
     assert T.remove_outliers(c.where("commit in (1, 5)")).count() == 2
     assert T.statistics(c.where("commit > 9")).count() == 0

@@ -26,6 +26,22 @@ def test_filters_and_columns_reach_the_scan(spark, sf):
     assert "TakeOrderedAndProject" in plan(q["last_run_all"](spark, sf))
 
 
+def scans(df):
+    return plan(df).count("Scan parquet")
+
+
+def test_searches_read_written_frontiers(spark, sf):
+    """A search's plan reads the tables of its hops, whatever the depth; statistics read the commits in single passes."""
+    from lodestone.operators import graph as G
+    from lodestone.plans.common import entity_edges
+
+    edges, starts = entity_edges(spark, sf), spark.createDataFrame([("nation:1",)], "name string")
+    assert {scans(G.search(edges, starts, depth)) for depth in (1, 2, 4)} == {scans(G.search(edges, starts, 0))}
+    q = registry.queries()
+    assert scans(q["graph_context"](spark, sf)) <= 2 and scans(q["risk_levels"](spark, sf)) <= 12
+    assert scans(q["history_stats"](spark, sf)) <= 12
+
+
 #: Queries whose theta joins or one-row products are meant, with what stands on the small side.
 MEANT = {
     "first_node": "declared nodes", "best_per_service": "declared services", "graph_counts": "one row", "status_report": "one row", "risk_levels": "one row", "risk_none": "one row", "scope_flagship": "one row",
