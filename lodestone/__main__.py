@@ -13,7 +13,7 @@ from .api import Repository
 from .session import get_session
 from .sources import sinks
 
-COMMANDS = ("init", "list", "setup", "index", "search", "context", "scope", "generate-map", "generate-architecture", "build-graph", "refresh", "status")
+COMMANDS = ("init", "list", "setup", "index", "search", "context", "scope", "generate-map", "generate-architecture", "summarize-context", "build-graph", "delete-all", "refresh", "status")
 
 
 def main(args: list[str] | None = None) -> int:
@@ -51,14 +51,17 @@ def main(args: list[str] | None = None) -> int:
         print(repo.context(a.text, a.limit or 3))
     if a.command == "scope":
         print(sinks.scope_report(repo.scope(a.text, a.limit or 20)))
+    if a.command in ("setup", "build-graph"):
+        found = repo.build_graph()
+        print(f"{found['nodes']} nodes, {found['edges']} edges")
     if a.command in ("setup", "generate-map"):
         print(repo.repo_map())
     if a.command in ("setup", "generate-architecture"):
         print(repo.architecture())
-    if a.command in ("setup", "build-graph"):
-        nodes, edges = repo.graph()
-        sinks.write_graph(nodes, edges, f"{store}/graph")
-        print(f"{nodes.count()} nodes, {edges.count()} edges")
+    if a.command == "summarize-context":
+        print(repo.summarize_context())
+    if a.command == "delete-all":
+        repo.delete_all()
     if a.command == "refresh":
         changed = spark.createDataFrame([(x,) for x in a.text.split(",") if x], "file_path string")
         for r in repo.refresh(changed).orderBy("file_path").collect():

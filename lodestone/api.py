@@ -22,11 +22,13 @@ from .operators import repomap as R
 from .operators import scope as C
 from .operators import search as S
 from .operators import symbols as Y
+from .shared import delete, exists
 from .sources import files as FILES
 from .sources import manifests as M
+from .sources import sinks
 
 FILE_SCHEMA = "file_path string, content_hash string, language string, service string, chunk_count long, line_count long"
-RUN_SCHEMA = "id long, files_scanned long, files_indexed long, files_skipped long, files_deleted long, chunks_created long, status string, completed_at timestamp"
+RUN_SCHEMA = "id long, files_scanned long, files_indexed long, files_skipped long, files_deleted long, chunks_created long, status string, started_at timestamp, completed_at timestamp"
 
 
 class Repository:
@@ -37,26 +39,31 @@ class Repository:
         self.max_lines, self.overlap, self.extra_skip = max_lines, overlap, extra_skip
 
     # -- state --
-    def _exists(self, path: str) -> bool:
-        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(p)
+    def run_log(self) -> DataFrame:
+        """The log's rows: one when a run starts, one when it is complete."""
+        path = f"{self.store}/runs"
+        return self.spark.read.schema(RUN_SCHEMA).parquet(path) if exists(self.spark, path) else self.spark.createDataFrame([], RUN_SCHEMA)
 
     def runs(self) -> DataFrame:
-        path = f"{self.store}/runs"
-        return self.spark.read.schema(RUN_SCHEMA).parquet(path) if self._exists(path) else self.spark.createDataFrame([], RUN_SCHEMA)
+        """One row a run; one that failed stays with status running."""
+        return I.upsert(self.run_log(), self.run_log().where("false"), ["id"], F.col("status") == "completed")
+
+    def _log(self, row: DataFrame) -> None:
+        names = [c.split()[0] for c in RUN_SCHEMA.split(", ")]
+        row.select(*(F.col(n) if n in row.columns else F.lit(None).alias(n) for n in names)).select(*(F.col(n).cast(t) for n, t in (c.split() for c in RUN_SCHEMA.split(", ")))).write.mode("append").parquet(f"{self.store}/runs")
 
     def version(self) -> int:
         """Number of the last complete run; 0 without one."""
-        return self.runs().where("status = 'completed'").agg(F.max("id")).first()[0] or 0
+        return self.run_log().where("status = 'completed'").agg(F.max("id")).first()[0] or 0
 
     def table(self, name: str, version: int | None = None) -> DataFrame:
         return self.spark.read.parquet(f"{self.store}/{name}/v={version or self.version()}")
 
     def gitignore(self) -> tuple[str, ...]:
         path = f"{self.root.rstrip('/')}/.gitignore"
-        if not self._exists(path):
+        if not exists(self.spark, path):
             return ()
-        return tuple(FILES.gitignore_patterns([r["value"] for r in self.spark.read.text(path).limit(10_000).collect()]))
+        return tuple(FILES.gitignore_patterns([r["value"] for r in self.spark.read.text(path).collect()]))  # a configuration file, whole
 
     def scan(self) -> DataFrame:
         return FILES.scan(self.spark, self.root, self.extra_skip, self.gitignore())
@@ -66,29 +73,37 @@ class Repository:
         """Indexes new and changed files, drops deleted ones, keeps the rest; returns the run's counters."""
         before = self.version()
         now = before + 1
+        started = self.spark.range(1).select(F.lit(now).alias("id"), F.lit("running").alias("status"), F.current_timestamp().alias("started_at"))
+        self._log(started)
         scanned = self.scan()
         stored = self.table("files", before) if before else self.spark.createDataFrame([], FILE_SCHEMA)
-        classes = I.change_classes(stored, scanned, full=full)
-        path = f"{self.store}/classes/v={now}"
-        classes.write.mode("overwrite").parquet(path)
-        classes = self.spark.read.parquet(path)
-        dirty = scanned.join(classes.where("change IN ('new', 'changed')").select("file_path"), "file_path", "left_semi")
+        found = self._written(I.change_classes(stored, scanned, full=full), "classes", now)
+        dirty = scanned.join(found.where("change IN ('new', 'changed')").select("file_path"), "file_path", "left_semi")
         chunks = H.chunk_files(dirty.select("file_path", "content"), self.max_lines, self.overlap).withColumn("service", P.service(F.col("file_path"), "chunker"))
         symbol = F.when(F.col("symbol_type") == "fragment", F.concat(F.lit("__window_"), (F.col("line_start") - 1).cast("string"), F.lit("__"))).otherwise(F.col("symbol_name"))
         chunks = H.documents(chunks.withColumn("chunk_id", X.chunk_id(F.col("file_path"), F.col("line_start"), symbol)))
         columns = ["chunk_id", "file_path", "language", "service", "symbol_name", "symbol_type", "line_start", "line_end", "document"]
-        fresh = E.embed(chunks.select(columns))
-        gone = classes.where("change <> 'unchanged'").select("file_path")
+        fresh = self._written(E.embed(chunks.select(columns)), "fresh", now)
+        classes = I.with_chunks(found, fresh)
+        gone = classes.where("change NOT IN ('unchanged', 'skipped')").select("file_path")
         everything = I.delete_by(self.table("chunks", before), gone, "file_path").unionByName(fresh) if before else fresh
-        everything.write.mode("overwrite").parquet(f"{self.store}/chunks/v={now}")
-        everything = self.table("chunks", now)
-        per_file = everything.groupBy("file_path").agg(F.count("*").alias("chunk_count"), F.sum(F.col("line_end") - F.col("line_start") + 1).alias("line_count"), F.first("service").alias("service"))
-        files = scanned.select("file_path", "content_hash", "language").join(per_file, "file_path").select("file_path", "content_hash", "language", "service", "chunk_count", "line_count")
-        files.write.mode("overwrite").parquet(f"{self.store}/files/v={now}")
-        created = everything.join(classes.where("change IN ('new', 'changed')").select("file_path"), "file_path", "left_semi")
-        run = I.run_counters(classes, created).select(F.lit(now).cast("long").alias("id"), "*", F.lit("completed").alias("status"), F.current_timestamp().alias("completed_at"))
-        run.select(*[c.split()[0] for c in RUN_SCHEMA.split(", ")]).write.mode("append").parquet(f"{self.store}/runs")
-        return self.runs().where(F.col("id") == now).first().asDict()
+        everything = self._written(everything, "chunks", now)
+        per_file = fresh.groupBy("file_path").agg(F.count("*").alias("chunk_count"), F.sum(F.col("line_end") - F.col("line_start") + 1).alias("line_count"), F.first("service").alias("service"))
+        indexed = scanned.select("file_path", "content_hash", "language").join(per_file, "file_path").select("file_path", "content_hash", "language", "service", "chunk_count", "line_count")
+        self._written(I.delete_by(stored, gone, "file_path").unionByName(indexed), "files", now)
+        self._log(I.run_counters(classes, fresh).select(F.lit(now).alias("id"), "*", F.lit("completed").alias("status"), F.current_timestamp().alias("completed_at")))
+        delete(self.spark, f"{self.store}/fresh")
+        return self.run_log().where((F.col("id") == now) & (F.col("status") == "completed")).first().asDict()
+
+    def _written(self, df: DataFrame, name: str, version: int) -> DataFrame:
+        path = f"{self.store}/{name}/v={version}"
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def delete_all(self) -> None:
+        """Forgets the index: every version of its tables and the log."""
+        for name in ("classes", "chunks", "files", "fresh", "runs", "graph"):
+            delete(self.spark, f"{self.store}/{name}")
 
     def refresh(self, changed: DataFrame) -> DataFrame:
         """What a list of changed paths (file_path) asks for: reindex or delete."""
@@ -105,9 +120,8 @@ class Repository:
             where &= F.col("service") == service
         if language:
             where &= F.col("language") == language
-        chunks = self.table("chunks")
-        hits = S.top_k(chunks, [(0, E.embed_text(query))], limit, where)
-        return S.search_hits(hits, chunks).drop("query_id", "vec_id").orderBy("rank")
+        hits = S.nearest(self.table("chunks"), (0, E.embed_text(query)), limit, where)
+        return S.search_columns(hits).drop("query_id", "vec_id").orderBy("rank")
 
     def context(self, query: str, limit: int = S.CONTEXT_LIMIT) -> str:
         """The nearest chunks as text for a prompt."""
@@ -132,8 +146,7 @@ class Repository:
 
     def intelligence(self, description: str, commits: DataFrame | None = None) -> DataFrame:
         """One row: complexity band, pattern and the overall recommendation, from similar commits and similar code."""
-        hits = S.top_k(self.table("chunks"), [(0, E.embed_text(description))], S.PATTERN_LIMIT)
-        near = self.table("chunks").select("vec_id", "file_path", "document").join(F.broadcast(hits), "vec_id")
+        near = S.nearest(self.table("chunks"), (0, E.embed_text(description)), S.PATTERN_LIMIT)
         pattern = S.dominant_pattern(near, description).select("pattern_type", F.col("count").alias("occurrences"), "locations", F.col("recommendation").alias("pattern_recommendation"))
         names = ["median_files", "median_lines", "min_files", "min_lines", "max_files", "max_lines"]
         one = self.spark.range(1).select(F.lit(1).alias("__one"))
@@ -148,6 +161,19 @@ class Repository:
 
     # -- structure --
     def graph(self) -> tuple[DataFrame, DataFrame]:
+        """Nodes and edges of the stored graph; built first where none is stored."""
+        path = f"{self.store}/graph"
+        if not exists(self.spark, path):
+            self.build_graph()
+        return FILES.graph_json(self.spark, path)
+
+    def build_graph(self) -> dict:
+        """Builds the graph from the tree's manifests and stores it; returns its numbers of nodes and edges."""
+        nodes, edges = self._graph()
+        sinks.write_graph(nodes, edges, f"{self.store}/graph")
+        return G.counts(*FILES.graph_json(self.spark, f"{self.store}/graph")).first().asDict()
+
+    def _graph(self) -> tuple[DataFrame, DataFrame]:
         """Nodes and edges from compose, pyproject and proto files."""
         tree = FILES.scan(self.spark, self.root, self.extra_skip, self.gitignore()).select("file_path", "content")
         services = M.compose_services(M.compose_file(tree))
@@ -178,18 +204,30 @@ class Repository:
     def architecture(self) -> str:
         """A summary of components and dependencies as text; lists are cut to what a page holds."""
         nodes, edges = self.graph()
-        rows = nodes.select("name", "node_type", "description").orderBy("name").limit(500).collect()
+        kinds = F.when(F.col("node_type").isin("service", "library"), F.col("node_type")).otherwise("other")
+        listed = nodes.select("name", "description", kinds.alias("kind"))
         out = ["# Repository Architecture", "", "## Services & Components", ""]
-        for title, kind, most in (("Services", "service", 50), ("Libraries", "library", 20), ("Other components", None, 20)):
-            found = [r for r in rows if (r["node_type"] == kind if kind else r["node_type"] not in ("service", "library"))][:most]
+        for title, kind, most in (("Services", "service", 50), ("Libraries", "library", 20), ("Other components", "other", 20)):
+            found = listed.where(F.col("kind") == kind).orderBy("name").limit(most).collect()  # a page's list
             if found:
                 out += [f"**{title}:**", *(f"- `{r['name']}`" + (f": {r['description']}" if r["description"] else "") for r in found), ""]
-        names = nodes.select("name").orderBy("name").limit(10)
-        listed = lambda df: {r["start"]: r["names"][:5] for r in df.groupBy("start").agg(F.array_sort(F.collect_set("name")).alias("names")).collect()}
-        up, down = listed(G.upstream(edges, names, 1)), listed(G.downstream(edges, names, 1))
         out += ["## Dependencies", ""]
-        for name in sorted(up.keys() | down.keys()):
-            out.append(f"**{name}**:")
-            out += [f"  - Depends on: {', '.join(up[name])}"] if name in up else []
-            out += [f"  - Used by: {', '.join(down[name])}"] if name in down else []
+        for r in G.listing(nodes, edges, 10).orderBy("name").collect():
+            if r["upstream"] or r["downstream"]:
+                out.append(f"**{r['name']}**:")
+                out += [f"  - Depends on: {', '.join(r['upstream'][:5])}"] if r["upstream"] else []
+                out += [f"  - Used by: {', '.join(r['downstream'][:5])}"] if r["downstream"] else []
         return "\n".join(out)
+
+    def summarize_context(self) -> str:
+        """A prompt for an architecture summary: the map, a README's first 3000 characters, all components with their dependencies."""
+        nodes, edges = self.graph()
+        parts = {"Repository map": self.repo_map()}
+        for name in ("README.md", "README.rst", "README.txt", "README"):
+            path = f"{self.root.rstrip('/')}/{name}"
+            if exists(self.spark, path):
+                text = self.spark.read.option("wholetext", "true").text(path).select(X.truncate(F.trim("value"), 3000, "\n\n... (truncated)").alias("text")).first()
+                parts[name] = text["text"] if text else ""
+                break
+        listing = G.listing(nodes, edges)
+        return sinks.architecture_prompt(parts, nodes.select("name", "node_type", "description").join(listing, "name"))

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import ast
+import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as X
 
@@ -112,30 +113,66 @@ def python_chunks(files: DataFrame) -> DataFrame:
     return files.select("file_path", "content").mapInArrow(run, PYTHON_SCHEMA)
 
 
-def regex_definitions(files: DataFrame, language: str) -> DataFrame:
-    """file_path, kind, symbol_name, line_start, line_end: definitions by line; each ends where the next begins, the last with the file."""
-    rx = DEFINITIONS[language]
-    each = files.select("file_path", F.size(X.lines(F.col("content"))).alias("__n"), F.posexplode(X.lines(F.col("content"))).alias("__at", "__line")).where(F.rlike("__line", F.lit(rx)))
-    found = each.select("file_path", "__n", (F.col("__at") + 1).alias("line_start"), F.regexp_extract("__line", rx, 1).alias("kind"), F.regexp_extract("__line", rx, 2).alias("symbol_name"))
-    following = F.lead("line_start").over(Window.partitionBy("file_path").orderBy("line_start"))
-    return found.withColumn("line_end", F.coalesce(following - 1, F.col("__n"))).drop("__n")
+#: Names of definition kinds where a language's keyword is another.
+KINDS = {"func": "function", "fn": "function"}
+
+
+def definition_spans(lines: list[str], pattern: str) -> list[tuple[str, str, int, int]]:
+    """(kind, name, first line, last line) of the lines that begin a definition.
+
+    A definition ends where the braces opened since its first line are closed again; one
+    that opens none before the next begins ends before that, the last one with the file.
+    """
+    rx = re.compile(pattern)
+    starts = [(i, m) for i, line in enumerate(lines) if (m := rx.match(line))]
+    depth = list(accumulate((line.count("{") - line.count("}") for line in lines), initial=0))
+    out = []
+    for (i, m), following in zip(starts, [*(i for i, _ in starts[1:]), len(lines)], strict=True):
+        opened = next((j for j in range(i, following) if depth[j + 1] > depth[i] or "{" in lines[j]), None)
+        closed = next((j for j in range(opened, len(lines)) if depth[j + 1] <= depth[i]), None) if opened is not None else None
+        out.append((KINDS.get(m[1], m[1]), m[2], i + 1, (closed if closed is not None else following - 1) + 1))
+    return out
+
+
+def regex_definitions(files: DataFrame) -> DataFrame:
+    """file_path, symbol_name, symbol_type, line_start, line_end, content of the definitions of each file (file_path, language, content)."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, language, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                lines = (text or "").split("\n")
+                lines = lines[:-1] if lines[-1] == "" else lines
+                rows += [(path, name, kind, a, z, "\n".join(lines[a - 1 : z]).strip()) for kind, name, a, z in definition_spans(lines, DEFINITIONS[language])]
+            cols = list(zip(*rows, strict=True)) or [()] * 6
+            kinds = [b.schema.field(0).type, pa.string(), pa.string(), pa.int32(), pa.int32(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file_path", "symbol_name", "symbol_type", "line_start", "line_end", "content"])
+
+    chosen = files.where(F.col("language").isin(*DEFINITIONS))
+    kind = dict(files.dtypes)["file_path"]
+    return chosen.select("file_path", "language", "content").mapInArrow(run, f"file_path {kind}, symbol_name string, symbol_type string, line_start int, line_end int, content string")
 
 
 def chunk_files(files: DataFrame, max_lines: int = CONFIG_WINDOW[0], overlap: int = CONFIG_WINDOW[1]) -> DataFrame:
-    """Dispatch: Python files by their definitions (windows of 80/10 on a syntax error), others by windows."""
+    """Dispatch: definitions where a language has a pattern and the file holds any, Python files by their syntax tree (windows of 80/10 on an error), all others by windows.
+
+    definition marks the chunks that take the document text of definitions.
+    """
     good = usable(files).withColumn("language", X.language(F.col("file_path")))
     python = python_chunks(good.where("language = 'python'"))
     parsed = python.where("valid").select("file_path", "line_start", "line_end", "symbol_name", "symbol_type", "content", "parent_class", "imports")
     broken = windows(python.where("NOT valid").select("file_path", "content"), *FUNCTION_WINDOW)
-    other = windows(good.where("language <> 'python'").select("file_path", "content"), max_lines, overlap)
-    chunks = parsed.unionByName(broken, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
-    return chunks.withColumn("language", X.language(F.col("file_path")))
+    defined = regex_definitions(good).withColumn("definition", F.lit(True))
+    other = windows(good.where("language <> 'python'").join(defined.select("file_path").distinct(), "file_path", "left_anti").select("file_path", "content"), max_lines, overlap)
+    chunks = parsed.unionByName(broken, allowMissingColumns=True).unionByName(defined, allowMissingColumns=True).unionByName(other, allowMissingColumns=True)
+    return chunks.withColumn("language", X.language(F.col("file_path"))).withColumn("definition", F.coalesce("definition", F.lit(False)))
 
 
 def documents(chunks: DataFrame) -> DataFrame:
     """Adds the embedding text of each chunk."""
     col = lambda c: F.col(c) if c in chunks.columns else F.lit(None).cast("string")
-    return chunks.withColumn("document", X.document_text(col("file_path"), col("content"), col("language"), col("service"), col("symbol_name"), col("symbol_type"), col("parent_class")))
+    text = lambda definitions: X.document_text(col("file_path"), col("content"), col("language"), col("service"), col("symbol_name"), col("symbol_type"), col("parent_class"), definitions)
+    return chunks.withColumn("document", F.when(F.col("definition"), text(True)).otherwise(text(False)) if "definition" in chunks.columns else text(False))
 
 
 def line_counts(chunks: DataFrame, key: str = "file_path") -> DataFrame:

@@ -94,6 +94,16 @@ def counts(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return n.crossJoin(edges.agg(F.count("*").alias("edges")))  # two one-row frames
 
 
+def listing(nodes: DataFrame, edges: DataFrame, most: int | None = None) -> DataFrame:
+    """name, upstream, downstream: sorted names two hops around each node (all nodes, or the first `most` by name)."""
+    names = nodes.select("name").distinct()
+    names = names.orderBy("name").limit(most) if most is not None else names
+    side = lambda d: F.array_sort(F.collect_set(F.when(F.col("direction") == d, F.col("name")))).alias(d)
+    sides = search(edges, names, 1).groupBy("start").agg(side("upstream"), side("downstream"))
+    none = F.array().cast("array<string>")
+    return names.join(sides, F.col("name") == F.col("start"), "left").select("name", F.coalesce("upstream", none).alias("upstream"), F.coalesce("downstream", none).alias("downstream"))
+
+
 def merge_compose_and_toml(compose: DataFrame, toml: DataFrame) -> DataFrame:
     """Nodes known to either source; the compose node type wins; parsed_from says which sources know the node."""
     a = compose.select("name", F.col("node_type").alias("__c_type"))

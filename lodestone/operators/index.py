@@ -29,11 +29,18 @@ def refresh_delta(changed: DataFrame, existing: DataFrame, key: str = "file_path
     return here.unionByName(changed.join(existing.select(key), key, "left_anti").select(key, F.lit("delete").alias("action")))
 
 
+def with_chunks(classes: DataFrame, chunks: DataFrame, key: str = "file_path") -> DataFrame:
+    """classes where a new or changed file without any chunk is skipped: what the index holds of it stays as it was."""
+    known = chunks.select(key).distinct().withColumn("__some", F.lit(True))
+    empty = F.col("change").isin("new", "changed") & F.col("__some").isNull()
+    return classes.join(known, key, "left").withColumn("change", F.when(empty, "skipped").otherwise(F.col("change"))).drop("__some")
+
+
 def run_counters(classes: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """One row: files scanned, indexed, skipped, deleted and chunks created."""
+    """One row: files scanned, indexed, skipped (unchanged or without chunks), deleted and chunks created."""
     out = classes.agg(
         F.count_if(F.col("change") != "deleted").alias("files_scanned"), F.count_if(F.col("change").isin("new", "changed")).alias("files_indexed"),
-        F.count_if(F.col("change") == "unchanged").alias("files_skipped"), F.count_if(F.col("change") == "deleted").alias("files_deleted"),
+        F.count_if(F.col("change").isin("unchanged", "skipped")).alias("files_skipped"), F.count_if(F.col("change") == "deleted").alias("files_deleted"),
     )
     return out if chunks is None else out.crossJoin(chunks.agg(F.count("*").alias("chunks_created")))
 

@@ -158,15 +158,16 @@ def keyword_search(docs: DataFrame, description: str, column: str = "text") -> D
     return docs.where(X.contains_any(F.col(column), F.array(*(F.lit(w) for w in found))))
 
 
-def search_hits(hits: DataFrame, chunks: DataFrame, key: str = "vec_id") -> DataFrame:
-    """Hits joined with their chunks' columns, score rounded to four digits, five-line snippet of the document.
+def search_columns(hits: DataFrame, key: str = "vec_id") -> DataFrame:
+    """The columns of found chunks that are shown: score rounded to four digits, five-line snippet of the document."""
+    extra = [c for c in ("file_path", "symbol_name", "symbol_type", "service", "language", "line_start", "line_end") if c in hits.columns]
+    tail = [X.snippet(F.col("document"), 5).alias("snippet")] if "document" in hits.columns else []
+    return hits.select("query_id", "rank", key, *extra, F.round("score", 4).alias("score"), *tail)
 
-    Which side is sent round is the optimiser's choice by size.
-    """
-    joined = chunks.join(hits.select("query_id", "rank", "score", key), key)
-    extra = [c for c in ("file_path", "symbol_name", "symbol_type", "service", "language", "line_start", "line_end") if c in chunks.columns]
-    tail = [X.snippet(F.col("document"), 5).alias("snippet")] if "document" in chunks.columns else []
-    return joined.select("query_id", "rank", key, *extra, F.round("score", 4).alias("score"), *tail)
+
+def search_hits(hits: DataFrame, chunks: DataFrame, key: str = "vec_id") -> DataFrame:
+    """Hits (query_id, rank, score, key) joined with their chunks' columns; which side is sent round is the optimiser's choice by size."""
+    return search_columns(chunks.join(hits.select("query_id", "rank", "score", key), key), key)
 
 
 def dominant_pattern(hits: DataFrame, description: str, most: int = 5) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions import paths as P
 from ..functions import text as X
+from ..shared import children
 
 #: File names without suffix that are read.
 PLAIN_NAMES = ("Dockerfile", "dockerfile", "Containerfile", "justfile", "Makefile")
@@ -31,8 +32,8 @@ def scan(spark: SparkSession, root: str, extra_skip: tuple[str, ...] = (), gitig
     Paths are filtered before contents are decoded; a whole tree is read in parallel.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    base = F.lit(root.rstrip("/").removeprefix("file://").lstrip("/") + "/")
-    rel = F.element_at(F.split(F.col("path"), base), -1)
+    base = root.rstrip("/").removeprefix("file://").lstrip("/") + "/"
+    rel = F.substr(F.col("path"), F.instr(F.col("path"), F.lit(base)) + F.lit(len(base)))
     files = raw.withColumn("file_path", rel).where(supported(F.col("file_path")) & ~P.skipped(F.col("file_path"), (*P.SKIP_PATTERNS, *extra_skip, *gitignore)))
     text = F.decode("content", "UTF-8")
     return files.select("file_path", text.alias("content"), "length", F.col("modificationTime").alias("modified"), X.language(F.col("file_path")).alias("language"), X.content_hash(F.col("content")).alias("content_hash"))
@@ -91,9 +92,17 @@ def session_ids(texts: DataFrame, value: str = "value") -> DataFrame:
     return texts.select(F.explode(F.regexp_extract_all(value, F.lit(r"(ses_[a-zA-Z0-9]+)"), F.lit(1))).alias("session_id")).distinct()
 
 
+_ATTRIBUTES = "id string, node_type string, component_type string, path string, package_name string, description string, parsed_from string, grpc_services array<string>, grpc_rpcs array<string>"
+_LINK = "source string, target string, edge_type string, parsed_from string"
+
+
 def graph_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges of a node-link file; an unreadable file is an empty graph."""
-    schema = "nodes array<struct<id:string,node_type:string,path:string,description:string,parsed_from:string>>, links array<struct<source:string,target:string,edge_type:string,parsed_from:string>>"
-    raw = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
-    nodes = raw.select(F.explode("nodes").alias("n")).select(F.col("n.id").alias("name"), "n.node_type", "n.path", "n.description", "n.parsed_from")
-    return nodes, raw.select(F.explode("links").alias("l")).select("l.*")
+    """Nodes and edges of a stored graph: the folder that write_graph makes, or one node-link file; an unreadable file is an empty graph."""
+    if "nodes" in children(spark, path):
+        nodes, links = spark.read.schema(_ATTRIBUTES).json(f"{path}/nodes"), spark.read.schema(_LINK).json(f"{path}/links")
+    else:
+        schema = f"nodes array<struct<{_ATTRIBUTES}>>, links array<struct<{_LINK}>>, edges array<struct<{_LINK}>>"
+        raw = spark.read.schema(schema).option("multiLine", "true").option("mode", "PERMISSIVE").json(path)
+        nodes = raw.select(F.explode("nodes").alias("n")).select("n.*")
+        links = raw.select(F.explode(F.coalesce("links", "edges")).alias("l")).select("l.*")
+    return nodes.withColumnRenamed("id", "name"), links

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tomllib
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -17,6 +18,7 @@ from ..functions import paths as P
 COMPOSE_NAMES = ("compose.yml", "docker-compose.yml", "docker-compose.yaml")
 TOML_SKIPPED = (".venv", "venv", "node_modules", ".git", "__pycache__", "dist", "build")
 PROTO_SKIPPED = (".venv", "venv", "node_modules", ".git")
+#: Patterns of proto definitions.
 SERVICE, RPC, PACKAGE = re.compile(r"service\s+(\w+)\s*\{"), re.compile(r"rpc\s+(\w+)\s*\("), re.compile(r"package\s+([\w.]+)\s*;")
 
 
@@ -30,6 +32,10 @@ def compose_file(files: DataFrame) -> DataFrame:
     return files.withColumn("__order", order).where("__order > 0").orderBy("__order").limit(1).drop("__order")
 
 
+def _listed(value) -> list[str]:
+    return [str(v) for v in value] if isinstance(value, list) else []
+
+
 def compose_services(files: DataFrame) -> DataFrame:
     """name, image, restart, build, depends_on, ports, profiles of each service; unreadable files give none. files: file_path, content."""
 
@@ -41,13 +47,16 @@ def compose_services(files: DataFrame) -> DataFrame:
             for text in b.column(0).to_pylist():
                 try:
                     data = yaml.safe_load(text or "") or {}
-                except yaml.YAMLError:
+                except (yaml.YAMLError, ValueError):
                     continue
-                for name, c in ((data.get("services") or {}) if isinstance(data, dict) else {}).items():
-                    c = c or {}
-                    needs = c.get("depends_on") or []
+                declared = data.get("services") if isinstance(data, dict) else None
+                for name, c in (declared if isinstance(declared, dict) else {}).items():
+                    if not isinstance(c, dict):
+                        continue
+                    needs = c.get("depends_on")
+                    needs = needs if isinstance(needs, (dict, list)) else []
                     restart = c.get("restart") if isinstance(c.get("restart"), str) else None
-                    rows.append((str(name), str(c.get("image") or ""), restart, "build" in c, [str(d) for d in needs], [str(p) for p in c.get("ports") or []], [str(p) for p in c.get("profiles") or []]))
+                    rows.append((str(name), str(c.get("image") or ""), restart, bool(c.get("build")), [str(d) for d in needs], _listed(c.get("ports")), _listed(c.get("profiles"))))
             cols = list(zip(*rows, strict=True)) or [()] * 7
             kinds = [pa.string()] * 3 + [pa.bool_()] + [pa.list_(pa.string())] * 3
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["name", "image", "restart", "build", "depends_on", "ports", "profiles"])
@@ -57,10 +66,10 @@ def compose_services(files: DataFrame) -> DataFrame:
 
 
 def compose_edges(services: DataFrame) -> DataFrame:
-    """source, target, edge_type of the dependencies; targets that are no service are not data stores."""
+    """source, target, edge_type of the dependencies; a target is a data store by its name or, if it is declared, by its image."""
     each = services.select(F.col("name").alias("source"), F.explode("depends_on").alias("target"))
-    stores = services.where("node_type = 'data_store'").select(F.col("name").alias("target"), F.lit(True).alias("__store"))
-    return each.join(stores, "target", "left").select("source", "target", K.edge_type(F.coalesce("__store", F.lit(False))).alias("edge_type"))
+    images = services.select(F.col("name").alias("target"), F.col("image").alias("__image"))
+    return each.join(images, "target", "left").select("source", "target", K.edge_type(K.is_data_store(F.col("target"), F.col("__image"))).alias("edge_type"))
 
 
 def components(files: DataFrame) -> DataFrame:
@@ -89,6 +98,13 @@ def components(files: DataFrame) -> DataFrame:
     return rows.select(P.component_name(folder).alias("component"), P.component_type(F.col("file_path")).alias("component_type"), folder.alias("path"), "package_name", "description", "requirements", "path_sources")
 
 
+def closing(text: str, start: int) -> int:
+    """Where the block that is open at start ends: past its closing brace, or the end of the text."""
+    steps = ((m.end(), 1 if m[0] == "{" else -1) for m in re.compile("[{}]").finditer(text, start))
+    depths = accumulate(steps, lambda known, step: (step[0], known[1] + step[1]), initial=(start, 1))
+    return next((at for at, depth in depths if depth == 0), len(text))
+
+
 def proto_services(files: DataFrame) -> DataFrame:
     """service, package, file_path, owning_service, rpcs, seq of every service definition; bodies end where braces balance."""
 
@@ -99,11 +115,7 @@ def proto_services(files: DataFrame) -> DataFrame:
                 text = text or ""
                 package = PACKAGE.search(text)
                 for m in SERVICE.finditer(text):
-                    deep, at = 1, m.end()
-                    while at < len(text) and deep:
-                        deep += {"{": 1, "}": -1}.get(text[at], 0)
-                        at += 1
-                    rows.append((m[1], package[1] if package else "", path, RPC.findall(text, m.end(), at)))
+                    rows.append((m[1], package[1] if package else "", path, RPC.findall(text, m.end(), closing(text, m.end()))))
             cols = list(zip(*rows, strict=True)) or [()] * 4
             kinds = [pa.string()] * 3 + [pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["service", "package", "file_path", "rpcs"])

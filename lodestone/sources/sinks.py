@@ -15,8 +15,8 @@ def write_csv(flat: DataFrame, path: str) -> None:
 
 
 def write_graph(nodes: DataFrame, edges: DataFrame, path: str) -> None:
-    """Nodes and links as two JSON-lines tables, written in parallel."""
-    nodes.write.mode("overwrite").json(f"{path}/nodes")
+    """Nodes (name as id) and links as two JSON-lines tables, written in parallel; sources.files.graph_json reads them."""
+    nodes.withColumnRenamed("name", "id").write.mode("overwrite").json(f"{path}/nodes")
     edges.write.mode("overwrite").json(f"{path}/links")
 
 
@@ -52,6 +52,23 @@ def scope_report(scope: DataFrame) -> str:
     return "\n".join([*out, "", "## Risk", *(f"- {x}" for x in r["risk_assessment"])])
 
 
+def architecture_prompt(parts: dict[str, str], dependencies: DataFrame) -> str:
+    """A prompt that asks for an architecture summary: the given sources by title, the dependencies, the sections wanted.
+
+    dependencies: name, node_type, description, upstream, downstream (arrays of names), one row a component.
+    """
+    out: list[str] = []
+    for title, text in parts.items():
+        out += [f"## {title}", "", text, ""]
+    out += ["## Components and their dependencies", ""]
+    for r in dependencies.orderBy("name").toLocalIterator():
+        out.append(f"- **{r['name']}** ({r['node_type'] or 'unknown'})" + (f": {r['description']}" if r["description"] else ""))
+        out += [f"  - needs: {', '.join(r['upstream'])}"] if r["upstream"] else []
+        out += [f"  - needed by: {', '.join(r['downstream'])}"] if r["downstream"] else []
+    wanted = ("what the repository is for", "each component in a line", "patterns and where they are implemented", "shared code and who uses it", "how components talk to each other", "notes for developers")
+    return "\n".join([*out, "", "## Task", "", "Summarise the architecture in at most 4000 characters of markdown, from the sources above only:", *(f"{i}. {w}" for i, w in enumerate(wanted, 1))])
+
+
 def flatten_for_csv(df: DataFrame) -> DataFrame:
     """Arrays as text, so any table can go to CSV."""
     return df.select(*(F.to_json(c).alias(c) if t.startswith(("array", "struct", "map")) else F.col(c) for c, t in df.dtypes))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import index as I
+from ..shared import children, exists
 
 
 def latest_versions(stream: DataFrame, key: str = "file_path", ts: str = "ts", late: str = "1 hour") -> DataFrame:
@@ -13,18 +14,26 @@ def latest_versions(stream: DataFrame, key: str = "file_path", ts: str = "ts", l
     return stream.withWatermark(ts, late).dropDuplicatesWithinWatermark([key, "content_hash"])
 
 
+def versions(spark: SparkSession, path: str) -> list[int]:
+    """Complete versions of the table at path, ascending."""
+    names = [n for n in children(spark, path) if n.startswith("v=")]
+    return sorted(int(n[2:]) for n in names if exists(spark, f"{path}/{n}/_SUCCESS"))
+
+
 def upsert_into(path: str, key: str = "file_path", ts: str = "ts"):
-    """A foreachBatch function: merges a batch with the table's current version and writes the next one.
+    """A foreachBatch function: merges a batch with the table's last complete version and writes the next one.
 
-    Versions are folders named by epoch, so a batch that is run again writes the same
-    folder and a reader always finds a complete table.
+    Versions are folders numbered by the table itself, so a new checkpoint over an old
+    table goes on from it. A batch that is run again makes one more version with the same
+    rows, since the latest row of a key wins however often it comes.
     """
 
     def merge(batch: DataFrame, epoch: int) -> None:
         spark: SparkSession = batch.sparkSession
-        before = f"{path}/v={epoch - 1}"
-        stored = spark.read.schema(batch.schema).parquet(before) if epoch > 0 else batch.where("false")
-        I.upsert(stored, batch, [key], F.struct(F.col(ts), F.col("content_hash"))).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        known = versions(spark, path)
+        stored = spark.read.schema(batch.schema).parquet(f"{path}/v={known[-1]}") if known else batch.where("false")
+        following = known[-1] + 1 if known else 0
+        I.upsert(stored, batch, [key], F.struct(F.col(ts), F.col("content_hash"))).write.mode("overwrite").parquet(f"{path}/v={following}")
 
     return merge
 

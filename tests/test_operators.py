@@ -126,7 +126,15 @@ def test_scan_and_sinks(spark, tmp_path):
     nodes = spark.createDataFrame([("a", "service")], "name string, node_type string")
     edges = spark.createDataFrame([("a", "b")], "source string, target string")
     sinks.write_graph(nodes, edges, f"{tmp_path}/g")
-    assert spark.read.json(f"{tmp_path}/g/links").count() == 1
+    n, e = SRC.graph_json(spark, f"{tmp_path}/g")
+    assert [(r["name"], r["node_type"]) for r in n.collect()] == [("a", "service")] and [(r["source"], r["target"]) for r in e.collect()] == [("a", "b")]
+    (tmp_path / "one.json").write_text('{"directed": true, "nodes": [{"id": "x", "node_type": "library"}, {"id": "y"}], "edges": [{"source": "x", "target": "y"}]}')
+    n, e = SRC.graph_json(spark, f"{tmp_path}/one.json")
+    assert {r["name"] for r in n.collect()} == {"x", "y"} and e.count() == 1
+    for odd in ("a+b", "a(b"):
+        (tmp_path / odd).mkdir()
+        (tmp_path / odd / "x.py").write_text("1")
+        assert [r["file_path"] for r in SRC.scan(spark, f"{tmp_path}/{odd}").collect()] == ["x.py"]
     (tmp_path / "bad.json").write_text("{oops")
     n, e = SRC.graph_json(spark, f"{tmp_path}/bad.json")
     assert n.count() == 0 and e.count() == 0
@@ -139,6 +147,11 @@ def test_manifests(spark):
     services = MAN.compose_services(MAN.compose_file(t))
     assert {(r["name"], r["node_type"]) for r in services.collect()} == {("a", "data_store"), ("b", "service")}
     assert [tuple(r) for r in MAN.compose_edges(services).collect()] == [("b", "a", "uses_datastore")]
+    odd = "services: {a: {depends_on: db}, b: text, c: null, d: {depends_on: [redis, x], ports: 80}, e: {depends_on: {a: {condition: ok}}, build: ''}, x: {image: 'postgres:16'}}"
+    services = MAN.compose_services(spark.createDataFrame([("compose.yml", odd), ("y", "when: 2024-13-45")], "file_path string, content string"))
+    assert {r["name"] for r in services.collect()} == {"a", "d", "e", "x"}
+    assert {tuple(r) for r in MAN.compose_edges(services).collect()} == {("d", "redis", "uses_datastore"), ("d", "x", "uses_datastore"), ("e", "a", "depends_on")}
+    assert MAN.closing("{ a } } rest", 1) == 5 and MAN.closing("no end", 0) == 6
     assert MAN.components(t).count() == 0
 
 
@@ -152,6 +165,10 @@ def test_streaming_upsert(spark, tmp_path):
     refresh.run_available(stream, f"{tmp_path}/out", f"{tmp_path}/cp")
     last = spark.read.parquet(f"{tmp_path}/out/v=1")
     assert {r["file_path"]: r["content_hash"] for r in last.collect()} == {"a": "2", "b": "1"}
+    spark.createDataFrame([("c", "3")], "file_path string, content_hash string").withColumn("ts", F.lit("2024-01-03").cast("timestamp")).coalesce(1).write.parquet(f"{tmp_path}/more")
+    refresh.run_available(spark.readStream.schema(schema).parquet(f"{tmp_path}/more"), f"{tmp_path}/out", f"{tmp_path}/new-checkpoint")
+    assert refresh.versions(spark, f"{tmp_path}/out") == [0, 1, 2]
+    assert {r["file_path"]: r["content_hash"] for r in spark.read.parquet(f"{tmp_path}/out/v=2").collect()} == {"a": "2", "b": "1", "c": "3"}
 
 
 def test_sqlite_sessions(spark, tmp_path):
