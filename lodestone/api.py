@@ -22,7 +22,7 @@ from .operators import repomap as R
 from .operators import scope as C
 from .operators import search as S
 from .operators import symbols as Y
-from .shared import delete, exists
+from .shared import delete, exists, get
 from .sources import files as FILES
 from .sources import manifests as M
 from .sources import sinks
@@ -63,7 +63,7 @@ class Repository:
         path = f"{self.root.rstrip('/')}/.gitignore"
         if not exists(self.spark, path):
             return ()
-        return tuple(FILES.gitignore_patterns([r["value"] for r in self.spark.read.text(path).collect()]))  # a configuration file, whole
+        return tuple(FILES.gitignore_patterns(get(self.spark, path).split("\n")))
 
     def scan(self) -> DataFrame:
         return FILES.scan(self.spark, self.root, self.extra_skip, self.gitignore())
@@ -81,7 +81,8 @@ class Repository:
         dirty = scanned.join(found.where("change IN ('new', 'changed')").select("file_path"), "file_path", "left_semi")
         chunks = H.chunk_files(dirty.select("file_path", "content"), self.max_lines, self.overlap).withColumn("service", P.service(F.col("file_path"), "chunker"))
         symbol = F.when(F.col("symbol_type") == "fragment", F.concat(F.lit("__window_"), (F.col("line_start") - 1).cast("string"), F.lit("__"))).otherwise(F.col("symbol_name"))
-        chunks = H.documents(chunks.withColumn("chunk_id", X.chunk_id(F.col("file_path"), F.col("line_start"), symbol)))
+        by_span = X.span_chunk_id(F.col("file_path"), F.col("line_start") - 1, F.col("line_end") - 1)
+        chunks = H.documents(chunks.withColumn("chunk_id", F.when(F.col("definition"), by_span).otherwise(X.chunk_id(F.col("file_path"), F.col("line_start"), symbol))))
         columns = ["chunk_id", "file_path", "language", "service", "symbol_name", "symbol_type", "line_start", "line_end", "document"]
         fresh = self._written(E.embed(chunks.select(columns)), "fresh", now)
         classes = I.with_chunks(found, fresh)
@@ -226,8 +227,8 @@ class Repository:
         for name in ("README.md", "README.rst", "README.txt", "README"):
             path = f"{self.root.rstrip('/')}/{name}"
             if exists(self.spark, path):
-                text = self.spark.read.option("wholetext", "true").text(path).select(X.truncate(F.trim("value"), 3000, "\n\n... (truncated)").alias("text")).first()
-                parts[name] = text["text"] if text else ""
+                text = get(self.spark, path).strip()
+                parts[name] = text if len(text) <= 3000 else text[:3000] + "\n\n... (truncated)"
                 break
         listing = G.listing(nodes, edges)
         return sinks.architecture_prompt(parts, nodes.select("name", "node_type", "description").join(listing, "name"))

@@ -123,11 +123,12 @@ def definition_spans(lines: list[str], pattern: str) -> list[tuple[str, str, int
     A definition ends where the braces opened since its first line are closed again; one
     that opens none before the next begins ends before that, the last one with the file.
     """
-    rx = re.compile(pattern)
+    rx = re.compile(pattern, re.ASCII)
     starts = [(i, m) for i, line in enumerate(lines) if (m := rx.match(line))]
     depth = list(accumulate((line.count("{") - line.count("}") for line in lines), initial=0))
     out = []
-    for (i, m), following in zip(starts, [*(i for i, _ in starts[1:]), len(lines)], strict=True):
+    nexts = [i for i, _ in starts[1:]] + [len(lines)] * bool(starts)
+    for (i, m), following in zip(starts, nexts, strict=True):
         opened = next((j for j in range(i, following) if depth[j + 1] > depth[i] or "{" in lines[j]), None)
         closed = next((j for j in range(opened, len(lines)) if depth[j + 1] <= depth[i]), None) if opened is not None else None
         out.append((KINDS.get(m[1], m[1]), m[2], i + 1, (closed if closed is not None else following - 1) + 1))

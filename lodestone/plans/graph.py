@@ -77,6 +77,13 @@ def reading_order(spark, sf):
     return C.reading_order(C.service_hits(hits), C.key_files(hits), nodes)
 
 
+def dependency_listing(spark, sf):
+    """The first ten nations with what is two hops around them."""
+    nodes = table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("name"))
+    found = G.listing(nodes, _cycle(spark, sf), 10)
+    return found.select("name", F.array_join("upstream", ",").alias("upstream"), F.array_join("downstream", ",").alias("downstream"))
+
+
 def dep_resolution(spark, sf):
     host = F.regexp_extract("url", r"^[a-z]+://([^/]+)", 1)
     pages = table(spark, sf, "pages").select("page_id", host.alias("host"))
@@ -183,6 +190,13 @@ s AS (SELECT service, count(*) AS n, min(rank) AS first FROM lh GROUP BY service
 f AS (SELECT service, string_agg('`' || file_path || '`', ', ' ORDER BY rank) AS files FROM (SELECT *, row_number() OVER (PARTITION BY service ORDER BY rank) AS rn FROM lh) WHERE rn <= 3 GROUP BY service),
 k AS (SELECT s.*, files, CAST(substr(s.service, 6) AS INTEGER) % 3 = 0 AS lib FROM s JOIN f USING (service))
 SELECT CAST(row_number() OVER (ORDER BY CASE WHEN lib THEN 0 ELSE 1 END, n DESC, first) AS INTEGER) AS position, CASE WHEN lib THEN 'Shared library **' ELSE 'Service **' END || service || '**: ' || files AS entry FROM k""",
+    ),
+    "dependency_listing": (
+        dependency_listing,
+        """WITH e AS (SELECT CAST(n_nationkey AS VARCHAR) AS source, CAST((n_nationkey * 7 + 3) % 25 AS VARCHAR) AS target FROM nation), f AS (SELECT source AS name FROM e ORDER BY 1 LIMIT 10),
+u AS (SELECT f.name, e.target AS x FROM f JOIN e ON e.source = f.name UNION SELECT f.name, g.target FROM f JOIN e ON e.source = f.name JOIN e g ON g.source = e.target),
+d AS (SELECT f.name, e.source AS x FROM f JOIN e ON e.target = f.name UNION SELECT f.name, g.source FROM f JOIN e ON e.target = f.name JOIN e g ON g.target = e.source)
+SELECT name, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM u WHERE u.name = f.name), '') AS upstream, coalesce((SELECT string_agg(x, ',' ORDER BY x) FROM d WHERE d.name = f.name), '') AS downstream FROM f""",
     ),
     "dep_resolution": (
         dep_resolution,

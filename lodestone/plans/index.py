@@ -71,7 +71,9 @@ def files_distinct(spark, sf):
 
 def status(spark, sf):
     runs = table(spark, sf, "events").select(F.col("event_id").alias("id"), "event_type")
-    return I.status(_files(spark, sf), runs)
+    s = I.status(_files(spark, sf), runs)
+    shown = lambda c: F.array_join(F.transform(f"by_{c}", lambda x: F.concat(x[c], F.lit(":"), x["files"].cast("string"))), ",").alias(f"by_{c}")
+    return s.select("total_files", "total_chunks", "total_lines", shown("service"), shown("language"), F.col("last_run.id").alias("last_id"), F.col("last_run.event_type").alias("last_type"))
 
 
 QUERIES = {
@@ -97,5 +99,11 @@ SELECT doc_id, CASE WHEN n.h IS NULL THEN 'deleted' WHEN o.h IS NULL THEN 'new'
     "last_run": (last_run, "SELECT event_id, event_type, ts, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1"),
     "last_run_all": (last_run_all, "SELECT event_id, event_type, value FROM events ORDER BY event_id DESC LIMIT 1"),
     "distinct_files": (files_distinct, "SELECT DISTINCT conv_id FROM conversations"),
-    "status_report": (status, None),
+    "status_report": (
+        status,
+        """WITH t AS (SELECT len(string_split(text, chr(10))) - CASE WHEN text = '' OR ends_with(text, chr(10)) THEN 1 ELSE 0 END AS n, source, lang FROM documents),
+s AS (SELECT source, count(*) AS n FROM t WHERE coalesce(source, '') <> '' GROUP BY 1), l AS (SELECT lang, count(*) AS n FROM t GROUP BY 1)
+SELECT count(*) AS total_files, count(*) AS total_chunks, CAST(sum(n) AS BIGINT) AS total_lines, (SELECT string_agg(source || ':' || n, ',' ORDER BY n DESC, source) FROM s) AS by_service,
+  (SELECT string_agg(lang || ':' || n, ',' ORDER BY n DESC, lang) FROM l) AS by_language, (SELECT max(event_id) FROM events) AS last_id, (SELECT arg_max(event_type, event_id) FROM events) AS last_type FROM t""",
+    ),
 }

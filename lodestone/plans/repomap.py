@@ -9,7 +9,7 @@ from ..operators import graph as G
 from ..operators import repomap as R
 from ..operators import symbols as Y
 from .common import EDGES_SQL, PATHS_SQL, entity_edges, page_paths, table
-from .text import _group, _parts
+from .text import _group, _low, _parts, _test
 
 
 def _scored(spark, sf):
@@ -53,12 +53,13 @@ def budget_prefix_by_source(spark, sf):
 
 
 def repo_map(spark, sf):
-    """The map of the pages' symbols, as one text."""
-    s = Y.html_symbols(page_paths(spark, sf))
+    """The map of the pages' symbols, as one text; of pages with one path the first counts."""
+    pages = page_paths(spark, sf).groupBy("path").agg(F.min_by("html", "page_id").alias("html"))
+    s = Y.html_symbols(pages)
     empty = F.array().cast("array<struct<name:string,kind:string,signature:string,line:int>>")
     symbols = F.transform("headings", lambda h: F.struct(h.alias("name"), F.lit("class").alias("kind"), F.concat(F.lit("class "), h).alias("signature"), F.lit(1).alias("line"), empty.alias("children")))
     files = s.select(F.col("path").alias("rel_path"), symbols.alias("symbols"), R.file_score(F.col("path"), F.size("headings"), F.size("links"), F.col("scripts"), F.lit(0)).alias("score"))
-    return R.repo_map(R.rank_files(files.dropDuplicates(["rel_path"])))
+    return R.repo_map(R.rank_files(files))
 
 
 _entry = "CASE " + " ".join(f"WHEN regexp_matches(path, '(^|/){p}$') THEN {b}" for p, b in P.ENTRY_POINTS) + " ELSE 0.0 END"
@@ -93,5 +94,15 @@ SELECT service, path AS rel_path, round(score, 4) AS score FROM r WHERE rn = 1""
         budget_prefix_by_source,
         "SELECT doc_id, source, CAST(running AS BIGINT) AS running FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id) AS running FROM documents WHERE n_chars > 0) WHERE running <= 24000",
     ),
-    "repo_map": (repo_map, None),
+    "repo_map": (
+        repo_map,
+        rf"""WITH {PATHS_SQL}, u AS (SELECT path, arg_min(coalesce(html, ''), page_id) AS html FROM paths GROUP BY path),
+pp AS (SELECT *, string_split(path, '/') AS p, string_split(path, '/')[-1] AS name, regexp_extract_all(html, '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1) AS hs, len(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS a, len(regexp_extract_all(html, '<(script)[ >]', 1)) AS c FROM u),
+sc AS (SELECT *, {_group} AS grp, CASE WHEN len(hs) + a + c = 0 THEN 0.0::DOUBLE ELSE greatest(log2((len(hs) + a + c + 1)::DOUBLE) + 1.5 * ((len(hs) > 0)::INT + (a > 0)::INT + (c > 0)::INT)::DOUBLE + ({_entry})::DOUBLE - greatest(0.0::DOUBLE, (len(p) - 3) * 0.2::DOUBLE), 0.1::DOUBLE) END AS score
+  FROM pp WHERE NOT {_test} AND NOT {_low}),
+g AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY round(score, 9) DESC, path) AS rn FROM sc) WHERE rn <= 5),
+k AS (SELECT row_number() OVER (ORDER BY round(score, 9) DESC, path) AS position, '## ' || path || chr(10) || list_aggregate(list_transform(hs[1:10], lambda h: '  class ' || h || chr(10)), 'string_agg', '') AS block FROM g ORDER BY position LIMIT 80),
+r AS (SELECT *, sum(length(block) + 1) OVER (ORDER BY position) + {len(chr(10).join(R.HEADER)) + 1} AS running FROM k)
+SELECT '{chr(10).join(R.HEADER)}' || coalesce(chr(10) || string_agg(block, chr(10) ORDER BY position), '') AS map FROM r WHERE running <= 24000""",
+    ),
 }

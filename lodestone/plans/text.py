@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import classify as K
+from ..functions import embedding as V
 from ..functions import paths as P
 from ..functions import text as X
 from ..operators import chunking as H
@@ -98,10 +99,38 @@ def symbols_regex(spark, sf):
 
 
 def regex_definitions(spark, sf):
-    d = table(spark, sf, "documents").select(F.col("doc_id").alias("file_path"), F.regexp_replace("text", r"(?m)^(\w+)", "function $1").alias("content"))
-    return H.regex_definitions(d, "shell").select(F.col("file_path").alias("doc_id"), "line_start", "line_end", "kind", "symbol_name")
+    """Lines that begin with a word count as definitions of that name."""
+    text = F.regexp_replace("text", r"(^|\n)(\w+)", "$1function $2")
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("file_path"), F.lit("shell").alias("language"), text.alias("content"))
+    return H.regex_definitions(d).select(F.col("file_path").alias("doc_id"), "line_start", "line_end", "symbol_type", "symbol_name")
 
 
+def usable_files(spark, sf):
+    """Documents, every seventh a hundred times as long, that are neither blank nor of more than 10,000 lines."""
+    text = F.when(F.col("doc_id") % 7 == 0, F.repeat(F.concat("text", F.lit("\n")), 1500)).when(F.col("doc_id") % 13 == 0, " \n\t").otherwise(F.col("text"))
+    return H.usable(table(spark, sf, "documents").select("doc_id", text.alias("content"))).select("doc_id")
+
+
+def embedded(spark, sf):
+    """Sizes and lengths of the hashing embedder's vectors, and each document's similarity to itself in upper case."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("document"))
+    one, other = V.embed(d), V.embed(d.withColumn("document", F.concat("document", F.lit("\n\n"))))
+    length = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x))
+    both = one.select("chunk_id", "vec_id", F.size("embedding").alias("size"), F.round(length, 6).alias("length"), F.col("embedding").alias("a")).join(other.select("vec_id", F.col("embedding").alias("b")), "vec_id")
+    same = F.round(F.aggregate(F.zip_with("a", "b", lambda x, y: x * y), F.lit(0.0), lambda a, x: a + x), 6)
+    return both.select(F.col("chunk_id").alias("doc_id"), "size", "length", same.alias("similarity"))
+
+
+def overall_recommendation(spark, sf):
+    e = table(spark, sf, "events")
+    at = lambda names, n: F.element_at(F.array(*map(F.lit, names)), (F.col("event_id") % n + 1).cast("int"))
+    kind, n, band = at(_PATTERNS, 4), (F.col("event_id") % 5), at(_BANDS, 3)
+    files, lines = (F.col("event_id") % 12).cast("int"), (F.col("user_id") % 900).cast("int")
+    text = K.overall_recommendation(files, lines, (F.lit(1), F.lit(2)), (F.lit(30), F.lit(4000)), kind, n, band)
+    return e.select("event_id", text.alias("recommendation"))
+
+
+_PATTERNS, _BANDS = ("library", "utility", "service", "none"), ("LOW", "MEDIUM", "HIGH")
 _any = lambda col, words: " OR ".join(f"contains({col}, '{w}')" for w in words)
 _stop = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _kw = lambda stop, n: f"array_to_string(([w FOR w IN regexp_split_to_array(lower(trim(text)), '\\s+') IF length(w) > 3 AND NOT list_contains({_stop(stop)}, w)])[1:{n}], ',')"
@@ -189,5 +218,22 @@ SELECT doc_id, CASE WHEN store THEN 'data_store' WHEN regexp_matches(lower(name)
         r"""WITH s AS (SELECT page_id, regexp_extract_all(coalesce(html, ''), '<h[1-6][^>]*>([^<]*)</h[1-6]>', 1) AS h, regexp_extract_all(coalesce(html, ''), '<a\s[^>]*href="([^"]*)"', 1) AS a, regexp_extract_all(coalesce(html, ''), '<(script)[ >]', 1) AS c FROM pages)
 SELECT page_id, CAST(len(h) AS INTEGER) AS headings, CAST(len(a) AS INTEGER) AS links, CAST(len(c) AS INTEGER) AS scripts, md5(array_to_string(a, '|')) AS links_md5, md5(array_to_string(h, '|')) AS headings_md5 FROM s""",
     ),
-    "regex_definitions": (regex_definitions, None),
+    "regex_definitions": (
+        regex_definitions,
+        f"""WITH {LINES_SQL}, l AS (SELECT doc_id, len(ls) AS n, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM lines),
+f AS (SELECT doc_id, n, i, regexp_extract(line, '^([0-9A-Za-z_]+)', 1) AS name FROM l WHERE regexp_matches(line, '^[0-9A-Za-z_]'))
+SELECT doc_id, CAST(i AS INTEGER) AS line_start, CAST(coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - 1, n) AS INTEGER) AS line_end, 'function' AS symbol_type, name AS symbol_name FROM f""",
+    ),
+    "usable_files": (
+        usable_files,
+        f"""WITH {LINES_SQL} SELECT doc_id FROM lines WHERE CASE WHEN doc_id % 7 = 0 THEN regexp_matches(text || chr(10), '[^\\n\\r\\t ]') AND len(p) * 1500 <= 10000 WHEN doc_id % 13 = 0 THEN false ELSE regexp_matches(text, '[^\\n\\r\\t ]') AND len(ls) <= 10000 END""",
+    ),
+    "embedded_documents": (embedded, "SELECT doc_id, 256 AS size, w AS length, w AS similarity FROM (SELECT doc_id, CASE WHEN regexp_matches(text, '[A-Za-z][a-z]|[A-Z]|[0-9]') THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS w FROM documents)"),
+    "overall_recommendation": (
+        overall_recommendation,
+        f"""WITH x AS (SELECT event_id, {list(_PATTERNS)}[event_id % 4 + 1] AS kind, event_id % 5 AS n, {list(_BANDS)}[event_id % 3 + 1] AS band, event_id % 12 AS files, user_id % 900 AS lines FROM events)
+SELECT event_id, 'Historical: Median ' || files || '.0 files, ' || lines || '.0 lines (range: 1-30 files, 2-4000 lines); ' ||
+  CASE WHEN kind = 'library' AND n >= 3 THEN 'Pattern: ' || n || ' library implementations exist - consider using existing code' WHEN kind = 'none' OR n = 0 THEN 'Pattern: No similar code found - start with inline solution' ELSE 'Pattern: ' || n || ' ' || kind || ' implementations exist' END ||
+  '; Complexity: ' || band || ' - ' || CASE band WHEN 'LOW' THEN 'inline solution recommended' WHEN 'MEDIUM' THEN 'consider modular approach' ELSE 'plan carefully, test thoroughly' END AS recommendation FROM x""",
+    ),
 }

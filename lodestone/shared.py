@@ -47,14 +47,24 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def put(spark: SparkSession, path: str, text: str) -> None:
+def put(spark: SparkSession, path: str, data: str | bytes) -> None:
     """Writes a small file, such as a manifest or a report, to any store Hadoop reaches."""
     p, fs = _fs(spark, path)
     out = fs.create(p, True)
-    out.write(bytearray(text.encode()))
+    out.write(bytearray(data.encode() if isinstance(data, str) else data))
     out.close()
 
 
+def get(spark: SparkSession, path: str) -> str:
+    """The text of a small file, hidden ones too, which Spark's readers pass over."""
+    p, fs = _fs(spark, path)
+    stream = fs.open(p)
+    try:
+        return spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
 def delete(spark: SparkSession, path: str) -> None:
     p, fs = _fs(spark, path)
     fs.delete(p, True)
