@@ -4,11 +4,15 @@ A linear-chain conditional random field labels each line of a text as content or
 boilerplate; Viterbi decoding gives the best sequence, and the share of the
 text's words that stand in content lines decides retention.
 
-The field is trained here by gradient ascent on the log-likelihood of line
-sequences from a bounded sample of labelled documents (SAMPLE rows, chosen by a
-hash of doc_id): lines of documents with quality 1 are content, lines of those
-with quality 0 are boilerplate. Only line features of the sample travel to the
-driver. Documents are judged whole, map-side, without any shuffle.
+Labels are known for documents, not for lines, so line labels are estimated first: a
+line model fitted on the documents' labels says which lines look like the other kind,
+and they change sides as long as the larger part of a document's words agrees with its
+label; the model is fitted again on the outcome (ROUNDS times). Repeated lines of good
+documents start as boilerplate. The field is then trained by gradient ascent on the
+log-likelihood of these mixed sequences, so that it learns where texts change. The
+sample is bounded (SAMPLE documents, chosen by a hash of doc_id, one row and at most
+SAMPLE_LINES lines each); only line features of the sample travel to the driver.
+Documents are judged whole, map-side, without any shuffle.
 """
 
 from __future__ import annotations
@@ -27,12 +31,16 @@ UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
 #: Bound on the labelled rows that the field is fitted on.
 SAMPLE = 1500
+#: Bound on the lines of a sampled document, and rounds of estimating line labels.
+SAMPLE_LINES, ROUNDS = 2000, 4
 #: Longer line sequences are cut into segments of so many lines for training; decoding takes the whole sequence.
 SEGMENT = 64
 #: Least share of words in content lines.
 SHARE = 0.5
 MIN_WORDS = 50
 FEATURES = 12
+#: The feature that tells a line the text had before.
+REPEATED = 9
 
 
 def repeated_words(words: list[bytes]) -> int:
@@ -119,20 +127,55 @@ class Field:
         return labels[::-1]
 
 
-def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, ridge: float = 1e-3) -> Field:
-    """Fits the field to (features, label of all lines); no sequences: a field that keeps every line."""
-    parts = [(x[i : i + SEGMENT], y) for x, y in sequences for i in range(0, len(x), SEGMENT)]
-    if not parts or len({y for _, y in parts}) < 2:
+def line_model(x: np.ndarray, y: np.ndarray, steps: int = 25) -> np.ndarray:
+    """Weights of a ridge logistic regression of line labels, both labels counting alike."""
+    weight = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+    beta = np.zeros(x.shape[1])
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
+        hessian = x.T @ (x * (weight * p * (1 - p))[:, None]) + 1e-3 * np.eye(len(beta))
+        beta += np.clip(np.linalg.solve(hessian, x.T @ (weight * (y - p)) - 1e-3 * beta), -4, 4)
+    return beta
+
+
+def line_labels(documents: list[tuple[np.ndarray, np.ndarray, int]], rounds: int = ROUNDS) -> list[np.ndarray]:
+    """A label for each line of (features, words, label of the document) with a line; the larger part of its words agrees with the document."""
+    if not documents:
+        return []
+    x = np.concatenate([d[0] for d in documents])
+    ends = np.cumsum([0, *(len(d[0]) for d in documents)])
+    labels = [np.where(rows[:, REPEATED] > 0, 0, 1) if y else np.zeros(len(rows), dtype=int) for rows, _, y in documents]
+    for _ in range(rounds):
+        known = np.concatenate(labels)
+        if known.min() == known.max():
+            break
+        margin = x @ line_model(x, known)
+        for i, (rows, words, y) in enumerate(documents):
+            own = margin[ends[i] : ends[i + 1]]
+            other = np.maximum(rows[:, REPEATED] > 0, own < 0) if y else own > 0
+            order = np.argsort(own if y else -own, kind="stable")
+            order = order[other[order]]  # lines of the other kind, the surest first
+            moved = order[np.cumsum(words[order]) * 2 < words.sum()]
+            labels[i] = np.full(len(rows), y)
+            labels[i][moved] = 1 - y
+    return labels
+
+
+def train(sequences: list[tuple[np.ndarray, np.ndarray]], rounds: int = 150, ridge: float = 1e-3) -> Field:
+    """Fits the field to (features, label of each line); labels of one kind only: a field that keeps every line."""
+    parts = [(x[i : i + SEGMENT], y[i : i + SEGMENT]) for x, y in sequences for i in range(0, len(x), SEGMENT)]
+    if not parts or len({int(v) for _, y in parts for v in np.unique(y)}) < 2:
         return Field(np.eye(1, FEATURES).ravel(), np.zeros((2, 2)))
     parts.sort(key=lambda p: -len(p[0]))
     size = np.array([len(x) for x, _ in parts])
     steps, n = int(size[0]), len(parts)
-    x = np.zeros((n, steps, FEATURES))
-    for i, (rows, _) in enumerate(parts):
-        x[i, : len(rows)] = rows
-    y = np.array([label for _, label in parts])
-    share = np.array([(size * (y == 0)).sum(), (size * (y == 1)).sum()]) / size.sum()
-    weight = np.where(y == 1, 0.5 / share[1], 0.5 / share[0])  # both labels count alike
+    x, y = np.zeros((n, steps, FEATURES)), np.zeros((n, steps), dtype=int)
+    for i, (rows, labels) in enumerate(parts):
+        x[i, : len(rows)], y[i, : len(rows)] = rows, labels
+    here = np.arange(steps)[None, :] < size[:, None]
+    content = (y * here).sum() / size.sum()
+    mean_label = (y * here).sum(axis=1) / size
+    weight = mean_label * 0.5 / content + (1 - mean_label) * 0.5 / (1 - content)  # both labels count alike
     alive = [int((size > t).sum()) for t in range(steps)]
     theta, mean, square = np.zeros(FEATURES + 4), np.zeros(FEATURES + 4), np.zeros(FEATURES + 4)
     total = (size * weight).sum()
@@ -149,16 +192,15 @@ def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, ridge: flo
             a = alive[t + 1]
             backward[:a, t] = np.logaddexp.reduce(move + (score[:a, t + 1] + backward[:a, t + 1])[:, None, :], axis=2)
         z = np.logaddexp.reduce(forward[:, 0] + backward[:, 0], axis=1)
-        here = np.arange(steps)[None, :] < size[:, None]
         p1 = np.exp(np.minimum(0, forward[:, :, 1] + backward[:, :, 1] - z[:, None])) * here
-        gap = (y[:, None] - p1) * here * weight[:, None]
+        gap = (y - p1) * here * weight[:, None]
         grad_emit = np.einsum("nt,ntf->f", gap, x)
         grad_move = np.zeros((2, 2))
         for t in range(1, steps):
             a = alive[t]
             pair = np.exp(np.minimum(0, forward[:a, t - 1, :, None] + move + (score[:a, t] + backward[:a, t])[:, None, :] - z[:a, None, None]))
             true = np.zeros((a, 2, 2))
-            true[np.arange(a), y[:a], y[:a]] = 1
+            true[np.arange(a), y[:a, t - 1], y[:a, t]] = 1
             grad_move += ((true - pair) * weight[:a, None, None]).sum(axis=0)
         grad = np.concatenate([grad_emit, grad_move.ravel()]) / total - ridge * theta
         mean, square = 0.9 * mean + 0.1 * grad, 0.99 * square + 0.01 * grad * grad
@@ -166,6 +208,12 @@ def train(sequences: list[tuple[np.ndarray, int]], rounds: int = 150, ridge: flo
     return Field(theta[:FEATURES], theta[FEATURES:].reshape(2, 2))
 
 
+def learn(documents: list[tuple[np.ndarray, np.ndarray, int]]) -> Field:
+    """The field of (features, words of each line, label) of documents."""
+    some = [d for d in documents if len(d[0])]
+    return train(list(zip([d[0] for d in some], line_labels(some), strict=True)))
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """Trains on at most `sample` labelled rows of docs; rows without a label are not used."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -173,14 +221,17 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
 
     def run(batches):
         for b in batches:
-            cells = [line_features((t or b"").split(b"\n"))[0].astype(np.float32).tobytes() for t in b.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cells, pa.binary())], ["doc_id", "quality", "cells"])
+            found = [line_features((t or b"").split(b"\n")) for t in b.column(1).cast(pa.binary()).to_pylist()]
+            cells = [rows[:SAMPLE_LINES].astype(np.float32).tobytes() for rows, _ in found]
+            words = [sizes[:SAMPLE_LINES] for _, sizes in found]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cells, pa.binary()), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "quality", "cells", "words"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-    rows = joined.mapInArrow(run, "doc_id long, quality int, cells binary").collect()  # at most `sample` documents
-    rows = sorted(rows, key=lambda r: (r["doc_id"], r["cells"]))
-    return train([(np.frombuffer(r["cells"], dtype=np.float32).reshape(-1, FEATURES).astype(np.float64), r["quality"]) for r in rows])
+    one = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row a doc_id
+    rows = one.select("doc_id", "text", "quality").mapInArrow(run, "doc_id long, quality int, cells binary, words array<long>").collect()  # at most `sample` documents
+    rows = sorted(rows, key=lambda r: r["doc_id"])
+    features = lambda r: np.frombuffer(r["cells"], dtype=np.float32).reshape(-1, FEATURES).astype(np.float64)
+    return learn([(features(r), np.array(r["words"], dtype=np.int64), r["quality"]) for r in rows])
 
 
 def judge(text: str | None, field: Field, share: float = SHARE) -> tuple:

@@ -325,13 +325,59 @@ def test_viterbi_equals_enumeration():
         assert score(field.decode(x)) == pytest.approx(max(map(score, product((0, 1), repeat=6))))
 
 
+def prose(r, n=9):
+    return " ".join(f"{r.choice(['tion', 'house', 'river', 'wonder', 'green'])}{r.randrange(900)}" for _ in range(n)) + "."
+
+
+def table_row(r, n=9):
+    return " | ".join(f"x{r.randrange(900)}" for _ in range(n)) + " |"
+
+
+def test_mixed_texts_decode_mixed():
+    """From labels of documents alone: table rows inside prose are boilerplate, prose between table rows is content, the share decides."""
+    r = random.Random(4)
+
+    def text(kinds):
+        return "\n".join(prose(r) if k == "p" else table_row(r) for k in kinds)
+
+    def sample(t, y):
+        rows, sizes = quality.line_features(t.encode().split(b"\n"))
+        return rows, np.array(sizes), y
+
+    good = [sample(text("p" * 8 + "t" * (i % 3)), 1) for i in range(60)]
+    bad = [sample(text("t" * 8 + "p" * (i % 3)), 0) for i in range(60)]
+    field = quality.learn(good + bad)
+    for kinds in ("pppppttpp", "ttttttpp", "pppppppp", "tttttttt", "tttppppppp", "pptttttttttpp"):
+        labels = field.decode(quality.line_features(text(kinds).encode().split(b"\n"))[0])
+        assert labels == [int(k == "p") for k in kinds], kinds
+    mostly, little = text("p" * 7 + "t" * 3), text("p" * 3 + "t" * 7)
+    assert quality.judge(mostly, field)[6] and not quality.judge(little, field)[6]
+    assert quality.judge(little, field, share=0.05)[6] and not quality.judge(mostly, field, share=0.95)[6]
+    assert quality.line_labels([]) == [] and quality.learn([]).decode(np.zeros((2, quality.FEATURES))) == [1, 1]
+
+
+def test_quality_fixtures_hold_mixed_documents(spark, sf):
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    field = quality.fit(docs, labels)
+    found = [field.decode(quality.line_features(r["text"].encode().split(b"\n"))[0]) for r in docs.collect()]
+    assert sum(len(set(x)) == 2 for x in found) >= 0.03 * sum(len(x) > 1 for x in found)
+
+
+def test_quality_samples_one_row_a_document(spark):
+    texts = ["a b c.\n" * 9, "x | y |\n" * 9]
+    rows = [(i % 2, texts[i % 2]) for i in range(40)] + [(None, "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(0, 1), (1, 0), (None, 1)], "doc_id long, quality int")
+    assert quality.assess(docs, quality.fit(docs, labels)).count() == 41
+
+
 def test_quality_learns(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     field = quality.fit(docs, labels)
     got = {r["doc_id"]: r for r in quality.assess(docs, field).collect()}
     known = [(got[r["doc_id"]], r["quality"]) for r in labels.collect()]
     judged = [(r["kept"], q) for r, q in known if not r["base_failed"]]
-    assert sum(k == bool(q) for k, q in judged) >= 0.95 * len(judged)
+    assert sum(k == bool(q) for k, q in judged) >= 0.98 * len(judged)
     kept = quality.keep_good(docs, field)
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {d for d, r in got.items() if r["kept"]}
 
