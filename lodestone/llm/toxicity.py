@@ -1,12 +1,19 @@
 """Toxicity scores from a lexicon trie, Levenshtein automata and context windows.
 
-The lexicon is learned from a bounded sample of labelled rows: word stems that
-occur far more often in toxic than in other documents. The stems form a trie.
-For every distinct word a Levenshtein automaton of distance one is walked in
-lockstep with the trie, so exact and misspelled stems are found together
-without listing variants. Each stem carries two weights, log rate ratios for
-exact and for misspelled occurrences, measured on the sample and shrunk towards
-the exact one.
+The lexicon is learned from a bounded sample of labelled rows: word beginnings (stems)
+that occur far more often in toxic than in other documents. The stems form a trie, and
+the trie is intersected with the Levenshtein automaton of distance one, a swap of
+neighbours counting as one edit: a state of the product is a set of trie nodes with the
+edits spent, made the first time a word needs it and remembered, so a further word costs
+a lookup a character and most leave after a few. All stems of FUZZY_MIN letters or more
+take part.
+
+A hit is of one of three kinds: the stem begins the word as it is, the whole word is
+within one edit of the stem, or a beginning of the word is. Each stem carries a weight
+for each kind, a log rate ratio measured on the sample and shrunk towards the exact one.
+Words that clean documents of the sample use are no misspellings, however close: half of
+the clean sample gives these known words, the other half the rate of misspellings that
+are none, then all of it gives the known words.
 
 Hits are then read in context: a hit inside quotation marks or after a
 reporting word within the window counts as quotation and keeps only a share of
@@ -27,17 +34,27 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 #: Bounds on the labelled rows the model is fitted on, for each label.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 2500
 STEM_MIN, STEM_MAX = 4, 12
 #: Shorter stems must match exactly; longer ones may have one edit.
 FUZZY_MIN = 5
-MAX_STEMS = 72
-#: Misspellings of a stem are looked for if the sample finds them e**2 times as often in toxic documents; the fewer the stems, the fewer words need the automaton.
-FUZZY_WEIGHT = 2.0
+#: Most stems a lexicon holds, the most telling first: a bound on what the model learns and sends to the tasks.
+MAX_STEMS = 256
+#: Least evidence for a stem: twice the log likelihood ratio of its rate in toxic documents against that in others; chance among 100,000 beginnings gives 30 about once in 200 lexicons.
+EVIDENCE = 30.0
+#: A stem that is not a whole word of toxic documents needs so many different words that begin with it.
+CONTINUATIONS = 3
+#: Kinds of hits.
+EXACT, WHOLE, PREFIX = 0, 1, 2
 WINDOW = 6
 QUOTED_SHARE = 0.3
-MEMO = 300_000
+#: Bytes of words a task remembers, words too long to be remembered, and transitions of the automaton it keeps.
+MEMO_BYTES, MEMO_WORD, MEMO_STEPS = 48 << 20, 64, 400_000
+#: Distinct words of a sampled text that the lexicon is learned from; scoring reads whole texts.
+SAMPLE_WORDS = 20_000
 #: Words that report speech.
 REPORTING = frozenset("said says quote quoted quotes wrote writes called word term phrase dijo dice escribió sagte sagt schrieb wort dit écrit mot".split())
 OPENERS, CLOSERS = "\"“«‘„'", "\"”»’“'"
@@ -51,99 +68,137 @@ def words_of(text: str | None) -> list[str]:
 
 
 class Lexicon:
-    """Stems in a trie; find() intersects it with a word's Levenshtein automaton."""
+    """Stems in a trie; find() runs the trie's product with the Levenshtein automaton of distance one.
+
+    weights: a weight for each kind of hit of each stem; a kind of weight 0 is not looked for.
+    known: words that are no misspellings.
+    """
 
-    def __init__(self, weights: dict[str, tuple[float, float]]):
-        self.weights = weights
-        self.trie: dict = {}
+    def __init__(self, weights: dict[str, tuple[float, float, float]], known: frozenset[str] = frozenset()):
+        self.weights, self.known = weights, known
         self.sizes = sorted({len(stem) for stem in weights}, reverse=True)
-        bent = [stem for stem, (_, w) in weights.items() if len(stem) >= FUZZY_MIN and w >= FUZZY_WEIGHT]
-        self.heads = {stem[:2] for stem in bent}
-        self.middles = {stem[2:5] for stem in bent}
-        for stem in bent:
-            node = self.trie
+        self.below: list[dict[str, int]] = [{}]
+        self.ends: list[str | None] = [None]
+        for stem in sorted(s for s, w in weights.items() if len(s) >= FUZZY_MIN and (w[WHOLE] > 0 or w[PREFIX] > 0)):
+            at = 0
             for c in stem:
-                node = node.setdefault(c, {})
-            node[""] = stem
-
-    def possible(self, word: str) -> bool:
-        """False only if no stem can match with one edit, which leaves a stem's first two characters, or the next three, as they are."""
-        middles = self.middles
-        return len(word) >= FUZZY_MIN - 1 and (word[:2] in self.heads or word[2:5] in middles or word[1:4] in middles or word[3:6] in middles)
+                following = self.below[at].get(c)
+                if following is None:
+                    following = self.below[at][c] = len(self.below)
+                    self.below.append({})
+                    self.ends.append(None)
+                at = following
+            self.ends[at] = stem
+        self._forget()
+
+    def __getstate__(self):
+        return self.weights, self.known
+
+    def __setstate__(self, state):
+        self.__init__(*state)
+
+    def _forget(self) -> None:
+        self.states: dict[frozenset, int] = {}
+        self.sets: list[frozenset] = []
+        self.ended: list[tuple[str, ...]] = []
+        self.steps: list[dict[str, int]] = []
+        self.made = 0
+        self.start = self._state({(0, 0, "")})
+
+    def _state(self, members: set[tuple[int, int, str]]) -> int:
+        """The number of a set of (node, edits, character a swap still needs), completed by characters left out of the word."""
+        for node, edits, pending in list(members):
+            if not edits and not pending:
+                members.update((m, 1, "") for m in self.below[node].values())
+        key = frozenset(x for x in members if not x[1] or x[2] or (x[0], 0, "") not in members)
+        found = self.states.get(key)
+        if found is None:
+            found = self.states[key] = len(self.sets)
+            self.sets.append(key)
+            self.ended.append(tuple(sorted({self.ends[n] for n, _, pending in key if not pending and self.ends[n]})))
+            self.steps.append({})
+        return found
+
+    def _step(self, state: int, c: str) -> int:
+        """The state after one more character; it is remembered."""
+        below, out = self.below, set()
+        for node, edits, pending in self.sets[state]:
+            if pending:
+                if c == pending:
+                    out.add((node, 1, ""))
+                continue
+            nodes = below[node]
+            if c in nodes:
+                out.add((nodes[c], edits, ""))
+            if not edits:
+                out.add((node, 1, ""))  # c is one too many
+                for x, m in nodes.items():
+                    if x != c:
+                        out.add((m, 1, ""))  # c in place of x
+                        if c in below[m]:
+                            out.add((below[m][c], 1, x))  # c and x have changed places
+        following = self.steps[state][c] = self._state(out) if out else -1
+        self.made += 1
+        return following
 
     def find(self, word: str) -> tuple[str, int] | None:
-        """The stem that begins the word with the fewest edits (at most one), the heaviest of those; None if there is none.
+        """The stem and kind of a word's hit: exact before whole before prefix, then the heaviest stem; None without a hit.
 
-        No stem begins another, so an exact one is found by its length. Otherwise the
-        automaton runs: a state is a row of the edit distances of the trie path to the
-        word's prefixes, kept only in the band of one around the diagonal.
+        No stem begins another, so an exact one is found by its length.
         """
         weights = self.weights
         for k in self.sizes:
             if word[:k] in weights:
-                return word[:k], 0
-        if not self.possible(word):
+                return word[:k], EXACT
+        if len(self.ends) == 1 or len(word) < FUZZY_MIN - 1 or word in self.known:
             return None
-        best: tuple[int, float, str] | None = None
-        size = len(word)
-        stack = [(self.trie, 0, (None, 0, 1 if size else None))]  # distances to prefixes of depth-1, depth, depth+1 characters
-        while stack:
-            node, depth, (low, mid, high) = stack.pop()
-            stem = node.get("")
-            if stem is not None:
-                edits = min(x for x in (low, mid, high) if x is not None)
-                if edits <= 1:
-                    rank = (edits, -self.weights[stem][edits], stem)
-                    best = rank if best is None or rank < best else best
-            for c, below in node.items():
-                if not c:
-                    continue
-                # the row for depth + 1 covers prefixes of depth, depth + 1 and depth + 2 characters
-                new_low = _least(mid, 1, low, 0 if depth and word[depth - 1] == c else 1) if depth <= size else None
-                new_mid = _least(high, 1, mid, 0 if depth < size and word[depth] == c else 1) if depth < size else None
-                if new_mid is not None and new_low is not None and new_low + 1 < new_mid:
-                    new_mid = new_low + 1
-                new_high = None
-                if depth + 1 < size:
-                    new_high = _least(None, 1, high, 0 if word[depth + 1] == c else 1)
-                    if new_mid is not None and (new_high is None or new_mid + 1 < new_high):
-                        new_high = new_mid + 1
-                row = tuple(x if x is not None and x <= 1 else None for x in (new_low, new_mid, new_high))
-                if any(x is not None for x in row):
-                    stack.append((below, depth + 1, row))
-        return (best[2], best[0]) if best else None
-
-
-def _least(up, up_cost, diagonal, diagonal_cost):
-    a = None if up is None else up + up_cost
-    b = None if diagonal is None else diagonal + diagonal_cost
-    return b if a is None else a if b is None else min(a, b)
+        if self.made > MEMO_STEPS:
+            self._forget()
+        state, steps, begun = self.start, self.steps, ()
+        for c in word:
+            following = steps[state].get(c)
+            state = self._step(state, c) if following is None else following
+            if state < 0:
+                break
+            begun = self.ended[state] or begun
+        whole = self._best(self.ended[state], WHOLE) if state >= 0 else None
+        return whole or self._best(begun, PREFIX)
+
+    def _best(self, stems: tuple[str, ...], kind: int) -> tuple[str, int] | None:
+        found = min(((-self.weights[s][kind], s) for s in stems if self.weights[s][kind] > 0), default=None)
+        return (found[1], kind) if found else None
 
 
 class Matcher:
     """find() for the words of texts, each distinct word walked once while the bounded memo holds it."""
 
     def __init__(self, lexicon: Lexicon):
-        self.lexicon, self.memo = lexicon, {}
+        self.lexicon, self.memo, self.held = lexicon, {}, 0
 
     def hits(self, words: list[str]) -> list[tuple[int, str, int]]:
-        """(position, stem, edits) of the words that match."""
+        """(position, stem, kind) of the words that match."""
         memo = self.memo
-        try:
-            found = [memo[w] for w in words]
-        except KeyError:
-            fresh = {w for w in words if w not in memo}
-            if len(memo) + len(fresh) > MEMO:
+        found = list(map(memo.get, words))
+        if None in found:
+            if self.held > MEMO_BYTES:
                 memo.clear()
-                fresh = set(words)
-            for w in fresh:
-                memo[w] = self.lexicon.find(w.strip(EDGES))
-            found = [memo[w] for w in words]
+                self.held = 0
+            at = -1
+            for _ in range(found.count(None)):
+                at = found.index(None, at + 1)
+                w = words[at]
+                value = memo.get(w)
+                if value is None:
+                    value = self.lexicon.find(w.strip(EDGES)) or ()
+                    if len(w) <= MEMO_WORD:
+                        memo[w] = value
+                        self.held += 2 * len(w) + 180
+                found[at] = value
         return [(i, *f) for i, f in enumerate(found) if f]
 
     def marks(self, words: list[str]) -> list[tuple[int, str, int, bool]]:
         """hits() with whether each is quoted."""
-        return [(at, stem, edits, quoted(words, at)) for at, stem, edits in self.hits(words)]
+        return [(at, stem, kind, quoted(words, at)) for at, stem, kind in self.hits(words)]
 
 
 def quoted(words: list[str], at: int) -> bool:
@@ -166,8 +221,8 @@ class Model:
         weights = self.lexicon.weights
         plain = told = dense = 0.0
         weighed = []
-        for at, stem, edits, is_quoted in marks:
-            w = weights[stem][edits]
+        for at, stem, kind, is_quoted in marks:
+            w = weights[stem][kind]
             if is_quoted:
                 told += w
                 w *= QUOTED_SHARE
@@ -190,12 +245,16 @@ class Model:
 
 
 def bare_words(text: str | None) -> list[str]:
-    """The distinct words of a text without punctuation at their edges."""
-    return sorted({w.strip(EDGES) for w in set(words_of(text))} - {""})
+    """The distinct words of a sampled text without punctuation at their edges."""
+    return sorted({w.strip(EDGES) for w in set(words_of(text))} - {""})[:SAMPLE_WORDS]
 
 
-def learn_stems(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, tuple[float, float]]:
-    """Stems over-represented in toxic documents, each given by its bare words; weights follow in weigh()."""
+def learn_stems(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
+    """Stems over-represented in toxic documents, each given by its bare words; none begins another.
+
+    A stem is a word of at least two toxic documents or the beginning of CONTINUATIONS different words of theirs,
+    so no mere fragment of a word is one.
+    """
 
     prefixes: dict[str, list[str]] = {}
 
@@ -209,12 +268,19 @@ def learn_stems(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, tup
         return out
 
     if not toxic or not clean:
-        return {}
+        return []
     in_toxic = Counter()
     for doc in toxic:
         in_toxic.update(stems(doc))
     least = max(3, len(toxic) // 60)
     held = {s for s, n in in_toxic.items() if n >= least}
+    spoken = Counter(w for doc in toxic for w in doc)
+    begun: dict[str, set[str]] = {}
+    for w in spoken:
+        for k in range(STEM_MIN, min(len(w), STEM_MAX) + 1):
+            if w[:k] in held:
+                begun.setdefault(w[:k], set()).add(w)
+    held = {s for s in held if spoken[s] > 1 or len(begun[s]) >= CONTINUATIONS}
     in_clean, prefixes = Counter(), {}
     for doc in clean:
         found: set[str] = set()
@@ -229,36 +295,51 @@ def learn_stems(toxic: list[list[str]], clean: list[list[str]]) -> dict[str, tup
         p, q = in_toxic[s] / len(toxic), (in_clean[s] + 0.5) / (len(clean) + 1)
         if p >= 4 * q:
             gain = p * log(p / q) + (1 - p) * log((1 - p + 1e-9) / (1 - q))
-            ranked.append((-round(gain, 3), -len(s), s))
+            if 2 * len(toxic) * gain >= EVIDENCE:
+                ranked.append((-round(gain, 3), -len(s), s))
     chosen: list[str] = []
     for _, _, s in sorted(ranked):
         if len(chosen) < MAX_STEMS and not any(s.startswith(t) or t.startswith(s) for t in chosen):
             chosen.append(s)
-    return dict.fromkeys(chosen, (1.0, FUZZY_WEIGHT))
+    return chosen
+
+
+def close_words(lexicon: Lexicon, bare: list[list[str]]) -> frozenset[str]:
+    """Words of documents that the automaton takes for misspellings."""
+    return frozenset(w for w in {w for doc in bare for w in doc} if (lexicon.find(w) or (None, EXACT))[1] != EXACT)
 
 
-Marked = tuple[int, int, list[tuple[int, str, int, bool]]]
+def unweighted(stems: list[str], known: frozenset[str] = frozenset()) -> Lexicon:
+    """A lexicon that finds all kinds of hits of the stems."""
+    return Lexicon(dict.fromkeys(stems, (1.0, 1.0, 1.0)), known)
 
 
-def weigh(lexicon: Lexicon, rows: list[Marked], prior: float) -> Model:
-    """Weights of the stems and the logistic model from (label, words, marks); prior: share of toxic among all labelled rows."""
-    if not lexicon.weights or not rows:
+def weigh(stems: list[str], known: tuple[frozenset[str], frozenset[str]], rows: list[tuple[int, int, int, list]], prior: float) -> Model:
+    """Weights of the stems and the logistic model from rows (fold, label, words, marks (at, stem, kind, quoted, word)).
+
+    known: words near a stem in the clean documents of fold 0 and of fold 1. A clean
+    document's misspellings count as such only if the other fold does not know the word.
+    prior: share of toxic among all labelled rows.
+    """
+    if not stems or not rows:
         return Model(Lexicon({}), 0.0, np.zeros(5), log(max(prior, 1e-3) / max(1 - prior, 1e-3)))
-    counts = Counter()
-    n = {y: max(1, sum(w for label, w, _ in rows if label == y)) for y in (0, 1)}
-    for y, _, marks in rows:
-        for (stem, edits), k in Counter((s, e) for _, s, e, _ in marks).items():
-            counts[y, stem, edits] += min(k, 5)
+    counts, both = Counter(), known[0] | known[1]
+    n = {y: max(1, sum(w for _, label, w, _ in rows if label == y)) for y in (0, 1)}
+    for fold, y, _, marks in rows:
+        heard = both if y else known[1 - fold]
+        for (stem, kind), k in Counter((s, e) for _, s, e, _, word in marks if e == EXACT or word not in heard).items():
+            counts[y, stem, kind] += min(k, 5)
     weights, drift = {}, 0.0
-    for s in lexicon.weights:
-        exact = log((counts[1, s, 0] + 0.5) / n[1]) - log((counts[0, s, 0] + 0.5) / n[0])
+    for s in stems:
+        exact = log((counts[1, s, EXACT] + 0.5) / n[1]) - log((counts[0, s, EXACT] + 0.5) / n[0])
         pull = exp(max(0.0, min(exact, 8.0)) / 2)
-        fuzzy = log((counts[1, s, 1] + 0.5) / n[1]) - log((counts[0, s, 1] + 0.5 / pull) / n[0])
-        weights[s] = (max(0.0, min(exact, 8.0)), max(0.0, min(fuzzy, exact, 8.0)))
-        for e in (0, 1):
+        bent = [log((counts[1, s, e] + 0.5) / n[1]) - log((counts[0, s, e] + 0.5 / pull) / n[0]) for e in (WHOLE, PREFIX)]
+        weights[s] = (max(0.0, min(exact, 8.0)), *(max(0.0, min(x, exact, 8.0)) for x in bent))
+        for e in (EXACT, WHOLE, PREFIX):
             if weights[s][e]:
                 drift += max(0.0, counts[1, s, e] / n[1] - counts[0, s, e] / n[0]) * 0.1
-    model = Model(Lexicon(weights), drift, np.zeros(5), 0.0)
+    rows = [(y, w, [(at, s, e, q) for at, s, e, q, word in marks if e == EXACT or word not in both]) for _, y, w, marks in rows]
+    model = Model(Lexicon(weights, both), drift, np.zeros(5), 0.0)
     x = np.array([model.features(w, marks) for _, w, marks in rows])
     y = np.array([label for label, _, _ in rows], dtype=float)
     beta = np.zeros(x.shape[1])
@@ -271,12 +352,29 @@ def weigh(lexicon: Lexicon, rows: list[Marked], prior: float) -> Model:
     return Model(model.lexicon, drift, beta, log(wanted / max(sampled, 1e-3)))
 
 
+def fold_of(place: int) -> int:
+    """Which half of the sample, in its order, a document is in."""
+    return place % 2
+
+
+def detailed(matcher: Matcher, words: list[str]) -> list[tuple[int, str, int, bool, str]]:
+    """marks() with the bare word of each hit."""
+    return [(*m, words[m[0]].strip(EDGES)) for m in matcher.marks(words)]
+
+
 def learn(rows: list[tuple[int, str | None]], prior: float) -> Model:
-    """Both steps of fit() over (label, text) at hand."""
-    bare = {y: [bare_words(t) for label, t in rows if label == y] for y in (0, 1)}
-    lexicon = Lexicon(learn_stems(bare[1], bare[0]))
-    matcher = Matcher(lexicon)
-    return weigh(lexicon, [(y, len(words_of(t)), matcher.marks(words_of(t))) for y, t in rows], prior)
+    """The steps of fit() over (label, text) at hand."""
+    stems, known = vocabulary([(y, bare_words(t)) for y, t in rows])
+    matcher = Matcher(unweighted(stems))
+    return weigh(stems, known, [(fold_of(i), y, len(words_of(t)), detailed(matcher, words_of(t))) for i, (y, t) in enumerate(rows)], prior)
+
+
+def vocabulary(bare: list[tuple[int, list[str]]]) -> tuple[list[str], tuple[frozenset[str], frozenset[str]]]:
+    """Stems, and by fold the words of clean documents that are close to one, from (label, bare words)."""
+    stems = learn_stems([w for y, w in bare if y], [w for y, w in bare if not y])
+    lexicon = unweighted(stems)
+    halves = [[w for i, (y, w) in enumerate(bare) if not y and fold_of(i) == f] for f in (0, 1)]
+    return stems, (close_words(lexicon, halves[0]), close_words(lexicon, halves[1]))
 
 
 def held_out(doc_id) -> F.Column:
@@ -292,26 +390,29 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     order = [F.xxhash64("doc_id"), F.col("doc_id")]
     chosen = known.where("label = 1").orderBy(*order).limit(toxic).unionByName(known.where("label = 0").orderBy(*order).limit(clean))
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = text.join(F.broadcast(chosen), "doc_id").select("doc_id", "label", "text")  # at most toxic + clean documents
+    one = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row a doc_id
+    sample = materialise(one.select("doc_id", "label", "text"), "toxic-sample")  # at most toxic + clean documents
 
     def bare(batches):
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bare_words(t) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "words"])
 
     found = sorted((r["doc_id"], r["label"], r["words"]) for r in sample.mapInArrow(bare, "doc_id long, label int, words array<string>").collect())
-    lexicon = Lexicon(learn_stems([w for _, y, w in found if y], [w for _, y, w in found if not y]))
-    mark = pa.struct([("at", pa.int64()), ("stem", pa.string()), ("edits", pa.int32()), ("quoted", pa.bool_())])
+    place = {doc_id: i for i, (doc_id, _, _) in enumerate(found)}
+    stems, known = vocabulary([(y, w) for _, y, w in found])
+    lexicon = unweighted(stems)
+    mark = pa.struct([("at", pa.int64()), ("stem", pa.string()), ("kind", pa.int32()), ("quoted", pa.bool_()), ("word", pa.string())])
 
     def marked(batches):
         matcher = Matcher(lexicon)
         for b in batches:
             words = [words_of(t) for t in b.column(2).to_pylist()]
-            marks = [[dict(zip(("at", "stem", "edits", "quoted"), m, strict=True)) for m in matcher.marks(w)] for w in words]
+            marks = [[dict(zip(("at", "stem", "kind", "quoted", "word"), m, strict=True)) for m in detailed(matcher, w)] for w in words]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(w) for w in words], pa.int64()), pa.array(marks, pa.list_(mark))], ["doc_id", "label", "n", "marks"])
 
-    rows = sample.mapInArrow(marked, "doc_id long, label int, n long, marks array<struct<at:long,stem:string,edits:int,quoted:boolean>>").collect()
+    rows = sample.mapInArrow(marked, "doc_id long, label int, n long, marks array<struct<at:long,stem:string,kind:int,quoted:boolean,word:string>>").collect()
     rows = sorted((r["doc_id"], r["label"], r["n"], [tuple(m) for m in r["marks"]]) for r in rows)
-    return weigh(lexicon, [(y, n, marks) for _, y, n, marks in rows], totals.get(1, 0) / max(1, sum(totals.values())))
+    return weigh(stems, known, [(fold_of(place[d]), y, n, marks) for d, y, n, marks in rows], totals.get(1, 0) / max(1, sum(totals.values())))
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -384,29 +385,85 @@ def test_quality_learns(spark, sf):
 
 # ---- toxicity ----
 def edit_rows(a, b):
-    row = list(range(len(b) + 1))
+    """Distances of a to every beginning of b; a swap of neighbours is one edit."""
+    before, row = None, list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         new = [i]
         for j, y in enumerate(b, 1):
-            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
-        row = new
+            d = min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y))
+            if before is not None and j > 1 and a[i - 2] == y and x == b[j - 2]:
+                d = min(d, before[j - 2] + 1)
+            new.append(d)
+        before, row = row, new
     return row
 
 
-def test_automaton_equals_edit_distance():
+@pytest.mark.parametrize("steps", [400_000, 40])
+def test_automaton_equals_edit_distance(monkeypatch, steps):
+    monkeypatch.setattr(toxicity, "MEMO_STEPS", steps)
     rnd = random.Random(1)
-    for _ in range(3000):
+    for _ in range(2000):
         stems = {"".join(rnd.choice("abc") for _ in range(rnd.randint(4, 7))) for _ in range(3)}
-        stems = {s: (2.0, 2.0) for s in stems if not any(o != s and (o.startswith(s) or s.startswith(o)) for o in stems)}
-        word = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9)))
-        found = toxicity.Lexicon(stems).find(word)
-        best = min((e for s in stems if (e := min(edit_rows(s, word))) == 0 or len(s) >= toxicity.FUZZY_MIN), default=9)
-        assert (found[1] if found else None) == (best if best <= 1 else None)
-        assert not found or min(edit_rows(found[0], word)) == found[1]
+        stems = {s: (2.0, 2.0, 2.0) for s in stems if not any(o != s and (o.startswith(s) or s.startswith(o)) for o in stems)}
+        lexicon = toxicity.Lexicon(stems)
+        for _ in range(3):
+            word = "".join(rnd.choice("abc") for _ in range(rnd.randint(0, 9)))
+            found = lexicon.find(word)
+            long = [s for s in stems if len(s) >= toxicity.FUZZY_MIN]
+            exact = [s for s in stems if word.startswith(s)]
+            whole = [s for s in long if edit_rows(s, word)[-1] <= 1]
+            begun = [s for s in long if min(edit_rows(s, word)) <= 1]
+            kind = toxicity.EXACT if exact else toxicity.WHOLE if whole else toxicity.PREFIX if begun and len(word) >= toxicity.FUZZY_MIN - 1 else None
+            assert (found[1] if found else None) == kind, (stems, word, found)
+            assert not found or found[0] in (exact, whole, begun)[kind]
+
+
+def bent(stem):
+    """Misspellings of one edit: a letter too many, too few, another, and two that changed places."""
+    k = len(stem) // 2
+    return [stem[:k] + "q" + stem[k:], stem[:k] + stem[k + 1 :], stem[:k] + "q" + stem[k + 1 :], stem[: k - 1] + stem[k] + stem[k - 1] + stem[k + 1 :]]
+
+
+def test_misspellings_of_every_stem(spark):
+    """On the fixtures every stem that the fit supports is found in any misspelling that clean documents do not use."""
+    sf = "/root/testdata/sf0.1"
+    if not os.path.isdir(sf):
+        pytest.skip("fixture tables are not here")
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    lexicon = model.lexicon
+    supported = [s for s, w in lexicon.weights.items() if len(s) >= toxicity.FUZZY_MIN and w[toxicity.WHOLE] > 0]
+    assert {"idiot", "loser", "moron", "stupid"} <= set(supported)
+    for stem in supported:
+        for word in bent(stem):
+            assert word in lexicon.known or lexicon.find(word), (stem, word)
+    score = lambda t: model.score(len(t.split()), toxicity.Matcher(lexicon).marks(toxicity.words_of(t)))
+    assert score("you mroon, you looser, you idiiot and stuupid thing") > 0.5 > score("the river and the house")
+
+
+def test_context_of_a_fitted_model():
+    """Fitted on texts that use the terms and texts that quote them: quotation stays below 0.5, also of misspelled terms."""
+    r = random.Random(6)
+    filler = lambda n: " ".join(f"w{r.randrange(300)}" for _ in range(n))
+    terms = ["blockhead", "numskull", "dimwit"]
+    abuse = [(1, f"{filler(12)} {r.choice(terms)} {filler(1)} {r.choice(terms)} {filler(10)} {r.choice(terms)} {filler(8)}") for _ in range(80)]
+    told = [(0, f'{filler(12)} they said "{r.choice(terms)}" {filler(20)}') for _ in range(40)]
+    clean = [(0, filler(40)) for _ in range(200)]
+    model = toxicity.learn(abuse + told + clean, 0.25)
+    assert set(model.lexicon.weights) == set(terms)
+
+    def score(t):
+        w = toxicity.words_of(t)
+        return model.score(len(w), toxicity.Matcher(model.lexicon).marks(w))
+
+    for t in terms:
+        assert score(f"{filler(12)} you {t} {filler(10)} such a {t} {filler(12)}") > 0.5
+        assert score(f'{filler(12)} she wrote "{t}" to them {filler(20)}') < 0.5
+        wrong = t[:3] + t[4] + t[3] + t[5:]
+        assert score(f"{filler(12)} you {wrong} you {t} {filler(10)}") > score(f'{filler(12)} he said "{wrong}" {filler(20)}')
 
 
 def test_toxicity_context():
-    model = toxicity.Model(toxicity.Lexicon({"idiot": (6.0, 3.0)}), 0.0, np.array([-3.0, 6.0, 6.0, 0.0, 2.0]), 0.0)
+    model = toxicity.Model(toxicity.Lexicon({"idiot": (6.0, 3.0, 3.0)}), 0.0, np.array([-3.0, 6.0, 6.0, 0.0, 2.0]), 0.0)
     m = toxicity.Matcher(model.lexicon)
 
     def score(t):
@@ -418,9 +475,15 @@ def test_toxicity_context():
     assert 0 <= score("") <= 1 and score("") == score(None)
 
 
-def test_toxicity_held_out(spark):
-    import os
+def test_matcher_memory_is_bounded(monkeypatch):
+    monkeypatch.setattr(toxicity, "MEMO_BYTES", 4000)
+    m = toxicity.Matcher(toxicity.Lexicon({"idiot": (6.0, 3.0, 3.0)}))
+    for i in range(200):
+        assert [h[1] for h in m.hits([f"w{i}", "idiot", "i" * 5000, f"idiiot{i}"])] == ["idiot", "idiot"]
+        assert m.held < 8000 and all(len(w) <= toxicity.MEMO_WORD for w in m.memo)
 
+
+def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.01"
     if not os.path.isdir(sf):
         pytest.skip("fixture tables are not here")
