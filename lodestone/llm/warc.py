@@ -4,16 +4,20 @@ Writing: each page is one WARC/1.1 record; Spark's text writer joins the records
 with the format's own record separator and compresses each file as one gzip
 stream, so the first archives are monolithic: valid, but without random access.
 
-Normaliser: a whole-file stream is inflated once, in bounded steps. Every record
-found in it is compressed as a gzip member of its own; the sidecar index gets the
-archive, offset, length, record type, record id and target of each member.
-Members are written by the text writer again, with an empty gzip member (20
-bytes that inflate to nothing) as the separator, so an archive is a plain
-multi-member gzip file on any store Hadoop reaches.
-
-Reading: an archive's bytes and its index entries meet in one row; each record is
-cut out by offset and length, inflated alone, parsed, and its payload's length
-and SHA-256 are computed from the bytes, or, for a revisit, taken from its header.
+Normaliser: a whole-file stream is inflated once, in steps of bounded output. Every
+record found in it is compressed as a gzip member of its own, whose header states the
+member's length in an extra field. Members are written by the text writer again, with
+an empty gzip member (20 bytes that inflate to nothing) as the separator, so an archive
+is a plain multi-member gzip file on any store Hadoop reaches. The sidecar index is then
+read off the written files: archive, offset, length, record type and record id of each
+member, for which only a member's first bytes are inflated. However the writer cuts its
+files, the index speaks of what is there.
+
+Reading: a task walks the members of the archives it reads, inflates each alone, parses
+it, and computes its payload's length and SHA-256 from the bytes, or, for a revisit,
+takes them from its header; these narrow rows meet the index by archive, offset and
+length. No archive's bytes are ever shuffled. An archive is one write task's records and
+one read task's work.
 
 Equal payloads of at least MIN_REVISIT bytes are stored once: the record with the
 smallest page_id is the response, the others revisit it. Payloads are compared by
@@ -28,7 +32,6 @@ import re
 import zlib
 
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,9 +43,13 @@ HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 SEPARATOR = "\r\n\r\n"
 #: Fixed value: a gzip member of an empty text; it separates members.
 EMPTY_MEMBER = bytes.fromhex("1f8b0800000000000003" "0300" "0000000000000000")
-#: Compressed bytes inflated at a time, and bytes of members handed on at a time.
-STEP = 1 << 16
+#: Compressed bytes given to the inflater and bytes it may give back at a time, and bytes of members handed on at a time.
+STEP, OUT = 1 << 16, 1 << 20
 FLUSH = 4 << 20
+#: Fixed value: the header of a member with an extra field of eight bytes, its name and the length of its value, four bytes.
+MEMBER_HEADER = bytes.fromhex("1f8b0804000000000003" "0800") + b"ML" + bytes.fromhex("0400")
+#: Bytes of a record that are inflated for the index at a time.
+PEEK = 1 << 10
 
 
 def records(pages: DataFrame) -> DataFrame:
@@ -80,18 +87,21 @@ def write_monolithic(pages: DataFrame, path: str) -> None:
 
 
 def inflate(data: bytes):
-    """The inflated bytes of a gzip file of any number of members, from STEP compressed bytes at a time."""
+    """The inflated bytes of a gzip file of any number of members, at most OUT at a time."""
     view, at = memoryview(data), 0
     while at < len(view):
-        stream = zlib.decompressobj(31)
+        stream, rest = zlib.decompressobj(31), b""
         while not stream.eof:
-            if at >= len(view):
-                raise ValueError("truncated gzip stream")
-            chunk = view[at : at + STEP]
-            part = stream.decompress(chunk)
-            at += len(chunk) - len(stream.unused_data)
+            if not rest:
+                if at >= len(view):
+                    raise ValueError("truncated gzip stream")
+                rest = view[at : at + STEP]
+                at += len(rest)
+            part = stream.decompress(rest, OUT)
+            rest = stream.unconsumed_tail
             if part:
                 yield part
+        at -= len(stream.unused_data)
 
 
 def parse_stream(parts):
@@ -106,9 +116,11 @@ def parse_stream(parts):
         return part is not None
 
     while True:
-        while len(held) < 4 and more():
-            pass
-        if not held.strip(b"\r\n"):
+        blank = 0
+        while held[blank : blank + 1] in (b"\r", b"\n"):
+            blank += 1
+        del held[:blank]
+        if not held:
             if not more():
                 return
             continue
@@ -134,74 +146,120 @@ def field(header: bytes, name: bytes) -> bytes | None:
 
 
 def member(header: bytes, content: bytes) -> bytes:
-    """The record as a gzip member of its own."""
-    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(header + b"\r\n\r\n" + content + b"\r\n\r\n") + packer.flush()
+    """The record as a gzip member of its own, with its length in the header."""
+    record = header + b"\r\n\r\n" + content + b"\r\n\r\n"
+    packer = zlib.compressobj(6, zlib.DEFLATED, -15)
+    body = packer.compress(record) + packer.flush()
+    size = len(MEMBER_HEADER) + 4 + len(body) + 8
+    return b"".join((MEMBER_HEADER, size.to_bytes(4, "little"), body, zlib.crc32(record).to_bytes(4, "little"), (len(record) & 0xFFFFFFFF).to_bytes(4, "little")))
+
+
+def members_of(data: bytes):
+    """Offset and length of each member of an archive, separators passed over."""
+    at, size = 0, len(data)
+    head = len(MEMBER_HEADER)
+    while at < size:
+        if data[at : at + len(EMPTY_MEMBER)] == EMPTY_MEMBER:
+            at += len(EMPTY_MEMBER)
+            continue
+        if data[at : at + head] != MEMBER_HEADER:
+            raise ValueError(f"no member begins at {at}")
+        length = int.from_bytes(data[at + head : at + head + 4], "little")
+        yield at, length
+        at += length
+    if at > size:
+        raise ValueError("the last member is cut off")
+
+
+def header_of(packed: bytes) -> bytes:
+    """A record's header, from as much of its member as holds it."""
+    stream, held = zlib.decompressobj(31), b""
+    rest = packed
+    while (end := held.find(b"\r\n\r\n")) < 0:
+        part = stream.decompress(rest, PEEK)
+        if not part:
+            raise ValueError("a record's header does not end")
+        held, rest = held + part, stream.unconsumed_tail
+    return held[:end]
 
 
-INDEX = ["archive", "offset", "length", "record_type", "record_id"]
-KINDS = [pa.int32(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-MEMBERS = "archive int, offset long, length long, record_type string, record_id string, member binary"
+def _batch(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    cols = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
 
-def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), KINDS, strict=True)], [*INDEX, "member"])
+PLACE = ["archive", "offset", "length"]
+PLACE_KINDS = [pa.string(), pa.int64(), pa.int64()]
+INDEX = "archive string, offset long, length long, record_type string, record_id string"
+#: Index entries and records handed on at a time.
+ROWS = 5000
+
+
+def archives_of(spark: SparkSession, path: str) -> DataFrame:
+    """archive (the file's name) and content of the archives under path."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
 
 
 def normalise(spark: SparkSession, raw_path: str, out_path: str) -> DataFrame:
     """Rewrites the monolithic archives under raw_path with a member per record under out_path; returns the sidecar index.
 
-    Archive i of the index is the file whose name starts with part-<i>. A raw file is read
-    as a whole by one task and inflated once; members and index come from that one pass,
-    kept on the executors' disks between the two writes and recomputed from the raw files
-    if an executor is lost.
+    A raw file is read as a whole by one task and inflated once. The index stands beside
+    the archives, in out_path + "-index".
     """
 
-    def run(batches):
-        from pyspark import TaskContext
-
-        archive, offset = TaskContext.get().partitionId(), 0
+    def rewrite(batches):
         for b in batches:
             for data in b.column(0).to_pylist():
-                rows: list[tuple] = []
-                held = 0
+                held, size = [], 0
                 for header, content in parse_stream(inflate(data)):
-                    packed = member(header, content)
-                    rows.append((archive, offset, len(packed), (field(header, b"WARC-Type") or b"").decode(), (field(header, b"WARC-Record-ID") or b"").decode(), packed))
-                    offset += len(packed) + len(EMPTY_MEMBER)
-                    held += len(packed)
-                    if held > FLUSH:
-                        yield _batch(rows)
-                        rows, held = [], 0
-                if rows:
-                    yield _batch(rows)
+                    held.append(member(header, content))
+                    size += len(held[-1])
+                    if size > FLUSH:
+                        yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["member"])
+                        held, size = [], 0
+                if held:
+                    yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["member"])
+
+    def describe_members(batches):
+        names = [*PLACE, "record_type", "record_id"]
+        for b in batches:
+            for archive, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows: list[tuple] = []
+                for offset, length in members_of(data):
+                    header = header_of(data[offset : offset + length])
+                    rows.append((archive, offset, length, (field(header, b"WARC-Type") or b"").decode(), (field(header, b"WARC-Record-ID") or b"").decode()))
+                    if len(rows) >= ROWS:
+                        yield _batch(rows, names, [*PLACE_KINDS, pa.string(), pa.string()])
+                        rows = []
+                yield _batch(rows, names, [*PLACE_KINDS, pa.string(), pa.string()])
 
     raw = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(raw_path).select("content")
-    members = raw.mapInArrow(run, MEMBERS).persist(StorageLevel.DISK_ONLY)
-    try:
-        members.select(F.col("member").cast("string")).write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(out_path)
-        return materialise(members.drop("member"), "index", f"{out_path}-index")
-    finally:
-        members.unpersist()
+    members = raw.mapInArrow(rewrite, "member binary").select(F.col("member").cast("string"))
+    members.write.option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("encoding", "ISO-8859-1").text(out_path)
+    return materialise(archives_of(spark, out_path).mapInArrow(describe_members, INDEX), "index", f"{out_path}-index")
+
+
+RECORD = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
 
 
 def read_back(spark: SparkSession, path: str, index: DataFrame) -> DataFrame:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record, each cut out by its index entry."""
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every record the index names."""
+    kinds = [*PLACE_KINDS, pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
 
     def run(batches):
         for b in batches:
-            rows = []
-            for data, entries in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                rows += [describe(zlib.decompress(data[e["offset"] : e["offset"] + e["length"]], 31)) for e in entries]
-            cols = list(zip(*rows, strict=True)) or [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"])
-
-    entries = index.groupBy("archive").agg(F.collect_list(F.struct("offset", "length")).alias("entries"))  # bounded by the archive
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
-    archives = files.select(F.regexp_extract("path", r"/part-(\d+)[^/]*$", 1).cast("int").alias("archive"), "content")
-    joined = archives.join(entries, "archive").select("content", "entries")
-    return joined.mapInArrow(run, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+            for archive, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                rows: list[tuple] = []
+                for offset, length in members_of(data):
+                    rows.append((archive, offset, length, *describe(zlib.decompress(data[offset : offset + length], 31))))
+                    if len(rows) >= ROWS:
+                        yield _batch(rows, [*PLACE, *RECORD], kinds)
+                        rows = []
+                yield _batch(rows, [*PLACE, *RECORD], kinds)
+
+    found = archives_of(spark, path).mapInArrow(run, "archive string, offset long, length long, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return found.join(index.select(*PLACE), PLACE).select(*RECORD)
 
 
 def describe(record: bytes) -> tuple:
@@ -227,7 +285,8 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages as monolithic archives, normalises them and reads every record back through the index.
 
     Null html is an empty payload; null urls become urn:unknown; repeated rows are records
-    of their own; an empty table gives no rows; other columns of pages are ignored.
+    of their own; a page of any length is one record; an empty table gives no rows; other
+    columns of pages are ignored.
     """
     spark = pages.sparkSession
     raw, archives = new_path(spark, "warc-raw"), new_path(spark, "warc")
