@@ -6,7 +6,7 @@ import atexit
 import shutil
 import tempfile
 import uuid
-from functools import lru_cache
+from functools import lru_cache, wraps
 
 import numpy as np
 import pyarrow as pa
@@ -79,12 +79,22 @@ class Scratch:
             drop_path(self.spark, self.paths.pop())
 
 
-def fresh(df: DataFrame, name: str) -> str:
-    """A column name that df does not have, whatever the case, beginning with name."""
-    taken = {c.lower() for c in df.columns}
-    while name.lower() in taken:
-        name += "_"
-    return name
+def keeps_columns(*needed: str):
+    """For functions from documents to some of their rows: whatever the other columns' names are, they come back as they were.
+
+    Inside, every column but the needed ones has a name of its own, extra_0, extra_1, ...,
+    so names that a function uses itself, and names with dots, cannot clash.
+    """
+
+    def wrap(function):
+        @wraps(function)
+        def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            plain = docs.toDF(*(c if c in needed else f"extra_{i}" for i, c in enumerate(docs.columns)))
+            return function(plain, *args, **kwargs).toDF(*docs.columns)
+
+        return run
+
+    return wrap
 
 
 def whole_groups(batches, keys: int):

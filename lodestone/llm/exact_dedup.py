@@ -27,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import SPACE, materialise
+from .common import SPACE, keeps_columns, materialise
 
 #: A memtable is flushed once its entries hold so many bytes of text or so many rows.
 MEMTABLE_BYTES = 24 << 20
@@ -238,17 +239,21 @@ def exact_classes(docs: DataFrame, digest=_digest) -> DataFrame:
     return keyed.join(groups, "key").select(keyed.doc_id, F.col("best.doc_id").alias("keep_id"), "group_size", kept.alias("kept"), "digest", "key")
 
 
+@keeps_columns("doc_id", "text")
 def keep_first(docs: DataFrame) -> DataFrame:
     """The kept documents of docs with all columns; a doc_id repeated with an equal text counts once.
 
-    Texts move once: kept rows and documents meet on one key of doc_id and digest, and
-    rows that share it are merged where they meet.
+    Texts move once: kept rows and documents meet on one key of doc_id and digest. Of rows
+    that share it the one with the most code points stays, then the greater text, then the
+    row whose other columns are least by hash, so reruns agree.
     """
     key = lambda doc_id, digest: F.concat(F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit("/"), F.hex(digest))
-    kept = exact_classes(docs).where("kept").select(key(F.col("doc_id"), F.col("digest")).alias("__key")).distinct()
-    body = F.translate(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE.decode(), "")
-    keyed = docs.withColumn("__key", key(F.col("doc_id").cast("long"), F.unhex(F.sha2(body, 256))))
-    return keyed.join(kept, "__key", "left_semi").dropDuplicates(["__key"]).select(*docs.columns)
+    kept = exact_classes(docs).where("kept").select(key(F.col("doc_id"), F.col("digest")).alias("kept_key")).distinct()
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.withColumn("kept_key", key(F.col("doc_id").cast("long"), F.unhex(F.sha2(F.translate(text, SPACE.decode(), ""), 256))))
+    met = keyed.join(kept, "kept_key", "left_semi")
+    best = Window.partitionBy("kept_key").orderBy(F.desc(F.length(text)), F.desc("text"), F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t)))
+    return met.withColumn("kept_place", F.row_number().over(best)).where("kept_place = 1").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -1,59 +1,67 @@
 """Mixing sources to target weights by entropy balancing.
 
-Among all document rates that meet the token constraints, entropy balancing
-takes those closest in relative entropy to the base weights. Its convex dual has
-one multiplier per constraint, and the rates are base * exp(multiplier of the
-document's constraint): exponentially tilted. Newton's method solves the dual;
-every iteration is one distributed aggregation over the documents that returns,
-per constraint, the gradient (tilted tokens minus target) and the curvature.
-The constraints here are the sources' target tokens, so the curvature matrix is
-diagonal and the step is exact per source.
+Among all document rates of at most CAP that meet the constraints, entropy balancing
+takes those closest in relative entropy to equal rates. The constraints: each source's
+taken words are its target, and the mix keeps the corpus's profile of document lengths,
+the mean and the mean square of the logarithm of a document's words (weighted by words,
+met up to a small ridge, since no rates may meet them exactly). The convex dual has a
+multiplier per source and one per length moment, and a document's rate is
+exp(source's multiplier + length multipliers * its moments), cut at CAP: exponentially
+tilted, different for each length. Newton's method solves the dual; every iteration is
+one distributed aggregation over the documents that returns gradient and curvature, a
+row per source. The matrix is diagonal but for the few rows of the moments, which a
+Schur complement removes.
 
 Rates are rounded into copies by error diffusion: inside a bucket of a source,
 from the longest document to the shortest, a document gets its whole copies and
-one more when the tokens owed so far reach half its size. Since small documents
-come last, what is left over in a bucket is below the size of a small document.
-Buckets are made by a hash of doc_id and hold about BUCKET_ROWS rows, so a source
-with a third of all rows is spread over many tasks, and every run agrees.
+one more when the tokens owed so far reach half its size. Documents with more than
+1 / GIANT of their source's words, at most GIANT a source, are one bucket of their own
+and rounded first; what they leave over the rest of the source makes up for. In the
+other buckets small documents come last, so what is left over is below the size of a
+small document. Buckets are made by a hash of doc_id and size and hold about BUCKET_ROWS
+rows, so a source with a third of all rows is spread over many tasks, and every run agrees.
+Rows that agree in both share a bucket and are read as a stream.
 """
 
 from __future__ import annotations
 
-from math import exp
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialise
+from .common import keeps_columns, materialise
 
 #: A source's words are taken at most this often.
 CAP = 3.0
 WEIGHTS = (1, 2, 3)
 #: Rows of a source that are rounded together.
 BUCKET_ROWS = 500
+#: A document with more than one part in GIANT of its source's words is rounded before the others.
+GIANT = 512
 TOLERANCE = 1e-9
-ROUNDS = 60
+ROUNDS = 40
+#: Weight of the ridge on the length multipliers, and most that a step changes the logarithm of a rate.
+RIDGE, REACH = 0.02, 2.0
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """docs with the column __size, the words of the whole text (null text: 0)."""
+def sized(docs: DataFrame, name: str) -> DataFrame:
+    """docs with a column of that name, the words of the whole text (null text: 0)."""
     at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
             sizes = [len((t or b"").split()) for t in b.column(at).cast(pa.binary()).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64())], [*b.schema.names, "__size"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64())], [*b.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__size", T.LongType())]))
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def narrow(docs: DataFrame) -> DataFrame:
-    """doc_id, source, __size of every row, written to the shared folder."""
+    """doc_id, source, size of every row, written to the shared folder."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    return materialise(sized(rows).drop("text"), "sizes")
+    return materialise(sized(rows, "size").drop("text"), "sizes")
 
 
 def weighted_targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> dict[str | None, float]:
@@ -76,106 +84,190 @@ def weighted_targets(sizes: dict[str | None, int], weights: tuple[float, ...] =
         capped |= {s: cap * sizes[s] for s in above}
 
 
-def newton_step(tilt: float, tokens: float, target: float) -> float:
-    """The next multiplier: Newton on the dual tokens(tilt) - target * tilt, damped where it overshoots."""
-    return tilt + max(-4.0, min(4.0, (target - tokens) / tokens))
+def newton_step(found: dict, tilts: dict, slopes: np.ndarray, targets: dict, moments: np.ndarray) -> tuple[dict, np.ndarray, float]:
+    """The next multipliers, and the largest relative gap of a source before the step.
 
+    found: by source the sums over its documents of tokens; of tokens of documents below
+    the cap; of these the first and second moments (free, m, mm) and of all m (all_m).
+    """
+    total = sum(targets.values())
+    gap_m = sum((f["all_m"] for f in found.values()), np.zeros(len(slopes))) - moments + RIDGE * total * slopes
+    square = RIDGE * total * np.eye(len(slopes)) + sum((f["mm"] for f in found.values()), np.zeros((len(slopes), len(slopes))))
+    gap, worst = {}, 0.0
+    right = -gap_m
+    for s, f in found.items():
+        gap[s] = f["tokens"] - targets[s]
+        worst = max(worst, abs(gap[s]) / targets[s])
+        if f["free"] > 0:
+            square = square - np.outer(f["m"], f["m"]) / f["free"]
+            right = right + f["m"] * gap[s] / f["free"]
+    move = np.linalg.solve(square, right)
+    steps = {s: -(gap[s] + float(f["m"] @ move)) / f["free"] if f["free"] > 0 else -np.sign(gap[s]) * 0.5 for s, f in found.items()}
+    scale = min(1.0, REACH / max([*map(abs, steps.values()), 4 * float(np.abs(move).max(initial=0.0)), 1e-12]))
+    return {s: tilts[s] + scale * steps[s] for s in found}, slopes + scale * move, worst
 
-def balance(rows: DataFrame, targets: dict[str | None, float], rounds: int = ROUNDS) -> dict[str | None, float]:
-    """Multipliers of the dual by distributed Newton iterations; sources with target 0 get -inf.
 
-    The driver holds one number per source; the documents stay distributed.
-    """
-    spark = rows.sparkSession
-    tilts: dict[str | None, float] = {s: 0.0 if t > 0 else -np.inf for s, t in targets.items()}
-    for _ in range(rounds):
-        live = [(s, x) for s, x in tilts.items() if x != -np.inf]
-        if not live:
-            break
-        table = spark.createDataFrame(live, "__of string, __tilt double")
-        tilted = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__of"))).groupBy("__of").agg(F.sum(F.col("__size") * F.exp("__tilt")).alias("tokens"))
-        worst = 0.0
-        for r in tilted.collect():  # one row per source
-            if r["tokens"] > 0:
-                worst = max(worst, abs(r["tokens"] - targets[r["__of"]]) / targets[r["__of"]])
-                tilts[r["__of"]] = newton_step(tilts[r["__of"]], r["tokens"], targets[r["__of"]])
-        if worst < TOLERANCE:
-            break
-    return tilts
-
-
-def diffuse(sizes: list[int], whole: int, part: float, owed: float) -> tuple[list[int], float]:
-    """Copies of documents in this order; owed: tokens still due, carried on."""
-    copies = []
-    for size in sizes:
-        owed += size * part
-        more = int(size > 0 and owed * 2 >= size)
-        owed -= size * more
-        copies.append(whole + more)
-    return copies, owed
+class Plan:
+    """Sizes, rows, targets and multipliers: what the driver holds, one entry a source.
 
+    rows: doc_id, source, size. A rate is a function of a document's source and size.
+    """
 
-def copies(rows: DataFrame, tilts: dict[str | None, float], counts: dict[str | None, int], cap: float = CAP, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """Adds __copies to rows with doc_id, source, __size: exp(tilt) rounded by error diffusion within buckets of a source."""
-    rates = {s: 0.0 if t == -np.inf else min(cap, round(exp(t), 8)) for s, t in tilts.items()}  # rounded: the order of sums must not matter
-    table = rows.sparkSession.createDataFrame([(s, rates[s], max(1, -(-counts[s] // bucket_rows))) for s in rates], "__of string, __rate double, __buckets long")
-    spread = rows.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__of"))).withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "__size"), F.col("__buckets")))
-    spread = spread.select(*rows.columns, "__rate", "__bucket")
-    ordered = spread.repartition("source", "__bucket").sortWithinPartitions("source", "__bucket", F.desc("__size"), "doc_id")
-    at = [spread.columns.index(c) for c in ("source", "__bucket", "__size", "__rate")]
+    def __init__(self, rows: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP):
+        self.rows, self.cap, self.spark = rows, cap, rows.sparkSession
+        log = F.log1p(F.col("size"))
+        each = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n"), F.sum(F.col("size") * log).alias("a"), F.sum(F.col("size") * log * log).alias("b")).collect()  # one row per source
+        self.sizes = {r["source"]: r["size"] for r in each}
+        self.counts = {r["source"]: r["n"] for r in each}
+        self.targets = weighted_targets(self.sizes, weights, cap)
+        words = sum(self.sizes.values())
+        mean, second = (sum(r[c] for r in each) / words if words else 0.0 for c in ("a", "b"))
+        self.centre, self.spread = round(mean, 9), round(max(second - mean * mean, 1e-6) ** 0.5, 9)
+        #: What no rate changes: sources without words take nothing, those at the cap take all documents that often.
+        self.fixed = {s: 0.0 if not self.sizes[s] or not t else cap for s, t in self.targets.items() if not self.sizes[s] or not t or t >= cap * self.sizes[s] * (1 - 1e-12)}
+        self.tilts = {s: float(np.log(t / self.sizes[s])) for s, t in self.targets.items() if s not in self.fixed}
+        self.slopes = np.zeros(2)
+        #: By source the factor on the rates of documents that are no giants.
+        self.gains: dict[str | None, float] = {}
+        self.balance()
+        self.settle_giants()
+
+    def moments(self) -> tuple[F.Column, F.Column]:
+        """A document's length moments: the standardised logarithm of its words, and its square."""
+        f = (F.log1p(F.col("size")) - F.lit(self.centre)) / F.lit(self.spread)
+        return f, f * f
+
+    def table(self, tilts: dict) -> DataFrame:
+        return self.spark.createDataFrame(list(tilts.items()), "of string, tilt double")
+
+    def balance(self) -> None:
+        """Distributed Newton iterations on the dual; multipliers are rounded, so that the order of sums does not matter."""
+        free = {s: t for s, t in self.targets.items() if s not in self.fixed}
+        goal: np.ndarray | None = None
+        for _ in range(ROUNDS if free else 0):
+            f, g = self.moments()
+            joined = self.rows.join(self.table(self.tilts), F.col("source").eqNullSafe(F.col("of")))
+            raw = F.exp(F.col("tilt") + F.lit(float(self.slopes[0])) * f + F.lit(float(self.slopes[1])) * g)
+            t = F.col("size") * F.least(raw, F.lit(float(self.cap)))
+            below = F.when(raw < self.cap, t).otherwise(0.0)
+            sums = {"tokens": t, "free": below, "f": t * f, "g": t * g, "m0": below * f, "m1": below * g, "m00": below * f * f, "m01": below * f * g, "m11": below * g * g, "s": F.col("size") * 1.0, "sf": F.col("size") * f, "sg": F.col("size") * g}
+            rows = joined.groupBy("of").agg(*(F.sum(c).alias(n) for n, c in sums.items())).collect()  # one row per source
+            found = {r["of"]: {"tokens": r["tokens"], "free": r["free"], "all_m": np.array([r["f"], r["g"]]), "m": np.array([r["m0"], r["m1"]]), "mm": np.array([[r["m00"], r["m01"]], [r["m01"], r["m11"]]])} for r in rows}
+            if goal is None:  # the corpus's moments, for as many words as these sources give
+                held = sum(r["s"] for r in rows)
+                goal = np.array([sum(r[c] for r in rows) / held for c in ("sf", "sg")]) * sum(free.values())
+            before = self.slopes
+            self.tilts, self.slopes, worst = newton_step(found, self.tilts, self.slopes, free, goal)
+            if worst < TOLERANCE and float(np.abs(self.slopes - before).max()) < TOLERANCE:
+                break
+        self.tilts = {s: round(t, 7) for s, t in self.tilts.items()}
+        self.slopes = np.round(self.slopes, 7)
+
+    def rate(self, size: int, source: str | None) -> float:
+        """A document's rate on the driver, for giants; the same numbers as rates() gives."""
+        if source in self.fixed:
+            return self.fixed[source]
+        return float(rates(np.array([size]), np.array([self.tilts[source]]), self)[0])
+
+    def settle_giants(self) -> None:
+        """Rounds the longest documents of every source here, and has the rest of the source make up for what they leave."""
+        sizes = self.spark.createDataFrame(list(self.sizes.items()), "of string, whole long")
+        joined = self.rows.join(sizes, F.col("source").eqNullSafe(F.col("of"))).where(F.col("size") * GIANT > F.col("whole"))
+        giants: dict[str | None, list] = {}
+        for r in joined.select("source", "doc_id", "size").collect():  # fewer than GIANT a source
+            giants.setdefault(r["source"], []).append((r["size"], r["doc_id"]))
+        for s, rows in giants.items():
+            if s in self.fixed:
+                continue
+            order = sorted(rows, key=lambda x: (-x[0], x[1] is not None, x[1] or 0))
+            _, owed = diffuse([x[0] for x in order], [self.rate(x[0], s) for x in order], 0.0, self.cap)
+            rest = self.targets[s] - sum(x[0] * self.rate(x[0], s) for x in order)
+            if rest > 0 and rest + owed > 0:
+                self.gains[s] = round((rest + owed) / rest, 9)
+
+    def by_source(self) -> DataFrame:
+        """of, tilt, fixed, gain, whole, buckets: one row a source."""
+        cells = [(s, self.tilts.get(s, 0.0), self.fixed.get(s, -1.0), self.gains.get(s, 1.0), self.sizes[s], max(1, -(-self.counts[s] // BUCKET_ROWS))) for s in self.sizes]
+        return self.spark.createDataFrame(cells, "of string, tilt double, fixed double, gain double, whole long, buckets long")
+
+
+def rates(size: np.ndarray, tilt: np.ndarray, plan: Plan | tuple) -> np.ndarray:
+    """Tilted rates, cut at the cap and rounded; plan: a Plan or its (centre, spread, slopes, cap)."""
+    centre, spread, slopes, cap = plan if isinstance(plan, tuple) else (plan.centre, plan.spread, plan.slopes, plan.cap)
+    f = (np.log1p(size) - centre) / spread
+    return np.round(np.minimum(cap, np.exp(tilt + slopes[0] * f + slopes[1] * f * f)), 8)
+
+
+def diffuse(sizes: list[int], rates_: list[float], owed: float, cap: float = CAP) -> tuple[list[int], float]:
+    """Copies of documents in this order; owed: tokens still due, carried on. No document exceeds the cap."""
+    copies_ = []
+    for size, rate in zip(sizes, rates_, strict=True):
+        whole = int(rate + 1e-9)
+        owed += size * max(0.0, rate - whole)
+        more = int(size > 0 and owed * 2 >= size and whole + 1 <= cap)
+        owed -= size * more
+        copies_.append(whole + more)
+    return copies_, owed
+
+
+def copies(rows: DataFrame, plan: Plan, size: str, name: str) -> DataFrame:
+    """Adds a column `name` to rows (doc_id, source, the column `size`, others): rates rounded by error diffusion within buckets of a source."""
+    held = [f"mix_{n}" for n in ("of", "tilt", "fixed", "gain", "whole", "buckets", "bucket")]
+    of, tilt, fixed, gain, whole, buckets, bucket = held
+    table = plan.by_source().toDF(*held[:-1])
+    doc_id = rows["doc_id"].cast("long")
+    known = rows.join(table, rows["source"].cast("string").eqNullSafe(table[of]))
+    giant = F.col(size) * GIANT > F.col(whole)
+    known = known.withColumn(bucket, F.when(giant, F.lit(-1).cast("long")).otherwise(F.pmod(F.xxhash64(doc_id, F.col(size)), F.col(buckets))))
+    known = known.withColumn(gain, F.when(giant, 1.0).otherwise(F.col(gain))).select(*rows.columns, of, tilt, fixed, gain, bucket)
+    ordered = known.repartition(of, bucket).sortWithinPartitions(of, bucket, F.desc(size), doc_id)
+    at = [known.columns.index(c) for c in (of, bucket, size, tilt, fixed, gain)]
+    width, numbers = len(rows.columns), (plan.centre, plan.spread, plan.slopes, plan.cap)
 
     def run(batches):
-        bucket, owed = None, 0.0
+        current, owed = None, 0.0
         for b in batches:
-            sources, places, sizes, own = (b.column(i).to_pylist() for i in at)
+            sources, places, sizes = (b.column(i).to_pylist() for i in at[:3])
+            tilts, fixed_, gains = (b.column(i).to_numpy() for i in at[3:])
+            own = np.minimum(numbers[3], np.where(fixed_ >= 0, fixed_, rates(np.array(sizes, dtype=np.int64), tilts, numbers) * gains)).tolist()
             out: list[int] = []
             i = 0
             while i < len(sizes):
                 j = i
                 while j < len(sizes) and sources[j] == sources[i] and places[j] == places[i]:
                     j += 1
-                if bucket != (sources[i], places[i]):
-                    bucket, owed = (sources[i], places[i]), 0.0
-                whole = int(own[i] + 1e-9)
-                some, owed = diffuse(sizes[i:j], whole, max(0.0, own[i] - whole), owed)
+                if current != (sources[i], places[i]):
+                    current, owed = (sources[i], places[i]), 0.0
+                some, owed = diffuse(sizes[i:j], own[i:j], owed, numbers[3])
                 out += some
                 i = j
-            yield pa.RecordBatch.from_arrays([*b.columns[:-2], pa.array(out, pa.int64())], [*b.schema.names[:-2], "__copies"])
-
-    return ordered.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField("__copies", T.LongType())]))
-
+            yield pa.RecordBatch.from_arrays([*b.columns[:width], pa.array(out, pa.int64())], [*b.schema.names[:width], name])
 
-class Plan:
-    """Sizes, rows, targets and multipliers by source: what the driver holds, one entry per source."""
-
-    def __init__(self, rows: DataFrame, weights: tuple[float, ...], cap: float):
-        found = rows.groupBy("source").agg(F.sum("__size").alias("size"), F.count("*").alias("n")).collect()  # one row per source
-        self.sizes = {r["source"]: r["size"] for r in found}
-        self.counts = {r["source"]: r["n"] for r in found}
-        self.targets = weighted_targets(self.sizes, weights, cap)
-        self.tilts = balance(rows, self.targets)
+    return ordered.mapInArrow(run, T.StructType([*rows.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, copies, taken.
 
     Null texts have size 0 and take 0 words; a null source is a source of its own, last in
-    order; repeated rows are documents of their own; a source without words has target 0;
-    an empty table gives no rows; other columns of docs are ignored.
+    order; a null doc_id is a value like any other; repeated rows are documents of their
+    own; whole texts count, of any length; a source without words has target 0; an empty
+    table gives no rows; other columns of docs are ignored.
     """
     rows = narrow(docs)
     plan = Plan(rows, weights, cap)
-    rounded = copies(rows, plan.tilts, plan.counts, cap)
-    table = docs.sparkSession.createDataFrame([(s, plan.sizes[s], plan.targets[s]) for s in plan.sizes], "__of string, source_size long, target double")
-    joined = rounded.join(F.broadcast(table), F.col("source").eqNullSafe(F.col("__of")))
-    return joined.select("doc_id", F.col("__size").alias("size"), "source_size", "target", F.col("__copies").alias("copies"), (F.col("__copies") * F.col("__size")).alias("taken"))
+    rounded = copies(rows, plan, "size", "copies")
+    table = docs.sparkSession.createDataFrame([(s, plan.sizes[s], plan.targets[s]) for s in plan.sizes], "of string, source_size long, target double")
+    joined = rounded.join(table, F.col("source").eqNullSafe(F.col("of")))
+    return joined.select("doc_id", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+@keeps_columns("doc_id", "text", "source")
 def mixed_documents(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP) -> DataFrame:
-    """The rows of docs, each as often as the mix copies it, all columns kept; rows move once, with their source and bucket."""
+    """The rows of docs, each as often as the mix copies it, all columns kept whatever their names; rows move once, with their source and bucket."""
     plan = Plan(narrow(docs), weights, cap)
-    taken = copies(sized(docs), plan.tilts, plan.counts, cap).where("__copies > 0")
-    return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select(*docs.columns)
+    taken = copies(sized(docs, "mix_size"), plan, "mix_size", "mix_copies").where("mix_copies > 0")
+    return taken.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

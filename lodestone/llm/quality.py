@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import keeps_columns
+
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
 UPPER = bytes(range(65, 91))
@@ -253,8 +255,9 @@ COLUMNS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"
 def assess(docs: DataFrame, field: Field, share: float = SHARE) -> DataFrame:
     """One row per row of docs: doc_id, the base counts, base_failed, kept, content_words.
 
-    A null text has no words and fails the base rules, as an empty one does; repeated rows
-    stay; a null doc_id stays null; an empty table gives no rows; other columns are ignored.
+    A null text has no words and fails the base rules, as an empty one does; a text of any
+    length is judged whole; repeated rows stay; a null doc_id stays null; an empty table
+    gives no rows; other columns are ignored.
     """
 
     def run(batches):
@@ -268,6 +271,7 @@ def assess(docs: DataFrame, field: Field, share: float = SHARE) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, " + ", ".join(f"{c} long" for c in COLUMNS) + ", base_failed boolean, kept boolean, content_words long")
 
 
+@keeps_columns("doc_id", "text")
 def keep_good(docs: DataFrame, field: Field, share: float = SHARE) -> DataFrame:
     """The rows of docs that the rules keep, all columns as they are."""
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, fresh, materialise, new_path
+from .common import drop_path, keeps_columns, materialise, new_path
 from .hamming import links_within
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -112,11 +112,11 @@ def classes_of(prints: DataFrame, stars: DataFrame, node: str) -> DataFrame:
 
 def kept_of(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is the smallest of its class."""
-    name = fresh(docs, "kept_id")
-    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
-    return docs.join(kept, docs["doc_id"].cast("long").eqNullSafe(kept[name]), "left_semi")
+    kept = classes.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
+    return docs.join(kept, F.col("doc_id").cast("long").eqNullSafe(F.col("kept_id")), "left_semi")
 
 
+@keeps_columns("doc_id", "text")
 def keep_one(docs: DataFrame, words: int = 3, max_bits: int = MAX_BITS, shared: int = SHARED) -> DataFrame:
     """The documents of docs that are the smallest doc_id of their fingerprint class, all columns kept.
 

@@ -418,7 +418,8 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
 def scores(docs: DataFrame, model: Model) -> DataFrame:
     """One row per row of docs: doc_id, held_out, score, predicted, n_hits.
 
-    Null and empty texts get the score of a text without hits; repeated rows stay; a null
+    Null and empty texts get the score of a text without hits; a text of any length is read
+    whole; repeated rows stay; a null
     doc_id stays null and counts as the empty string in held_out; an empty table gives no
     rows; other columns are ignored.
     """

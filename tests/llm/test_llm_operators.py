@@ -311,6 +311,55 @@ def test_mixing(spark):
     assert mixing.mix(docs.where("false")).count() == 0 and mixing.mixed_documents(docs.where("false")).count() == 0
 
 
+def sized_docs(spark, sizes):
+    return spark.createDataFrame([(i, "w " * n, s) for i, (s, n) in enumerate(sizes)], "doc_id long, text string, source string")
+
+
+def test_tilts_meet_the_dual(spark):
+    """Sources of different lengths: sources' targets exactly, the length profile up to the ridge, rates of one source differ by length."""
+    r = random.Random(8)
+    sizes = [("a", r.randint(5, 30)) for _ in range(500)] + [("b", r.randint(40, 400)) for _ in range(80)] + [("c", r.choice([8, 300])) for _ in range(120)]
+    plan = mixing.Plan(mixing.narrow(sized_docs(spark, sizes)))
+    n = np.array([k for _, k in sizes])
+    tilt = np.array([plan.tilts.get(s, 0.0) for s, _ in sizes])
+    fixed = np.array([plan.fixed.get(s, -1.0) for s, _ in sizes])
+    rate = np.where(fixed >= 0, fixed, mixing.rates(n, tilt, plan))
+    source = np.array([s for s, _ in sizes])
+    for s, t in plan.targets.items():
+        assert (rate * n)[source == s].sum() == pytest.approx(t, rel=1e-5)
+    free = np.array([s not in plan.fixed for s, _ in sizes])
+    f = (np.log1p(n) - plan.centre) / plan.spread
+    share = np.array([plan.targets[s] / plan.sizes[s] for s, _ in sizes])
+    gap = lambda x: abs((x * n * f)[free].sum() / (x * n)[free].sum() - (n * f)[free].sum() / n[free].sum())
+    assert gap(rate) < 0.5 * gap(share) and len(set(np.round(rate[source == "c"], 6))) > 1
+
+
+def test_giants_do_not_upset_their_bucket(spark):
+    """Documents with more words than the rest of their bucket: every source still comes near its target."""
+    r = random.Random(9)
+    sizes = [(s, r.randint(20, 60)) for s in ("a", "b", "c") for _ in range(1500)] + [("a", 9000), ("a", 7000), ("b", 30_000), ("c", 5000), ("c", 5000), ("c", 4999)]
+    taken, targets = Counter(), {}
+    docs = sized_docs(spark, sizes)
+    names = dict(enumerate(s for s, _ in sizes))
+    for row in mixing.mix(docs).collect():
+        taken[names[row["doc_id"]]] += row["taken"]
+        targets[names[row["doc_id"]]] = row["target"]
+        assert row["taken"] <= 3 * row["size"]
+    assert sum(targets.values()) == pytest.approx(sum(n for _, n in sizes))
+    for s, t in targets.items():
+        assert abs(taken[s] - t) <= 0.005 * t
+
+
+def test_mixing_keeps_any_columns(spark):
+    """Names that the operator uses itself, null ids, repeated rows, a very long text."""
+    names = ["size", "copies", "of", "rate", "bucket", "mix_size", "MIX_OF", "mix_copies", "tilt", "a.b"]
+    rows = [(i % 20 if i else None, "w " * (i % 9), ["s", None, "t"][i % 3], *range(len(names))) for i in range(200)] + [(7, "v " * 100_000, "s", *range(len(names)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` int" for n in names))
+    mixed = mixing.mixed_documents(docs)
+    assert mixed.columns == docs.columns and set(map(tuple, mixed.collect())) <= set(map(tuple, docs.collect()))
+    assert sum(r["copies"] for r in mixing.mix(docs).collect()) == mixed.count()
+
+
 # ---- quality ----
 def brute_base(text):
     text = text or ""
