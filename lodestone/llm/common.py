@@ -41,12 +41,17 @@ def new_path(spark: SparkSession, label: str) -> str:
     return path
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes the intermediate tables made so far, once the results that read them are written; returns how many."""
-    n = len(_made)
-    while _made:
-        drop_path(spark, _made[-1])
-    return n
+def made() -> int:
+    """How many intermediate tables there are now; release() takes it as a mark."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0, keep: str | None = None) -> int:
+    """Deletes the intermediate tables made since a mark but `keep`, once the results that read them are written; returns how many."""
+    gone = [p for p in _made[since:] if p != keep]
+    for path in gone:
+        drop_path(spark, path)
+    return len(gone)
 
 
 def drop_path(spark: SparkSession, path: str) -> None:

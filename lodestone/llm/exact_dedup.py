@@ -6,12 +6,18 @@ memtable is a hit and is verified by comparing bytes. A full memtable is flushed
 as a run: its rows sorted by digest, written to the shared folder, with a Bloom
 filter of the run's digests beside it.
 
-Compaction merges the runs by digest and keeps the best identifier: most code
-points in the original text, then the smallest doc_id. A digest that stands in
-two or more runs is a hit across runs: its bytes are read back, only from runs
-whose rows pass a filter of fixed size over the hit digests, and compared with
-the bytes of the first run that holds it. Entries whose bytes differ although
-their digests agree become classes of their own, keyed by a second digest.
+Compaction merges all runs by digest in one level and keeps the best identifier: most
+code points in the original text, then the smallest doc_id. A digest that stands in
+two or more runs is a hit across runs: its bytes are read back, only for rows that pass
+a filter over the hit digests, and compared with the bytes of the first run that holds
+it. The filter has BITS_AN_ENTRY bits a hit; where that is more than FILTER_BITS, the
+hits are read back in several passes, each with a part of the digests and a filter of
+its own. Entries whose bytes differ although their digests agree become classes of their
+own, keyed by a second digest.
+
+The runs' own filters serve probe(), the lookup of new texts in an index that exists: a
+run whose filter lacks them all is passed over. A whole build does not gain from them,
+since nearly every run holds some hit.
 
 One run holds at most one entry per distinct text, so a text that makes up a
 third of all rows reaches compaction as one entry per run.
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +41,9 @@ from .common import SPACE, keeps_columns, materialise
 #: A memtable is flushed once its entries hold so many bytes of text or so many rows.
 MEMTABLE_BYTES = 24 << 20
 MEMTABLE_ROWS = 100_000
-#: Size of the broadcast filter over hit digests, fixed whatever the input: 2**23 bits are 1 MB.
-FILTER_BITS = 1 << 23
+#: Bits of a filter for each digest, and most bits of the broadcast filter of a pass: 2**27 are 16 MB, for 13 million hits.
+BITS_AN_ENTRY = 10
+FILTER_BITS = 1 << 27
 PROBES = 4
 
 RUN_SCHEMA = T.StructType(
@@ -64,9 +72,14 @@ def positions(digest: bytes, bits: int) -> list[int]:
     return [int.from_bytes(d[8 * i : 8 * i + 8], "big") % bits for i in range(PROBES)]
 
 
+def bits_for(entries: int) -> int:
+    """The power of two that gives each entry BITS_AN_ENTRY bits."""
+    return max(64, 1 << (BITS_AN_ENTRY * max(1, entries) - 1).bit_length())
+
+
 def run_filter(digests: list[bytes]) -> bytes:
     """Bloom filter of a run, about 10 bits an entry; the size is in its length."""
-    bits = max(64, 1 << (10 * max(1, len(digests)) - 1).bit_length())
+    bits = bits_for(len(digests))
     at = np.zeros(bits, dtype=bool)
     for d in digests:
         at[positions(d, bits)] = True
@@ -172,48 +185,59 @@ def probe(runs: DataFrame, texts: list[str | None], digest=_digest) -> DataFrame
     return entries.mapInArrow(run, "run string, digest binary, doc_id long, n_chars long")
 
 
-def hit_filter(hits: DataFrame) -> bytes:
-    """A filter of fixed size over the digests of hits: each task makes its own, they are OR-ed in slices."""
-    width = FILTER_BITS // 64
+#: Parts a filter is merged in.
+SLICES = 64
+
+
+def hit_filter(hits: DataFrame, bits: int) -> bytes:
+    """A filter of that many bits over the digests of hits: each task makes its own, they are OR-ed in slices."""
 
     def part(batches):
-        at = np.zeros(FILTER_BITS, dtype=bool)
+        at = np.zeros(bits, dtype=bool)
         for b in batches:
             for d in b.column(0).to_pylist():
-                at[positions(d, FILTER_BITS)] = True
-        slices = np.packbits(at).reshape(64, -1)
-        some = [i for i in range(64) if slices[i].any()]
+                at[positions(d, bits)] = True
+        slices = np.packbits(at.reshape(SLICES, -1), axis=1)
+        some = [i for i in range(SLICES) if slices[i].any()]
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([slices[i].tobytes() for i in some], pa.binary())], ["slice", "bits"])
 
     def merge(batches):
         held: dict[int, np.ndarray] = {}
         for b in batches:
-            for i, bits in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                own = np.frombuffer(bits, dtype=np.uint8)
+            for i, one in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(one, dtype=np.uint8)
                 held[i] = own | held[i] if i in held else own
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x.tobytes() for x in held.values()], pa.binary())], ["slice", "bits"])
 
     schema = "slice int, bits binary"
-    merged = hits.select("digest").mapInArrow(part, schema).repartition(64, "slice").mapInArrow(merge, schema)
-    out = np.zeros((64, width // 8), dtype=np.uint8)
-    for r in merged.collect():  # at most 64 slices, FILTER_BITS in all
+    merged = hits.select("digest").mapInArrow(part, schema).repartition(SLICES, "slice").mapInArrow(merge, schema)
+    out = [np.zeros(bits // SLICES // 8, dtype=np.uint8) for _ in range(SLICES)]
+    for r in merged.toLocalIterator():  # at most SLICES slices, `bits` in all
         out[r["slice"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
-    return out.tobytes()
+    return b"".join(x.tobytes() for x in out)
 
 
-def confirmed_keys(runs: DataFrame) -> DataFrame:
-    """(run, digest, variant, key) of the entries found in several runs; key tells unequal bytes apart."""
-    entries = runs.where("entry")
-    hits = materialise(entries.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("run", "variant")).alias("first")).where("n > 1"), "hits")
-    bits = hits.sparkSession.sparkContext.broadcast(hit_filter(hits))
+def fetched(entries: DataFrame, hits: DataFrame, bits: int) -> DataFrame:
+    """run, digest, variant, body of the entries that may be hits, as the filter over hits says."""
+    filter_ = hits.sparkSession.sparkContext.broadcast(hit_filter(hits, bits))
 
     def passing(batches):
         for b in batches:
-            yield b.filter(pa.array([may_contain(bits.value, d) for d in b.column(1).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([may_contain(filter_.value, d) for d in b.column(1).to_pylist()], pa.bool_()))
+
+    return entries.select("run", "digest", "variant", "body").mapInArrow(passing, "run string, digest binary, variant int, body binary")
 
-    schema = "run string, digest binary, variant int, body binary"
-    fetched = entries.select("run", "digest", "variant", "body").mapInArrow(passing, schema)
-    held = materialise(fetched.join(hits.select("digest", "first"), "digest"), "bodies")
+
+def confirmed_keys(runs: DataFrame) -> DataFrame:
+    """(run, digest, variant, key) of the entries found in several runs; key tells unequal bytes apart."""
+    entries = runs.where("entry")
+    hits = materialise(entries.groupBy("digest").agg(F.count("*").alias("n"), F.min(F.struct("run", "variant")).alias("first")).where("n > 1"), "hits")
+    count = hits.count()
+    passes = max(1, -(-bits_for(count) // FILTER_BITS))
+    bits = max(8 * SLICES, bits_for(-(-count // passes)))
+    turn = lambda i: F.pmod(F.xxhash64("digest"), F.lit(passes)) == i
+    found = reduce(DataFrame.unionByName, [fetched(entries.where(turn(i)), hits.where(turn(i)), bits) for i in range(passes)])
+    held = materialise(found.join(hits.select("digest", "first"), "digest"), "bodies")
     is_first = (F.col("first.run") == F.col("run")) & (F.col("first.variant") == F.col("variant"))
     firsts = held.where(is_first).select("digest", F.col("body").alias("first_body"))
     same = held.join(firsts, "digest")
@@ -226,8 +250,8 @@ def exact_classes(docs: DataFrame, digest=_digest) -> DataFrame:
 
     Null texts count as empty, empty and blank texts are equal to each other; rows that
     repeat a doc_id and its text are members of one group and, if theirs is the kept
-    doc_id, only one of them is kept; a null doc_id comes after all others; an empty table
-    gives no rows; other columns of docs are ignored.
+    doc_id, only one of them is kept; a null doc_id comes after all others; a text of any
+    length counts whole; an empty table gives no rows; other columns of docs are ignored.
     """
     runs = flush_runs(docs, digest)
     keys = confirmed_keys(runs)

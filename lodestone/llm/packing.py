@@ -263,9 +263,11 @@ def slots(patterns: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
 def pack(pieces: DataFrame, length: int = LENGTH, width: int = WIDTH, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Adds sequence_id and offset to pieces (any table with doc_id, start, length, ids_crc32), without splitting them."""
     spark = pieces.sparkSession
-    classed = pieces.withColumn("class", F.ceil(F.col("length") / width).cast("int"))
-    demand = {r["class"]: r["n"] for r in classed.groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most length / width rows
+    width = min(width, length)
     capacity = length // width
+    # Where width does not divide length, the longest pieces round up beyond the capacity; alone they fit.
+    classed = pieces.withColumn("class", F.least(F.ceil(F.col("length") / width), F.lit(capacity)).cast("int"))
+    demand = {r["class"]: r["n"] for r in classed.groupBy("class").agg(F.count("*").alias("n")).collect()}  # at most length / width rows
     patterns = round_patterns(column_generation(demand, capacity), demand, capacity)
     table = spark.createDataFrame(slots(patterns), "class int, first long, after long, each long, base long")
     buckets = spark.createDataFrame([(c, -(-n // bucket_rows)) for c, n in demand.items()], "class int, buckets long")
@@ -289,8 +291,8 @@ def pack(pieces: DataFrame, length: int = LENGTH, width: int = WIDTH, bucket_row
 def pack_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    A null or empty text is one piece with the end id alone; repeated rows are packed as
-    often as they occur; a null doc_id stays null; an empty table gives no rows; other
+    A null or empty text is one piece with the end id alone; a text of any length is cut
+    whole; repeated rows are packed as often as they occur; a null doc_id stays null; an empty table gives no rows; other
     columns of docs are ignored.
     """
     return pack(materialise(cut(docs, path, length), "pieces"), length)

@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 
 MODEL = "byte_bpe_50k.json"
 LIMIT = 1024
-#: Entries of the memo for pre-tokens that need merges; a full memo starts anew.
-MEMO = 500_000
+#: Bytes of pre-tokens a worker remembers, and characters of those too long to be remembered.
+MEMO_BYTES, MEMO_PART = 64 << 20, 64
 #: The pre-token pattern of byte-level BPE files with use_regex.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters whose class is old and stable: ASCII without the separators 1C-1F, Latin, Greek, Cyrillic letters and common punctuation.
@@ -67,7 +67,7 @@ class Counter:
         self.proven = prove(self.tokenizer, regex.compile(PATTERN))
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.special = re.compile("|".join(map(re.escape, added))) if added else None
-        self.memo = dict.fromkeys(self.proven, 1)
+        self.memo, self.held = dict.fromkeys(self.proven, 1), 0
         self.merge = self.tokenizer.model.tokenize
         self.alphabet = {b: c for c, b in byte_alphabet().items()}
 
@@ -87,14 +87,18 @@ class Counter:
         memo = self.memo
         found = list(map(memo.get, parts))
         if None in found:
-            if len(memo) > len(self.proven) + MEMO:
-                self.memo = memo = dict.fromkeys(self.proven, 1)
+            if self.held > MEMO_BYTES:
+                self.memo, self.held = dict.fromkeys(self.proven, 1), 0
+                memo = self.memo
             at = -1
             for _ in range(found.count(None)):
                 at = found.index(None, at + 1)
                 n = memo.get(parts[at])
                 if n is None:
-                    memo[parts[at]] = n = self.part(parts[at])
+                    n = self.part(parts[at])
+                    if len(parts[at]) <= MEMO_PART:
+                        memo[parts[at]] = n
+                        self.held += 2 * len(parts[at]) + 150
                 found[at] = n
         return sum(found)
 
@@ -111,8 +115,8 @@ def counter(path: str) -> Counter:
 def token_counts(docs: DataFrame, path: str, limit: int = LIMIT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit per row of docs.
 
-    Null and empty texts have 0 bytes and 0 tokens; repeated rows stay; a null doc_id
-    stays null; an empty table gives no rows; other columns of docs are ignored. path is
+    Null and empty texts have 0 bytes and 0 tokens; texts of any length count whole;
+    repeated rows stay; a null doc_id stays null; an empty table gives no rows; other columns of docs are ignored. path is
     a tokenizer file that every executor can read.
     """
 

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 pytest.importorskip("lodestone.llm")
 
-from lodestone.llm import chat, exact_dedup, hamming, mixing, packing, quality, sharding, simhash, token_count, toxicity, warc  # noqa: E402
+from lodestone.llm import chat, exact_dedup, hamming, mixing, near_copies, packing, quality, sharding, simhash, token_count, toxicity, warc  # noqa: E402
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, run string, key string, digest string"
@@ -216,6 +216,28 @@ def test_knapsack_and_linear_program():
     assert dict(got) == demand and sum(n for _, n in whole) <= 49
 
 
+@pytest.mark.parametrize("length", [2047, 100, 12, 5])
+def test_packing_of_any_length(spark, length):
+    r = random.Random(length)
+    rows = [(i, 0, r.choice([1, length, r.randint(1, length), max(1, length - 1)]), i) for i in range(200)] + [(None, 0, 1, 0), (3, 0, 1, 3)]
+    packed = pack_rows(packing.pack(spark.createDataFrame(rows, "doc_id long, start long, length long, ids_crc32 long"), length), length)
+    assert packed == len(rows)
+
+
+def pack_rows(df, length):
+    """The number of pieces, once every sequence is gapless from 0 and within length."""
+    by = defaultdict(list)
+    for r in df.collect():
+        by[r["sequence_id"]].append((r["offset"], r["length"]))
+    for pieces in by.values():
+        at = 0
+        for offset, n in sorted(pieces):
+            assert offset == at
+            at += n
+        assert at <= length
+    return sum(map(len, by.values()))
+
+
 def test_packing_of_documents(spark):
     import public_tokenizers
     from tokenizers import Tokenizer
@@ -614,6 +636,25 @@ def test_exact_dedup(spark, monkeypatch, rows_a_run):
     assert exact_dedup.exact_classes(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("bits", [512, 1 << 12])
+def test_exact_dedup_in_passes(spark, monkeypatch, bits):
+    """More hits than a filter holds: several passes, the same classes."""
+    monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 50)
+    monkeypatch.setattr(exact_dedup, "FILTER_BITS", bits)
+    df = spark.createDataFrame([(i, f"text {i % 700}") for i in range(2000)], "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["keep_id"] for r in exact_dedup.exact_classes(df).collect()}
+    assert got == {i: i % 700 for i in range(2000)}
+
+
+def test_one_row_stays_of_a_repeated_id(spark):
+    """Rows that share id and text but for white space: the one with the most code points stays, whatever the other columns are called."""
+    rows = [(1, "a b", "p", 1), (1, "a  b", "q", 2), (1, "ab", "r", 3), (None, "x", "s", 4), (None, "x ", "t", 5), (2, None, "u", 6), (2, "", "v", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, kept_key string, `__key` int").repartition(3)
+    got = {tuple(r) for r in exact_dedup.keep_first(df).collect()}
+    assert {(1, "a  b", "q", 2), (None, "x ", "t", 5)} <= got and len(got) == 3
+    assert got == {tuple(r) for r in exact_dedup.keep_first(df.repartition(5)).collect()}
+
+
 def test_exact_dedup_survives_digest_collisions(spark, monkeypatch):
     monkeypatch.setattr(exact_dedup, "MEMTABLE_ROWS", 4)
 
@@ -681,6 +722,49 @@ def test_probe_skips_runs_and_verifies(spark, monkeypatch):
     assert sorted(r["doc_id"] for r in got) == [7, 29]
 
 
+EDGES = [(None, None), (None, "same words here"), (5, "same words here"), (5, "same words here"), (6, ""), (7, " \n"), (8, "Same  words here"), (9, "long " * 60_000), (10, "y" * 300_000), (11, "é|x " * 80)]
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, size long, kept boolean, node string, hash string, `class` int, bucket int, fp long"
+
+
+@pytest.fixture(scope="module")
+def edge_docs(spark):
+    rows = [(d, t, "en", [None, "s"][i % 2], 1, 1, True, "n", "h", 1, 1, 1) for i, (d, t) in enumerate(EDGES)]
+    return spark.createDataFrame(rows, CLASH).repartition(3)
+
+
+@pytest.mark.parametrize("name", ["simhash", "near", "packing", "sharding", "mixing", "quality", "toxicity", "tokens", "exact"])
+def test_edges(spark, edge_docs, name):
+    """Null ids and texts, repeated rows, very long texts, clashing names, an empty table: a row for every row."""
+    import public_tokenizers
+
+    run = {
+        "simhash": simhash.near_classes, "near": near_copies.near_classes, "packing": lambda d: packing.pack_documents(d, public_tokenizers.path(packing.MODEL)).where("start = 0"), "sharding": sharding.reshard, "mixing": mixing.mix,
+        "quality": lambda d: quality.assess(d, quality.learn([])), "toxicity": lambda d: toxicity.scores(d, toxicity.learn([], 0.1)), "tokens": lambda d: token_count.token_counts(d, public_tokenizers.path(token_count.MODEL)), "exact": exact_dedup.exact_classes,
+    }[name]
+    assert Counter(r["doc_id"] for r in run(edge_docs).collect()) == Counter(d for d, _ in EDGES)
+    assert run(edge_docs.where("false")).count() == 0
+
+
+@pytest.mark.parametrize("name", ["quality", "exact", "simhash", "near", "mixing"])
+def test_stages_keep_columns(spark, edge_docs, name):
+    run = {"quality": lambda d: quality.keep_good(d, quality.learn([])), "exact": exact_dedup.keep_first, "simhash": simhash.keep_one, "near": near_copies.keep_one, "mixing": mixing.mixed_documents}[name]
+    kept = run(edge_docs)
+    assert kept.dtypes == edge_docs.dtypes
+    assert {tuple(r) for r in kept.collect()} <= {tuple(r) for r in edge_docs.collect()}
+    assert run(edge_docs.where("false")).count() == 0
+
+
+def test_memos_are_bounded(monkeypatch):
+    import public_tokenizers
+
+    monkeypatch.setattr(token_count, "MEMO_BYTES", 5000)
+    c = token_count.Counter(public_tokenizers.path(token_count.MODEL))
+    for i in range(300):
+        text = f"zq{i}xv " + "k" * 4000 + f" w{i}"
+        assert c.count(text) == c.whole(text)
+        assert c.held < 10_000
+
+
 def test_release_deletes_intermediate_tables(spark):
     from pathlib import Path
 
