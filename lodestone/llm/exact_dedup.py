@@ -212,7 +212,7 @@ def hit_filter(hits: DataFrame, bits: int) -> bytes:
     schema = "slice int, bits binary"
     merged = hits.select("digest").mapInArrow(part, schema).repartition(SLICES, "slice").mapInArrow(merge, schema)
     out = [np.zeros(bits // SLICES // 8, dtype=np.uint8) for _ in range(SLICES)]
-    for r in merged.toLocalIterator():  # at most SLICES slices, `bits` in all
+    for r in merged.collect():  # at most SLICES slices, `bits` in all
         out[r["slice"]] |= np.frombuffer(r["bits"], dtype=np.uint8)
     return b"".join(x.tobytes() for x in out)
 
