@@ -102,6 +102,11 @@ def keeps_columns(*needed: str):
     return wrap
 
 
+def each(column: pa.Array):
+    """The values of a column one by one, so that a batch's texts are not all held twice."""
+    return (x.as_py() for x in column)
+
+
 def whole_groups(batches, keys: int):
     """Tables cut between groups: rows in order of the first `keys` columns, no group in two tables."""
     kept: list[pa.RecordBatch] = []

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import SPACE, keeps_columns, materialise
+from .common import SPACE, each, keeps_columns, materialise
 
 #: A memtable is flushed once its entries hold so many bytes of text or so many rows.
 MEMTABLE_BYTES = 24 << 20
@@ -143,7 +143,7 @@ def flush_runs(docs: DataFrame, digest=_digest) -> DataFrame:
     def run(batches):
         table = Memtable(digest)
         for b in batches:
-            for doc_id, text, n in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for doc_id, text, n in zip(b.column(0).to_pylist(), each(b.column(1).cast(pa.binary())), b.column(2).to_pylist(), strict=True):
                 table.add(doc_id, text, n)
                 if table.full():
                     yield table.flush()

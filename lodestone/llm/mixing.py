@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import keeps_columns, materialise
+from .common import each, keeps_columns, materialise
 
 #: A source's words are taken at most this often.
 CAP = 3.0
@@ -52,7 +52,7 @@ def sized(docs: DataFrame, name: str) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            sizes = [len((t or b"").split()) for t in b.column(at).cast(pa.binary()).to_pylist()]
+            sizes = [len((t or b"").split()) for t in each(b.column(at).cast(pa.binary()))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(sizes, pa.int64())], [*b.schema.names, name])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import materialise
+from .common import each, materialise
 
 MODEL = "word_bpe_49k.json"
 LENGTH = 2048
@@ -48,7 +48,7 @@ ROUNDS = 3000
 SIMPLE = re.compile(r"[!-~À-ÖØ-öø-ÿ]+")
 PRETOKENS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-ÿß]+|[0-9]|[^a-zà-öø-ÿß0-9]+")
 #: Bytes of words and ids that a worker remembers.
-MEMO_BYTES = 128 << 20
+MEMO_BYTES = 48 << 20
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 
 
@@ -151,7 +151,7 @@ def cut(docs: DataFrame, path: str, length: int = LENGTH) -> DataFrame:
         encode = word_ids(path).ids
         for b in batches:
             cols: list[list] = [[], [], [], [], []]
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+            for doc_id, text in zip(b.column(0).to_pylist(), each(b.column(1).cast(pa.binary())), strict=True):
                 ids = encode(text) + end
                 n = len(ids) // 4
                 for start in range(0, n, length):

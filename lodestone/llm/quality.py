@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import keeps_columns
+from .common import each, keeps_columns
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -262,7 +262,7 @@ def assess(docs: DataFrame, field: Field, share: float = SHARE) -> DataFrame:
 
     def run(batches):
         for b in batches:
-            found = [judge(t, field, share) for t in b.column(1).to_pylist()]
+            found = [judge(t, field, share) for t in each(b.column(1))]
             cols = list(zip(*found, strict=True)) or [()] * 8
             kinds = [pa.int64()] * 5 + [pa.bool_()] * 2 + [pa.int64()]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], ["doc_id", *COLUMNS, "base_failed", "kept", "content_words"])
@@ -278,7 +278,7 @@ def keep_good(docs: DataFrame, field: Field, share: float = SHARE) -> DataFrame:
     def run(batches):
         for b in batches:
             at = b.schema.get_field_index("text")
-            yield b.filter(pa.array([judge(t, field, share)[6] for t in b.column(at).to_pylist()], pa.bool_()))
+            yield b.filter(pa.array([judge(t, field, share)[6] for t in each(b.column(at))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 
