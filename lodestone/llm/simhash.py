@@ -74,15 +74,14 @@ def components(edges: DataFrame) -> DataFrame:
     path = new_path(spark, "star")
     current = materialise(edges.select(F.col("b").alias("hi"), F.col("a").alias("lo")), "star", path)
     while True:
-        several = current.groupBy("hi").count().where("count > 1").limit(1)
-        roots = current.groupBy("lo").count().select(F.col("lo").alias("x_lo"))
-        chained = roots.join(current.select("hi").distinct(), F.col("x_lo") == F.col("hi"), "left_semi").limit(1)
-        if several.select("hi").unionByName(chained.select(F.col("x_lo").alias("hi"))).isEmpty():
+        ends = current.groupBy(F.col("hi").alias("u")).agg(F.count("*").alias("up"), F.lit(0).alias("down"))
+        ends = ends.unionByName(current.select(F.col("lo").alias("u"), F.lit(0).cast("long").alias("up"), F.lit(1).alias("down")).distinct())
+        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
             return current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         large = with_least(both, "u", "v").where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()
-        small = with_least(large, "hi", "lo")
-        moved = small.where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
+        small = large.groupBy("hi").agg(F.min("lo").alias("m"))
+        moved = large.join(small, "hi").where("lo <> m").select(F.col("lo").alias("hi"), F.col("m").alias("lo"))
         following = new_path(spark, "star")
         step = materialise(moved.unionByName(small.select("hi", F.col("m").alias("lo"))).distinct(), "star", following)
         drop_path(spark, path)
