@@ -84,16 +84,36 @@ class Scratch:
             drop_path(self.spark, self.paths.pop())
 
 
+#: Most bytes of an Arrow batch that goes to Python.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's bound on the bytes of an Arrow batch to BATCH_BYTES; a smaller one stays.
+
+    A task holds a batch several times, in the JVM's off-heap memory and in its Python
+    worker, which both keep what they have once taken. Batches of up to 64 MB, Spark's
+    default, are most of an executor's memory beyond its heap. No result depends on where
+    batches are cut. A text longer than the bound is a batch of its own.
+    """
+    size = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(_BATCH_KEY))
+    if not 0 < size <= BATCH_BYTES:
+        spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
+
+
 def keeps_columns(*needed: str):
     """For functions from documents to some of their rows: whatever the other columns' names are, they come back as they were.
 
     Inside, every column but the needed ones has a name of its own, extra_0, extra_1, ...,
-    so names that a function uses itself, and names with dots, cannot clash.
+    so names that a function uses itself, and names with dots, cannot clash. Arrow batches
+    are bounded.
     """
 
     def wrap(function):
         @wraps(function)
         def run(docs: DataFrame, *args, **kwargs) -> DataFrame:
+            bounded_batches(docs.sparkSession)
             plain = docs.toDF(*(c if c in needed else f"extra_{i}" for i, c in enumerate(docs.columns)))
             return function(plain, *args, **kwargs).toDF(*docs.columns)
 

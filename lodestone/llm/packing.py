@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import each, materialise
+from .common import bounded_batches, each, materialise
 
 MODEL = "word_bpe_49k.json"
 LENGTH = 2048
@@ -295,6 +295,7 @@ def pack_documents(docs: DataFrame, path: str, length: int = LENGTH) -> DataFram
     whole; repeated rows are packed as often as they occur; a null doc_id stays null; an empty table gives no rows; other
     columns of docs are ignored.
     """
+    bounded_batches(docs.sparkSession)
     return pack(materialise(cut(docs, path, length), "pieces"), length)
 
 

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 pytest.importorskip("lodestone.llm")
 
 from lodestone.llm import chat, exact_dedup, hamming, mixing, near_copies, packing, quality, sharding, simhash, token_count, toxicity, warc  # noqa: E402
+from lodestone.llm.common import BATCH_BYTES, bounded_batches  # noqa: E402
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, run string, key string, digest string"
@@ -774,3 +776,25 @@ def test_release_deletes_intermediate_tables(spark):
     folder = Path(next(p for p in common._made if "/kept-" in p).removeprefix("file://"))
     assert table.count() == 3 and folder.exists()
     assert common.release(spark) >= 1 and not folder.exists() and not common._made
+
+
+def test_batches_are_bounded(spark):
+    key, texts = "spark.sql.execution.arrow.maxBytesPerBatch", ["x" * (1 << 20), "y" * (9 << 20), *["z" * (1 << 19)] * 30]
+    before = spark.conf.get(key)
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["n", "size"])
+
+    try:
+        spark.conf.set(key, "64m")
+        bounded_batches(spark)
+        assert int(spark.conf.get(key)) == BATCH_BYTES
+        docs = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+        rows = docs.mapInArrow(sizes, "n long, size long").collect()
+        assert sum(r.n for r in rows) == len(texts) and all(r.size <= BATCH_BYTES + (1 << 21) for r in rows if r.n > 1 and r.size < 9 << 20)
+        spark.conf.set(key, "1m")
+        bounded_batches(spark)
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
