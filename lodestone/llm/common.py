@@ -79,6 +79,10 @@ class Scratch:
         self.paths.append(new_path(self.spark, label))
         return materialise(df, label, self.paths[-1])
 
+    def drop(self, path: str) -> None:
+        self.paths.remove(path)
+        drop_path(self.spark, path)
+
     def clear(self) -> None:
         while self.paths:
             drop_path(self.spark, self.paths.pop())

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, exact_dedup, mixing, packing, quality, sharding, simhash, token_count, toxicity, warc
+from . import chat, exact_dedup, log_bilinear, mixing, packing, quality, schema_rewrite, sharding, simhash, sort_means, token_count, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,11 @@ def queries() -> dict:
         "op8_toxicity": toxicity.query,
         "op9_token_counts": token_count.query,
         "op10_exact_dedup": exact_dedup.query,
+        "op11_sort_means": sort_means.query,
+        "op12_schema_rewrite": schema_rewrite.query,
+        "op13_log_bilinear": log_bilinear.query,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_warc": warc.SQL, "op2_chat_formatting": chat.SQL, "op10_exact_dedup": exact_dedup.SQL}
+    return {"op1_warc": warc.SQL, "op2_chat_formatting": chat.SQL, "op10_exact_dedup": exact_dedup.SQL, "op11_sort_means": sort_means.SQL}
