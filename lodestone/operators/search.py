@@ -97,13 +97,13 @@ def top_k_blocks(vectors: DataFrame, queries: DataFrame, k: int = SEARCH_LIMIT,
         asks = table.column("asks").combine_chunks()
         q, v = table.filter(asks), table.filter(pa.compute.invert(asks))
         out_q, out_k, out_s = [], [], []
-        rows = [r or [] for r in q.column(vector).to_pylist()]
-        size = max(map(len, rows), default=0)
-        if q.num_rows and v.num_rows:
-            a, b = (_matrix(t.column(vector).combine_chunks(), size) for t in (q, v))
+        sizes = pa.compute.fill_null(pa.compute.list_value_length(q.column(vector)), 0).to_numpy()
+        for size in np.unique(sizes).tolist() if v.num_rows else []:  # vectors of another size than the query's score 0
+            asked = q.filter(pa.array(sizes == size))
+            a, b = (_matrix(t.column(vector).combine_chunks(), max(1, size)) for t in (asked, v))
             keys = v.column(key).to_numpy()
             lengths, own_length = np.linalg.norm(b, axis=1), np.linalg.norm(a, axis=1)
-            for i, one in enumerate(q.column(key).to_pylist()):
+            for i, one in enumerate(asked.column(key).to_pylist()):
                 length = own_length[i] * lengths
                 scores = np.divide(b @ a[i], length, out=np.zeros(len(b)), where=length > 0)
                 allowed = np.flatnonzero(keys != one)

@@ -83,7 +83,7 @@ def layout_means(spark, sf):
     old = F.when(F.col("event_id") % 3 == 0, F.struct(F.col("value").alias("mrr")))
     new = F.when(F.col("event_id") % 3 != 1, F.struct(F.struct((F.col("value") * 2).alias("mrr")).alias("retrieval")))
     rows = e.select(F.col("event_type").alias("scenario"), old.alias("retrieval_metrics"), new.alias("metrics"))
-    return E.layout_means(rows, ["scenario"], ["mrr"]).select("scenario", "n", F.round("mrr", 4).alias("mrr"))
+    return E.layout_means(rows, ["scenario"], ["mrr"]).select("scenario", "n", F.round(F.col("mrr").cast("decimal(18,8)"), 4).cast("double").alias("mrr"))  # a tie of decimals, not of doubles
 
 
 def scenarios(spark, sf):
@@ -179,7 +179,7 @@ SELECT DISTINCT u.review, CAST(coalesce(n, 0) AS INTEGER) AS issues, least(1.0::
     ),
     "issue_coverage": (issue_coverage, f"""WITH {_routed}, u AS (SELECT page_id % 20 AS review, agents FROM ra), x AS (SELECT review, count(DISTINCT a) AS n FROM (SELECT review, unnest(agents) AS a FROM u) GROUP BY 1),
 y AS (SELECT DISTINCT u.review, coalesce(n, 0) AS n FROM u LEFT JOIN x USING (review)) SELECT round(avg(least(1.0::DOUBLE, n / 5.0::DOUBLE)), 4) AS issue_coverage FROM y"""),
-    "layout_means": (layout_means, "SELECT event_type AS scenario, count(*) AS n, round(avg(CASE event_id % 3 WHEN 0 THEN value WHEN 2 THEN value * 2 END), 4) AS mrr FROM events GROUP BY 1"),
+    "layout_means": (layout_means, "SELECT event_type AS scenario, count(*) AS n, CAST(round(CAST(avg(CASE event_id % 3 WHEN 0 THEN value WHEN 2 THEN value * 2 END) AS DECIMAL(18, 8)), 4) AS DOUBLE) AS mrr FROM events GROUP BY 1"),
     "scenario_summary": (
         scenarios,
         "SELECT event_type, count(*) AS n, round(coalesce(avg(CASE WHEN event_id % 4 <> 0 AND value <> 0 THEN value END), 0), 4) AS avg_latency, round(avg(value), 4) AS avg_value FROM events GROUP BY 1",

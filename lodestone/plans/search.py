@@ -9,6 +9,7 @@ from ..functions import paths as P
 from ..functions import text as X
 from ..operators import scope as C
 from ..operators import search as S
+from ..operators import vector_index as V
 from .common import HITS_SQL, PATHS_SQL, WHOLE, page_paths, table, vector_hits, whole_hits
 
 ALL_WORDS = "the And THAT"
@@ -46,9 +47,33 @@ def near_duplicates(spark, sf):
     return _similar(whole_hits(spark, sf, WHOLE, 10), 0.3).select("query_id", "vec_id", F.round("score", 2).alias("similarity"))
 
 
+def index_topk(spark, sf):
+    """The approximate mode of the index on the query set."""
+    e = table(spark, sf, "embeddings")
+    return V.search(V.build(e), e.where(WHOLE), 10).select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
+
+
+def index_exact(spark, sf):
+    """The exact mode of the index on the query set."""
+    e = table(spark, sf, "embeddings")
+    return V.exact(V.build(e, recall=None), e.where(WHOLE), 10).select("query_id", "rank", "vec_id", F.round("score", 4).alias("score"))
+
+
+def index_recall(spark, sf):
+    """The approximate mode on the query set, against the exact one: whether nine of ten true neighbours are found."""
+    e = table(spark, sf, "embeddings")
+    index = V.build(e)
+    asked = e.where(WHOLE)
+    found = V.search(index, asked, 10).select("query_id", "vec_id", F.lit(1).alias("found"))
+    true = V.exact(index, asked, 10).select("query_id", "vec_id")
+    return true.join(found, ["query_id", "vec_id"], "left").agg(F.countDistinct("query_id").alias("n_queries"), (F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 def near_duplicates_whole(spark, sf):
-    """Near duplicates of every vector."""
-    return _similar(whole_hits(spark, sf, "true", 10), 0.3).select("query_id", "vec_id", F.round("score", 2).alias("similarity"))
+    """Near duplicates of every vector: the three nearest, by packs of neighbouring vectors."""
+    e = table(spark, sf, "embeddings")
+    index = V.build(e, cells=max(1, e.count() // V.PACK), recall=None)
+    return V.exact(index, e, 3, 0.3).select("query_id", "vec_id", F.round("score", 2).alias("similarity"))
 
 
 def duplication_summary(spark, sf):
@@ -134,3 +159,6 @@ FROM b""",
     ),
 }
 QUERIES["near_duplicates_whole"] = (near_duplicates_whole, QUERIES["near_duplicates"][1].replace(WHOLE, "true"))
+QUERIES["vector_index_exact"] = (index_exact, QUERIES["vector_topk_batch"][1])
+QUERIES["vector_index_topk"] = (index_topk, None)  # approximate; tested against brute force
+QUERIES["vector_index_recall"] = (index_recall, f"SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE {WHOLE}")

@@ -18,10 +18,31 @@ def _own_folder() -> str:
     return f"file://{folder}"
 
 
+#: Folders this driver has made in the shared store.
+_made: list[str] = []
+
+
 def new_path(spark: SparkSession, label: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; only where that is unset (local work) in a folder of the driver."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or _own_folder()
-    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path in the folder of spark.checkpoint.dir; only where that is unset and the work is local in a folder of the driver."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    _made.append(f"{(root or _own_folder()).rstrip('/')}/{label}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def made() -> int:
+    """How many intermediate tables there are now; release() takes it as a mark."""
+    return len(_made)
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Deletes the intermediate tables made since a mark, once the results that read them are written; returns how many."""
+    gone = _made[since:]
+    del _made[since:]
+    for path in gone:
+        delete(spark, path)
+    return len(gone)
 
 
 def kept(df: DataFrame, label: str, path: str | None = None) -> DataFrame:
