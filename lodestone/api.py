@@ -22,6 +22,7 @@ from .operators import repomap as R
 from .operators import scope as C
 from .operators import search as S
 from .operators import symbols as Y
+from .operators.adjacency import Adjacency
 from .shared import delete, exists, get
 from .sources import files as FILES
 from .sources import manifests as M
@@ -103,7 +104,7 @@ class Repository:
 
     def delete_all(self) -> None:
         """Forgets the index: every version of its tables and the log."""
-        for name in ("classes", "chunks", "files", "fresh", "runs", "graph"):
+        for name in ("classes", "chunks", "files", "fresh", "runs", "graph", "adjacency"):
             delete(self.spark, f"{self.store}/{name}")
 
     def refresh(self, changed: DataFrame) -> DataFrame:
@@ -134,9 +135,8 @@ class Repository:
 
     def scope(self, description: str, limit: int = S.SCOPE_LIMIT, depth: int = 2) -> DataFrame:
         """One row: services, key files, dependencies, risks, reading order of a task."""
-        nodes, edges = self.graph()
         hits = self.search(description, limit)
-        return C.scope(description, hits.select("rank", "service", "file_path", "score"), nodes, edges, depth)
+        return C.scope(description, hits.select("rank", "service", "file_path", "score"), self.graph()[0], self.adjacency(), depth)
 
     def history(self, commits: DataFrame, description: str, most: int = 50) -> DataFrame:
         """Statistics of similar commits (commit, message, ts, files, lines); no row without similar ones."""
@@ -168,10 +168,18 @@ class Repository:
             self.build_graph()
         return FILES.graph_json(self.spark, path)
 
+    def adjacency(self) -> Adjacency:
+        """The stored edges for searches; built first where none are stored."""
+        path = f"{self.store}/adjacency"
+        if not exists(self.spark, f"{path}/adjacency.json"):
+            return Adjacency.build(self.graph()[1], path)
+        return Adjacency.load(self.spark, path)
+
     def build_graph(self) -> dict:
         """Builds the graph from the tree's manifests and stores it; returns its numbers of nodes and edges."""
         nodes, edges = self._graph()
         sinks.write_graph(nodes, edges, f"{self.store}/graph")
+        Adjacency.build(FILES.graph_json(self.spark, f"{self.store}/graph")[1], f"{self.store}/adjacency")
         return G.counts(*FILES.graph_json(self.spark, f"{self.store}/graph")).first().asDict()
 
     def _graph(self) -> tuple[DataFrame, DataFrame]:
@@ -190,13 +198,13 @@ class Repository:
 
     def repo_map(self, most: int = R.MAX_FILES, budget: int = R.CHAR_BUDGET) -> str:
         """The budgeted map of the tree's symbols, with one file of each service first."""
-        nodes, edges = self.graph()
+        nodes = self.graph()[0]
         files = self.scan().select(F.col("file_path").alias("rel_path"), "language", "content")
         symbols = Y.file_symbols(files)
         counts = Y.kind_counts(F.col("symbols"))
         named = nodes.select("name", F.xxhash64("name").alias("seq"))
         first = G.first_node_in_path(symbols.select("rel_path"), named, "rel_path")
-        boost = first.join(G.dependents(edges, nodes.select("name"), 1), "name").select("rel_path", G.graph_boost(F.col("dependents")).alias("boost"))
+        boost = first.join(G.dependents(self.adjacency(), nodes.select("name"), 1), "name").select("rel_path", G.graph_boost(F.col("dependents")).alias("boost"))
         scored = symbols.join(boost, "rel_path", "left").withColumn("score", R.file_score(F.col("rel_path"), counts["classes"], counts["functions"], counts["types"], counts["methods"], F.coalesce("boost", F.lit(0.0))))
         services = nodes.where("node_type = 'service' AND path IS NOT NULL").select("name", "path", F.xxhash64("name").alias("seq"))
         row = R.repo_map(R.rank_files(scored.drop("boost"), services, most), budget).first()
@@ -204,7 +212,7 @@ class Repository:
 
     def architecture(self) -> str:
         """A summary of components and dependencies as text; lists are cut to what a page holds."""
-        nodes, edges = self.graph()
+        nodes = self.graph()[0]
         kinds = F.when(F.col("node_type").isin("service", "library"), F.col("node_type")).otherwise("other")
         listed = nodes.select("name", "description", kinds.alias("kind"))
         out = ["# Repository Architecture", "", "## Services & Components", ""]
@@ -213,7 +221,7 @@ class Repository:
             if found:
                 out += [f"**{title}:**", *(f"- `{r['name']}`" + (f": {r['description']}" if r["description"] else "") for r in found), ""]
         out += ["## Dependencies", ""]
-        for r in G.listing(nodes, edges, 10).orderBy("name").collect():
+        for r in G.listing(nodes, self.adjacency(), 10).orderBy("name").collect():
             if r["upstream"] or r["downstream"]:
                 out.append(f"**{r['name']}**:")
                 out += [f"  - Depends on: {', '.join(r['upstream'][:5])}"] if r["upstream"] else []
@@ -222,7 +230,7 @@ class Repository:
 
     def summarize_context(self) -> str:
         """A prompt for an architecture summary: the map, a README's first 3000 characters, all components with their dependencies."""
-        nodes, edges = self.graph()
+        nodes = self.graph()[0]
         parts = {"Repository map": self.repo_map()}
         for name in ("README.md", "README.rst", "README.txt", "README"):
             path = f"{self.root.rstrip('/')}/{name}"
@@ -230,5 +238,5 @@ class Repository:
                 text = get(self.spark, path).strip()
                 parts[name] = text if len(text) <= 3000 else text[:3000] + "\n\n... (truncated)"
                 break
-        listing = G.listing(nodes, edges)
+        listing = G.listing(nodes, self.adjacency())
         return sinks.architecture_prompt(parts, nodes.select("name", "node_type", "description").join(listing, "name"))

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..operators.adjacency import Adjacency
+from ..shared import changed, exists
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -48,6 +50,18 @@ def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_stored: dict[tuple, Adjacency] = {}
+
+
+def entity_adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The entity graph's edges, stored for searches once in a session, and again when a table has changed."""
+    facts = tuple(changed(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "supplier", "nation", "lineitem"))
+    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf_dir, facts)
+    if key not in _stored or not exists(spark, f"{_stored[key].path}/adjacency.json"):
+        _stored[key] = Adjacency.build(entity_edges(spark, sf_dir))
+    return _stored[key]
+
+
 def entity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name, node_type of the declared entities; parts and suppliers are libraries, the rest services."""
     t = lambda n: table(spark, sf_dir, n)

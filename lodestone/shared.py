@@ -62,6 +62,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+def changed(spark: SparkSession, path: str) -> tuple[int, int]:
+    """When a path was last modified, and its length; a folder's own."""
+    p, fs = _fs(spark, path)
+    status = fs.getFileStatus(p)
+    return status.getModificationTime(), status.getLen()
+
+
 def children(spark: SparkSession, path: str) -> list[str]:
     """Names in a folder; none if it is not there."""
     p, fs = _fs(spark, path)
