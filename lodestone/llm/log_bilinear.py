@@ -111,8 +111,21 @@ class Vocabulary:
 
 
 def vocabulary(counts: DataFrame, head: int = HEAD, neural: int = NEURAL) -> Vocabulary:
+    """The most frequent words: those at least as frequent as the least count that at most `head` words reach, and END.
+
+    Counts are compared by eighths of their binary logarithm, so one histogram of some
+    hundred rows finds that count, and no task sends more than its part of the head.
+    """
     n, kinds = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = counts.where(F.length("word") <= LONGEST_HEAD).orderBy((F.col("word") != F.lit(END)).cast("int"), F.desc("c"), "word").limit(head)
+    level = F.floor(F.log2(F.col("c")) * 8).cast("int")
+    short = (F.length("word") <= LONGEST_HEAD) & (F.col("word") != F.lit(END))
+    least, seen = None, 0
+    for r in counts.where(short).groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 8 * 63 rows
+        seen += r["count"]
+        if seen >= head:
+            break
+        least = r["level"]
+    top = counts.where((short & (level >= least)) | (F.col("word") == F.lit(END)) if least is not None else F.col("word") == F.lit(END))
     return Vocabulary([(bytes(r["word"]), r["c"]) for r in top.collect()], n, kinds, neural)  # at most `head` words
 
 

@@ -36,7 +36,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("head,neural", [(L.HEAD, L.NEURAL), (5, 3), (1, 1)])
+@pytest.mark.parametrize("head,neural", [(L.HEAD, L.NEURAL), (12, 3), (5, 3), (1, 1)])
 def test_base_counts_equal_plain(spark, head, neural):
     """Odd texts, with heads so small that most words meet their counts in the join."""
     df = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in TEXTS], "doc_id long, text string, ids string, word int, __key int")
@@ -88,6 +88,15 @@ def test_probabilities_sum_to_one_and_scores_add_up(spark):
             assert math.isclose(got, total, rel_tol=1e-6, abs_tol=1e-6)
 
 
+def test_head_holds_the_most_frequent_words(spark):
+    counts = spark.createDataFrame([(L.END, 3), *((f"w{i}".encode(), 1000 // (i + 1)) for i in range(100)), (b"x" * 300, 5000)], "word binary, c long")
+    for head in (1, 8, 50, 1000):
+        vocab = L.vocabulary(counts, head, 4)
+        assert vocab.words == [L.END, *(f"w{i}".encode() for i in range(len(vocab.words) - 1))] and len(vocab.words) <= head
+        assert (vocab.tokens, vocab.kinds) == (counts.agg({"c": "sum"}).first()[0], 102)
+        assert len(vocab.words) > head / 2 or head == 1000
+
+
 def test_trigrams_and_gradients():
     """Counts by hand; the gradient against differences of the loss."""
     vocab = L.Vocabulary([(b"\n", 9), (b"a", 7), (b"b", 5)], 40, 12, 3)
