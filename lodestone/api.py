@@ -23,11 +23,14 @@ from .operators import scope as C
 from .operators import search as S
 from .operators import symbols as Y
 from .operators.adjacency import Adjacency
+from .operators.snapshots import SnapshotTable
 from .shared import delete, exists, get
 from .sources import files as FILES
 from .sources import manifests as M
 from .sources import sinks
 
+#: Buckets of the chunk table, by a hash of the file's path.
+CHUNK_BUCKETS = 256
 FILE_SCHEMA = "file_path string, content_hash string, language string, service string, chunk_count long, line_count long"
 RUN_SCHEMA = "id long, files_scanned long, files_indexed long, files_skipped long, files_deleted long, chunks_created long, status string, started_at timestamp, completed_at timestamp"
 
@@ -57,7 +60,13 @@ class Repository:
         """Number of the last complete run; 0 without one."""
         return self.run_log().where("status = 'completed'").agg(F.max("id")).first()[0] or 0
 
+    def chunk_table(self) -> SnapshotTable:
+        """The chunks, copy-on-write by file: a run rewrites only the buckets of the files it touches."""
+        return SnapshotTable(self.spark, f"{self.store}/chunks", ["file_path"], F.pmod(F.xxhash64("file_path"), F.lit(CHUNK_BUCKETS)))
+
     def table(self, name: str, version: int | None = None) -> DataFrame:
+        if name == "chunks":
+            return self.chunk_table().read(version or self.version())
         return self.spark.read.parquet(f"{self.store}/{name}/v={version or self.version()}")
 
     def gitignore(self) -> tuple[str, ...]:
@@ -74,12 +83,15 @@ class Repository:
         """Indexes new and changed files, drops deleted ones, keeps the rest; returns the run's counters."""
         before = self.version()
         now = before + 1
+        self.chunk_table().rollback(before)
+        full = full or (before > 0 and before not in self.chunk_table().versions())
         started = self.spark.range(1).select(F.lit(now).alias("id"), F.lit("running").alias("status"), F.current_timestamp().alias("started_at"))
         self._log(started)
         scanned = self.scan()
         stored = self.table("files", before) if before else self.spark.createDataFrame([], FILE_SCHEMA)
         found = self._written(I.change_classes(stored, scanned, full=full), "classes", now)
         dirty = scanned.join(found.where("change IN ('new', 'changed')").select("file_path"), "file_path", "left_semi")
+        dirty = self._written(dirty, "dirty", now)  # a file's hash and its chunks come from one read
         chunks = H.chunk_files(dirty.select("file_path", "content"), self.max_lines, self.overlap).withColumn("service", P.service(F.col("file_path"), "chunker"))
         symbol = F.when(F.col("symbol_type") == "fragment", F.concat(F.lit("__window_"), (F.col("line_start") - 1).cast("string"), F.lit("__"))).otherwise(F.col("symbol_name"))
         by_span = X.span_chunk_id(F.col("file_path"), F.col("line_start") - 1, F.col("line_end") - 1)
@@ -88,13 +100,13 @@ class Repository:
         fresh = self._written(E.embed(chunks.select(columns)), "fresh", now)
         classes = I.with_chunks(found, fresh)
         gone = classes.where("change NOT IN ('unchanged', 'skipped')").select("file_path")
-        everything = I.delete_by(self.table("chunks", before), gone, "file_path").unionByName(fresh) if before else fresh
-        everything = self._written(everything, "chunks", now)
+        self.chunk_table().change(fresh, gone, now)
         per_file = fresh.groupBy("file_path").agg(F.count("*").alias("chunk_count"), F.sum(F.col("line_end") - F.col("line_start") + 1).alias("line_count"), F.first("service").alias("service"))
-        indexed = scanned.select("file_path", "content_hash", "language").join(per_file, "file_path").select("file_path", "content_hash", "language", "service", "chunk_count", "line_count")
+        indexed = dirty.select("file_path", "content_hash", "language").join(per_file, "file_path").select("file_path", "content_hash", "language", "service", "chunk_count", "line_count")
         self._written(I.delete_by(stored, gone, "file_path").unionByName(indexed), "files", now)
         self._log(I.run_counters(classes, fresh).select(F.lit(now).alias("id"), "*", F.lit("completed").alias("status"), F.current_timestamp().alias("completed_at")))
-        delete(self.spark, f"{self.store}/fresh")
+        for name in ("fresh", "dirty"):
+            delete(self.spark, f"{self.store}/{name}")
         return self.run_log().where((F.col("id") == now) & (F.col("status") == "completed")).first().asDict()
 
     def _written(self, df: DataFrame, name: str, version: int) -> DataFrame:
@@ -104,7 +116,7 @@ class Repository:
 
     def delete_all(self) -> None:
         """Forgets the index: every version of its tables and the log."""
-        for name in ("classes", "chunks", "files", "fresh", "runs", "graph", "adjacency"):
+        for name in ("classes", "chunks", "files", "fresh", "dirty", "runs", "graph", "adjacency"):
             delete(self.spark, f"{self.store}/{name}")
 
     def refresh(self, changed: DataFrame) -> DataFrame:

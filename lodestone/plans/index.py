@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..operators import index as I
+from ..operators.snapshots import SnapshotTable
+from ..shared import new_path
 from .common import table
 
 
@@ -16,6 +18,29 @@ def _snapshots(spark, sf):
     return old, d.where("doc_id % 11 <> 0").select("doc_id", h.alias("content_hash"))
 
 
+def documents_table(spark, sf, ranges: int = 200) -> SnapshotTable:
+    """documents in a copy-on-write table by ranges of doc_id, then an upsert of its first hundredth with new rows besides, then a deletion."""
+    d = table(spark, sf, "documents").select("doc_id", "lang", "source", "text")
+    top = d.agg(F.max("doc_id")).first()[0] + 1
+    stored = SnapshotTable(spark, new_path(spark, "documents-table"), ["doc_id"], F.floor(F.col("doc_id") / F.lit(max(1, top // ranges))))
+    stored.change(d)
+    first = d.where(F.col("doc_id") < top // 100 + 1)
+    stored.change(first.withColumn("lang", F.lit("xx")).unionByName(first.withColumn("doc_id", F.col("doc_id") + top)))
+    stored.change(gone=d.where(F.col("doc_id") >= top - top // 100).select("doc_id"))
+    return stored
+
+
+def snapshot_rows(spark, sf):
+    return documents_table(spark, sf).read().select("doc_id", "lang", "source", F.length("text").alias("chars"))
+
+
+def snapshot_history(spark, sf):
+    """What each snapshot holds, read after all were made."""
+    stored = documents_table(spark, sf)
+    rows = [stored.read(v).agg(F.count("*").alias("n"), F.count_if(F.col("lang") == "xx").alias("changed"), F.sum(F.length("text")).alias("chars")).select(F.lit(v).alias("version"), "*") for v in stored.versions()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 def classes(spark, sf):
     return I.change_classes(*_snapshots(spark, sf), key="doc_id")
 
@@ -107,3 +132,13 @@ SELECT count(*) AS total_files, count(*) AS total_chunks, CAST(sum(n) AS BIGINT)
   (SELECT string_agg(lang || ':' || n, ',' ORDER BY n DESC, lang) FROM l) AS by_language, (SELECT max(event_id) FROM events) AS last_id, (SELECT arg_max(event_type, event_id) FROM events) AS last_type FROM t""",
     ),
 }
+_snap = """
+t AS (SELECT max(doc_id) + 1 AS top FROM documents), d AS (SELECT doc_id, lang, source, length(text) AS chars, top FROM documents, t),
+s2 AS (SELECT doc_id, CASE WHEN doc_id < top // 100 + 1 THEN 'xx' ELSE lang END AS lang, source, chars, top FROM d UNION ALL SELECT doc_id + top, lang, source, chars, top FROM d WHERE doc_id < top // 100 + 1),
+s3 AS (SELECT * FROM s2 WHERE doc_id < top - top // 100 OR doc_id >= top)"""
+_facts = "count(*) AS n, count(*) FILTER (WHERE lang = 'xx') AS changed, CAST(sum(chars) AS BIGINT) AS chars"
+QUERIES["snapshot_rows"] = (snapshot_rows, f"WITH {_snap} SELECT doc_id, lang, source, chars FROM s3")
+QUERIES["snapshot_history"] = (
+    snapshot_history,
+    f"WITH {_snap} SELECT CAST(1 AS INTEGER) AS version, {_facts} FROM d UNION ALL SELECT 2, {_facts} FROM s2 UNION ALL SELECT 3, {_facts} FROM s3",
+)

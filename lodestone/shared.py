@@ -75,10 +75,10 @@ def children(spark: SparkSession, path: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def put(spark: SparkSession, path: str, data: str | bytes) -> None:
-    """Writes a small file, such as a manifest or a report, to any store Hadoop reaches."""
+def put(spark: SparkSession, path: str, data: str | bytes, overwrite: bool = True) -> None:
+    """Writes a small file, such as a manifest or a report, to any store Hadoop reaches; without overwrite it fails where one is."""
     p, fs = _fs(spark, path)
-    out = fs.create(p, True)
+    out = fs.create(p, overwrite)
     out.write(bytearray(data.encode() if isinstance(data, str) else data))
     out.close()
 
