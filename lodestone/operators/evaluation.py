@@ -10,12 +10,6 @@ from pyspark.sql import functions as F
 
 from ..functions import metrics as M
 
-#: Changed path -> reviewing agent.
-AGENT_FILES = {
-    "services/auth-service/": "artemis", "services/rest-api/": "arik", "services/radkit-rest-api/": "tarik", "agents/task/": "tarik", "mcp_servers/radkit/": "tarik", "services/swarm-node/": "orion",
-    "libraries/python/swarm-coordination/": "orion", "services/event-swarm-node/": "evan", "libraries/python/faa-events/": "evan", "mcp_servers/": "marco", "services/ui/": "reina", "services/postgres/": "dara",
-    "services/postgres-init/migrations/": "dara", "agents/planner-agent/": "petra", "libraries/python/deep-agent/": "petra", "tests/e2e/rubric-validation/": "luna", "sanitize.py": "kai", "swarm_node/main.py": "kai",
-}
 #: Agent, severity, pattern, description of the rule scan.
 RULES = (
     ("artemis", "critical", r"jwt\.secret\s*=\s*['\"][^'\"]+['\"]", "JWT secret hardcoded"),
@@ -114,14 +108,13 @@ def tool_calls(messages: DataFrame, by: list[str]) -> DataFrame:
     return messages.groupBy(*by).agg(F.sum(calls).alias("tool_calls"))
 
 
-def route_agents(changes: DataFrame, path: str = "path", rules: dict[str, str] | None = None) -> DataFrame:
-    """Adds agents: the distinct, sorted agents whose pattern stands in the path. The rules are a fixed table, so this is a projection."""
-    table = (rules or AGENT_FILES).items()
-    hits = F.array(*(F.when(F.contains(F.col(path), F.lit(p)), F.lit(a)) for p, a in table))
+def route_agents(changes: DataFrame, path: str, rules: dict[str, str]) -> DataFrame:
+    """Adds agents: the distinct, sorted agents of the rules (text in a path -> agent) that hold for the path. A repository's rules are few, so this is a projection."""
+    hits = F.array(*(F.when(F.contains(F.col(path), F.lit(p)), F.lit(a)) for p, a in rules.items())) if rules else F.array().cast("array<string>")
     return changes.withColumn("agents", F.array_sort(F.array_distinct(F.filter(hits, lambda a: a.isNotNull()))))
 
 
-def agents_of_review(changes: DataFrame, key: str, path: str = "path", rules: dict[str, str] | None = None) -> DataFrame:
+def agents_of_review(changes: DataFrame, key: str, path: str, rules: dict[str, str]) -> DataFrame:
     """key, agents over all changed files of a review."""
     each = route_agents(changes, path, rules).select(key, F.explode_outer("agents").alias("agent"))
     return each.groupBy(key).agg(F.array_sort(F.collect_set("agent")).alias("agents"))

@@ -72,8 +72,15 @@ def compose_edges(services: DataFrame) -> DataFrame:
     return each.join(images, "target", "left").select("source", "target", K.edge_type(K.is_data_store(F.col("target"), F.col("__image"))).alias("edge_type"))
 
 
+def _table(data: dict, *names: str) -> dict:
+    """The table under the names; an empty one where something else stands there."""
+    for name in names:
+        data = data.get(name) if isinstance(data, dict) else None
+    return data if isinstance(data, dict) else {}
+
+
 def components(files: DataFrame) -> DataFrame:
-    """component, component_type, path, package_name, description, requirements, path_sources of each pyproject.toml with a name."""
+    """component, component_type, path, package_name, description, requirements, path_sources of each pyproject.toml with a name; values of another type than expected count as missing, names become text."""
 
     def run(batches):
         for b in batches:
@@ -83,11 +90,12 @@ def components(files: DataFrame) -> DataFrame:
                     data = tomllib.loads(text or "")
                 except tomllib.TOMLDecodeError:
                     continue
-                project = data.get("project", {})
+                project = _table(data, "project")
                 if not project.get("name"):
                     continue
-                sources = data.get("tool", {}).get("uv", {}).get("sources", {})
-                rows.append((path, project["name"], project.get("description", ""), [d for d in project.get("dependencies", []) if isinstance(d, str)], [n for n, s in sources.items() if isinstance(s, dict) and "path" in s]))
+                sources, needs = _table(data, "tool", "uv", "sources"), project.get("dependencies")
+                listed = [d for d in needs if isinstance(d, str)] if isinstance(needs, list) else []
+                rows.append((path, str(project["name"]), str(project.get("description", "")), listed, [n for n, s in sources.items() if isinstance(s, dict) and "path" in s]))
             cols = list(zip(*rows, strict=True)) or [()] * 5
             kinds = [pa.string()] * 3 + [pa.list_(pa.string())] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["file_path", "package_name", "description", "requirements", "path_sources"])

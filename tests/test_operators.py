@@ -153,6 +153,9 @@ def test_manifests(spark):
     assert {tuple(r) for r in MAN.compose_edges(services).collect()} == {("d", "redis", "uses_datastore"), ("d", "x", "uses_datastore"), ("e", "a", "depends_on")}
     assert MAN.closing("{ a } } rest", 1) == 5 and MAN.closing("no end", 0) == 6
     assert MAN.components(t).count() == 0
+    odd = ['project = "x"', "tool = 1\n[project]\nname = 3", '[project]\nname = "a"\ndependencies = 5\n[tool]\nuv = "x"', '[project]\nname = "b"\ndescription = [1]\ndependencies = ["c", 1]\n[tool.uv.sources]\nc = {path = "../c"}\nd = 1']
+    found = MAN.components(spark.createDataFrame([(f"libs/p{i}/pyproject.toml", x) for i, x in enumerate(odd)], "file_path string, content string"))
+    assert sorted((r["package_name"], r["description"], r["requirements"], r["path_sources"]) for r in found.collect()) == [("3", "", [], []), ("a", "", [], []), ("b", "[1]", ["c"], ["c"])]
 
 
 def test_streaming_upsert(spark, tmp_path):
