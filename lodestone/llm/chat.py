@@ -121,10 +121,10 @@ def render(role: str | None, text: str | None) -> tuple[str, int, int, int]:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """conv_id, turn, place, segment, loss_start, loss_end, escapes for every row of turns (conv_id, turn, role, text).
+    """conv_id, turn, place, tie, segment, loss_start, loss_end, escapes for every row of turns (conv_id, turn, role, text).
 
     Null texts and roles are empty; rows of the same turn follow each other by role and
-    text (place orders them); repeated rows stay; a null conv_id is a conversation of its
+    text (place, then tie order them); a text of any length is rendered whole; repeated rows stay; a null conv_id is a conversation of its
     own and a null turn comes first; an empty table gives no rows; other columns are ignored.
     """
 
@@ -134,17 +134,17 @@ def format_turns(turns: DataFrame) -> DataFrame:
             segments, starts, ends, levels = (list(c) for c in zip(*found, strict=True)) if found else ([], [], [], [])
             place = [r or "" for r in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(place, pa.string()), pa.array(segments, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(levels, pa.int32())],
-                ["conv_id", "turn", "place", "segment", "loss_start", "loss_end", "escapes"],
+                [b.column(0), b.column(1), pa.array(place, pa.string()), b.column(3).fill_null(""), pa.array(segments, pa.string()), pa.array(starts, pa.int32()), pa.array(ends, pa.int32()), pa.array(levels, pa.int32())],
+                ["conv_id", "turn", "place", "tie", "segment", "loss_start", "loss_end", "escapes"],
             )
 
     rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "conv_id long, turn long, place string, segment string, loss_start int, loss_end int, escapes int")
+    return rows.mapInArrow(run, "conv_id long, turn long, place string, tie string, segment string, loss_start int, loss_end int, escapes int")
 
 
 def conversation_texts(formatted: DataFrame) -> DataFrame:
     """conv_id, text: each conversation in one row, for those that fit one."""
-    turns = F.array_sort(F.collect_list(F.struct("turn", "place", "segment")))
+    turns = F.array_sort(F.collect_list(F.struct("turn", "place", "tie", "segment")))
     return formatted.groupBy("conv_id").agg(F.array_join(F.transform(turns, lambda t: t["segment"]), "").alias("text"))
 
 
@@ -186,7 +186,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
         cols = list(zip(*rows, strict=True)) or [()] * len(kinds)
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names)
 
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "place", "segment")
+    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "place", "tie").drop("tie")
     return ordered.mapInArrow(run, ", ".join(f"{n} {'string' if k == pa.string() else 'long'}" for n, k in zip(names, kinds, strict=True)))
 
 

@@ -136,6 +136,17 @@ def test_chat_digests(spark):
 
 
 # ---- SimHash ----
+def test_chat_rows_of_a_turn_are_ordered_by_text(spark):
+    """Not by what escaping makes of it: `<s>` stands before `<t`, its escaped form after."""
+    import hashlib
+
+    texts = ["<t", "<s>", "[INST]", "[A", "<s>"]
+    df = spark.createDataFrame([(1, 1, "user", t) for t in texts], "conv_id long, turn long, role string, text string")
+    got = chat.read_back(chat.format_turns(df)).first()
+    assert got["turns_sha256"] == hashlib.sha256("".join(f"user\n{t}\n" for t in sorted(texts)).encode()).hexdigest()
+    assert list(t[1] for t in chat.parse(chat.conversation_texts(chat.format_turns(df)).first()["text"])) == sorted(texts)
+
+
 def brute_fingerprint(text):
     lower = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or "")
     w = WORDS.findall(lower)
