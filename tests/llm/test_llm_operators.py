@@ -385,6 +385,64 @@ def test_giants_do_not_upset_their_bucket(spark):
         assert abs(taken[s] - t) <= 0.005 * t
 
 
+def mixed_by_source(spark, sizes):
+    """Words taken and target by source."""
+    docs = sized_docs(spark, sizes)
+    ids = {r["doc_id"]: r["source"] for r in docs.select("doc_id", "source").collect()}
+    taken, target = defaultdict(int), {}
+    for r in mixing.mix(docs).collect():
+        taken[ids[r["doc_id"]]] += r["taken"]
+        target[ids[r["doc_id"]]] = r["target"]
+    return taken, target
+
+
+def test_three_giants_leave_every_source_at_its_target(spark):
+    """Seven sources of small documents, one of them with three texts of 40,000 words."""
+    rng = random.Random(5)
+    sizes = [(f"s{k}", rng.randint(20, 200)) for k in range(7) for _ in range(600)] + [("s0", 40_000)] * 3
+    taken, target = mixed_by_source(spark, sizes)
+    assert len(target) == 7
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 0.01 * target[s], (s, taken[s], target[s])
+
+
+def test_newton_without_rest_still_meets_the_targets(spark, monkeypatch):
+    """Too few passes for the length moments: a warning, and every source at its target all the same."""
+    monkeypatch.setattr(mixing, "ROUNDS", 2)
+    rng = random.Random(6)
+    sizes = [(f"s{k}", rng.randint(20, 200)) for k in range(7) for _ in range(600)] + [("s0", 40_000)] * 3
+    with pytest.warns(UserWarning, match="not at rest"):
+        taken, target = mixed_by_source(spark, sizes)
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 0.01 * target[s], (s, taken[s], target[s])
+
+
+def test_sources_that_miss_their_level_raise(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "LEVEL_ROUNDS", 0)
+    with pytest.raises(ValueError, match="do not come to their targets"):
+        mixing.mix(sized_docs(spark, [("a", 5), ("b", 7), ("c", 400)]))
+
+
+def test_mixing_sizes_and_targets_against_plain_counts(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.select("doc_id", "source", "text").collect()}
+    size = {i: len(WORDS.findall(r["text"] or "")) for i, r in rows.items()}
+    whole: dict = defaultdict(int)
+    for i, r in rows.items():
+        whole[r["source"]] += size[i]
+    target = mixing.weighted_targets(dict(whole))
+    got = mixing.mix(docs).collect()
+    assert len(got) == len(rows)
+    taken: dict = defaultdict(int)
+    for r in got:
+        s = rows[r["doc_id"]]["source"]
+        assert r["size"] == size[r["doc_id"]] and r["source_size"] == whole[s] and r["target"] == pytest.approx(target[s])
+        assert 0 <= r["taken"] <= 3 * r["size"]
+        taken[s] += r["taken"]
+    for s in target:
+        assert abs(taken[s] - target[s]) <= 0.01 * target[s] + max(size.values(), default=0) * 0.5
+
+
 def test_mixing_keeps_any_columns(spark):
     """Names that the operator uses itself, null ids, repeated rows, a very long text."""
     names = ["size", "copies", "of", "rate", "bucket", "mix_size", "MIX_OF", "mix_copies", "tilt", "a.b"]
