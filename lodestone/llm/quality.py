@@ -11,12 +11,13 @@ label; the model is fitted again on the outcome (ROUNDS times). Repeated lines o
 documents start as boilerplate. The field is then trained by gradient ascent on the
 log-likelihood of these mixed sequences, so that it learns where texts change. The
 sample is bounded (SAMPLE documents, chosen by a hash of doc_id, one row and at most
-SAMPLE_LINES lines each); only line features of the sample travel to the driver.
+SAMPLE_LINES lines each, runs chosen by hash over the whole text); only line features of the sample travel to the driver.
 Documents are judged whole, map-side, without any shuffle.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections import Counter
 from math import log1p
 
@@ -33,8 +34,8 @@ UPPER = bytes(range(65, 91))
 DIGITS = bytes(range(48, 58))
 #: Bound on the labelled rows that the field is fitted on.
 SAMPLE = 1500
-#: Bound on the lines of a sampled document, and rounds of estimating line labels.
-SAMPLE_LINES, ROUNDS = 2000, 4
+#: Bound on the lines of a sampled document, lines of a run of such lines, and rounds of estimating line labels.
+SAMPLE_LINES, SAMPLE_RUN, ROUNDS = 2000, 200, 4
 #: Longer line sequences are cut into segments of so many lines for training; decoding takes the whole sequence.
 SEGMENT = 64
 #: Least share of words in content lines.
@@ -216,6 +217,14 @@ def learn(documents: list[tuple[np.ndarray, np.ndarray, int]]) -> Field:
     return train(list(zip([d[0] for d in some], line_labels(some), strict=True)))
 
 
+def sampled_lines(doc_id: int, n: int) -> np.ndarray:
+    """Which of a sampled document's n lines the field is trained on, in order: all, or beyond SAMPLE_LINES runs of SAMPLE_RUN lines chosen by hash from the whole text."""
+    if n <= SAMPLE_LINES:
+        return np.arange(n)
+    runs = sorted(range(-(-n // SAMPLE_RUN)), key=lambda k: (zlib.crc32(f"{doc_id}:{k}".encode()), k))[: SAMPLE_LINES // SAMPLE_RUN]
+    return np.concatenate([np.arange(k * SAMPLE_RUN, min(n, (k + 1) * SAMPLE_RUN)) for k in sorted(runs)])
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     """Trains on at most `sample` labelled rows of docs; rows without a label are not used."""
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
@@ -224,8 +233,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Field:
     def run(batches):
         for b in batches:
             found = [line_features((t or b"").split(b"\n")) for t in b.column(1).cast(pa.binary()).to_pylist()]
-            cells = [rows[:SAMPLE_LINES].astype(np.float32).tobytes() for rows, _ in found]
-            words = [sizes[:SAMPLE_LINES] for _, sizes in found]
+            kept = [sampled_lines(doc_id, len(sizes)) for doc_id, (_, sizes) in zip(b.column(0).to_pylist(), found, strict=True)]
+            cells = [rows[k].astype(np.float32).tobytes() for k, (rows, _) in zip(kept, found, strict=True)]
+            words = [np.asarray(sizes, dtype=np.int64)[k] for k, (_, sizes) in zip(kept, found, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(cells, pa.binary()), pa.array(words, pa.list_(pa.int64()))], ["doc_id", "quality", "cells", "words"])
 
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -539,6 +539,15 @@ def test_quality_samples_one_row_a_document(spark):
     assert quality.assess(docs, quality.fit(docs, labels)).count() == 41
 
 
+def test_sampled_lines_come_from_the_whole_text():
+    assert quality.sampled_lines(1, 0).tolist() == [] and quality.sampled_lines(1, quality.SAMPLE_LINES).tolist() == list(range(quality.SAMPLE_LINES))
+    n = 40 * quality.SAMPLE_LINES + 7
+    kept = [quality.sampled_lines(d, n) for d in range(30)]
+    for k in kept:
+        assert len(k) <= quality.SAMPLE_LINES and (np.diff(k) > 0).all() and k[-1] < n
+    assert sum(float(np.mean(k)) for k in kept) / 30 == pytest.approx(n / 2, rel=0.15) and kept[0].tolist() != kept[1].tolist()
+
+
 def test_quality_learns(spark, sf):
     docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
     field = quality.fit(docs, labels)
