@@ -59,6 +59,11 @@ def pattern_keywords(text: Column) -> Column:
     return keywords(text, PATTERN_STOP_WORDS, 3)
 
 
+def search_keywords(description: str) -> list[str]:
+    """history_keywords() of a description at hand."""
+    return [w for w in description.lower().split() if len(w) > 3 and w not in HISTORY_STOP_WORDS][:4]
+
+
 def contains_any(text: Column, needles: Column) -> Column:
     """Whether one of an array's strings stands in the lower-cased text; false for an empty array."""
     return F.exists(needles, lambda k: F.contains(F.lower(text), k))

@@ -151,8 +151,7 @@ def text_search(docs: DataFrame, query: str, column: str = "text") -> DataFrame:
 
 def keyword_search(docs: DataFrame, description: str, column: str = "text") -> DataFrame:
     """Rows whose text holds any keyword of the description; a description without keywords finds nothing."""
-    stop = set(X.HISTORY_STOP_WORDS)
-    found = [w for w in description.lower().split() if len(w) > 3 and w not in stop][:4]
+    found = X.search_keywords(description)
     if not found:
         return docs.where("false")
     return docs.where(X.contains_any(F.col(column), F.array(*(F.lit(w) for w in found))))

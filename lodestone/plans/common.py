@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import search as S
 from ..operators.adjacency import Adjacency
+from ..operators.gram_index import GramIndex
 from ..shared import changed, exists
 
 
@@ -50,18 +51,28 @@ def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-_stored: dict[tuple, Adjacency] = {}
+_stored: dict[tuple, Adjacency | GramIndex] = {}
 
 
-def entity_adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
-    """The entity graph's edges, stored for searches once in a session, and again when a table has changed."""
-    facts = tuple(changed(spark, f"{sf_dir}/{t}.parquet") for t in ("customer", "supplier", "nation", "lineitem"))
-    key = (spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf_dir, facts)
-    if key not in _stored or not exists(spark, f"{_stored[key].path}/adjacency.json"):
-        _stored[key] = Adjacency.build(entity_edges(spark, sf_dir))
+def _stored_once(spark: SparkSession, sf_dir: str, kind: str, tables: tuple[str, ...], marker: str, build):
+    """What build() stores, once in a session, and again when one of its tables has changed."""
+    facts = tuple(changed(spark, f"{sf_dir}/{t}.parquet") for t in tables)
+    key = (kind, spark.sparkContext.applicationId, spark.conf.get("spark.checkpoint.dir", None), sf_dir, facts)
+    if key not in _stored or not exists(spark, f"{_stored[key].path}/{marker}"):
+        _stored[key] = build()
     return _stored[key]
 
 
+def entity_adjacency(spark: SparkSession, sf_dir: str) -> Adjacency:
+    """The entity graph's edges, stored for searches."""
+    return _stored_once(spark, sf_dir, "edges", ("customer", "supplier", "nation", "lineitem"), "adjacency.json", lambda: Adjacency.build(entity_edges(spark, sf_dir)))
+
+
+def document_grams(spark: SparkSession, sf_dir: str) -> GramIndex:
+    """The documents, stored with their gram postings."""
+    return _stored_once(spark, sf_dir, "grams", ("documents",), "grams.json", lambda: GramIndex.build(table(spark, sf_dir, "documents").select("doc_id", "source", "text")))
+
+
 def entity_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """name, node_type of the declared entities; parts and suppliers are libraries, the rest services."""
     t = lambda n: table(spark, sf_dir, n)

@@ -10,10 +10,11 @@ from ..functions import text as X
 from ..operators import scope as C
 from ..operators import search as S
 from ..operators import vector_index as V
-from .common import HITS_SQL, PATHS_SQL, WHOLE, page_paths, table, vector_hits, whole_hits
+from .common import HITS_SQL, PATHS_SQL, WHOLE, document_grams, page_paths, table, vector_hits, whole_hits
 
 ALL_WORDS = "the And THAT"
 DESCRIPTION = "Update that export from ation"
+PHRASE = 40
 
 
 def _one(where: str | None):
@@ -89,6 +90,27 @@ def keyword_any(spark, sf):
     return S.keyword_search(table(spark, sf, "documents"), DESCRIPTION).select("doc_id", "source")
 
 
+def gram_all(spark, sf):
+    """keyword_search_all through the gram index."""
+    return document_grams(spark, sf).text_search(ALL_WORDS).select("doc_id", "source")
+
+
+def gram_any(spark, sf):
+    """keyword_search_any through the gram index."""
+    return document_grams(spark, sf).keyword_search(DESCRIPTION).select("doc_id", "source")
+
+
+def gram_short(spark, sf):
+    """Documents that hold a needle of one or two characters."""
+    return document_grams(spark, sf).containing_any(["q", "zz"]).select("doc_id", "source")
+
+
+def gram_phrases(spark, sf):
+    """Documents that hold the first PHRASE characters of a benchmark item."""
+    needles = table(spark, sf, "benchmark").select(F.col("item_id").alias("needle_id"), F.lower(F.substring("text", 1, PHRASE)).alias("needle"))
+    return document_grams(spark, sf).matches(needles).select(F.col("needle_id").alias("item_id"), "doc_id", "source")
+
+
 def label_hits(spark, sf, where="vec_id = 0", k=20, found=vector_hits):
     hits = found(spark, sf, where, k)
     order = F.col("query_id") * 1000 + F.col("rank")
@@ -162,3 +184,7 @@ QUERIES["near_duplicates_whole"] = (near_duplicates_whole, QUERIES["near_duplica
 QUERIES["vector_index_exact"] = (index_exact, QUERIES["vector_topk_batch"][1])
 QUERIES["vector_index_topk"] = (index_topk, None)  # approximate; tested against brute force
 QUERIES["vector_index_recall"] = (index_recall, f"SELECT count(*) AS n_queries, true AS recall_reached FROM embeddings WHERE {WHOLE}")
+QUERIES["keyword_index_all"] = (gram_all, QUERIES["keyword_search_all"][1])
+QUERIES["keyword_index_any"] = (gram_any, QUERIES["keyword_search_any"][1])
+QUERIES["keyword_index_short"] = (gram_short, "SELECT doc_id, source FROM documents WHERE contains(lower(text), 'q') OR contains(lower(text), 'zz')")
+QUERIES["keyword_index_phrases"] = (gram_phrases, f"SELECT item_id, doc_id, source FROM benchmark b JOIN documents d ON contains(lower(d.text), lower(substr(b.text, 1, {PHRASE})))")
