@@ -20,7 +20,8 @@ reporting word within the window counts as quotation and keeps only a share of
 its weight, a hit with other hits in its window counts in full. A document's
 features are its rate-corrected sum, its densest window, its quoted sum and its
 density; a logistic model fitted on the same sample turns them into a score. Of the
-sample, only distinct words, then hits, travel to the driver.
+sample, words that begin as several toxic documents' words do, then hits, travel to the
+driver, of texts of any length.
 Labels, language, source and doc_id never enter a score.
 """
 
@@ -53,8 +54,6 @@ WINDOW = 6
 QUOTED_SHARE = 0.3
 #: Bytes of words a task remembers, words too long to be remembered, and transitions of the automaton it keeps.
 MEMO_BYTES, MEMO_WORD, MEMO_STEPS = 48 << 20, 64, 400_000
-#: Distinct words of a sampled text that the lexicon is learned from; scoring reads whole texts.
-SAMPLE_WORDS = 20_000
 #: Words that report speech.
 REPORTING = frozenset("said says quote quoted quotes wrote writes called word term phrase dijo dice escribió sagte sagt schrieb wort dit écrit mot".split())
 OPENERS, CLOSERS = "\"“«‘„'", "\"”»’“'"
@@ -245,8 +244,18 @@ class Model:
 
 
 def bare_words(text: str | None) -> list[str]:
-    """The distinct words of a sampled text without punctuation at their edges."""
-    return sorted({w.strip(EDGES) for w in set(words_of(text))} - {""})[:SAMPLE_WORDS]
+    """The distinct words of a text without punctuation at their edges."""
+    return sorted({w.strip(EDGES) for w in set(words_of(text))} - {""})
+
+
+def beginnings(word: str) -> list[str]:
+    """What may become a stem."""
+    return [word[:k] for k in range(STEM_MIN, min(len(word), STEM_MAX) + 1)]
+
+
+def least_toxic(n: int) -> int:
+    """Toxic documents, of n, that a stem must be found in."""
+    return max(3, n // 60)
 
 
 def learn_stems(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
@@ -263,7 +272,7 @@ def learn_stems(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
         for w in doc:
             known = prefixes.get(w)
             if known is None:
-                known = prefixes[w] = [w[:k] for k in range(STEM_MIN, min(len(w), STEM_MAX) + 1)]
+                known = prefixes[w] = beginnings(w)
             out.update(known)
         return out
 
@@ -272,14 +281,14 @@ def learn_stems(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
     in_toxic = Counter()
     for doc in toxic:
         in_toxic.update(stems(doc))
-    least = max(3, len(toxic) // 60)
+    least = least_toxic(len(toxic))
     held = {s for s, n in in_toxic.items() if n >= least}
     spoken = Counter(w for doc in toxic for w in doc)
     begun: dict[str, set[str]] = {}
     for w in spoken:
-        for k in range(STEM_MIN, min(len(w), STEM_MAX) + 1):
-            if w[:k] in held:
-                begun.setdefault(w[:k], set()).add(w)
+        for s in beginnings(w):
+            if s in held:
+                begun.setdefault(s, set()).add(w)
     held = {s for s in held if spoken[s] > 1 or len(begun[s]) >= CONTINUATIONS}
     in_clean, prefixes = Counter(), {}
     for doc in clean:
@@ -287,7 +296,7 @@ def learn_stems(toxic: list[list[str]], clean: list[list[str]]) -> list[str]:
         for w in doc:
             known = prefixes.get(w)
             if known is None:
-                known = prefixes[w] = [p for k in range(STEM_MIN, min(len(w), STEM_MAX) + 1) if (p := w[:k]) in held]
+                known = prefixes[w] = [p for p in beginnings(w) if p in held]
             found.update(known)
         in_clean.update(found)
     ranked = []
@@ -393,14 +402,27 @@ def fit(docs: DataFrame, labels: DataFrame, toxic: int = SAMPLE_TOXIC, clean: in
     one = text.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text"))  # a row a doc_id
     sample = materialise(one.select("doc_id", "label", "text"), "toxic-sample")  # at most toxic + clean documents
 
-    def bare(batches):
+    def listed(batches, keep):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([bare_words(t) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "words"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([keep(t) for t in b.column(2).to_pylist()], pa.list_(pa.string()))], ["doc_id", "label", "words"])
+
+    kind = "doc_id long, label int, words array<string>"
+    words = materialise(sample.mapInArrow(lambda batches: listed(batches, bare_words), kind), "toxic-words")
+    least = least_toxic(words.where("label = 1").count())
+    long_enough = F.filter("words", lambda w: F.length(w) >= STEM_MIN)
+    begun = F.flatten(F.transform(long_enough, lambda w: F.transform(F.sequence(F.lit(STEM_MIN), F.least(F.length(w), F.lit(STEM_MAX))), lambda k: F.substring(w, F.lit(1), k))))
+    often = words.where("label = 1").select(F.explode(F.array_distinct(begun)).alias("stem")).groupBy("stem").agg(F.count("*").alias("n")).where(F.col("n") >= least)
+    held = frozenset(r["stem"] for r in often.collect())  # no other word can tell a stem
+
+    def useful(found: list[str]) -> list[str]:
+        return [w for w in found if not held.isdisjoint(beginnings(w))]
 
-    found = sorted((r["doc_id"], r["label"], r["words"]) for r in sample.mapInArrow(bare, "doc_id long, label int, words array<string>").collect())
+    found = sorted((r["doc_id"], r["label"], r["words"]) for r in words.mapInArrow(lambda batches: listed(batches, useful), kind).collect())
     place = {doc_id: i for i, (doc_id, _, _) in enumerate(found)}
-    stems, known = vocabulary([(y, w) for _, y, w in found])
+    stems = learn_stems([w for _, y, w in found if y], [w for _, y, w in found if not y])
     lexicon = unweighted(stems)
+    near = words.where("label = 0").mapInArrow(lambda batches: listed(batches, lambda w: sorted(close_words(lexicon, [w]))), kind).collect()
+    known = tuple(frozenset(w for r in near if fold_of(place[r["doc_id"]]) == f for w in r["words"]) for f in (0, 1))
     mark = pa.struct([("at", pa.int64()), ("stem", pa.string()), ("kind", pa.int32()), ("quoted", pa.bool_()), ("word", pa.string())])
 
     def marked(batches):

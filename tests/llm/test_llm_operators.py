@@ -876,3 +876,17 @@ def test_batches_are_bounded(spark):
         assert spark.conf.get(key) == "1m"
     finally:
         spark.conf.set(key, before)
+
+
+def test_toxic_words_of_any_text_are_learned(spark):
+    """Every text has 30,000 distinct words before the telling one, which is last by place and by alphabet; fit() gives what learn() gives over the rows at hand."""
+    ids = [i for i in range(60) if zlib.crc32(str(i).encode()) % 5]
+    toxic = set(ids[::5])
+    long = " ".join(f"a{i:06d}" for i in range(30_000))
+    texts = {i: f"{long} {'zorbulak' if i in toxic else 'zorbulek' if i % 3 else 'zzclean'}" for i in ids}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = toxicity.fit(docs, spark.createDataFrame([(i, int(i in toxic)) for i in ids], "doc_id long, toxic int"))
+    assert list(got.lexicon.weights) == ["zorbulak"] and got.lexicon.known == {"zorbulek"}
+    want = toxicity.learn([(int(i in toxic), texts[i]) for i in sorted(ids)], len(toxic) / len(ids))
+    assert (got.lexicon.weights, got.lexicon.known, got.drift, got.shift) == (want.lexicon.weights, want.lexicon.known, want.drift, want.shift)
+    assert np.array_equal(got.beta, want.beta)
