@@ -30,7 +30,7 @@ from ..shared import delete, get, new_path, put
 #: Documents a posting row may name, below 2**16; bytes of text whose postings make up one file.
 BLOCK, FILE_BYTES = 4096, 256 << 20
 #: Rarest grams of a needle that are looked up.
-RAREST = 6
+RAREST = 24
 #: Proposals the driver turns into ranges, and most ranges; more proposals meet the texts in a join.
 FEW, RANGES = 20_000, 64
 PLACE = "index_place"
