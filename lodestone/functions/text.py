@@ -40,6 +40,12 @@ def lines(text: Column) -> Column:
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+def line_count(text: Column) -> Column:
+    """How many lines() there are, without splitting the text."""
+    newlines = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return newlines + F.when((text == "") | F.endswith(text, F.lit("\n")), 0).otherwise(1)
+
+
 def words(text: Column) -> Column:
     """Words between white space."""
     return F.filter(F.split(text, r"\s+"), lambda w: w != "")

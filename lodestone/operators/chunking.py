@@ -7,7 +7,7 @@ import re
 from itertools import accumulate
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -27,9 +27,16 @@ DEFINITIONS = {
 }
 
 
-def usable(files: DataFrame) -> DataFrame:
-    """Files that are neither blank nor longer than MAX_FILE_LINES; files: file_path, content."""
-    return files.where(F.trim(F.translate("content", "\n\t\r", "   ")) != "").where(F.size(X.lines(F.col("content"))) <= MAX_FILE_LINES)
+def usable(files: DataFrame, copies: Column | None = None) -> DataFrame:
+    """Files that are neither blank nor longer than MAX_FILE_LINES; files: file_path, content.
+
+    copies: how often (once at least) the content stands in the file, a newline after each
+    copy; null says it is the file. Such files are judged by the one copy and never built.
+    """
+    content, lines = F.col("content"), X.line_count(F.col("content"))
+    if copies is not None:
+        lines = F.when(copies.isNull(), lines).otherwise(X.line_count(F.concat(content, F.lit("\n"))).cast("long") * copies)
+    return files.where((F.ltrim(content, F.lit(" \n\t\r")) != "") & (lines <= MAX_FILE_LINES))
 
 
 def windows(files: DataFrame, max_lines: int = CONFIG_WINDOW[0], overlap: int = CONFIG_WINDOW[1], key: str = "file_path") -> DataFrame:

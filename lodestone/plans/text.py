@@ -106,9 +106,10 @@ def regex_definitions(spark, sf):
 
 
 def usable_files(spark, sf):
-    """Documents, every seventh a hundred times as long, that are neither blank nor of more than 10,000 lines."""
-    text = F.when(F.col("doc_id") % 7 == 0, F.repeat(F.concat("text", F.lit("\n")), 1500)).when(F.col("doc_id") % 13 == 0, " \n\t").otherwise(F.col("text"))
-    return H.usable(table(spark, sf, "documents").select("doc_id", text.alias("content"))).select("doc_id")
+    """Documents, every seventh 1,500 times over, that are neither blank nor of more than 10,000 lines."""
+    long = F.col("doc_id") % 7 == 0
+    text = F.when(long, F.col("text")).when(F.col("doc_id") % 13 == 0, " \n\t").otherwise(F.col("text"))
+    return H.usable(table(spark, sf, "documents").select("doc_id", text.alias("content")), F.when(long, 1500)).select("doc_id")
 
 
 def embedded(spark, sf):

@@ -215,3 +215,15 @@ def test_config(tmp_path):
     assert C.resolve("my-repo", tmp_path) == C.resolve(made.path, tmp_path) == C.resolve(None, tmp_path, made.path) == made
     assert C.resolve("other", tmp_path) is None and C.resolve(None, tmp_path / "none") is None
     assert C.slug("") == "unnamed"
+
+
+def test_usable_judges_repeated_files_without_building_them(spark):
+    """Each text, alone and 3 times over, against the built file; a file too large to build has a verdict too."""
+    texts = ["", " \t", "\n", "a", "a\n", "\n\na", "a\r\nb", "é\nü\n", None, "x\n" * H.MAX_FILE_LINES, "x\n" * H.MAX_FILE_LINES + "y", "\n".join("x" * 3334), "\n".join("x" * 3333), "\n" * 20_000]
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, content string")
+    keep = lambda df, *a: {r["id"] for r in H.usable(df, *a).collect()}
+    plain = lambda t: t is not None and t.strip(" \n\t\r") != "" and len(t.removesuffix("\n").split("\n")) <= H.MAX_FILE_LINES
+    assert keep(rows) == {i for i, t in enumerate(texts) if plain(t)}
+    assert keep(rows, F.when(F.lit(False), 1)) == keep(rows)
+    assert keep(rows, F.lit(3)) == {i for i, t in enumerate(texts) if t is not None and plain((t + "\n") * 3)}
+    assert keep(rows, F.lit(1 << 30)) == set()
