@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify as K
 from ..functions import text as X
-from ..shared import kept
+from ..shared import kept, spread
 
 
 def latest(commits: DataFrame, most: int = 50) -> DataFrame:
@@ -71,8 +71,14 @@ def statistics(commits: DataFrame) -> DataFrame:
 
 
 def common_files(changes: DataFrame, commits: DataFrame, share: float = 0.3) -> DataFrame:
-    """file, commits: files changed by at least that share of the commits; changes: commit, file."""
-    kept = changes.join(commits.select("commit"), "commit", "left_semi").groupBy("file").agg(F.countDistinct("commit").alias("commits"))
+    """file, commits: files changed by at least that share of the commits; changes: commit, file.
+
+    All changes of a commit are in one task, which drops repeats; only counts a file move from there.
+    """
+    rows = changes.count()
+    # an inner join, since Spark moves a semi join in front of the dealing, into fewer tasks
+    known = spread(changes, rows, "commit").join(spread(commits.select("commit").distinct(), rows, "commit"), "commit").select("commit", "file").distinct()
+    kept = known.groupBy("file").agg(F.count("commit").alias("commits"))
     total = commits.agg(F.count("*").alias("__n"))
     return kept.crossJoin(F.broadcast(total)).where(F.col("commits") >= F.col("__n") * share).drop("__n")
 

@@ -1,8 +1,10 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone import shared
 from lodestone.operators import chunking as H
 from lodestone.operators import graph as G
 from lodestone.operators import history as T
@@ -227,3 +229,24 @@ def test_usable_judges_repeated_files_without_building_them(spark):
     assert keep(rows, F.when(F.lit(False), 1)) == keep(rows)
     assert keep(rows, F.lit(3)) == {i for i, t in enumerate(texts) if t is not None and plain((t + "\n") * 3)}
     assert keep(rows, F.lit(1 << 30)) == set()
+
+
+def _parts(df):
+    """Partitions of the largest shuffle."""
+    return max(int(n) for n in re.findall(r"hashpartitioning\([^()]*, (\d+)\)", df._jdf.queryExecution().toString()))
+
+
+def test_merged_edges_are_dealt_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 10)
+    edges = spark.range(300).selectExpr("concat('a', id % 50) AS source", "'b' AS target", "concat('t', id) AS edge_type", "id AS seq")
+    merged = G.merge_edges(edges)
+    assert _parts(merged) == 30
+    assert {(r["source"], r["edge_type"]) for r in merged.collect()} == {(f"a{i % 50}", f"t{i}") for i in range(250, 300)}
+
+
+def test_common_files_are_dealt_by_the_number_of_changes(spark, monkeypatch):
+    monkeypatch.setattr(shared, "TASK_ROWS", 10)
+    changes = spark.createDataFrame([(c, f) for c in range(50) for f in (1, 1, c % 2, None)] + [(None, 1), (99, 1)], "commit long, file long")
+    found = T.common_files(changes, spark.createDataFrame([(c,) for c in [*range(50), None]], "commit long"), 0.5)
+    assert _parts(found) == 21
+    assert {tuple(r) for r in found.collect()} == {(1, 50), (None, 50)}
