@@ -93,3 +93,19 @@ def test_empty_graph(spark):
     stored = A.Adjacency.build(spark.createDataFrame([], "source string, target string"))
     assert rows(stored.search(spark.createDataFrame([("a",)], "name string"))) == set()
     assert rows(stored.search(spark.createDataFrame([], "name string"))) == set()
+
+
+@pytest.mark.parametrize("few,many", [(A.FEW, A.MANY), (6, 100), (0, 0)])
+def test_scanned_edges_equal_plain_and_store_no_edges(spark, monkeypatch, few, many):
+    monkeypatch.setattr(A, "FEW", few)
+    monkeypatch.setattr(A, "NAMED", 2)
+    monkeypatch.setattr(A, "MANY", many)
+    edges = graph(60, 80, 3)
+    scanned = A.Scanned(spark, spark.createDataFrame(edges + edges[:20], "source string, target string"))
+    paths, new_path = [], A.new_path
+    monkeypatch.setattr(A, "new_path", lambda s, label: paths.append(label) or new_path(s, label))
+    starts = ["n1", "hub", "a>b", "nowhere"]
+    df = spark.createDataFrame([(s,) for s in [*starts, "n1", None]], "name string")
+    assert rows(G.search(scanned, df, 2)) == plain(edges, starts, 3)
+    assert rows(G.search(scanned, df, 1, ("upstream",))) == plain(edges, starts, 2, ("upstream",))
+    assert all(p.startswith("hop-") for p in paths)
