@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as X
-from ..shared import delete, get, new_path, put
+from ..shared import delete, get, kept, new_path, put
 
 #: Documents a posting row may name, below 2**16; bytes of text whose postings make up one file.
 BLOCK, FILE_BYTES = 4096, 256 << 20
@@ -206,9 +206,12 @@ class GramIndex:
         rare = Window.partitionBy("needle_id", "needle").orderBy(F.coalesce("n", F.lit(0)), "gram")
         chosen = each.join(self.frequencies(), "gram", "left").withColumn("rn", F.row_number().over(rare)).where(F.col("rn") <= RAREST)
         chosen = chosen.withColumn("wanted", F.count("*").over(Window.partitionBy("needle_id", "needle")))  # at most RAREST rows
-        lists = chosen.join(self.postings(), "gram").groupBy("needle_id", "needle", "block").agg(F.collect_list("places").alias("lists"), F.first("wanted").alias("wanted"))
+        chosen = kept(chosen.select("needle_id", "needle", "gram", "wanted"), "needle-grams")
+        chosen = F.broadcast(chosen) if chosen.limit(FEW + 1).count() <= FEW else chosen  # few stay off the postings' shuffle
+        lists = chosen.join(self.postings().drop("n"), "gram").groupBy("needle_id", "needle", "block").agg(F.collect_list("places").alias("lists"), F.first("wanted").alias("wanted"))
         shared = F.aggregate("lists", F.element_at("lists", 1), lambda a, b: F.array_intersect(a, b))
         places = lists.where(F.size("lists") == F.col("wanted")).select("needle_id", "needle", F.explode(F.transform(shared, lambda at: F.col("block") * BLOCK + at)).alias(PLACE))
-        met = places.withColumnsRenamed({"needle": "index_needle", "needle_id": "index_needle_id"}).join(self.texts(), PLACE)
-        met = met.where(F.contains(F.lower(self.column), F.col("index_needle"))).drop(PLACE, "index_needle")
+        places = kept(places, "proposed")  # of known size, so that Spark need not shuffle the texts for few
+        met = places.withColumnsRenamed({"needle": "index_needle", "needle_id": "index_needle_id"}).join(self.texts().withColumn("index_lower", F.lower(self.column)), PLACE)  # once a text, not once a pair
+        met = met.where(F.contains("index_lower", F.col("index_needle"))).drop(PLACE, "index_needle", "index_lower")
         return met.toDF("needle_id", *met.columns[1:])
