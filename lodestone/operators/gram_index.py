@@ -14,7 +14,6 @@ from __future__ import annotations
 
 import json
 import re
-from array import array
 from dataclasses import dataclass
 from functools import reduce
 
@@ -28,13 +27,15 @@ from ..functions import text as X
 from ..shared import delete, get, kept, new_path, put
 
 #: Documents a posting row may name, below 2**16; bytes of text whose postings make up one file.
-BLOCK, FILE_BYTES = 4096, 256 << 20
+BLOCK, FILE_BYTES = 4096, 32 << 20
+#: Characters whose grams are sorted at a time; that few have distinct numbers below 2**17. Postings that are merged at a time.
+PIECE, MERGED = (1 << 17) - 2, 1 << 20
 #: Rarest grams of a needle that are looked up.
 RAREST = 24
 #: Proposals the driver turns into ranges, and most ranges; more proposals meet the texts in a join.
 FEW, RANGES = 20_000, 64
 PLACE = "index_place"
-POSTINGS = "gram string, block long, places array<int>"
+POSTINGS = "gram string, block long, places array<int>, n int"
 
 
 def folded(text: Column) -> Column:
@@ -42,34 +43,80 @@ def folded(text: Column) -> Column:
     return F.translate(F.lower(text), "ς", "σ")
 
 
-def text_grams(text: str) -> set[str]:
-    """All runs of one, two and three characters."""
-    return {*text, *map("".join, zip(text, text[1:], strict=False)), *map("".join, zip(text, text[1:], text[2:], strict=False))}
+def _piece(texts: list[str], offsets: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct (gram, offset) of at most PIECE characters; a gram is its characters plus one, 21 bits each, from the left."""
+    sizes = [len(t) for t in texts]
+    points = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+    letters, x = np.unique(points, return_inverse=True)
+    x, own = x.astype(np.uint64) + np.uint64(1), np.repeat(np.array(offsets, np.uint64), sizes)
+    left = np.repeat(np.cumsum(sizes), sizes) - np.arange(len(x))  # characters up to the end of the text
+    two, three = np.flatnonzero(left >= 2), np.flatnonzero(left >= 3)
+    one = x << np.uint64(46) | own
+    pair = one[two] | x[two + 1] << np.uint64(29)
+    triple = one[three] | x[three + 1] << np.uint64(29) | x[three + 2] << np.uint64(12)
+    keys = np.unique(np.concatenate([one, pair, triple]))
+    points = np.append(np.uint64(0), letters.astype(np.uint64) + np.uint64(1))
+    low = np.uint64((1 << 17) - 1)
+    gram = points[keys >> np.uint64(46)] << np.uint64(42) | points[keys >> np.uint64(29) & low] << np.uint64(21) | points[keys >> np.uint64(12) & low]
+    return gram, (keys & np.uint64(4095)).astype(np.uint16)
+
+
+def _names(grams: np.ndarray) -> list[str]:
+    """The grams as text, in order."""
+    part = np.stack([grams >> np.uint64(42), grams >> np.uint64(21) & np.uint64((1 << 21) - 1), grams & np.uint64((1 << 21) - 1)], axis=1).astype(np.uint32)
+    size = (part > 0).sum(axis=1)
+    text = np.where(part > 0, part - np.uint32(1), 0).astype("<u4").tobytes().decode("utf-32-le")
+    return [text[3 * i : 3 * i + n] for i, n in enumerate(size.tolist())]
 
 
 def posting_rows(batches):
-    """gram, block, places of rows (block, offset, text) that come in order of block; a block's postings are held at a time."""
+    """gram, block, places, n (how many) of rows (block, offset, text) that come in order of block and offset.
 
-    def flush(block: int, lists: dict[str, array]) -> pa.RecordBatch:
-        ends = np.cumsum([0, *map(len, lists.values())]).astype(np.int32)
-        values = np.concatenate([np.frombuffer(x, np.uint16) for x in lists.values()]).astype(np.int32)
-        places = pa.ListArray.from_arrays(pa.array(ends), pa.array(values))
-        return pa.RecordBatch.from_arrays([pa.array(list(lists), pa.string()), pa.array([block] * len(lists), pa.int64()), places], ["gram", "block", "places"])
+    Grams are made and sorted as numbers, in pieces, and merged by ranges of grams, so
+    beside a block's postings, ten bytes each, little is held.
+    """
 
-    current, lists = None, {}
+    def merged(block: int, pieces: list[tuple[np.ndarray, np.ndarray]]):
+        total = sum(len(g) for g, _ in pieces)
+        some = np.sort(np.concatenate([g[:: max(1, len(g) // 64)] for g, _ in pieces]))
+        cuts = np.unique(some[:: max(1, len(some) * MERGED // total)])[1:]
+        ends = [[0, *np.searchsorted(g, cuts).tolist(), len(g)] for g, _ in pieces]
+        for i in range(len(cuts) + 1):
+            gram, place = (np.concatenate([p[c][e[i] : e[i + 1]] for p, e in zip(pieces, ends, strict=True)]) for c in (0, 1))
+            order = np.argsort(gram, kind="stable")  # offsets come in order
+            gram, place = gram[order], place[order]
+            new = np.append(True, gram[1:] != gram[:-1])[: len(gram)]
+            keep = new | np.append(True, place[1:] != place[:-1])[: len(gram)]  # a long text's pieces share grams
+            gram, place, new = gram[keep], place[keep], new[keep]
+            if not len(gram):
+                continue
+            starts = np.flatnonzero(new)
+            bounds = np.append(starts, len(gram)).astype(np.int32)
+            places = pa.ListArray.from_arrays(pa.array(bounds), pa.array(place.astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([pa.array(_names(gram[starts]), pa.string()), pa.array(np.full(len(starts), block, np.int64)), places, pa.array(np.diff(bounds))], ["gram", "block", "places", "n"])
+
+    current, pieces, texts, offsets, held = None, [], [], [], 0
     for b in batches:
-        for block, offset, text in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for block, offset, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+            text = text.as_py()
             if block != current:
-                if lists:
-                    yield flush(current, lists)
-                current, lists = block, {}
-            for g in text_grams(text):
-                held = lists.get(g)
-                if held is None:
-                    held = lists[g] = array("H")
-                held.append(offset)
-    if lists:
-        yield flush(current, lists)
+                if texts:
+                    pieces.append(_piece(texts, offsets))
+                if pieces:
+                    yield from merged(current, pieces)
+                current, pieces, texts, offsets, held = block, [], [], [], 0
+            for at in range(0, max(1, len(text) - 2), PIECE - 2):  # parts of long texts overlap by two characters
+                part = text[at : at + PIECE]
+                if held + len(part) > PIECE:
+                    pieces.append(_piece(texts, offsets))
+                    texts, offsets, held = [], [], 0
+                if part:
+                    texts.append(part), offsets.append(offset)
+                    held += len(part)
+    if texts:
+        pieces.append(_piece(texts, offsets))
+    if pieces:
+        yield from merged(current, pieces)
 
 
 def needle_grams(needle: str, as_written: bool = False) -> set[str]:
@@ -115,7 +162,7 @@ class GramIndex:
         files = max(1, (facts["size"] or 0) // file_bytes, min(facts["blocks"], spark.sparkContext.defaultParallelism))
         dealt = texts.where(F.col(column).isNotNull()).select(block, offset, folded(F.col(column)).alias("text")).repartition(files, "block").sortWithinPartitions("block", "offset")
         dealt.mapInArrow(posting_rows, POSTINGS).sortWithinPartitions("gram", "block").write.parquet(f"{path}/postings")
-        counted = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.sum(F.size("places")).alias("n"))
+        counted = spark.read.parquet(f"{path}/postings").groupBy("gram").agg(F.sum("n").alias("n"))
         counted.sortWithinPartitions("gram").write.parquet(f"{path}/frequencies")
         put(spark, f"{path}/grams.json", json.dumps({"column": column, "rows": facts["n"]}))
         return cls(spark, path, column, facts["n"])

@@ -2,6 +2,9 @@
 
 import random
 
+import random
+
+import pyarrow as pa
 import pytest
 from lodestone.operators import gram_index as G
 from lodestone.operators import search as S
@@ -87,3 +90,32 @@ def test_empty_table_and_clashing_names(spark):
         G.GramIndex.build(spark.createDataFrame([(1, "a")], f"{G.PLACE} long, text string"))
     odd = G.GramIndex.build(spark.createDataFrame([(1, "ab", "c", 2, 3)], "block int, text string, gram string, offset int, n int"))
     assert odd.containing_any(["ab"]).collect()[0].asDict() == {"block": 1, "text": "ab", "gram": "c", "offset": 2, "n": 3}
+
+
+@pytest.mark.parametrize("piece, merged", [(60, 100), (G.PIECE, G.MERGED)])
+def test_posting_rows_equal_a_plain_list(monkeypatch, piece, merged):
+    """All grams of odd texts, long ones in pieces, merged by ranges; every row states its number of places."""
+    monkeypatch.setattr(G, "PIECE", piece)
+    monkeypatch.setattr(G, "MERGED", merged)
+    r = random.Random(1)
+    rows = [(b, o, "".join(r.choice("ab \0é\U0010ffff中x") for _ in range(r.choice([0, 1, 2, 3, 50, 300])))) for b in (3, 7) for o in range(0, 4096, 37)]
+    want = {}
+    for b, o, t in rows:
+        for n in (1, 2, 3):
+            for i in range(len(t) - n + 1):
+                want.setdefault((t[i : i + n], b), set()).add(o)
+    kinds = (pa.int64(), pa.int32(), pa.string())
+    batches = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[i : i + 40], strict=True), kinds, strict=True)], ["block", "offset", "text"]) for i in range(0, len(rows), 40)]
+    got = [tuple(x.values()) for y in G.posting_rows(batches) for x in y.to_pylist()]
+    assert len(got) == len(want) and {(g, b): p for g, b, p, _ in got} == {k: sorted(v) for k, v in want.items()}
+    assert all(n == len(p) for *_, p, n in got)
+
+
+def test_postings_are_dealt_by_the_size_of_the_texts(spark, monkeypatch):
+    """Work a task does not grow with the table; few needles meet the postings without a shuffle of these."""
+    monkeypatch.setattr(G, "BLOCK", 16)
+    docs = spark.range(400).selectExpr("id AS doc_id", "repeat(concat('word', id, ' '), 20) AS text")
+    index = G.GramIndex.build(docs, file_bytes=2000)
+    assert len(index.postings().inputFiles()) > 10
+    found = index.matches(spark.createDataFrame([(1, "word399 word399"), (2, "nowhere")], "needle_id int, needle string"))
+    assert [(x["needle_id"], x["doc_id"]) for x in found.collect()] == [(1, 399)]
