@@ -37,6 +37,8 @@ PACK, TRAIN_ROWS, TRAIN_ROUNDS, MOST_CELLS = 4096, 256, 6, 4096
 RECALL, CALIBRATION = 0.95, 64
 #: The cell of vectors without a direction.
 NOWHERE = -1
+#: Queries of a pack that are compared with a pack at a time.
+ASKED = 256
 #: Room for rounding in comparisons of cosines.
 SLACK = 1e-6
 
@@ -322,16 +324,17 @@ def candidates(index: VectorIndex, queries: DataFrame, keep: int, probe: int | N
                 code = np.frombuffer(b.column(5)[i].as_py(), dtype=np.int8).reshape(-1, dims).astype(np.float32)
                 code *= np.frombuffer(b.column(6)[i].as_py(), dtype="<f4")[:, None]
                 middle = q @ centroids[cell] if cell >= 0 else np.zeros(len(q))
-                about = (q.astype(np.float32) @ code.T) + middle.astype(np.float32)[:, None]
-                if cell < 0:
-                    about[:] = 0
-                about[ids[:, None] == keys[None, :]] = -3
                 n = min(keep, len(keys))
-                at = np.argpartition(-about, n - 1, axis=1)[:, :n]
-                row = np.repeat(np.arange(len(q)), n)
-                col = at.ravel()
-                cols = [pa.array(ids[row], pa.int64()), pa.array(keys[col], pa.int64()), pa.array(np.full(len(row), cell), pa.int32()), pa.array(np.full(len(row), chunk), pa.int32()), pa.array(col, pa.int32()), pa.array(about[row, col].astype(np.float64))]
-                yield pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "cell", "chunk", "pos", "about"])
+                for at in range(0, len(q), ASKED):
+                    own = ids[at : at + ASKED]
+                    about = (q[at : at + ASKED].astype(np.float32) @ code.T) + middle[at : at + ASKED].astype(np.float32)[:, None]
+                    if cell < 0:
+                        about[:] = 0
+                    about[own[:, None] == keys[None, :]] = -3
+                    col = np.argpartition(-about, n - 1, axis=1)[:, :n].ravel()
+                    row = np.repeat(np.arange(len(own)), n)
+                    cols = [pa.array(own[row], pa.int64()), pa.array(keys[col], pa.int64()), pa.array(np.full(len(row), cell), pa.int32()), pa.array(np.full(len(row), chunk), pa.int32()), pa.array(col, pa.int32()), pa.array(about[row, col].astype(np.float64))]
+                    yield pa.RecordBatch.from_arrays(cols, ["query_id", "vec_id", "cell", "chunk", "pos", "about"])
 
     joined = packs.join(index.packs(spark).select("cell", "chunk", "keys", "codes", "steps"), "cell")
     found = joined.select("cell", "ids", "units", "chunk", "keys", "codes", "steps").mapInArrow(run, "query_id long, vec_id long, cell int, chunk int, pos int, about double")
