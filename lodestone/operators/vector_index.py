@@ -20,6 +20,7 @@ directions in many dimensions) let no bound prune: there exact() compares all, i
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -39,6 +40,8 @@ RECALL, CALIBRATION = 0.95, 64
 NOWHERE = -1
 #: Queries of a pack that are compared with a pack at a time.
 ASKED = 256
+#: Cells a query is sent to together, and parts of the queries that meet a copy of such a tile's packs.
+TILE_CELLS, TILE_PARTS = 16, 8
 #: Room for rounding in comparisons of cosines.
 SLACK = 1e-6
 
@@ -200,11 +203,20 @@ def _asked(queries: DataFrame, index: VectorIndex, vector: str, key: str) -> Dat
     return queries.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("query_id"), F.transform(F.col(vector), lambda x: x.cast("double")).alias("v"), *(c for c in ("bound", "done") if c in queries.columns))
 
 
+@dataclass
+class ByTile:
+    """How _tiled() chooses."""
+
+    choose: Callable
+
+
 def _dealt(asked: DataFrame, index: VectorIndex, choose, most: int) -> DataFrame:
     """cell, ids, units, bounds: packs of queries, each query in the packs of the cells that choose(units, bounds, done) names.
 
-    asked: query_id, v, bound, done (the cell that was searched already, or null).
+    asked: query_id, v, bound, done (the cell that was searched already, or null). Given a ByTile, what _tiled() returns.
     """
+    if isinstance(choose, ByTile):
+        return _tiled(asked, index, choose.choose, most)
     dims = index.dims
 
     def run(batches):
@@ -225,6 +237,40 @@ def _dealt(asked: DataFrame, index: VectorIndex, choose, most: int) -> DataFrame
     return spread.groupBy("cell", "chunk").applyInArrow(pack, "cell int, ids array<long>, units binary, bounds array<double>")
 
 
+def _tiled(asked: DataFrame, index: VectorIndex, choose, most: int) -> DataFrame:
+    """tile, part, ids, units, bounds, masks: packs of queries as in _dealt(), but a query is sent once to every TILE_CELLS cells.
+
+    choose(units, bounds) gives a row of booleans a query, one a cell, and which queries ask the
+    cell without directions. A mask's bits say which cells of the tile a query asks.
+    """
+    dims, tiles = index.dims, -(-len(index.centroids) // TILE_CELLS)
+
+    def run(batches):
+        for b in batches:
+            u = unit(np.nan_to_num(_matrix(b.column(1), dims), posinf=0, neginf=0))
+            open_, lost = choose(u, b.column(2).to_numpy(zero_copy_only=False))
+            padded = np.zeros((len(u), tiles * TILE_CELLS), dtype=np.int32)
+            padded[:, : open_.shape[1]] = open_
+            masks = (padded.reshape(len(u), tiles, TILE_CELLS) << np.arange(TILE_CELLS, dtype=np.int32)).sum(axis=2)
+            masks = np.column_stack([np.where(lost, 1 << NOWHERE % TILE_CELLS, 0), masks])  # the tile of NOWHERE is -1
+            row, at = np.nonzero(masks)
+            ends = pa.array(np.append(0, np.cumsum((masks > 0).sum(axis=1))).astype(np.int32))
+            lists = (pa.ListArray.from_arrays(ends, pa.array(x.astype(np.int32))) for x in (at - 1, masks[row, at]))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([x.tobytes() for x in u.astype("<f8")], pa.binary()), b.column(2), *lists], ["query_id", "unit", "bound", "tiles", "masks"])
+
+    def pack(table: pa.Table) -> pa.Table:
+        first = {c: pa.array([table.column(c)[0].as_py()], pa.int32()) for c in ("tile", "part")}
+        units = b"".join(x.as_py() for x in table.column("unit"))
+        one = {**first, "ids": pa.array([table.column("query_id").to_pylist()], pa.list_(pa.int64())), "units": pa.array([units], pa.binary())}
+        return pa.table({**one, "bounds": pa.array([table.column("bound").to_pylist()], pa.list_(pa.float64())), "masks": pa.array([table.column("mask").to_pylist()], pa.list_(pa.int32()))})
+
+    rows = asked.select("query_id", "v", "bound").mapInArrow(run, "query_id long, unit binary, bound double, tiles array<int>, masks array<int>")
+    chunk = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-most // PACK)))).cast("int")
+    spread = rows.select("query_id", "unit", "bound", chunk.alias("chunk"), F.inline(F.arrays_zip(F.col("tiles").alias("tile"), F.col("masks").alias("mask"))))
+    spread = spread.toDF("query_id", "unit", "bound", "chunk", "tile", "mask").withColumn("part", F.pmod("chunk", F.lit(TILE_PARTS)))
+    return spread.groupBy("tile", "part", "chunk").applyInArrow(pack, "tile int, part int, ids array<long>, units binary, bounds array<double>, masks array<int>")
+
+
 def _best(index: VectorIndex, packs: DataFrame, k: int) -> DataFrame:
     """query_id, vec_id, score, cell: of each pack of queries and pack of vectors each query's best k that reach its bound, exact.
 
@@ -237,6 +283,11 @@ def _best(index: VectorIndex, packs: DataFrame, k: int) -> DataFrame:
             for i in range(b.num_rows):
                 cell, ids, q = b.column(0)[i].as_py(), b.column(1)[i].values.to_numpy(), _unpack(b.column(2)[i].as_py(), dims)
                 bounds, keys = b.column(3)[i].values.to_numpy(zero_copy_only=False), b.column(4)[i].values.to_numpy()
+                if b.num_columns > 6:
+                    asks = np.flatnonzero(b.column(6)[i].values.to_numpy() >> (cell % TILE_CELLS) & 1)
+                    if not len(asks):
+                        continue
+                    ids, q, bounds = ids[asks], q[asks], bounds[asks]
                 v = unit(_unpack(b.column(5)[i].as_py(), dims))
                 v32, out = v.astype(np.float32).T.copy(), []
                 for at in range(0, len(q), 256):
@@ -261,8 +312,13 @@ def _best(index: VectorIndex, packs: DataFrame, k: int) -> DataFrame:
                 a, c, s = (np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(c, pa.int64()), pa.array(s, pa.float64()), pa.array(np.full(len(a), cell), pa.int32())], ["query_id", "vec_id", "score", "cell"])
 
-    joined = packs.join(index.packs(packs.sparkSession).select("cell", "keys", "vectors"), "cell")
-    return joined.select("cell", "ids", "units", "bounds", "keys", "vectors").mapInArrow(run, "query_id long, vec_id long, score double, cell int")
+    stored, columns = index.packs(packs.sparkSession).select("cell", "keys", "vectors"), ["cell", "ids", "units", "bounds", "keys", "vectors"]
+    if "tile" in packs.columns:
+        parts = F.explode(F.array(*map(F.lit, range(TILE_PARTS)))).alias("part")
+        joined, columns = packs.join(stored.select("*", F.floor(F.col("cell") / TILE_CELLS).cast("int").alias("tile"), parts), ["tile", "part"]), [*columns, "masks"]
+    else:
+        joined = packs.join(stored, "cell")
+    return joined.select(*columns).mapInArrow(run, "query_id long, vec_id long, score double, cell int")
 
 
 def _ranked(hits: DataFrame, k: int) -> DataFrame:
@@ -277,7 +333,7 @@ def exact(index: VectorIndex, queries: DataFrame, k: int = SEARCH_LIMIT, least:
     query's k-th score so far.
     """
     spark, centroids, radii = queries.sparkSession, index.centroids, index.radii
-    count, nowhere = queries.count(), [NOWHERE] if index.nowhere else []
+    count = queries.count()
     asked = _asked(queries, index, vector, key)
 
     def nearest(u, bounds, done):
@@ -290,17 +346,17 @@ def exact(index: VectorIndex, queries: DataFrame, k: int = SEARCH_LIMIT, least:
     bound = F.when(F.col("n") >= k, F.greatest(F.col("low"), F.lit(float(least)))).otherwise(F.lit(float(least)))
     bounded = asked.join(top, "query_id", "left").select("query_id", "v", bound.alias("bound"), F.lit(None).cast("int").alias("done"))
 
-    def others(u, bounds, done):
+    def others(u, bounds):
         if not len(centroids):
-            return [[] for _ in u]
+            return np.zeros((len(u), 0), dtype=bool), np.zeros(len(u), dtype=bool)
         near = u @ centroids.T
         angle = np.maximum(0, np.arccos(np.clip(near, -1, 1)) - radii)
         possible = np.where(u.any(axis=1)[:, None], np.cos(angle), 0.0)
         open_ = possible >= bounds[:, None] - SLACK
         open_[np.arange(len(u)), near.argmax(axis=1)] = False  # searched already
-        return [np.flatnonzero(o).tolist() + (nowhere if b <= SLACK else []) for o, b in zip(open_, bounds, strict=True)]
+        return open_, (bounds <= SLACK) & index.nowhere
 
-    second = _best(index, _dealt(bounded, index, others, count), k)
+    second = _best(index, _dealt(bounded, index, ByTile(others), count), k)
     return _ranked(first.unionByName(second), k)
 
 

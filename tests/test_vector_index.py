@@ -101,3 +101,23 @@ def test_blocks_take_each_query_of_its_own_size(spark):
     rows = [(1, [1.0, 0.1]), (2, [1.0, 0.0]), (3, [0.0, 1.0, 1.0]), (4, [0.1, 1.0, 1.0]), (5, None)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     assert {(q, v, r) for q, v, _, r in hits(S.top_k_blocks(df, df, 1))} == {(q, v, r) for q, v, _, r in brute(rows, rows, 1)}
+
+
+def test_exact_sends_a_query_once_to_a_tile(spark):
+    """Where no bound prunes, the second pass moves a row a query and tile of cells, not one a cell."""
+    rng = random.Random(9)
+    rows = [(i, [round(rng.gauss(0, 1) * 64) / 64 for _ in range(16)]) for i in range(200)] + [(200, None), (201, [0.0] * 16)]
+    df = frame(spark, rows)
+    index, met, tiled = V.build(df, cells=20, recall=None), [], V._tiled
+
+    def counted(*a):
+        out = tiled(*a)
+        met.append(out.selectExpr("sum(size(ids))").first()[0])
+        return out
+
+    V._tiled = counted
+    try:
+        got = hits(V.exact(index, df, 3))
+    finally:
+        V._tiled = tiled
+    assert met[0] <= len(rows) * 3 and got == brute(rows, rows, 3)
