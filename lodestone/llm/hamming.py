@@ -92,29 +92,32 @@ def large_links(fp: np.ndarray, tile: np.ndarray, max_bits: int) -> tuple[np.nda
     return a[chosen], b[chosen]
 
 
-def links_within(prints: DataFrame, max_bits: int, shared: int) -> DataFrame:
+def links_within(prints: DataFrame, max_bits: int, shared: int, by: tuple[str, ...] = (), equal: str | None = None) -> DataFrame:
     """Distinct pairs (a < b) of fingerprints (column fp) that connect all those within max_bits of each other.
 
     shared blocks of max_bits + shared make a key. More of them mean more keys a
     fingerprint, but smaller buckets: with 64 * shared / (max_bits + shared) bits a key, n
     fingerprints meet in buckets of about n / 2**bits. The links are the same for any value.
+
+    Only rows with the same values in the columns `by` are compared. With a column `equal`,
+    a fingerprint of rows that differ in it has a row too, with a = b.
     """
-    nodes = prints.select("fp").distinct()
+    several = [] if equal is None else [(F.min(F.xxhash64(equal)) < F.max(F.xxhash64(equal))).alias("several")]
+    nodes = prints.groupBy("fp", *by).agg(*several) if several else prints.select("fp", *by).distinct()
     blocks = max_bits + shared
-    keys = nodes.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks(blocks, shared)))).alias("k", "block"))
-    sizes = keys.groupBy("k", "block").agg(F.count("*").alias("n"))
-    crowded = sizes.where(F.col("n") > TILE).withColumn("tiles", F.ceil(F.col("n") / TILE).cast("int")).drop("n")
-    tiles = F.coalesce("tiles", F.lit(1))
-    own = F.pmod(F.xxhash64("fp"), tiles).cast("int")
-    tiled = keys.join(crowded, ["k", "block"], "left").select("k", "block", "fp", own.alias("tile"), F.explode(F.sequence(F.lit(0), tiles - 1)).alias("other"))
-    groups = tiled.select("k", "block", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "fp")
+    cut = [F.xxhash64(F.col("fp").bitwiseAND(F.lit(m)), F.lit(i), *by) for i, m in enumerate(masks(blocks, shared))]
+    keys = nodes.select("fp", F.explode(F.array(*cut)).alias("key"))  # should two blocks have one hash, their rows are compared for nothing
+    met = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key", F.ceil(F.col("n") / TILE).cast("int").alias("tiles"))
+    own = F.pmod(F.xxhash64("fp"), F.col("tiles")).cast("int")
+    tiled = keys.join(met, "key").select("key", "fp", own.alias("tile"), F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)).alias("other"))
+    groups = tiled.select("key", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "fp")
 
     def run(batches):
         kept: list[pa.RecordBatch] = []
 
         def close(table: pa.Table) -> pa.RecordBatch:
-            key = [table.column(c).to_numpy() for c in range(4)]
-            tile, fp = table.column(4).to_numpy(), table.column(5).to_numpy().view(np.uint64)
+            key = [table.column(c).to_numpy() for c in range(3)]
+            tile, fp = table.column(3).to_numpy(), table.column(4).to_numpy().view(np.uint64)
             new = np.ones(len(fp), dtype=bool)
             new[1:] = np.logical_or.reduce([k[1:] != k[:-1] for k in key])
             number = np.cumsum(new) - 1
@@ -135,7 +138,7 @@ def links_within(prints: DataFrame, max_bits: int, shared: int) -> DataFrame:
             if not b.num_rows:
                 continue
             table = pa.Table.from_batches([*kept, b])
-            key = [table.column(c).to_numpy() for c in range(4)]
+            key = [table.column(c).to_numpy() for c in range(3)]
             other = np.flatnonzero(np.logical_or.reduce([k != k[-1] for k in key]))
             cut = int(other[-1]) + 1 if len(other) else 0
             if cut:
@@ -144,5 +147,6 @@ def links_within(prints: DataFrame, max_bits: int, shared: int) -> DataFrame:
         if kept:
             yield close(pa.Table.from_batches(kept))
 
-    ordered = groups.repartition("k", "block", "t1", "t2").sortWithinPartitions("k", "block", "t1", "t2")
-    return ordered.mapInArrow(run, "a long, b long").where("a < b").distinct()
+    ordered = groups.repartition("key", "t1", "t2").sortWithinPartitions("key", "t1", "t2")
+    links = ordered.mapInArrow(run, "a long, b long").where("a < b").distinct()
+    return links.unionByName(nodes.where("several").select(F.col("fp").alias("a"), F.col("fp").alias("b"))) if several else links

@@ -7,7 +7,7 @@ import pytest
 
 pytest.importorskip("lodestone.llm")
 
-from lodestone.llm import near_copies, simhash  # noqa: E402
+from lodestone.llm import hamming, near_copies, simhash  # noqa: E402
 
 
 def edited(words, at):
@@ -89,3 +89,47 @@ def test_no_rows_and_nulls(spark):
     assert near_copies.keep_one(docs.where("false")).count() == 0
     nulls = spark.createDataFrame([(1, None), (2, ""), (None, "a b c d e f"), (3, "a b c d e f"), (None, "x")], "doc_id long, text string")
     assert sorted(((r["doc_id"], r["text"]) for r in near_copies.keep_one(nulls).collect()), key=str) == sorted([(1, None), (None, "a b c d e f"), (3, "a b c d e f"), (None, "x")], key=str)
+
+
+def far_apart_in_every_fingerprint():
+    """Two texts above 0.8 that have no fingerprint in common, but some within two bits."""
+    for seed in range(2000):
+        r = random.Random(seed)
+        base = [b"w%d" % r.randrange(10**6) for _ in range(120)]
+        pair = base, [b"z%d" % i if i in (30, 80) else w for i, w in enumerate(base)]
+        sets = [near_copies.shingles(w) for w in pair]
+        one, two = (np.array(near_copies.fingerprints(s, near_copies.sketch(s))) for s in sets)
+        if near_copies.alike(*sets) and 0 < np.bitwise_count((one ^ two).view(np.uint64)).min() <= near_copies.MAX_BITS:
+            return [b" ".join(w).decode() for w in pair]
+    raise AssertionError("no such pair")
+
+
+def test_links_come_from_hamming_links(spark, monkeypatch):
+    """The classes rest on links_within: a pair with no equal fingerprint is one class, and none is without its rows."""
+    texts = far_apart_in_every_fingerprint()
+    docs = frame(spark, [*texts, texts[0] + " more"])
+    assert {r["component_id"] for r in near_copies.near_classes(docs).collect()} == {0}
+    monkeypatch.setattr(near_copies, "links_within", lambda *args, **kwargs: hamming.links_within(*args, **kwargs).where("false"))
+    assert sorted(r["component_id"] for r in near_copies.near_classes(docs).collect()) == [0, 1, 2]
+
+
+def test_fingerprints_of_pairs_at_the_threshold():
+    """Sets at 0.8: all pairs have a fingerprint within MAX_BITS, unrelated sets none; long sets are summed in steps."""
+    r = np.random.default_rng(1)
+    for n in (5, 10, 30, 120, 330, 10_000):
+        for _ in range(20 if n > 1000 else 100):
+            union = r.integers(0, 1 << 64, n, dtype=np.uint64)
+            common, half = -(-n * 4 // 5), (n + -(-n * 4 // 5)) // 2
+            sets = [np.sort(x) for x in (union[:half], np.concatenate([union[:common], union[half:]]), r.integers(0, 1 << 64, n, dtype=np.uint64))]
+            one, two, other = (np.array(near_copies.fingerprints(s, near_copies.sketch(s))).view(np.uint64) for s in sets)
+            assert near_copies.alike(*sets[:2])
+            assert np.bitwise_count(one ^ two).min() <= near_copies.MAX_BITS
+            if n > 5:
+                assert np.bitwise_count(one ^ other).min() > near_copies.MAX_BITS
+
+
+def test_links_by_column_and_of_equal_fingerprints(spark):
+    rows = [(1, 0b1, "x"), (1, 0b1, "y"), (1, 0b10, "x"), (2, 0b100, "x"), (2, 0b100, "x"), (2, 0xFF00, "z")]
+    prints = spark.createDataFrame(rows, "band int, fp long, node string")
+    got = sorted(tuple(r) for r in hamming.links_within(prints, 2, 1, by=("band",), equal="node").collect())
+    assert got == [(0b1, 0b1), (0b1, 0b10)]
