@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, keeps_columns, materialise, new_path
+from .common import drop_path, keeps_columns, materialise, new_path, shuffles_dropped
 from .hamming import links_within
 
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -76,7 +76,10 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         ends = current.groupBy(F.col("hi").alias("u")).agg(F.count("*").alias("up"), F.lit(0).alias("down"))
         ends = ends.unionByName(current.select(F.col("lo").alias("u"), F.lit(0).cast("long").alias("up"), F.lit(1).alias("down")).distinct())
-        if ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0").isEmpty():
+        open_ends = ends.groupBy("u").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 OR up > 0 AND down > 0")
+        with shuffles_dropped(spark):
+            done = open_ends.isEmpty()
+        if done:
             return current.select(F.col("hi").alias("node"), F.col("lo").alias("root"))
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(current.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         large = with_least(both, "u", "v").where("v > u").select(F.col("v").alias("hi"), F.least("u", "m").alias("lo")).distinct()

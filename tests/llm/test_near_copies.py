@@ -1,13 +1,14 @@
 """The pipeline's near-copy stage against all pairs of whole five-word sets."""
 
 import random
+import time
 
 import numpy as np
 import pytest
 
 pytest.importorskip("lodestone.llm")
 
-from lodestone.llm import hamming, near_copies, simhash  # noqa: E402
+from lodestone.llm import common, hamming, near_copies, simhash  # noqa: E402
 
 
 def edited(words, at):
@@ -133,3 +134,41 @@ def test_links_by_column_and_of_equal_fingerprints(spark):
     prints = spark.createDataFrame(rows, "band int, fp long, node string")
     got = sorted(tuple(r) for r in hamming.links_within(prints, 2, 1, by=("band",), equal="node").collect())
     assert got == [(0b1, 0b1), (0b1, 0b10)]
+
+
+def test_unrelated_fingerprints_seldom_share_a_key():
+    """Rows whose key another row has: unrelated fingerprints must not meet more often, the more there are of them."""
+    prints = np.random.default_rng(2).integers(0, 1 << 64, 200_000, dtype=np.uint64)
+    for m in hamming.masks(near_copies.MAX_BITS + near_copies.SHARED, near_copies.SHARED):
+        _, n = np.unique(prints & np.uint64(m % (1 << 64)), return_counts=True)
+        assert n[n > 1].sum() < len(prints) / 1000
+
+
+def test_links_are_the_same_for_keys_of_any_length(spark):
+    r = random.Random(9)
+    base = [r.getrandbits(63) for _ in range(30)]
+    rows = sorted({(i % 2, x ^ sum(1 << b for b in r.sample(range(63), r.randrange(3)))) for i in range(400) for x in [r.choice(base)]})
+    prints = spark.createDataFrame(rows, "band int, fp long")
+    classes = []
+    for shared in (1, near_copies.SHARED):
+        stars = simhash.components(hamming.links_within(prints, near_copies.MAX_BITS, shared, by=("band",)))
+        classes.append(sorted(tuple(x) for x in stars.collect()))
+    assert len(classes[0]) > 100 and classes[0] == classes[1]
+
+
+def test_shuffle_files_go_with_their_query(spark):
+    """No shuffle file of materialise() or components() is left to the driver's garbage collection; the session's setting stays."""
+
+    def files():
+        found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for i in range(found.size()) if (name := found.apply(i).getName()).startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(common._CLEANUP_KEY)
+    counts = common.materialise(spark.range(1000).selectExpr("id % 7 AS k").groupBy("k").count(), "counts")
+    stars = simhash.components(spark.createDataFrame([(i, i + 1) for i in range(20)], "a long, b long"))
+    until = time.time() + 20
+    while (left := files() - before) and time.time() < until:
+        time.sleep(0.2)
+    assert not left
+    assert spark.conf.get(common._CLEANUP_KEY) == setting
+    assert counts.count() == 7 and {r["root"] for r in stars.collect()} == {0}
